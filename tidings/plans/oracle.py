@@ -1,0 +1,102 @@
+"""DuckDB twins of the registered queries (the correctness oracle).
+
+Each twin re-derives its inputs from the same parquet tables with the same
+rules as the Spark side (regular expressions are shared constants; RE2 and
+Java agree on every construct used) and computes the expected rows with
+plain SQL.  DuckDB's ``regexp_replace`` needs the 'g' flag to replace all.
+"""
+
+from __future__ import annotations
+
+from tidings.functions.url import URL_RE
+from tidings.operators.feeds import ANCHOR_RE, HREF_PRESENT_RE, HREF_RE, NAV
+from tidings.sources.feeds import EDITION_SIZE, TITLE_RE
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def url_clean(x: str) -> str:
+    return (f"regexp_replace(regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), "
+            f"'[\\t\\r\\n]', '', 'g')")
+
+
+def html_unescape(x: str) -> str:
+    for pat, rep in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                     ("&#0*39;|&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"regexp_replace({x}, {q(pat)}, {q(rep)}, 'g')"
+    return x
+
+
+def strip_tags(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+
+
+def link_list(html: str, scope_re: str = NAV.pattern()) -> str:
+    """DuckDB list of {storylink, story} structs, the twin of link_array."""
+    a = q(ANCHOR_RE)
+    attrs = f"regexp_extract(a, {a}, 1)"
+    inner = f"regexp_extract(a, {a}, 2)"
+    href = " || ".join(f"regexp_extract({attrs}, {q(HREF_RE)}, {i})" for i in (1, 2, 3))
+    one = (f"{{'storylink': CASE WHEN regexp_matches({attrs}, {q(HREF_PRESENT_RE)}) "
+           f"THEN {html_unescape(href)} END, 'story': {html_unescape(strip_tags(inner))}}}")
+    anchors = (f"flatten(list_transform(regexp_extract_all({html}, {q(scope_re)}, 1), "
+               f"lambda c: regexp_extract_all(c, {a}, 0)))")
+    return f"list_filter(list_transform({anchors}, lambda a: {one}), lambda s: s.storylink IS NOT NULL)"
+
+
+HOST = f"lower(regexp_extract({url_clean('url')}, {q(URL_RE)}, 1))"
+
+# pages as feed items (twin of sources.feeds.page_items)
+PAGE_ITEMS = f"""page_items AS (
+  SELECT {HOST} || '#' || CAST(page_id // {EDITION_SIZE} AS VARCHAR) AS feed_id,
+         page_id, regexp_extract(html, {q(TITLE_RE)}, 1) AS title,
+         url AS link, html AS description
+  FROM pages)"""
+
+FIRST_ITEMS = PAGE_ITEMS + """,
+first_items AS (
+  SELECT * FROM page_items
+  QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY page_id) = 1)"""
+
+# stories of every page, the page being the feed (twin of page_stories)
+PAGE_STORIES = f"""page_links AS (
+  SELECT page_id AS feed_id, {link_list('html')} AS links FROM pages),
+stories AS (
+  SELECT feed_id, CAST(i AS BIGINT) AS rank, links[i].storylink AS storylink,
+         links[i].story AS story
+  FROM page_links, range(1, len(links) + 1) r(i))"""
+
+
+SQL: dict[str, str] = {}
+
+SQL["feed_items"] = f"""WITH {PAGE_ITEMS}
+SELECT feed_id, CAST(row_number() OVER (PARTITION BY feed_id ORDER BY page_id) AS BIGINT) AS item_no,
+       title, link, description FROM page_items"""
+
+SQL["latest_item"] = f"""WITH {FIRST_ITEMS}
+SELECT feed_id, title, link, description FROM first_items"""
+
+SQL["extract_links"] = f"""WITH page_links AS (
+  SELECT page_id, {link_list('html')} AS links FROM pages)
+SELECT page_id, CAST(i AS BIGINT) AS rank, links[i].storylink AS storylink, links[i].story AS story
+FROM page_links, range(1, len(links) + 1) r(i)"""
+
+SQL["latest_stories"] = f"""WITH {FIRST_ITEMS},
+fl AS (SELECT feed_id, {link_list('description')} AS links FROM first_items)
+SELECT feed_id, CAST(i AS BIGINT) AS rank, links[i].storylink AS storylink, links[i].story AS story
+FROM fl, range(1, len(links) + 1) r(i)"""
+
+SQL["feed_status"] = f"""WITH {FIRST_ITEMS},
+fl AS (SELECT feed_id, len({link_list('description')}) AS n FROM first_items)
+SELECT feed_id, CASE WHEN n = 0 THEN 'no_links' ELSE 'ok' END AS status,
+       CAST(n AS BIGINT) AS n_stories,
+       CASE WHEN n = 0 THEN 'external' END AS error_class,
+       CASE WHEN n = 0 THEN 'RSS feed service error or parsing failed' END AS error_text
+FROM fl"""
+
+SQL["latest_title"] = f"""WITH {FIRST_ITEMS}
+SELECT feed_id, title, true AS success, 200 AS http_code, CAST(NULL AS VARCHAR) AS error_text
+FROM first_items"""
