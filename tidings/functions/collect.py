@@ -1,0 +1,30 @@
+"""Order-keeping list building that stays bounded per task.
+
+``collect_list`` has no order, so lists are always built as
+``array_sort(collect_list(struct(pos, value)))``.  ``ordered_collect`` does
+it in two levels: first per (key, pos div chunk) — a hot key is spread over
+many reducers and each group holds at most ``chunk`` values — then per key
+over the already-sorted chunks.  The second level handles n/chunk items per
+key instead of n.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+CHUNK = 1024
+
+
+def ordered_collect(df: DataFrame, keys: list[str], pos: str, value: Column,
+                    out: str, chunk: int = CHUNK) -> DataFrame:
+    """(keys…, pos, …) -> (keys…, out = array of ``value`` in ``pos`` order)."""
+    c = F.floor(F.col(pos) / chunk).alias("_chunk")
+    lvl1 = (df.select(*keys, c, F.struct(F.col(pos).alias("p"), value.alias("v")).alias("_pv"))
+              .groupBy(*keys, "_chunk")
+              .agg(F.array_sort(F.collect_list("_pv")).alias("_part")))
+    lvl2 = (lvl1.groupBy(*keys)
+                .agg(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))).alias("_parts")))
+    return lvl2.select(*keys, F.transform(
+        F.flatten(F.transform("_parts", lambda s: s["_part"])),
+        lambda x: x["v"]).alias(out))

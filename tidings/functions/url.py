@@ -38,5 +38,5 @@ def is_valid_url(c) -> Column:
     u = url_clean(c)
     port = F.regexp_extract(u, URL_RE, 2)
     ok = u.rlike(URL_RE) & (
-        (port == "") | ((F.length(port) <= 5) & (port.cast("int") <= 65535)))
+        (port == "") | ((F.length(port) <= 5) & (port.try_cast("int") <= 65535)))
     return F.coalesce(ok, F.lit(False))

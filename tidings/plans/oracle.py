@@ -100,3 +100,81 @@ FROM fl"""
 SQL["latest_title"] = f"""WITH {FIRST_ITEMS}
 SELECT feed_id, title, true AS success, 200 AS http_code, CAST(NULL AS VARCHAR) AS error_text
 FROM first_items"""
+
+
+# J2 ---------------------------------------------------------------------------
+SELECTIONS = """selections AS (
+  SELECT event_id AS request_id, user_id AS feed_id, 'U' || CAST(user_id AS VARCHAR) AS user_id,
+         CASE event_type WHEN 'view' THEN 'en' WHEN 'click' THEN 'zh-tw' WHEN 'purchase' THEN 'fr'
+              WHEN 'signup' THEN 'ZH-TW' ELSE 'en ' END AS language_code,
+         list_slice([event_id % 9, (event_id // 9) % 9, event_id % 4 - 1, (event_id // 7) % 12,
+                     1 + event_id % 5], 1, CAST(event_id % 6 AS INT)) AS indexes
+  FROM events)"""
+
+PICKS = SELECTIONS + ",\n" + PAGE_STORIES + """,
+picks AS (
+  SELECT s.request_id, s.feed_id, s.user_id, s.language_code, p.i AS pos, s.indexes[p.i] AS idx
+  FROM selections s, range(1, len(s.indexes) + 1) p(i)),
+picked AS (
+  SELECT p.*, st.story, st.storylink,
+         row_number() OVER (PARTITION BY p.request_id ORDER BY p.pos) AS n
+  FROM picks p JOIN stories st ON st.feed_id = p.feed_id AND st.rank = p.idx),
+per_request AS (
+  SELECT request_id, feed_id, user_id, language_code, count(*) AS n_selected,
+         string_agg(CAST(n AS VARCHAR) || '. ' || story || ' ' || storylink, chr(10) || chr(10) ORDER BY pos) AS digest
+  FROM picked GROUP BY ALL)"""
+
+SQL["story_rank"] = f"""WITH {PAGE_STORIES}
+SELECT feed_id, rank, '#' || CAST(rank AS VARCHAR) AS rank_label, story FROM stories"""
+
+SQL["story_digest"] = f"""WITH {PAGE_STORIES}
+SELECT feed_id, count(*) AS n_stories,
+       string_agg(CAST(rank AS VARCHAR) || '. ' || story || ' ' || storylink, chr(10) || chr(10) ORDER BY rank) AS digest
+FROM stories GROUP BY feed_id"""
+
+SQL["select_stories"] = f"""WITH {PICKS}
+SELECT * FROM per_request"""
+
+SQL["selection_status"] = f"""WITH {PICKS}
+SELECT s.request_id, CASE WHEN r.n_selected IS NULL THEN 'rejected' ELSE 'accepted' END AS status,
+       coalesce(r.n_selected, 0) AS n_selected,
+       CASE WHEN r.n_selected IS NULL THEN 'validation' END AS error_class,
+       CASE WHEN r.n_selected IS NULL THEN 'No valid stories selected' END AS error_text
+FROM selections s LEFT JOIN per_request r USING (request_id)"""
+
+SQL["latest_headline"] = f"""WITH {FIRST_ITEMS}
+SELECT feed_id,
+       CASE WHEN title IS NOT NULL AND link IS NOT NULL THEN 'Latest story: ' || title || chr(10) || link END AS text,
+       CASE WHEN title IS NULL THEN 'No title found' WHEN link IS NULL THEN 'No link found' END AS error_text
+FROM first_items"""
+
+URLS = """urls AS (
+  SELECT page_id AS request_id, 'U' || CAST(page_id % 150 AS VARCHAR) AS user_id,
+         CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'zh-tw' ELSE 'ja' END AS language_code,
+         CASE page_id % 8 WHEN 1 THEN regexp_replace(url, '^[a-z]+:', 'ftp:')
+              WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '')
+              WHEN 3 THEN '  ' || url
+              WHEN 4 THEN regexp_extract(url, '^[a-z]+://', 0)
+              WHEN 5 THEN upper(url)
+              WHEN 6 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '\\1:99999')
+              ELSE url END AS url
+  FROM pages)"""
+
+
+def url_valid(x: str) -> str:
+    u = url_clean(x)
+    port = f"regexp_extract({u}, {q(URL_RE)}, 2)"
+    return (f"coalesce(regexp_matches({u}, {q(URL_RE)}) AND ({port} = '' OR "
+            f"(length({port}) <= 5 AND TRY_CAST({port} AS INTEGER) <= 65535)), false)")
+
+
+def url_host(x: str) -> str:
+    return f"CASE WHEN {url_valid(x)} THEN lower(regexp_extract({url_clean(x)}, {q(URL_RE)}, 1)) END"
+
+
+SQL["valid_urls"] = f"""WITH {URLS}
+SELECT request_id, url, {url_valid('url')} AS is_valid, {url_host('url')} AS host FROM urls"""
+
+SQL["translate_queue"] = f"""WITH {SELECTIONS}
+SELECT request_id, user_id, language_code FROM selections
+WHERE language_code NOT IN ('en', 'zh-tw')"""

@@ -32,3 +32,26 @@ register("extract_links")(lambda s, d: J1.extract_links(T.pages(s, d, "page_id",
 register("latest_stories")(lambda s, d: J1.latest_stories(_feeds(s, d)))
 register("feed_status")(lambda s, d: J1.feed_status(_feeds(s, d)))
 register("latest_title")(lambda s, d: J1.latest_title(_feeds(s, d)))
+
+
+# J2 ---------------------------------------------------------------------------
+from tidings.operators import digests as J2  # noqa: E402
+from tidings.sources import fixtures as FX  # noqa: E402
+
+
+def _stories(spark, d):
+    return J1.page_stories(T.pages(spark, d, "page_id", "html"))
+
+
+def _selections(spark, d):
+    return FX.selections(T.events(spark, d))
+
+
+register("story_rank")(lambda s, d: J2.story_rank(_stories(s, d)))
+register("story_digest")(lambda s, d: J2.story_digest(_stories(s, d)))
+register("select_stories")(lambda s, d: J2.select_stories(_selections(s, d), _stories(s, d)))
+register("selection_status")(lambda s, d: J2.selection_status(_selections(s, d), _stories(s, d)))
+register("latest_headline")(lambda s, d: J2.latest_headline(J1.latest_item(_feeds(s, d))))
+register("valid_urls")(lambda s, d: J2.valid_urls(FX.urls(T.pages(s, d, "page_id", "url"))))
+register("translate_queue")(lambda s, d: J2.translate_queue(_selections(s, d))
+                            .select("request_id", "user_id", "language_code"))
