@@ -178,3 +178,176 @@ SELECT request_id, url, {url_valid('url')} AS is_valid, {url_host('url')} AS hos
 SQL["translate_queue"] = f"""WITH {SELECTIONS}
 SELECT request_id, user_id, language_code FROM selections
 WHERE language_code NOT IN ('en', 'zh-tw')"""
+
+
+# J3/J4 helpers -------------------------------------------------------------------
+WS_CLASS = (r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def utrim(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g')"
+
+
+def cut(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE substring({x}, 1, {max(n - 3, 0)}) || '...' END"
+
+
+class R(str):
+    """Raw SQL expression (not to be quoted)."""
+
+
+def _v(v) -> str:
+    if isinstance(v, R):
+        return str(v)
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return q(v)
+
+
+def jobj(**fields) -> R:
+    """json_object with keys in alphabetical order (twin of jsonfn.obj)."""
+    return R("json_object(" + ", ".join(f"{q(k)}, {_v(fields[k])}" for k in sorted(fields)) + ")")
+
+
+def jobj_ordered(*pairs) -> R:
+    return R("json_object(" + ", ".join(f"{q(k)}, {_v(v)}" for k, v in pairs) + ")")
+
+
+def jlist(*items) -> R:
+    return R("[" + ", ".join(str(i) for i in items) + "]")
+
+
+from tidings.operators import enrich as _E  # noqa: E402
+from tidings.operators import outbox as _O  # noqa: E402
+
+
+def extract_summary_sql(src: str, keys: list[str], text: str, top_k: int = 3, max_chars: int = 100) -> str:
+    """CTEs ending in ``summ`` (keys…, summary); twin of enrich.extract_summary."""
+    k = ", ".join(keys)
+    kk = " AND ".join(f"t.{x} = s.{x}" for x in keys)
+    return f"""sx_arr AS (SELECT {k}, regexp_extract_all({text}, {q(_E.SENTENCE_RE)}, 0) AS arr FROM {src}),
+sx_sents AS (
+  SELECT * FROM (SELECT {k}, i AS sent_no, {utrim('arr[i]')} AS sentence
+                 FROM sx_arr, range(1, len(arr) + 1) r(i))
+  WHERE regexp_matches(sentence, {q(_E.HAS_LETTER_RE)})),
+sx_words AS (SELECT {k}, sent_no, unnest(regexp_extract_all(lower(sentence), {q(_E.WORD_RE)}, 0)) AS word
+             FROM sx_sents),
+sx_df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT {k}, word FROM sx_words) GROUP BY word),
+sx_scores AS (SELECT {k}, sent_no, sum(df) AS score FROM sx_words JOIN sx_df USING (word)
+              GROUP BY {k}, sent_no),
+sx_top AS (SELECT * FROM sx_scores
+           QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY score DESC, sent_no) <= {top_k}),
+summ AS (
+  SELECT {", ".join("t." + x + " AS " + x for x in keys)},
+         {cut("string_agg(s.sentence, ' ' ORDER BY s.sent_no)", max_chars)} AS summary
+  FROM sx_top t JOIN sx_sents s ON {kk} AND t.sent_no = s.sent_no
+  GROUP BY {", ".join("t." + x for x in keys)})"""
+
+
+def story_bubble_sql(rank: str, title: str, link: str, summary: str) -> R:
+    header = jobj(backgroundColor=_O.HEADER_BG, layout="vertical", paddingAll="15px", type="box",
+                  contents=jlist(jobj(layout="baseline", type="box", contents=jlist(
+                      jobj(color=_O.ACCENT, flex=0, size="sm", type="text", weight="bold",
+                           text=R(f"'#' || CAST({rank} AS VARCHAR)")),
+                      jobj(color=_O.BRAND_COLOR, margin="md", size="xs", text=_O.BRAND_TEXT, type="text")))))
+    body = jobj(layout="vertical", paddingAll="15px", spacing="md", type="box", contents=jlist(
+        jobj(color=_O.TITLE_COLOR, margin="none", size="md", type="text", weight="bold", wrap=True,
+             text=R(cut(title, _O.TITLE_LIMIT))),
+        jobj(margin="md", type="separator"),
+        jobj(color=_O.SUMMARY_COLOR, margin="md", size="sm", type="text", wrap=True,
+             text=R(cut(summary, _O.SUMMARY_LIMIT)))))
+    footer = jobj(layout="vertical", paddingAll="13px", spacing="sm", type="box", contents=jlist(
+        jobj(action=jobj(label=_O.BUTTON_LABEL, type="uri", uri=R(link)), color=_O.ACCENT,
+             height="sm", style="primary", type="button")))
+    return jobj(body=body, footer=footer, header=header, size="kilo", type="bubble")
+
+
+def flex_sql(alt: str, contents: str) -> R:
+    return jobj_ordered(("type", "flex"), ("altText", alt), ("contents", R(contents)))
+
+
+def summary_bubble_sql(text: str, run_date: str) -> R:
+    sec_text = lambda s, margin: jobj(color=_O.SECTION_COLOR, size="sm", type="text", wrap=True,
+                                      text=R(utrim(s)), margin=R(margin))
+    contents = (f"flatten(list_transform(string_split({text}, chr(10) || chr(10)), lambda s, i: "
+                f"CASE WHEN i > 1 THEN [{jobj(margin='xl', type='separator')}, {sec_text('s', chr(39) + 'md' + chr(39))}] "
+                f"ELSE [{sec_text('s', chr(39) + 'none' + chr(39))}] END))")
+    header = jobj(backgroundColor=_O.ACCENT, layout="vertical", paddingAll="20px", type="box",
+                  contents=jlist(
+                      jobj(layout="baseline", type="box", contents=jlist(
+                          jobj(flex=0, size="xl", text=_O.SUMMARY_ICON, type="text"),
+                          jobj(color=_O.WHITE, margin="md", size="xl", text=_O.SUMMARY_TITLE,
+                               type="text", weight="bold"))),
+                      jobj(color=_O.DATE_COLOR, margin="md", size="xs", text=run_date, type="text")))
+    body = jobj(contents=R(contents), layout="vertical", paddingAll="20px", spacing="md", type="box")
+    return flex_sql(_O.SUMMARY_ALT_TEXT, jobj(body=body, header=header, size="mega", type="bubble"))
+
+
+RUN_DATE = "2024-01-31"
+
+TITLE_SUMM = PAGE_STORIES + ",\n" + extract_summary_sql("stories", ["feed_id", "rank"], "story") + """,
+enriched AS (
+  SELECT s.feed_id, s.rank, s.storylink, s.story,
+         coalesce(m.summary, '摘要生成失敗') AS summary, m.summary IS NULL AS failed
+  FROM stories s LEFT JOIN summ m USING (feed_id, rank))"""
+
+SQL["story_extract"] = f"""WITH {extract_summary_sql('documents', ['doc_id'], 'text')}
+SELECT doc_id, summary FROM summ"""
+
+SQL["enrich_with_default"] = f"""WITH {TITLE_SUMM}
+SELECT * FROM enriched"""
+
+SQL["truncate_text"] = f"""SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n_chars,
+       {cut('text', 100)} AS cut_100, {cut('text', 200)} AS cut_200
+FROM conversations"""
+
+SQL["text_messages"] = """SELECT conv_id, turn, json_object('type', 'text', 'text', text)::VARCHAR AS payload
+FROM conversations WHERE role = 'assistant'"""
+
+SQL["story_carousel"] = f"""WITH {TITLE_SUMM},
+bub AS (SELECT feed_id, rank, {story_bubble_sql('rank', 'story', 'storylink', 'summary')} AS b FROM enriched)
+SELECT feed_id, count(*) AS n_bubbles,
+       {flex_sql(_O.CAROUSEL_ALT_TEXT, jobj(contents=R('list(b ORDER BY rank)'), type='carousel'))}::VARCHAR AS payload
+FROM bub GROUP BY feed_id"""
+
+DIGESTS = PAGE_STORIES + """,
+digests AS (
+  SELECT feed_id, string_agg(CAST(rank AS VARCHAR) || '. ' || story || ' ' || storylink,
+                             chr(10) || chr(10) ORDER BY rank) AS digest
+  FROM stories GROUP BY feed_id)"""
+
+SQL["summary_sections"] = f"""WITH {DIGESTS},
+parts AS (SELECT feed_id, string_split(digest, chr(10) || chr(10)) AS arr FROM digests)
+SELECT feed_id, CAST(i AS BIGINT) AS section_no, {utrim('arr[i]')} AS section
+FROM parts, range(1, len(arr) + 1) r(i)"""
+
+HIGHLIGHTS = PAGE_STORIES + r""",
+hw AS (SELECT feed_id, rank, unnest(regexp_extract_all(lower(story), '\p{L}+', 0)) AS word FROM stories),
+kw AS (SELECT feed_id, word, row_number() OVER (PARTITION BY feed_id ORDER BY count(*) DESC, word) AS kr
+       FROM hw GROUP BY feed_id, word QUALIFY kr <= 3),
+kwl AS (SELECT feed_id, string_agg(word, ', ' ORDER BY kr) AS keywords FROM kw GROUP BY feed_id),
+hits AS (SELECT feed_id, rank, count(*) AS hits FROM hw JOIN kw USING (feed_id, word) GROUP BY feed_id, rank),
+best AS (SELECT feed_id, rank AS top_rank FROM hits
+         QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY hits DESC, rank) = 1),
+dg AS (SELECT feed_id, string_agg(CAST(rank AS VARCHAR) || '. ' || story || ' ' || storylink,
+                                  chr(10) || chr(10) ORDER BY rank) AS digest FROM stories GROUP BY feed_id),
+highlights AS (
+  SELECT b.feed_id, b.top_rank, k.keywords,
+         'Top story: ' || CAST(b.top_rank AS VARCHAR) || '. ' || s.story || ' ' || s.storylink
+         || chr(10) || chr(10) || 'Keywords: ' || k.keywords || chr(10) || chr(10) || d.digest AS highlight
+  FROM best b JOIN kwl k USING (feed_id) JOIN dg d USING (feed_id)
+  JOIN stories s ON s.feed_id = b.feed_id AND s.rank = b.top_rank)"""
+
+SQL["digest_highlights"] = f"""WITH {HIGHLIGHTS}
+SELECT feed_id, top_rank, keywords, highlight FROM highlights"""
+
+SQL["summary_bubble"] = f"""WITH {HIGHLIGHTS}
+SELECT feed_id, {summary_bubble_sql('highlight', RUN_DATE)}::VARCHAR AS payload FROM highlights"""
+
+SQL["outbox_broadcast"] = f"""WITH {HIGHLIGHTS}
+SELECT feed_id, 'broadcast' AS channel, CAST(NULL AS VARCHAR) AS recipient,
+       json_object('messages', [{summary_bubble_sql('highlight', RUN_DATE)}])::VARCHAR AS payload
+FROM highlights"""

@@ -55,3 +55,41 @@ register("latest_headline")(lambda s, d: J2.latest_headline(J1.latest_item(_feed
 register("valid_urls")(lambda s, d: J2.valid_urls(FX.urls(T.pages(s, d, "page_id", "url"))))
 register("translate_queue")(lambda s, d: J2.translate_queue(_selections(s, d))
                             .select("request_id", "user_id", "language_code"))
+
+
+# J3 (part) / J4 -------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from tidings.operators import enrich as J3  # noqa: E402
+from tidings.operators import outbox as J4  # noqa: E402
+
+RUN_DATE = "2024-01-31"  # card date: a job parameter, fixed for repeatable output
+
+
+def _title_enriched(spark, d):
+    st = _stories(spark, d)
+    summ = J3.extract_summary(st, ["feed_id", "rank"], "story")
+    return J3.enrich_with_default(st, summ)
+
+
+def _highlights(spark, d):
+    return J3.digest_highlights(_stories(spark, d))
+
+
+register("story_extract")(lambda s, d: J3.extract_summary(T.documents(s, d, "doc_id", "text"),
+                                                           ["doc_id"], "text"))
+register("enrich_with_default")(_title_enriched)
+register("digest_highlights")(_highlights)
+register("truncate_text")(lambda s, d: J4.truncate_text(
+    T.conversations(s, d, "conv_id", "turn", "text"), "text", ["conv_id", "turn"]))
+register("text_messages")(lambda s, d: J4.text_messages(
+    T.conversations(s, d).where(F.col("role") == "assistant"), "text", ["conv_id", "turn"]))
+register("story_carousel")(lambda s, d: J4.story_carousel(_title_enriched(s, d))
+                           .select("feed_id", "n_bubbles", F.to_json("message").alias("payload")))
+register("summary_sections")(lambda s, d: J4.summary_sections(
+    J2.story_digest(_stories(s, d)), "digest", ["feed_id"]))
+register("summary_bubble")(lambda s, d: J4.summary_bubbles(
+    _highlights(s, d), "highlight", ["feed_id"], RUN_DATE)
+    .select("feed_id", F.to_json("message").alias("payload")))
+register("outbox_broadcast")(lambda s, d: J4.outbox_broadcast(
+    J4.summary_bubbles(_highlights(s, d), "highlight", ["feed_id"], RUN_DATE), keys=["feed_id"]))
