@@ -99,7 +99,7 @@ def feed_items(feeds: DataFrame) -> DataFrame:
 # O02 -------------------------------------------------------------------------
 def latest_item(feeds: DataFrame) -> DataFrame:
     """First item of each feed by document order (not by date); narrow."""
-    first = F.element_at(parse_channel(F.col("body"))["item"], 1)
+    first = F.try_element_at(parse_channel(F.col("body"))["item"], F.lit(1))
     return (feeds.select("feed_id", first.alias("it"))
                  .where(F.col("it").isNotNull())
                  .select("feed_id", F.col("it.title").alias("title"),
@@ -134,7 +134,7 @@ def page_stories(pages: DataFrame, scope: Scope = NAV) -> DataFrame:
 # O04 -------------------------------------------------------------------------
 def latest_stories(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
     """Story links of each feed's newest item: (feed_id, rank, storylink, story)."""
-    first = F.element_at(parse_channel(F.col("body"))["item"], 1)
+    first = F.try_element_at(parse_channel(F.col("body"))["item"], F.lit(1))
     return _explode_links(feeds, ["feed_id"], link_array(first["description"], scope))
 
 
@@ -145,7 +145,7 @@ def feed_status(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
     Computed per row from the parsed body (no join back to O04).
     """
     ch = parse_channel(F.col("body"))
-    first = F.element_at(ch["item"], 1)
+    first = F.try_element_at(ch["item"], F.lit(1))
     n = F.size(link_array(first["description"], scope))
     http_ok = F.col("http_status").between(200, 299)
     status = (F.when(~http_ok, "http_error")
@@ -167,7 +167,7 @@ def feed_status(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
 def latest_title(feeds: DataFrame) -> DataFrame:
     """Newest item's title; no item or no title -> not found (404)."""
     ch = parse_channel(F.col("body"))
-    title = F.element_at(ch["item"], 1)["title"]
+    title = F.try_element_at(ch["item"], F.lit(1))["title"]
     ok_fetch = F.col("http_status").between(200, 299) & ch.isNotNull()
     return feeds.select(
         "feed_id",

@@ -351,3 +351,189 @@ SQL["outbox_broadcast"] = f"""WITH {HIGHLIGHTS}
 SELECT feed_id, 'broadcast' AS channel, CAST(NULL AS VARCHAR) AS recipient,
        json_object('messages', [{summary_bubble_sql('highlight', RUN_DATE)}])::VARCHAR AS payload
 FROM highlights"""
+
+
+# J5 ---------------------------------------------------------------------------
+from tidings.functions.crypto import hmac_pads  # noqa: E402
+from tidings.sources import fixtures as _FX  # noqa: E402
+
+
+def _duck_jstr(x: str) -> str:
+    return f"CAST(to_json(CAST({x} AS VARCHAR)) AS VARCHAR)"
+
+
+_IPAD, _OPAD = hmac_pads(_FX.FIXTURE_SECRET)
+_BODY = _FX._webhook_body_sql(_duck_jstr("text"), "CAST(conv_id * 1000 + turn AS VARCHAR)",
+                              "CAST(conv_id AS VARCHAR)", "CAST(turn AS VARCHAR)",
+                              _FX.WEBHOOK_VARIANT)
+
+
+def _opt_str(e: str, path: str) -> str:
+    return f"coalesce(json_type({e}, '{path}') IN ('NULL', 'VARCHAR'), true)"
+
+
+def _is(e: str, path: str, t: str) -> str:
+    return f"coalesce(json_type({e}, '{path}') = '{t}', false)"
+
+
+def _all(list_expr: str, var: str, pred: str) -> str:
+    return f"coalesce(list_bool_and(list_transform({list_expr}, lambda {var}: {pred})), true)"
+
+
+_EVENT_OK = (f"{_is('e', '$', 'OBJECT')} AND {_is('e', '$.type', 'VARCHAR')} AND {_opt_str('e', '$.replyToken')} "
+             f"AND {_is('e', '$.source', 'OBJECT')} AND {_is('e', '$.source.type', 'VARCHAR')} "
+             f"AND {_opt_str('e', '$.source.userId')} AND (coalesce(json_type(e, '$.message') = 'NULL', true) OR "
+             f"({_is('e', '$.message', 'OBJECT')} AND {_is('e', '$.message.type', 'VARCHAR')} "
+             f"AND {_opt_str('e', '$.message.text')}))")
+
+WEBHOOKS = f"""wh_base AS (
+  SELECT conv_id * 1000 + turn AS webhook_id, {_FX.WEBHOOK_VARIANT} AS v, encode({_BODY}) AS body
+  FROM conversations WHERE role = 'user'),
+webhooks AS (
+  SELECT webhook_id,
+         CASE v WHEN 11 THEN rtrim(sig, '=') WHEN 12 THEN 'not base64!' ELSE sig END AS signature,
+         CASE v WHEN 10 THEN body || encode(' ') ELSE body END AS body
+  FROM (SELECT *, to_base64(unhex(sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || body))))) AS sig
+        FROM wh_base)),
+wh_verified AS (
+  SELECT webhook_id, body,
+         coalesce(signature = to_base64(unhex(sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || body))))), false)
+           AS signature_ok,
+         try(decode(body)) AS txt
+  FROM webhooks),
+wh_parsed AS (
+  SELECT webhook_id, signature_ok, j,
+         coalesce(j IS NOT NULL AND {_is('j', '$', 'OBJECT')} AND {_is('j', '$.events', 'ARRAY')}
+                  AND {_all("json_extract(j, '$.events[*]')", 'e', _EVENT_OK)}, false) AS parse_ok
+  FROM (SELECT *, CASE WHEN coalesce(json_valid(txt), false) THEN CAST(txt AS JSON) END AS j FROM wh_verified)),
+wh_outcome AS (
+  SELECT webhook_id, signature_ok, parse_ok,
+         CASE WHEN parse_ok THEN json_array_length(j, '$.events') END AS n_events,
+         CASE WHEN NOT signature_ok THEN 'bad_signature'
+              WHEN NOT parse_ok THEN 'parse_error'
+              WHEN json_array_length(j, '$.events') = 0 THEN 'no_events'
+              WHEN j->>'$.events[0].type' <> 'message' THEN 'not_message'
+              WHEN coalesce(json_type(j, '$.events[0].message') = 'NULL', true) THEN 'no_message'
+              WHEN coalesce(j->>'$.events[0].message.text', '') = '' THEN 'no_text'
+              ELSE 'accepted' END AS outcome,
+         j->>'$.events[0].replyToken' AS rt, j->>'$.events[0].source.userId' AS uid,
+         j->>'$.events[0].message.text' AS tx
+  FROM wh_parsed),
+events_out AS (
+  SELECT webhook_id, outcome,
+         CASE WHEN outcome = 'accepted' THEN rt END AS reply_token,
+         CASE WHEN outcome = 'accepted' THEN uid END AS user_id,
+         CASE WHEN outcome = 'accepted' THEN tx END AS text
+  FROM wh_outcome)"""
+
+_TOOL_OK = (f"{_is('t', '$', 'OBJECT')} AND {_is('t', '$.function', 'OBJECT')} "
+            f"AND {_is('t', '$.function.name', 'VARCHAR')} AND {_is('t', '$.function.arguments', 'VARCHAR')}")
+_CHOICE_OK = (f"{_is('c', '$', 'OBJECT')} AND {_is('c', '$.message', 'OBJECT')} AND {_opt_str('c', '$.message.content')} "
+              f"AND (coalesce(json_type(c, '$.message.tool_calls') = 'NULL', true) OR "
+              f"({_is('c', '$.message.tool_calls', 'ARRAY')} AND "
+              f"{_all(chr(39).join(['json_extract(c, ', '$.message.tool_calls[*]', ')']), 't', _TOOL_OK)}))")
+
+CALLS = f"""tool_replies AS (
+  SELECT conv_id * 1000 + turn AS key,
+         CASE WHEN (conv_id + turn) % 11 = 10 THEN 500 ELSE 200 END AS http_status,
+         {_FX._tool_reply_sql('conv_id', 'turn', _duck_jstr).replace(' AS STRING)', ' AS VARCHAR)')} AS body
+  FROM conversations WHERE role = 'user'),
+tr_parsed AS (
+  SELECT key, http_status, j,
+         coalesce(j IS NOT NULL AND {_is('j', '$', 'OBJECT')} AND {_is('j', '$.choices', 'ARRAY')}
+                  AND {_all("json_extract(j, '$.choices[*]')", 'c', _CHOICE_OK)}, false) AS shape_ok
+  FROM (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM tool_replies)),
+tr_status AS (
+  SELECT key,
+         CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'external_error'
+              WHEN NOT shape_ok THEN 'serialization_error'
+              WHEN json_array_length(j, '$.choices') = 0 THEN 'ai_error' ELSE 'ok' END AS status,
+         j->'$.choices[0].message.tool_calls[0]' AS call,
+         j->>'$.choices[0].message.content' AS content
+  FROM tr_parsed),
+calls AS (
+  SELECT key, status,
+         CASE WHEN status = 'ok' AND call IS NOT NULL THEN call->>'$.function.name' END AS name,
+         CASE WHEN status = 'ok' AND call IS NOT NULL THEN call->>'$.function.arguments' END AS arguments,
+         CASE WHEN status = 'ok' AND call IS NULL THEN content END AS message
+  FROM tr_status),
+calls_out AS (
+  SELECT *, CASE WHEN status = 'ok' THEN
+              CASE WHEN name IS NOT NULL THEN json_object('name', name, 'arguments', arguments)::VARCHAR
+                   WHEN message IS NOT NULL THEN json_object('message', message)::VARCHAR
+                   ELSE '{{}}' END END AS result
+  FROM calls)"""
+
+ROUTES = WEBHOOKS + ",\n" + CALLS + """,
+rt_j AS (SELECT e.*, c.status, c.name, c.arguments, c.message
+         FROM events_out e LEFT JOIN calls_out c ON c.key = e.webhook_id),
+rt_route AS (
+  SELECT *, CASE WHEN outcome <> 'accepted' THEN NULL
+                 WHEN status IS NULL OR status <> 'ok' THEN 'model_error'
+                 WHEN name = 'reply_latest_story' THEN 'reply_latest_story'
+                 WHEN name = 'push_summary' THEN 'push_summary'
+                 WHEN name = 'push_url_summary' THEN 'push_url_summary'
+                 ELSE 'push_message' END AS route
+  FROM rt_j),
+routes AS (
+  SELECT webhook_id, route,
+         CASE WHEN route IS NULL THEN outcome
+              WHEN route = 'model_error' THEN 'model_error'
+              WHEN route = 'reply_latest_story' AND reply_token IS NULL THEN 'dropped_no_reply_token'
+              WHEN route IN ('push_summary', 'push_url_summary', 'push_message') AND user_id IS NULL THEN 'dropped_no_user'
+              WHEN route = 'push_message' AND message IS NULL THEN 'no_message'
+              ELSE 'routed' END AS outcome,
+         reply_token, user_id, text, name, arguments, message
+  FROM rt_route)"""
+
+SQL["verify_signatures"] = f"""WITH {WEBHOOKS}
+SELECT webhook_id, signature_ok FROM wh_verified"""
+
+SQL["parse_webhooks"] = f"""WITH {WEBHOOKS}
+SELECT webhook_id, signature_ok, parse_ok, n_events FROM wh_outcome"""
+
+SQL["first_event_outcome"] = f"""WITH {WEBHOOKS}
+SELECT * FROM events_out"""
+
+SQL["decode_tool_calls"] = f"""WITH {CALLS}
+SELECT key, status, name, arguments, message, result FROM calls_out"""
+
+SQL["tool_requests"] = (
+    "SELECT conv_id, turn, '{\"messages\":[{\"content\":' || " + _duck_jstr("text")
+    + " || ',\"role\":\"user\"}],\"model\":\"gpt-4o\",\"tool_choice\":\"auto\",\"tools\":' || "
+    + q(__import__("tidings.operators.tools", fromlist=["TOOLS_JSON"]).TOOLS_JSON)
+    + " || '}' AS body FROM conversations WHERE role = 'user'")
+
+SQL["route_calls"] = f"""WITH {ROUTES}
+SELECT webhook_id, route, outcome, reply_token, user_id FROM routes"""
+
+SQL["call_indexes"] = f"""WITH {ROUTES},
+ix AS (
+  SELECT webhook_id,
+         list_filter(CASE WHEN json_valid(arguments) AND {_is('arguments', '$.indexes', 'ARRAY')}
+                          THEN json_extract(arguments, '$.indexes[*]') ELSE [] END,
+                     lambda x: json_type(x) = 'UBIGINT') AS arr
+  FROM routes WHERE route = 'push_summary' AND outcome = 'routed')
+SELECT webhook_id, CAST(i AS BIGINT) AS pos, CAST(arr[i] AS BIGINT) AS idx
+FROM ix, range(1, len(arr) + 1) r(i)"""
+
+SQL["call_urls"] = f"""WITH {ROUTES}
+SELECT webhook_id, user_id, arguments->>'$.url' AS url
+FROM routes WHERE route = 'push_url_summary' AND outcome = 'routed'
+  AND json_valid(arguments) AND {_is('arguments', '$.url', 'VARCHAR')}"""
+
+SQL["conversation_replies"] = f"""WITH {CALLS},
+reqs AS (
+  SELECT conv_id * 1000 + turn AS request_id,
+         CASE WHEN (conv_id + turn) % 13 = 7 THEN encode(text) || from_hex('ff') ELSE encode(text) END AS body
+  FROM conversations WHERE role = 'user')
+SELECT r.request_id,
+       CASE WHEN try(decode(r.body)) IS NULL THEN 400 WHEN coalesce(c.status = 'ok', false) THEN 200 ELSE 500 END AS http_code,
+       CASE WHEN try(decode(r.body)) IS NULL THEN '{{"error":"Invalid UTF-8 content"}}'
+            WHEN NOT coalesce(c.status = 'ok', false) THEN '{{"error":"Failed to process conversation"}}'
+            WHEN c.name IS NOT NULL THEN json_object('arguments', c.arguments, 'name', c.name)::VARCHAR
+            ELSE json_object('message', coalesce(c.message, 'No message content'))::VARCHAR END AS response
+FROM reqs r LEFT JOIN calls_out c ON c.key = r.request_id"""
+
+SQL["webhook_funnel"] = f"""WITH {ROUTES}
+SELECT outcome, route, count(*) AS n FROM routes GROUP BY outcome, route"""

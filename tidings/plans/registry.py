@@ -93,3 +93,44 @@ register("summary_bubble")(lambda s, d: J4.summary_bubbles(
     .select("feed_id", F.to_json("message").alias("payload")))
 register("outbox_broadcast")(lambda s, d: J4.outbox_broadcast(
     J4.summary_bubbles(_highlights(s, d), "highlight", ["feed_id"], RUN_DATE), keys=["feed_id"]))
+
+
+# J5 ---------------------------------------------------------------------------
+from tidings.operators import webhooks as J5  # noqa: E402
+
+SECRET = FX.FIXTURE_SECRET
+CHAT_MODEL = "gpt-4o"  # fixed value: the reference's chat model name
+
+
+def _webhooks(spark, d):
+    return FX.webhooks(T.conversations(spark, d))
+
+
+def _outcomes(spark, d):
+    return J5.first_event_outcome(_webhooks(spark, d), SECRET)
+
+
+def _calls(spark, d):
+    return J5.decode_tool_calls(FX.tool_replies(T.conversations(spark, d)))
+
+
+def _routes(spark, d):
+    return J5.route_calls(_outcomes(spark, d), _calls(spark, d))
+
+
+register("verify_signatures")(lambda s, d: J5.verify_signatures(_webhooks(s, d), SECRET)
+                              .select("webhook_id", "signature_ok"))
+register("parse_webhooks")(lambda s, d: J5.parse_webhooks(J5.verify_signatures(_webhooks(s, d), SECRET))
+                           .select("webhook_id", "signature_ok", "parse_ok",
+                                   F.size("events").cast("bigint").alias("n_events")))
+register("first_event_outcome")(_outcomes)
+register("decode_tool_calls")(_calls)
+register("tool_requests")(lambda s, d: J5.tool_requests(
+    T.conversations(s, d).where(F.col("role") == "user"), "text", ["conv_id", "turn"], CHAT_MODEL))
+register("route_calls")(lambda s, d: _routes(s, d).select("webhook_id", "route", "outcome",
+                                                          "reply_token", "user_id"))
+register("call_indexes")(lambda s, d: J5.call_indexes(_routes(s, d)))
+register("call_urls")(lambda s, d: J5.call_urls(_routes(s, d)))
+register("conversation_replies")(lambda s, d: J5.conversation_replies(
+    FX.conversation_requests(T.conversations(s, d)), _calls(s, d)))
+register("webhook_funnel")(lambda s, d: J5.webhook_funnel(_routes(s, d)))

@@ -56,3 +56,120 @@ def urls(pages: DataFrame) -> DataFrame:
 def recipients(events: DataFrame) -> DataFrame:
     """Distinct user ids (a partial-aggregated distinct, one shuffle)."""
     return events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id")).distinct()
+
+
+# webhooks: user turns of conversations as signed chat-platform bodies ------------
+# Fixed fixture key (a job parameter in real use; never a real secret).
+FIXTURE_SECRET = "fixture-channel-secret"
+
+
+WEBHOOK_VARIANT = "(conv_id * 7 + turn) % 20"
+
+
+def _spark_jstr(x: str) -> str:
+    return f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
+
+
+
+
+def _webhook_body_sql(jtext: str, wid: str, cid: str, turn: str, v: str) -> str:
+    """Body text by variant; shared by Spark (expr) and the DuckDB twin.
+
+    0 no events · 1 follow · 2 message without message · 3 empty text ·
+    4 not JSON · 5 event without source · 6 number as text · 7 follow then
+    message · 8 trailing text · 9 unknown fields · 13 group source without
+    userId · 14 no replyToken · others (incl. 10–12, signature cases) normal.
+    """
+    src = f"'\"source\":{{\"type\":\"user\",\"userId\":\"U' || {cid} || '\"}}'"
+    rt = f"'\"replyToken\":\"rt-' || {wid} || '\",'"
+    msg = f"'\"message\":{{\"type\":\"text\",\"text\":' || {jtext} || '}}'"
+    normal = f"'{{\"type\":\"message\",' || {rt} || {src} || ',' || {msg} || '}}'"
+    follow = f"'{{\"type\":\"follow\",' || {rt} || {src} || '}}'"
+    return f"""CASE {v}
+      WHEN 0 THEN '{{"events":[]}}'
+      WHEN 1 THEN '{{"events":[' || {follow} || ']}}'
+      WHEN 2 THEN '{{"events":[{{"type":"message",' || {rt} || {src} || '}}]}}'
+      WHEN 3 THEN '{{"events":[{{"type":"message",' || {rt} || {src} || ',"message":{{"type":"text","text":""}}}}]}}'
+      WHEN 4 THEN 'not json: ' || {jtext}
+      WHEN 5 THEN '{{"events":[{{"type":"message",' || {msg} || '}}]}}'
+      WHEN 6 THEN '{{"events":[{{"type":"message",' || {rt} || {src} || ',"message":{{"type":"text","text":' || {turn} || '}}}}]}}'
+      WHEN 7 THEN '{{"events":[' || {follow} || ',' || {normal} || ']}}'
+      WHEN 8 THEN '{{"events":[' || {normal} || ']}} trailing'
+      WHEN 9 THEN '{{"destination":"Uabc","events":[{{"mode":"active","type":"message",' || {rt} || {src} || ',' || {msg} || '}}]}}'
+      WHEN 13 THEN '{{"events":[{{"type":"message",' || {rt} || '"source":{{"type":"group","groupId":"G' || {cid} || '"}},' || {msg} || '}}]}}'
+      WHEN 14 THEN '{{"events":[{{"type":"message",' || {src} || ',' || {msg} || '}}]}}'
+      ELSE '{{"events":[' || {normal} || ']}}' END"""
+
+
+def webhooks(conversations: DataFrame, secret: str = FIXTURE_SECRET) -> DataFrame:
+    """User turns -> (webhook_id, signature, body binary)."""
+    from tidings.functions.crypto import hmac_sha256_base64
+
+    users = conversations.where(F.col("role") == "user")
+    base = users.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("webhook_id"),
+        F.expr(WEBHOOK_VARIANT).alias("v"),
+        F.expr(_webhook_body_sql(_spark_jstr("text"), "CAST(conv_id * 1000 + turn AS STRING)",
+                                 "CAST(conv_id AS STRING)", "CAST(turn AS STRING)",
+                                 WEBHOOK_VARIANT)).alias("body_text"))
+    signed = base.select("webhook_id", "v", F.encode("body_text", "UTF-8").alias("body"))
+    good = hmac_sha256_base64(F.col("body"), secret)
+    sig = (F.when(F.col("v") == 11, F.regexp_replace(good, "=+$", ""))
+            .when(F.col("v") == 12, F.lit("not base64!"))
+            .otherwise(good))
+    body = F.when(F.col("v") == 10, F.concat(F.col("body"), F.lit(b" "))).otherwise(F.col("body"))
+    return signed.select("webhook_id", sig.alias("signature"), body.alias("body"))
+
+
+# tool-call replies of the model, one per user turn ---------------------------------
+def _tool_reply_sql(cid: str, turn: str, jstr) -> str:
+    """Reply body by variant (cid + 3*turn) % 8; status 500 / bad JSON by (cid+turn) % 11.
+
+    0 reply_latest_story · 1 push_summary with mixed index types · 2
+    push_url_summary · 3 content only · 4 unknown tool · 5 no choices · 6
+    empty tool list with content · 7 push_summary with bad arguments.
+    """
+    def call(name, args_sql):
+        return (f"'{{\"id\":\"chatcmpl-1\",\"object\":\"chat.completion\",\"choices\":[{{\"index\":0,"
+                f"\"message\":{{\"role\":\"assistant\",\"content\":null,\"tool_calls\":[{{\"id\":\"call_1\","
+                f"\"type\":\"function\",\"function\":{{\"name\":\"{name}\",\"arguments\":' || {jstr(args_sql)} || "
+                f"'}}}}]}},\"finish_reason\":\"tool_calls\"}}]}}'")
+
+    def content(text_sql, tools=""):
+        return (f"'{{\"choices\":[{{\"index\":0,\"message\":{{\"role\":\"assistant\",{tools}\"content\":' || "
+                f"{jstr(text_sql)} || '}},\"finish_reason\":\"stop\"}}]}}'")
+
+    idx = (f"'{{\"indexes\":[' || CAST({cid} % 5 + 1 AS STRING) || ',' || CAST({turn} % 4 AS STRING) || ',' "
+           f"|| CAST({cid} % 5 + 1 AS STRING) || ',-2,2.0,\"4\",null,true]}}'")
+    url = (f"'{{\"url\":\"' || CASE {cid} % 4 WHEN 3 THEN 'ftp://files.example.com/' ELSE 'https://news.example.com/item/' END"
+           f" || CAST({cid} AS STRING) || '\"}}'")
+    v = f"(({cid} + 3 * {turn}) % 8)"
+    return f"""CASE WHEN ({cid} + {turn}) % 11 = 9 THEN 'not json'
+      ELSE CASE {v}
+      WHEN 0 THEN {call('reply_latest_story', "'{}'")}
+      WHEN 1 THEN {call('push_summary', idx)}
+      WHEN 2 THEN {call('push_url_summary', url)}
+      WHEN 3 THEN {content("'Reply to conversation ' || CAST(" + cid + " AS STRING)")}
+      WHEN 4 THEN {call('get_weather', "'{" + '"city":"Taipei"' + "}'")}
+      WHEN 5 THEN '{{"choices":[]}}'
+      WHEN 6 THEN {content("'fallback message'", '"tool_calls":[],')}
+      ELSE {call('push_summary', "'not json'")} END END"""
+
+
+def tool_replies(conversations: DataFrame) -> DataFrame:
+    """User turns -> (key, http_status, body) as landed model replies."""
+    users = conversations.where(F.col("role") == "user")
+    return users.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("key"),
+        F.expr("CASE WHEN (conv_id + turn) % 11 = 10 THEN 500 ELSE 200 END").alias("http_status"),
+        F.expr(_tool_reply_sql("conv_id", "turn", _spark_jstr)).alias("body"))
+
+
+def conversation_requests(conversations: DataFrame) -> DataFrame:
+    """User turns as raw request bytes; every 13th-variant one is not UTF-8."""
+    users = conversations.where(F.col("role") == "user")
+    raw = F.encode("text", "UTF-8")
+    return users.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when((F.col("conv_id") + F.col("turn")) % 13 == 7, F.concat(raw, F.lit(b"\xff")))
+         .otherwise(raw).alias("body"))
