@@ -112,3 +112,199 @@ def digest_highlights(stories: DataFrame, keys=("feed_id",), n_keywords: int = 3
                        F.col("digest"))
     return j.select(*keys, "top_rank", F.array_join("keywords", ", ").alias("keywords"),
                     text.alias("highlight"))
+
+
+# O14 -------------------------------------------------------------------------
+# The reference's prompts, model names and sampling settings.
+PROMPT_SUMMARY_ALL = ("這是今日的 Hacker News 前十大新聞，以綜合分析的方式進行概括，並條列出各新聞的主要重點。"
+                      "同時，請將各項新聞中最重要的一項與其相關的關鍵字突顯出來。最後，請以適當的段落劃分，"
+                      "並以('\n\n')作為分段符號。always response in zh-tw: ")
+PROMPT_SUMMARY_SINGLE = "請用2-3句話簡潔摘要這則 Hacker News 新聞的重點。不要超過100字。always response in zh-tw: "
+PROMPT_LANGUAGE = ("identify the input is which language, and response it only to ISO 639-1 standard "
+                   "language codes and country code without any more explaination, if input is Chinese, "
+                   "always return zh-tw: ")
+PROMPT_TRANSLATE = "translate to "
+MODEL = "gpt-4o"
+TRANSLATE_MODEL = "gpt-3.5-turbo"
+MAX_TOKENS = 2048
+TASKS = [  # task, prompt, model, temperature
+    ("summary_all", PROMPT_SUMMARY_ALL, MODEL, 0.05),
+    ("summary_single", PROMPT_SUMMARY_SINGLE, MODEL, 0.05),
+    ("get_language_code", PROMPT_LANGUAGE, MODEL, 0.0),
+    ("translate", PROMPT_TRANSLATE, TRANSLATE_MODEL, 0.05),
+]
+URL_ENGINE = "agnes"
+URL_TARGET_LANGUAGE = "EN"
+
+
+def tasks_table(spark) -> DataFrame:
+    """The four prompted tasks (configuration, 4 rows)."""
+    return spark.createDataFrame(TASKS, "task string, prompt string, model string, temperature double")
+
+
+def inference_requests(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(key, task, content) -> (key, task, model, body): one chat request
+    body per row, prompt + one space + content, fields in the reference's
+    declaration order.  The task table has four rows, so it is broadcast."""
+    j = requests.join(F.broadcast(tasks), "task")
+    msg = F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
+                         F.concat(F.col("prompt"), F.lit(" "), F.col("content")))
+    body = F.to_json(F.named_struct(
+        F.lit("model"), F.col("model"), F.lit("messages"), F.array(msg),
+        F.lit("temperature"), F.col("temperature"), F.lit("max_tokens"), F.lit(MAX_TOKENS),
+        F.lit("top_p"), F.lit(1.0), F.lit("frequency_penalty"), F.lit(0.0),
+        F.lit("presence_penalty"), F.lit(0.0)))
+    return j.select("key", "task", "model", body.alias("body"))
+
+
+def translate_content(lang_col: str, text_col: str):
+    """Content of a translate request: "{lang}: {text}"."""
+    return F.concat(F.col(lang_col), F.lit(": "), F.col(text_col))
+
+
+# O15 -------------------------------------------------------------------------
+def url_summary_requests(urls: DataFrame) -> DataFrame:
+    """Valid URLs -> summarizer request body (sorted keys)."""
+    from tidings.functions.url import is_valid_url
+    body = F.to_json(F.named_struct(F.lit("engine"), F.lit(URL_ENGINE),
+                                    F.lit("target_language"), F.lit(URL_TARGET_LANGUAGE),
+                                    F.lit("url"), F.col("url")))
+    return urls.where(is_valid_url("url")).select("request_id", "user_id", body.alias("body"))
+
+
+# O16 -------------------------------------------------------------------------
+def _i32(v):
+    from tidings.functions.jsonfn import is_vint
+    x = F.try_variant_get(v, "$", "bigint")
+    return is_vint(v) & x.between(-2147483648, 2147483647)
+
+
+def inference_results(replies: DataFrame) -> DataFrame:
+    """(key, http_status, body) -> (key, status, content): the first
+    choice's content; no choice -> ai_error; bad JSON, trailing text or a
+    missing/mistyped required field -> serialization_error; HTTP not 2xx ->
+    external_error."""
+    from tidings.functions.jsonfn import is_varray, is_vint, is_vobject, is_vstring, vfield
+    from tidings.operators.webhooks import strict_json
+    v = strict_json(F.col("body"))
+    usage = vfield(v, "$.usage")
+    choices = vfield(v, "$.choices")
+    carr = F.try_variant_get(choices, "$", "array<variant>")
+
+    def choice_ok(ch):
+        m = vfield(ch, "$.message")
+        return (is_vobject(ch) & is_vobject(m) & is_vstring(vfield(m, "$.role"))
+                & is_vstring(vfield(m, "$.content")) & is_vstring(vfield(ch, "$.finish_reason"))
+                & _i32(vfield(ch, "$.index")))
+
+    shape = F.coalesce(
+        is_vobject(v) & is_vstring(vfield(v, "$.id")) & is_vstring(vfield(v, "$.object"))
+        & is_vint(vfield(v, "$.created")) & is_vstring(vfield(v, "$.model"))
+        & is_vobject(usage) & _i32(vfield(usage, "$.prompt_tokens"))
+        & _i32(vfield(usage, "$.completion_tokens")) & _i32(vfield(usage, "$.total_tokens"))
+        & is_varray(choices) & F.forall(carr, choice_ok), F.lit(False))
+    status = (F.when(~F.col("http_status").between(200, 299), "external_error")
+               .when(~shape, "serialization_error")
+               .when(F.size(carr) == 0, "ai_error").otherwise("ok"))
+    content = F.try_variant_get(v, "$.choices[0].message.content", "string")
+    return replies.select("key", status.alias("status"),
+                          F.when(status == "ok", content).alias("content"))
+
+
+# O17 -------------------------------------------------------------------------
+def url_summary_results(replies: DataFrame) -> DataFrame:
+    """Summarizer replies -> (key, status, summary); checks in the
+    reference's order: HTTP status, JSON shape, ``error`` set, no ``data``."""
+    from tidings.functions.jsonfn import (is_vnull_or_absent, is_vnumber, is_vobject,
+                                          is_vstring, vfield)
+    from tidings.operators.webhooks import strict_json
+
+    def opt(x, pred):
+        return is_vnull_or_absent(x) | pred(x)
+
+    v = strict_json(F.col("body"))
+    meta, data = vfield(v, "$.meta"), vfield(v, "$.data")
+    data_ok = opt(data, lambda d: is_vobject(d) & is_vstring(vfield(d, "$.summary"))
+                  & opt(vfield(d, "$.tokens"), _i32))
+    shape = F.coalesce(
+        is_vobject(v) & is_vobject(meta) & is_vstring(vfield(meta, "$.id"))
+        & opt(vfield(meta, "$.node"), is_vstring) & is_vnumber(vfield(meta, "$.timing"))
+        & opt(vfield(meta, "$.info"), is_vstring) & data_ok
+        & opt(vfield(v, "$.error"), is_vstring), F.lit(False))
+    has_error = ~is_vnull_or_absent(vfield(v, "$.error"))
+    status = (F.when(~F.col("http_status").between(200, 299), "external_error")
+               .when(~shape, "serialization_error")
+               .when(has_error, "external_error")
+               .when(is_vnull_or_absent(data), "external_error")
+               .otherwise("ok"))
+    summary = F.try_variant_get(v, "$.data.summary", "string")
+    return replies.select("key", status.alias("status"),
+                          F.when(status == "ok", summary).alias("summary"))
+
+
+# O19 -------------------------------------------------------------------------
+PROFILE_SIZE = 200
+BROADCAST_ROWS = 1_000_000
+FALLBACK_LANGUAGE = "en"
+
+
+def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                      key: str = "doc_id", k: int = PROFILE_SIZE) -> DataFrame:
+    """(lang, word, n_docs): each label's ``k`` words found in most documents
+    (ties by word).  ``row_number() <= k`` is planned with a partial
+    WindowGroupLimit, so each map task ships at most k rows per label."""
+    toks = words(labelled, [lang_col, key], text_col).distinct()
+    counts = toks.groupBy(lang_col, "word").agg(F.count(F.lit(1)).alias("n_docs"))
+    w = Window.partitionBy(lang_col).orderBy(F.col("n_docs").desc(), F.col("word"))
+    return (counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+                  .select(F.col(lang_col).alias("lang"), "word", "n_docs"))
+
+
+def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str = "text",
+                    n_labels: int | None = None, k: int = PROFILE_SIZE,
+                    default: str = FALLBACK_LANGUAGE) -> DataFrame:
+    """(keys…, language): the label whose profile words occur most often in
+    the text (ties by label); no hit -> ``default``.
+
+    The profile has at most ``k`` rows per label; with the label count
+    known (``n_labels``) and k × n_labels under ``BROADCAST_ROWS`` it is
+    broadcast, otherwise the join is left to the planner and AQE.
+    """
+    keys = list(keys)
+    prof = profiles.select("lang", "word")
+    if n_labels is not None and n_labels * k <= BROADCAST_ROWS:
+        prof = F.broadcast(prof)
+    hits = (words(texts, keys, text_col).join(prof, "word")
+                .groupBy(*keys, "lang").agg(F.count(F.lit(1)).alias("score")))
+    best = (hits.groupBy(*keys)
+                .agg(F.min(F.struct((-F.col("score")).alias("ns"), F.col("lang"))).alias("b"))
+                .select(*keys, F.col("b.lang").alias("_lang")))
+    return (texts.select(*keys).join(best, keys, "left")
+                 .select(*keys, F.coalesce("_lang", F.lit(default)).alias("language")))
+
+
+def count_labels(labelled: DataFrame, lang_col: str = "lang") -> int:
+    """Number of distinct labels (a small aggregate job) for the size check."""
+    return labelled.select(lang_col).distinct().count()
+
+
+# O22 -------------------------------------------------------------------------
+DROP_BLOCKS_RE = (r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>"
+                  r"|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>")
+BREAK_TAGS_RE = r"(?i)<br\s*/?>|</(?:p|h[1-6]|div|li|article|section|footer|header|tr)\s*>"
+
+
+def page_text(html_col: str = "html"):
+    """Readable text of a page: drop comments, head, scripts, styles and
+    navigation; block ends become line breaks; tags dropped; entities decoded."""
+    from tidings.functions.text import html_unescape, strip_tags
+    t = F.regexp_replace(F.col(html_col), DROP_BLOCKS_RE, " ")
+    t = F.regexp_replace(t, BREAK_TAGS_RE, "\n")
+    return html_unescape(strip_tags(t))
+
+
+def page_extract(pages: DataFrame, key: str = "page_id", top_k: int = 3,
+                 max_chars: int = 200) -> DataFrame:
+    """Extractive summary of each landed page (no fetch): (key, summary)."""
+    texts = pages.select(key, page_text("html").alias("text"))
+    return extract_summary(texts, [key], "text", top_k, max_chars)

@@ -537,3 +537,108 @@ FROM reqs r LEFT JOIN calls_out c ON c.key = r.request_id"""
 
 SQL["webhook_funnel"] = f"""WITH {ROUTES}
 SELECT outcome, route, count(*) AS n FROM routes GROUP BY outcome, route"""
+
+
+# J3 (rest) --------------------------------------------------------------------------
+def _i32(j: str, path: str) -> str:
+    return (f"(coalesce(json_type({j}, '{path}') IN ('UBIGINT', 'BIGINT'), false) AND "
+            f"coalesce(TRY_CAST({j}->>'{path}' AS BIGINT) BETWEEN -2147483648 AND 2147483647, false))")
+
+
+def _opt(j: str, path: str, pred: str) -> str:
+    return f"(coalesce(json_type({j}, '{path}') = 'NULL', true) OR {pred})"
+
+
+def _d(sql: str) -> str:
+    return sql.replace(" AS STRING)", " AS VARCHAR)")
+
+
+_TASKS_VALUES = ", ".join(f"({q(t)}, {q(p)}, {q(m)}, CAST({tmp} AS DOUBLE))" for t, p, m, tmp in _E.TASKS)
+
+SQL["inference_requests"] = f"""WITH {PICKS},
+req AS (
+  SELECT 'story:' || CAST(feed_id AS VARCHAR) || ':' || CAST(rank AS VARCHAR) AS key,
+         'summary_single' AS task, story AS content FROM stories
+  UNION ALL
+  SELECT 'digest:' || CAST(feed_id AS VARCHAR), 'summary_all',
+         string_agg(CAST(rank AS VARCHAR) || '. ' || story || ' ' || storylink, chr(10) || chr(10) ORDER BY rank)
+  FROM stories GROUP BY feed_id
+  UNION ALL
+  SELECT 'lang:' || CAST(conv_id * 1000 + turn AS VARCHAR), 'get_language_code', text
+  FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT 'translate:' || CAST(request_id AS VARCHAR), 'translate', language_code || ': ' || digest
+  FROM per_request WHERE language_code NOT IN ('en', 'zh-tw')),
+tasks(task, prompt, model, temperature) AS (VALUES {_TASKS_VALUES})
+SELECT key, task, model,
+       json_object('model', model, 'messages', [json_object('role', 'user', 'content', prompt || ' ' || content)],
+                   'temperature', temperature, 'max_tokens', {_E.MAX_TOKENS}, 'top_p', CAST(1.0 AS DOUBLE),
+                   'frequency_penalty', CAST(0.0 AS DOUBLE), 'presence_penalty', CAST(0.0 AS DOUBLE))::VARCHAR AS body
+FROM req JOIN tasks USING (task)"""
+
+SQL["url_summary_requests"] = f"""WITH {URLS}
+SELECT request_id, user_id,
+       json_object('engine', {q(_E.URL_ENGINE)}, 'target_language', {q(_E.URL_TARGET_LANGUAGE)}, 'url', url)::VARCHAR AS body
+FROM urls WHERE {url_valid('url')}"""
+
+_IR_STATUS, _IR_BODY = _FX.inference_replies_sql(_duck_jstr)
+_CH_OK = (f"{_is('c', '$', 'OBJECT')} AND {_is('c', '$.message', 'OBJECT')} AND {_is('c', '$.message.role', 'VARCHAR')} "
+          f"AND {_is('c', '$.message.content', 'VARCHAR')} AND {_is('c', '$.finish_reason', 'VARCHAR')} AND {_i32('c', '$.index')}")
+
+SQL["inference_results"] = f"""WITH replies AS (
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS key, {_d(_IR_STATUS)} AS http_status, {_d(_IR_BODY)} AS body
+  FROM documents),
+p AS (SELECT key, http_status, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM replies),
+s AS (
+  SELECT key, j, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'external_error'
+    WHEN NOT coalesce(j IS NOT NULL AND {_is('j', '$', 'OBJECT')} AND {_is('j', '$.id', 'VARCHAR')}
+      AND {_is('j', '$.object', 'VARCHAR')} AND coalesce(json_type(j, '$.created') IN ('UBIGINT', 'BIGINT'), false)
+      AND {_is('j', '$.model', 'VARCHAR')} AND {_is('j', '$.usage', 'OBJECT')} AND {_i32('j', '$.usage.prompt_tokens')}
+      AND {_i32('j', '$.usage.completion_tokens')} AND {_i32('j', '$.usage.total_tokens')}
+      AND {_is('j', '$.choices', 'ARRAY')} AND {_all("json_extract(j, '$.choices[*]')", 'c', _CH_OK)}, false)
+      THEN 'serialization_error'
+    WHEN json_array_length(j, '$.choices') = 0 THEN 'ai_error' ELSE 'ok' END AS status
+  FROM p)
+SELECT key, status, CASE WHEN status = 'ok' THEN j->>'$.choices[0].message.content' END AS content FROM s"""
+
+_UR_STATUS, _UR_BODY = _FX.url_replies_sql(_duck_jstr)
+_DATA_OK = _opt("j", "$.data", f"({_is('j', '$.data', 'OBJECT')} AND {_is('j', '$.data.summary', 'VARCHAR')} AND "
+                + _opt("j", "$.data.tokens", _i32("j", "$.data.tokens")) + ")")
+
+SQL["url_summary_results"] = f"""WITH replies AS (
+  SELECT page_id AS key, {_d(_UR_STATUS)} AS http_status, {_d(_UR_BODY)} AS body FROM pages),
+p AS (SELECT key, http_status, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM replies),
+s AS (
+  SELECT key, j, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'external_error'
+    WHEN NOT coalesce(j IS NOT NULL AND {_is('j', '$', 'OBJECT')} AND {_is('j', '$.meta', 'OBJECT')}
+      AND {_is('j', '$.meta.id', 'VARCHAR')} AND {_opt('j', '$.meta.node', _is('j', '$.meta.node', 'VARCHAR'))}
+      AND coalesce(json_type(j, '$.meta.timing') IN ('UBIGINT', 'BIGINT', 'DOUBLE'), false)
+      AND {_opt('j', '$.meta.info', _is('j', '$.meta.info', 'VARCHAR'))} AND {_DATA_OK}
+      AND {_opt('j', '$.error', _is('j', '$.error', 'VARCHAR'))}, false) THEN 'serialization_error'
+    WHEN NOT coalesce(json_type(j, '$.error') = 'NULL', true) THEN 'external_error'
+    WHEN coalesce(json_type(j, '$.data') = 'NULL', true) THEN 'external_error'
+    ELSE 'ok' END AS status
+  FROM p)
+SELECT key, status, CASE WHEN status = 'ok' THEN j->>'$.data.summary' END AS summary FROM s"""
+
+SQL["detect_language"] = f"""WITH dl_tok AS (
+  SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), {q(_E.WORD_RE)}, 0)) AS word FROM documents),
+prof AS (
+  SELECT lang, word FROM (SELECT lang, word, count(DISTINCT doc_id) AS n FROM dl_tok GROUP BY lang, word)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {_E.PROFILE_SIZE}),
+hits AS (SELECT t.doc_id, p.lang, count(*) AS score FROM dl_tok t JOIN prof p ON p.word = t.word
+         GROUP BY t.doc_id, p.lang),
+best AS (SELECT doc_id, lang AS language FROM hits
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+SELECT d.doc_id, coalesce(b.language, 'en') AS language, d.lang FROM documents d LEFT JOIN best b USING (doc_id)"""
+
+
+def page_text_sql(x: str) -> str:
+    t = f"regexp_replace({x}, {q(_E.DROP_BLOCKS_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(_E.BREAK_TAGS_RE)}, chr(10), 'g')"
+    return html_unescape(strip_tags(t))
+
+
+SQL["page_extract"] = f"""WITH ptext AS (SELECT page_id, {page_text_sql('html')} AS text FROM pages),
+{extract_summary_sql('ptext', ['page_id'], 'text', 3, 200)}
+SELECT page_id, summary FROM summ"""

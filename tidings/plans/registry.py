@@ -134,3 +134,40 @@ register("call_urls")(lambda s, d: J5.call_urls(_routes(s, d)))
 register("conversation_replies")(lambda s, d: J5.conversation_replies(
     FX.conversation_requests(T.conversations(s, d)), _calls(s, d)))
 register("webhook_funnel")(lambda s, d: J5.webhook_funnel(_routes(s, d)))
+
+
+# J3 (rest) --------------------------------------------------------------------------
+def _request_rows(spark, d):
+    """Every prompted request the flows make, as (key, task, content)."""
+    st = _stories(spark, d)
+    single = st.select(F.concat(F.lit("story:"), F.col("feed_id").cast("string"), F.lit(":"),
+                                F.col("rank").cast("string")).alias("key"),
+                       F.lit("summary_single").alias("task"), F.col("story").alias("content"))
+    digests = J2.story_digest(st).select(
+        F.concat(F.lit("digest:"), F.col("feed_id").cast("string")).alias("key"),
+        F.lit("summary_all").alias("task"), F.col("digest").alias("content"))
+    conv = T.conversations(spark, d).where(F.col("role") == "user")
+    lang = conv.select(F.concat(F.lit("lang:"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
+                        .alias("key"), F.lit("get_language_code").alias("task"),
+                       F.col("text").alias("content"))
+    sel = J2.translate_queue(J2.select_stories(_selections(spark, d), st))
+    tr = sel.select(F.concat(F.lit("translate:"), F.col("request_id").cast("string")).alias("key"),
+                    F.lit("translate").alias("task"),
+                    J3.translate_content("language_code", "digest").alias("content"))
+    return single.unionByName(digests).unionByName(lang).unionByName(tr)
+
+
+def _detect_docs(spark, d):
+    docs = T.documents(spark, d, "doc_id", "text", "lang")
+    prof = J3.language_profiles(docs)
+    return (J3.detect_language(docs, prof, ["doc_id"], n_labels=J3.count_labels(docs))
+              .join(docs.select("doc_id", "lang"), "doc_id"))
+
+
+register("inference_requests")(lambda s, d: J3.inference_requests(_request_rows(s, d), J3.tasks_table(s)))
+register("url_summary_requests")(lambda s, d: J3.url_summary_requests(FX.urls(T.pages(s, d, "page_id", "url"))))
+register("inference_results")(lambda s, d: J3.inference_results(
+    FX.inference_replies(T.documents(s, d, "doc_id", "text"))))
+register("url_summary_results")(lambda s, d: J3.url_summary_results(FX.url_replies(T.pages(s, d))))
+register("detect_language")(_detect_docs)
+register("page_extract")(lambda s, d: J3.page_extract(T.pages(s, d, "page_id", "html")))

@@ -173,3 +173,58 @@ def conversation_requests(conversations: DataFrame) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
         F.when((F.col("conv_id") + F.col("turn")) % 13 == 7, F.concat(raw, F.lit(b"\xff")))
          .otherwise(raw).alias("body"))
+
+
+# landed model replies for documents ----------------------------------------------
+def _completion_sql(id_sql: str, content_sql: str, created_sql: str, usage: bool = True) -> str:
+    u = ("'\"usage\":{\"prompt_tokens\":12,\"completion_tokens\":' || CAST(length(text) AS STRING) || "
+         "',\"total_tokens\":' || CAST(length(text) + 12 AS STRING) || '},'") if usage else "''"
+    return (f"'{{\"id\":\"chatcmpl-' || {id_sql} || '\",\"object\":\"chat.completion\",\"created\":' || "
+            f"{created_sql} || ',\"model\":\"gpt-4o\",' || {u} || "
+            f"'\"choices\":[{{\"message\":{{\"role\":\"assistant\",\"content\":' || {content_sql} || "
+            f"'}},\"finish_reason\":\"stop\",\"index\":0}}]}}'")
+
+
+def inference_replies_sql(jstr) -> tuple[str, str]:
+    """(status, body) by doc_id % 11: 5 HTTP 500 · 7 not JSON · 8 no usage ·
+    9 no choices · 10 trailing text · 6 content null · else the text."""
+    full = _completion_sql("CAST(doc_id AS STRING)", jstr("text"), "CAST(1700000000 + doc_id AS STRING)")
+    status = "CASE doc_id % 11 WHEN 5 THEN 500 ELSE 200 END"
+    body = f"""CASE doc_id % 11
+      WHEN 7 THEN 'not json'
+      WHEN 8 THEN {_completion_sql("CAST(doc_id AS STRING)", jstr("text"), "CAST(1700000000 + doc_id AS STRING)", False)}
+      WHEN 9 THEN '{{"id":"x","object":"chat.completion","created":1,"model":"gpt-4o","usage":{{"prompt_tokens":1,"completion_tokens":0,"total_tokens":1}},"choices":[]}}'
+      WHEN 10 THEN {full} || ' trailing'
+      WHEN 6 THEN {_completion_sql("CAST(doc_id AS STRING)", "'null'", "CAST(1700000000 + doc_id AS STRING)")}
+      ELSE {full} END"""
+    return status, body
+
+
+def inference_replies(documents: DataFrame) -> DataFrame:
+    """documents -> (key, http_status, body) landed chat replies."""
+    status, body = inference_replies_sql(_spark_jstr)
+    return documents.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"),
+                            F.expr(status).alias("http_status"), F.expr(body).alias("body"))
+
+
+def url_replies_sql(jstr) -> tuple[str, str]:
+    """(status, body) by page_id % 9: 4 HTTP 502 · 5 error and data · 6
+    neither · 7 not JSON · 8 meta without timing · else the page title."""
+    title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    meta = "'\"meta\":{\"id\":\"m-' || CAST(page_id AS STRING) || '\",\"node\":\"us-east\",\"ms\":12,\"timing\":1.25}'"
+    data = f"'\"data\":{{\"summary\":' || {jstr(title)} || ',\"tokens\":' || CAST(length(html) % 1000 AS STRING) || '}}'"
+    status = "CASE page_id % 9 WHEN 4 THEN 502 ELSE 200 END"
+    body = f"""CASE page_id % 9
+      WHEN 5 THEN '{{' || {meta} || ',' || {data} || ',\"error\":\"rate limited\"}}'
+      WHEN 6 THEN '{{' || {meta} || '}}'
+      WHEN 7 THEN 'not json'
+      WHEN 8 THEN '{{\"meta\":{{\"id\":\"m\"}},' || {data} || '}}'
+      ELSE '{{' || {meta} || ',' || {data} || ',\"error\":null}}' END"""
+    return status, body
+
+
+def url_replies(pages: DataFrame) -> DataFrame:
+    """pages -> (key = page_id, http_status, body) landed summarizer replies."""
+    status, body = url_replies_sql(_spark_jstr)
+    return pages.select(F.col("page_id").alias("key"), F.expr(status).alias("http_status"),
+                        F.expr(body).alias("body"))
