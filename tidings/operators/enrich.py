@@ -25,10 +25,9 @@ HAS_LETTER_RE = r"\p{L}"
 
 def sentences(docs: DataFrame, keys, text_col: str = "text") -> DataFrame:
     """(keys…, sent_no, sentence): trimmed sentences that hold a letter."""
-    return (docs.select(*keys, F.posexplode(F.regexp_extract_all(text_col, F.lit(SENTENCE_RE), 0))
-                        .alias("sent_no", "s"))
-                .select(*keys, "sent_no", unicode_trim("s").alias("sentence"))
-                .where(F.col("sentence").rlike(HAS_LETTER_RE)))
+    parts = F.transform(F.regexp_extract_all(text_col, F.lit(SENTENCE_RE), 0), unicode_trim)
+    kept = F.filter(parts, lambda s: s.rlike(HAS_LETTER_RE))
+    return docs.select(*keys, F.posexplode(kept).alias("sent_no", "sentence"))
 
 
 def words(df: DataFrame, keys, text_col: str) -> DataFrame:

@@ -77,17 +77,19 @@ def parse_webhooks(webhooks: DataFrame) -> DataFrame:
 
     All-or-nothing per body: bad UTF-8, bad JSON, trailing text, or any
     event lacking a required field or with a wrong type rejects the body.
+    Each stage is its own projection so no large expression is repeated.
     """
-    text = F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string"))
-    v = strict_json(text)
-    evs = vfield(v, "$.events")
-    arr = F.try_variant_get(evs, "$", "array<variant>")
-    ok = F.coalesce(is_vobject(v) & is_varray(evs) & F.forall(arr, _event_ok), F.lit(False))
-    return (webhooks.withColumn("_v", v)
-                    .withColumn("parse_ok", ok)
-                    .withColumn("events", F.when(F.col("parse_ok"), F.try_variant_get(
-                        F.col("_v"), "$.events", EVENTS_TYPE)))
-                    .drop("_v"))
+    s = webhooks.withColumn("_t", F.when(F.is_valid_utf8(F.col("body").cast("string")),
+                                         F.col("body").cast("string")))
+    s = s.withColumn("_v", strict_json(F.col("_t"))).drop("_t")
+    s = s.withColumn("_evs", vfield("_v", "$.events"))
+    s = s.withColumn("parse_ok", F.coalesce(
+        is_vobject("_v") & is_varray("_evs")
+        & F.forall(F.try_variant_get(F.col("_evs"), "$", "array<variant>"), _event_ok),
+        F.lit(False)))
+    return (s.withColumn("events", F.when(F.col("parse_ok"), F.try_variant_get(
+                F.col("_evs"), "$", EVENTS_TYPE)))
+             .drop("_v", "_evs"))
 
 
 # O34 -------------------------------------------------------------------------
@@ -95,7 +97,9 @@ def first_event_outcome(webhooks: DataFrame, secret: str) -> DataFrame:
     """One row per webhook: outcome in the reference's order of checks,
     plus the first event's reply token, user id and text when accepted."""
     p = parse_webhooks(verify_signatures(webhooks, secret))
-    e = F.try_element_at(F.col("events"), F.lit(1))
+    p = p.select("webhook_id", "signature_ok", "parse_ok", "events",
+                 F.try_element_at(F.col("events"), F.lit(1)).alias("_e"))
+    e = F.col("_e")
     text = e["message"]["text"]
     outcome = (F.when(~F.col("signature_ok"), "bad_signature")
                 .when(~F.col("parse_ok"), "parse_error")
@@ -104,8 +108,9 @@ def first_event_outcome(webhooks: DataFrame, secret: str) -> DataFrame:
                 .when(e["message"].isNull(), "no_message")
                 .when(text.isNull() | (text == ""), "no_text")
                 .otherwise("accepted"))
-    acc = outcome == "accepted"
-    return p.select("webhook_id", outcome.alias("outcome"),
+    o = p.select("webhook_id", "_e", outcome.alias("outcome"))
+    acc = F.col("outcome") == "accepted"
+    return o.select("webhook_id", "outcome",
                     F.when(acc, e["replyToken"]).alias("reply_token"),
                     F.when(acc, e["source"]["userId"]).alias("user_id"),
                     F.when(acc, text).alias("text"))
@@ -122,9 +127,9 @@ def decode_tool_calls(replies: DataFrame) -> DataFrame:
     """Model replies -> first tool call (name, arguments) or the message
     content; status ok / ai_error (no choices) / serialization_error /
     external_error (HTTP not 2xx).  ``result`` is the reference's JSON."""
-    v = strict_json(F.col("body"))
-    choices = vfield(v, "$.choices")
-    carr = F.try_variant_get(choices, "$", "array<variant>")
+    s = replies.withColumn("_v", strict_json(F.col("body")))
+    s = s.withColumn("_ch", vfield("_v", "$.choices"))
+    s = s.withColumn("_carr", F.try_variant_get(F.col("_ch"), "$", "array<variant>"))
 
     def choice_ok(ch):
         m = vfield(ch, "$.message")
@@ -133,33 +138,30 @@ def decode_tool_calls(replies: DataFrame) -> DataFrame:
         return (is_vobject(ch) & is_vobject(m) & _opt_string(vfield(m, "$.content"))
                 & (is_vnull_or_absent(tc) | (is_varray(tc) & F.forall(tarr, _tool_call_ok))))
 
-    shape_ok = F.coalesce(is_vobject(v) & is_varray(choices) & F.forall(carr, choice_ok),
+    shape_ok = F.coalesce(is_vobject("_v") & is_varray("_ch") & F.forall("_carr", choice_ok),
                           F.lit(False))
-    first = F.try_element_at(carr, F.lit(1))
-    msg = vfield(first, "$.message")
-    call = F.try_element_at(F.try_variant_get(msg, "$.tool_calls", "array<variant>"), F.lit(1))
-    name = F.try_variant_get(call, "$.function.name", "string")
-    args = F.try_variant_get(call, "$.function.arguments", "string")
-    content = F.try_variant_get(msg, "$.content", "string")
     http_ok = F.col("http_status").between(200, 299)
     status = (F.when(~http_ok, "external_error")
                .when(~shape_ok, "serialization_error")
-               .when(F.size(carr) == 0, "ai_error")
+               .when(F.size("_carr") == 0, "ai_error")
                .otherwise("ok"))
-    has_call = call.isNotNull()
-    out = replies.select(
-        "key", status.alias("status"),
-        F.when(has_call, name).alias("name"),
-        F.when(has_call, args).alias("arguments"),
-        F.when(~has_call, content).alias("message"))
+    s = s.select("key", status.alias("status"),
+                 vfield(F.try_element_at(F.col("_carr"), F.lit(1)), "$.message").alias("_msg"))
+    s = s.select("key", "status", "_msg",
+                 F.try_element_at(F.try_variant_get(F.col("_msg"), "$.tool_calls", "array<variant>"),
+                                  F.lit(1)).alias("_call"))
     ok = F.col("status") == "ok"
-    return out.select(
+    has_call = F.col("_call").isNotNull()
+    out = s.select(
         "key", "status",
-        *[F.when(ok, F.col(c)).alias(c) for c in ("name", "arguments", "message")],
-        F.when(ok, F.to_json(F.struct(F.when(ok, F.col("name")).alias("name"),
-                                      F.when(ok, F.col("arguments")).alias("arguments"),
-                                      F.when(ok, F.col("message")).alias("message"))))
-         .alias("result"))
+        F.when(ok & has_call, F.try_variant_get(F.col("_call"), "$.function.name", "string")).alias("name"),
+        F.when(ok & has_call, F.try_variant_get(F.col("_call"), "$.function.arguments", "string"))
+         .alias("arguments"),
+        F.when(ok & ~has_call, F.try_variant_get(F.col("_msg"), "$.content", "string")).alias("message"))
+    return out.select(
+        "key", "status", "name", "arguments", "message",
+        F.when(F.col("status") == "ok",
+               F.to_json(F.struct("name", "arguments", "message"))).alias("result"))
 
 
 # O36 -------------------------------------------------------------------------
@@ -185,36 +187,42 @@ def route_calls(events: DataFrame, calls: DataFrame) -> DataFrame:
     """
     j = events.join(calls.withColumnRenamed("key", "webhook_id"), "webhook_id", "left")
     name = F.col("name")
-    has_user, has_token = F.col("user_id").isNotNull(), F.col("reply_token").isNotNull()
     route = (F.when(F.col("outcome") != "accepted", F.lit(None))
               .when(F.col("status").isNull() | (F.col("status") != "ok"), "model_error")
               .when(name == TOOL_REPLY_LATEST, "reply_latest_story")
               .when(name == TOOL_PUSH_SUMMARY, "push_summary")
               .when(name == TOOL_PUSH_URL, "push_url_summary")
               .otherwise("push_message"))
-    needs_token = route == "reply_latest_story"
-    needs_user = route.isin("push_summary", "push_url_summary", "push_message")
-    outcome = (F.when(route.isNull(), F.col("outcome"))
-                .when(route == "model_error", "model_error")
-                .when(needs_token & ~has_token, "dropped_no_reply_token")
-                .when(needs_user & ~has_user, "dropped_no_user")
-                .when((route == "push_message") & F.col("message").isNull(), "no_message")
+    j = j.withColumn("route", route)
+    r = F.col("route")
+    has_user, has_token = F.col("user_id").isNotNull(), F.col("reply_token").isNotNull()
+    outcome = (F.when(r.isNull(), F.col("outcome"))
+                .when(r == "model_error", "model_error")
+                .when((r == "reply_latest_story") & ~has_token, "dropped_no_reply_token")
+                .when(r.isin("push_summary", "push_url_summary", "push_message") & ~has_user,
+                      "dropped_no_user")
+                .when((r == "push_message") & F.col("message").isNull(), "no_message")
                 .otherwise("routed"))
-    return j.select("webhook_id", route.alias("route"), outcome.alias("outcome"),
+    return j.select("webhook_id", "route", outcome.alias("outcome"),
                     "reply_token", "user_id", "text", "name", "arguments", "message")
 
 
 # O38 -------------------------------------------------------------------------
+def index_array(arguments) -> Column:
+    """Second parse of the call arguments: ``indexes`` elements that are
+    unsigned integers, in order, duplicates kept (as_u64 semantics: 2.0,
+    "4", null, booleans and negatives are dropped one by one); bad JSON or
+    no list -> empty."""
+    arr = F.try_variant_get(strict_json(_c(arguments)), "$.indexes", "array<variant>")
+    kept = F.filter(arr, lambda x: is_vint(x) & (F.try_variant_get(x, "$", "bigint") >= 0))
+    return F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "bigint")),
+                      F.array().cast("array<bigint>"))
+
+
 def call_indexes(routes: DataFrame) -> DataFrame:
-    """push_summary arguments -> (webhook_id, pos, idx): elements that are
-    unsigned integers, in order, duplicates kept; bad JSON or no list ->
-    nothing."""
+    """push_summary arguments -> (webhook_id, pos, idx) rows."""
     r = routes.where((F.col("route") == "push_summary") & (F.col("outcome") == "routed"))
-    v = strict_json(F.col("arguments"))
-    arr = F.try_variant_get(v, "$.indexes", "array<variant>")
-    kept = F.filter(arr, lambda x: is_vint(x) & (F.try_variant_get(x, "$", "bigint") >= 0))
-    vals = F.transform(kept, lambda x: F.try_variant_get(x, "$", "bigint"))
-    return (r.select("webhook_id", F.posexplode(vals).alias("pos", "idx"))
+    return (r.select("webhook_id", F.posexplode(index_array("arguments")).alias("pos", "idx"))
              .select("webhook_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "idx"))
 
 

@@ -436,8 +436,8 @@ _CHOICE_OK = (f"{_is('c', '$', 'OBJECT')} AND {_is('c', '$.message', 'OBJECT')}
 CALLS = f"""tool_replies AS (
   SELECT conv_id * 1000 + turn AS key,
          CASE WHEN (conv_id + turn) % 11 = 10 THEN 500 ELSE 200 END AS http_status,
-         {_FX._tool_reply_sql('conv_id', 'turn', _duck_jstr).replace(' AS STRING)', ' AS VARCHAR)')} AS body
-  FROM conversations WHERE role = 'user'),
+         {_FX._tool_reply_sql('conv_id', 'turn', _duck_jstr, 'pg.url').replace(' AS STRING)', ' AS VARCHAR)')} AS body
+  FROM conversations LEFT JOIN pages pg ON pg.page_id = conv_id WHERE role = 'user'),
 tr_parsed AS (
   SELECT key, http_status, j,
          coalesce(j IS NOT NULL AND {_is('j', '$', 'OBJECT')} AND {_is('j', '$.choices', 'ARRAY')}
@@ -642,3 +642,104 @@ def page_text_sql(x: str) -> str:
 SQL["page_extract"] = f"""WITH ptext AS (SELECT page_id, {page_text_sql('html')} AS text FROM pages),
 {extract_summary_sql('ptext', ['page_id'], 'text', 3, 200)}
 SELECT page_id, summary FROM summ"""
+
+
+# Outbox and jobs ----------------------------------------------------------------------
+LATEST_STORIES = FIRST_ITEMS + f""",
+fl AS (SELECT feed_id, {link_list('description')} AS links FROM first_items),
+stories AS (
+  SELECT feed_id, CAST(i AS BIGINT) AS rank, links[i].storylink AS storylink, links[i].story AS story
+  FROM fl, range(1, len(links) + 1) r(i))"""
+
+_HL_REST = HIGHLIGHTS[len(PAGE_STORIES):]
+_PICKS_REST = PICKS[len(SELECTIONS + ",\n" + PAGE_STORIES):]
+_SB = summary_bubble_sql("digest", RUN_DATE)
+
+SQL["outbox_push"] = f"""WITH {PICKS}
+SELECT request_id, 'push' AS channel, user_id AS recipient,
+       json_object('to', user_id, 'messages', [{_SB}])::VARCHAR AS payload
+FROM per_request"""
+
+_HEADLINES = """headlines AS (
+  SELECT page_id AS feed_id,
+         'Latest story: ' || regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || chr(10) || url AS headline
+  FROM pages)"""
+
+_WEBHOOK_OUTBOX = """wo AS (
+  SELECT r.webhook_id, 'reply' AS channel, r.reply_token AS recipient,
+         json_object('replyToken', r.reply_token, 'messages', [json_object('type', 'text', 'text', h.headline)])::VARCHAR AS payload
+  FROM routes r JOIN headlines h ON h.feed_id = r.webhook_id // 1000
+  WHERE r.route = 'reply_latest_story' AND r.outcome = 'routed'
+  UNION ALL
+  SELECT webhook_id, 'push', user_id,
+         json_object('to', user_id, 'messages', [json_object('type', 'text', 'text', message)])::VARCHAR
+  FROM routes WHERE route = 'push_message' AND outcome = 'routed')"""
+
+SQL["outbox_reply"] = f"""WITH {ROUTES}, {_HEADLINES}, {_WEBHOOK_OUTBOX}
+SELECT * FROM wo WHERE channel = 'reply'"""
+
+SQL["job_story_broadcast"] = f"""WITH {LATEST_STORIES},
+{extract_summary_sql('stories', ['feed_id', 'rank'], 'story')},
+enriched AS (
+  SELECT s.feed_id, s.rank, s.storylink, s.story, coalesce(m.summary, '摘要生成失敗') AS summary
+  FROM stories s LEFT JOIN summ m USING (feed_id, rank)),
+bub AS (SELECT feed_id, rank, {story_bubble_sql('rank', 'story', 'storylink', 'summary')} AS b FROM enriched)
+SELECT feed_id, 'broadcast' AS channel, CAST(NULL AS VARCHAR) AS recipient,
+       json_object('messages', [{flex_sql(_O.CAROUSEL_ALT_TEXT, jobj(contents=R('list(b ORDER BY rank)'), type='carousel'))}])::VARCHAR AS payload
+FROM bub GROUP BY feed_id"""
+
+SQL["job_daily_summary"] = f"""WITH {LATEST_STORIES}{_HL_REST}
+SELECT feed_id, 'broadcast' AS channel, CAST(NULL AS VARCHAR) AS recipient,
+       json_object('messages', [{summary_bubble_sql('highlight', RUN_DATE)}])::VARCHAR AS payload
+FROM highlights"""
+
+_ROUTES_LANG = ROUTES + f""",
+wl_tok AS (SELECT webhook_id, unnest(regexp_extract_all(lower(text), {q(_E.WORD_RE)}, 0)) AS word
+           FROM events_out WHERE text IS NOT NULL),
+dl_tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), {q(_E.WORD_RE)}, 0)) AS word FROM documents),
+prof AS (
+  SELECT lang, word FROM (SELECT lang, word, count(DISTINCT doc_id) AS n FROM dl_tok GROUP BY lang, word)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {_E.PROFILE_SIZE}),
+wl_best AS (
+  SELECT webhook_id, lang FROM (SELECT t.webhook_id, p.lang, count(*) AS score FROM wl_tok t JOIN prof p ON p.word = t.word
+                                GROUP BY t.webhook_id, p.lang)
+  QUALIFY row_number() OVER (PARTITION BY webhook_id ORDER BY score DESC, lang) = 1),
+routes_lang AS (
+  SELECT r.*, CASE WHEN r.text IS NOT NULL THEN coalesce(b.lang, 'en') END AS language
+  FROM routes r LEFT JOIN wl_best b USING (webhook_id))"""
+
+_IDX_LIST = (f"list_transform(list_filter(CASE WHEN json_valid(arguments) AND {_is('arguments', '$.indexes', 'ARRAY')} "
+             f"THEN json_extract(arguments, '$.indexes[*]') ELSE [] END, lambda x: json_type(x) = 'UBIGINT'), "
+             f"lambda x: CAST(x AS BIGINT))")
+
+SQL["job_push_summaries"] = f"""WITH {_ROUTES_LANG},
+selections AS (
+  SELECT webhook_id AS request_id, webhook_id // 1000 AS feed_id, user_id, language AS language_code,
+         {_IDX_LIST} AS indexes
+  FROM routes_lang WHERE route = 'push_summary' AND outcome = 'routed'),
+{PAGE_STORIES}{_PICKS_REST}
+SELECT request_id, language_code NOT IN ('en', 'zh-tw') AS needs_translation, 'push' AS channel,
+       user_id AS recipient, json_object('to', user_id, 'messages', [{_SB}])::VARCHAR AS payload
+FROM per_request"""
+
+SQL["job_push_url"] = f"""WITH {_ROUTES_LANG},
+ptext AS (SELECT page_id, {page_text_sql('html')} AS text FROM pages),
+{extract_summary_sql('ptext', ['page_id'], 'text', 3, 200)},
+psum AS (SELECT p.url, m.summary FROM summ m JOIN pages p USING (page_id)),
+cu AS (
+  SELECT webhook_id, user_id, language, arguments->>'$.url' AS url FROM routes_lang
+  WHERE route = 'push_url_summary' AND outcome = 'routed' AND json_valid(arguments)
+    AND {_is('arguments', '$.url', 'VARCHAR')}),
+j AS (
+  SELECT cu.*, ps.summary,
+         CASE WHEN NOT {url_valid('cu.url')} THEN 'Invalid URL provided'
+              WHEN ps.summary IS NULL THEN 'No summary data returned' END AS error_text
+  FROM cu LEFT JOIN psum ps ON ps.url = cu.url)
+SELECT webhook_id, 'push' AS channel, user_id AS recipient, language NOT IN ('en', 'zh-tw') AS needs_translation,
+       error_text,
+       CASE WHEN error_text IS NULL THEN json_object('to', user_id, 'messages', [{summary_bubble_sql('summary', RUN_DATE)}])::VARCHAR END AS payload
+FROM j"""
+
+SQL["job_webhooks"] = f"""WITH {_ROUTES_LANG}, {_HEADLINES}, {_WEBHOOK_OUTBOX}
+SELECT r.webhook_id, r.route, r.outcome, r.language, wo.channel, wo.recipient, wo.payload
+FROM routes_lang r LEFT JOIN wo USING (webhook_id)"""

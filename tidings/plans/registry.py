@@ -11,7 +11,7 @@ from tidings.sources import feeds as feed_src
 from tidings.sources import tables as T
 
 QUERIES: dict = {}
-FLAGSHIP = "latest_stories"
+FLAGSHIP = "job_story_broadcast"
 
 
 def register(key):
@@ -111,7 +111,7 @@ def _outcomes(spark, d):
 
 
 def _calls(spark, d):
-    return J5.decode_tool_calls(FX.tool_replies(T.conversations(spark, d)))
+    return J5.decode_tool_calls(FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url")))
 
 
 def _routes(spark, d):
@@ -171,3 +171,47 @@ register("inference_results")(lambda s, d: J3.inference_results(
 register("url_summary_results")(lambda s, d: J3.url_summary_results(FX.url_replies(T.pages(s, d))))
 register("detect_language")(_detect_docs)
 register("page_extract")(lambda s, d: J3.page_extract(T.pages(s, d, "page_id", "html")))
+
+
+# Outbox and end-to-end jobs ---------------------------------------------------------
+from tidings.plans import jobs as JOBS  # noqa: E402
+
+
+def _profiles(spark, d):
+    docs = T.documents(spark, d, "doc_id", "text", "lang")
+    return J3.language_profiles(docs), J3.count_labels(docs)
+
+
+def _webhook_routes(spark, d):
+    prof, n = _profiles(spark, d)
+    replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
+    return JOBS.webhook_routes(_webhooks(spark, d), replies, SECRET, prof, n)
+
+
+def _outbox_push(spark, d):
+    sel = J2.select_stories(_selections(spark, d), _stories(spark, d))
+    msgs = sel.select("request_id", "user_id",
+                      J4.summary_bubble(F.col("digest"), RUN_DATE).alias("message"))
+    return J4.outbox_push(msgs, keys=["request_id"])
+
+
+def _outbox_reply(spark, d):
+    out = JOBS.webhook_outbox(_routes(spark, d), JOBS.page_headlines(T.pages(spark, d)))
+    return out.where(F.col("channel") == "reply")
+
+
+def _job_webhooks(spark, d):
+    routes = _webhook_routes(spark, d)
+    out = JOBS.webhook_outbox(routes, JOBS.page_headlines(T.pages(spark, d)))
+    return (routes.select("webhook_id", "route", "outcome", "language")
+                  .join(out, "webhook_id", "left"))
+
+
+register("outbox_push")(_outbox_push)
+register("outbox_reply")(_outbox_reply)
+register("job_story_broadcast")(lambda s, d: JOBS.story_broadcast(_feeds(s, d)))
+register("job_daily_summary")(lambda s, d: JOBS.daily_summary(_feeds(s, d), RUN_DATE))
+register("job_push_summaries")(lambda s, d: JOBS.push_summaries(_webhook_routes(s, d), _stories(s, d), RUN_DATE))
+register("job_push_url")(lambda s, d: JOBS.push_url(_webhook_routes(s, d), JOBS.page_summaries(T.pages(s, d)),
+                                                    RUN_DATE))
+register("job_webhooks")(_job_webhooks)

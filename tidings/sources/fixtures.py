@@ -122,7 +122,7 @@ def webhooks(conversations: DataFrame, secret: str = FIXTURE_SECRET) -> DataFram
 
 
 # tool-call replies of the model, one per user turn ---------------------------------
-def _tool_reply_sql(cid: str, turn: str, jstr) -> str:
+def _tool_reply_sql(cid: str, turn: str, jstr, page_url: str = "NULL") -> str:
     """Reply body by variant (cid + 3*turn) % 8; status 500 / bad JSON by (cid+turn) % 11.
 
     0 reply_latest_story · 1 push_summary with mixed index types · 2
@@ -141,8 +141,9 @@ def _tool_reply_sql(cid: str, turn: str, jstr) -> str:
 
     idx = (f"'{{\"indexes\":[' || CAST({cid} % 5 + 1 AS STRING) || ',' || CAST({turn} % 4 AS STRING) || ',' "
            f"|| CAST({cid} % 5 + 1 AS STRING) || ',-2,2.0,\"4\",null,true]}}'")
-    url = (f"'{{\"url\":\"' || CASE {cid} % 4 WHEN 3 THEN 'ftp://files.example.com/' ELSE 'https://news.example.com/item/' END"
-           f" || CAST({cid} AS STRING) || '\"}}'")
+    url_v = (f"CASE {cid} % 4 WHEN 3 THEN 'ftp://files.example.com/' || CAST({cid} AS STRING) "
+             f"ELSE coalesce({page_url}, 'https://news.example.com/item/' || CAST({cid} AS STRING)) END")
+    url = f"'{{\"url\":' || {jstr(url_v)} || '}}'"
     v = f"(({cid} + 3 * {turn}) % 8)"
     return f"""CASE WHEN ({cid} + {turn}) % 11 = 9 THEN 'not json'
       ELSE CASE {v}
@@ -156,13 +157,18 @@ def _tool_reply_sql(cid: str, turn: str, jstr) -> str:
       ELSE {call('push_summary', "'not json'")} END END"""
 
 
-def tool_replies(conversations: DataFrame) -> DataFrame:
-    """User turns -> (key, http_status, body) as landed model replies."""
-    users = conversations.where(F.col("role") == "user")
+def tool_replies(conversations: DataFrame, pages: DataFrame) -> DataFrame:
+    """User turns -> (key, http_status, body) as landed model replies.
+
+    A push_url_summary call names the URL of the page whose id is the
+    conversation id (when there is one)."""
+    users = (conversations.where(F.col("role") == "user")
+             .join(pages.select(F.col("page_id").alias("conv_id"), F.col("url").alias("page_url")),
+                   "conv_id", "left"))
     return users.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("key"),
         F.expr("CASE WHEN (conv_id + turn) % 11 = 10 THEN 500 ELSE 200 END").alias("http_status"),
-        F.expr(_tool_reply_sql("conv_id", "turn", _spark_jstr)).alias("body"))
+        F.expr(_tool_reply_sql("conv_id", "turn", _spark_jstr, "page_url")).alias("body"))
 
 
 def conversation_requests(conversations: DataFrame) -> DataFrame:
