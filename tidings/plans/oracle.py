@@ -743,3 +743,13 @@ FROM j"""
 SQL["job_webhooks"] = f"""WITH {_ROUTES_LANG}, {_HEADLINES}, {_WEBHOOK_OUTBOX}
 SELECT r.webhook_id, r.route, r.outcome, r.language, wo.channel, wo.recipient, wo.payload
 FROM routes_lang r LEFT JOIN wo USING (webhook_id)"""
+
+
+# Sinks and streaming: the stream must equal the batch routes; the sink
+# read-back must equal the three outbox queries. -------------------------------------
+SQL["webhook_stream"] = SQL["route_calls"]
+
+SQL["outbox_sink"] = ("SELECT channel, recipient, payload, '" + RUN_DATE + "' AS run_date FROM ("
+                      + "SELECT channel, recipient, payload FROM (" + SQL["outbox_broadcast"] + ")"
+                      + " UNION ALL SELECT channel, recipient, payload FROM (" + SQL["outbox_push"] + ")"
+                      + " UNION ALL SELECT channel, recipient, payload FROM (" + SQL["outbox_reply"] + "))")

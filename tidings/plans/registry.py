@@ -215,3 +215,36 @@ register("job_push_summaries")(lambda s, d: JOBS.push_summaries(_webhook_routes(
 register("job_push_url")(lambda s, d: JOBS.push_url(_webhook_routes(s, d), JOBS.page_summaries(T.pages(s, d)),
                                                     RUN_DATE))
 register("job_webhooks")(_job_webhooks)
+
+
+# Sinks and streaming (rows-only checks) -------------------------------------------
+import uuid  # noqa: E402
+
+from tidings.session import sub_dir  # noqa: E402
+from tidings.streaming import webhooks as STREAM  # noqa: E402
+
+
+def _outbox_sink(spark, d):
+    """Broadcast + push + reply rows written to the durable outbox, read back."""
+    out = (J4.outbox_broadcast(J4.summary_bubbles(_highlights(spark, d), "highlight", ["feed_id"], RUN_DATE))
+             .unionByName(_outbox_push(spark, d).drop("request_id"))
+             .unionByName(_outbox_reply(spark, d).drop("webhook_id")))
+    path = sub_dir(spark, "outbox")
+    J4.outbox_sink(out, path, RUN_DATE)
+    return (spark.read.parquet(path).where(F.col("run_date") == RUN_DATE)
+                 .withColumn("run_date", F.col("run_date").cast("string")))
+
+
+def _webhook_stream(spark, d):
+    """Land the webhook fixture, run the stream to completion, read its sink."""
+    run = sub_dir(spark, f"webhook_stream/{uuid.uuid4().hex}")
+    _webhooks(spark, d).write.mode("overwrite").parquet(f"{run}/in")
+    q = STREAM.start_webhook_stream(spark, f"{run}/in", _calls(spark, d), SECRET,
+                                    f"{run}/sink", f"{run}/checkpoint")
+    q.awaitTermination()
+    return STREAM.read_sink(spark, f"{run}/sink").drop("batch_id").select(
+        "webhook_id", "route", "outcome", "reply_token", "user_id")
+
+
+register("outbox_sink")(_outbox_sink)
+register("webhook_stream")(_webhook_stream)
