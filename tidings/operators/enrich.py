@@ -38,30 +38,39 @@ def words(df: DataFrame, keys, text_col: str) -> DataFrame:
 
 # O20 -------------------------------------------------------------------------
 def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int = 3,
-                    max_chars: int = 100) -> DataFrame:
+                    max_chars: int = 100, corpus: DataFrame | None = None) -> DataFrame:
     """Extractive summary: the ``top_k`` sentences with the highest sum of
     corpus document frequencies of their words, rejoined in text order and
     cut to ``max_chars``.  Texts without a sentence get no row.
 
-    Shuffles: (doc, word) distinct and the per-word count (both partially
-    aggregated on the map side), the word join (AQE turns it into a
-    broadcast at run time when the vocabulary is small and splits hot
-    words otherwise), the per-sentence sum, and the per-doc top-k
-    (``WindowGroupLimit`` trims each partition before the exchange).
+    Plan: document frequency from per-text distinct words (``array_distinct``
+    is narrow, so one partially aggregated shuffle on word); the token ×
+    frequency join on word (AQE broadcasts the frequency side at run time
+    when the vocabulary is small and splits hot words otherwise); the
+    per-sentence sum; then one join of the scores to the sentences and one
+    group per text that keeps the top ``k`` — a text is always handled whole,
+    and its group holds only its own sentences.
+
+    ``corpus`` (same text column) supplies the frequencies when only some
+    texts need a summary; by default the texts themselves are the corpus.
     """
     keys = list(keys)
     sents = sentences(docs, keys, text_col)
     toks = words(sents, keys + ["sent_no"], "sentence")
-    df = (toks.select(*keys, "word").distinct()
-              .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    per_doc = (corpus if corpus is not None else docs).select(F.array_distinct(F.regexp_extract_all(
+        F.lower(F.col(text_col)), F.lit(WORD_RE), 0)).alias("ws"))
+    df = (per_doc.select(F.explode("ws").alias("word"))
+                 .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     scores = (toks.join(df, "word")
                   .groupBy(*keys, "sent_no").agg(F.sum("df").alias("score")))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("sent_no"))
-    top = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k)
-    chosen = top.join(sents, keys + ["sent_no"])
-    joined = ordered_collect(chosen, keys, "sent_no", F.col("sentence"), "parts")
-    return joined.select(*keys, truncate_chars(F.array_join("parts", " "), max_chars)
-                         .alias("summary"))
+    scored = scores.join(sents, keys + ["sent_no"])
+    best = (scored.groupBy(*keys)
+                  .agg(F.slice(F.sort_array(F.collect_list(F.struct(
+                      (-F.col("score")).alias("ns"), "sent_no", "sentence"))), 1, top_k).alias("top")))
+    text = F.array_join(F.transform(F.array_sort(F.transform(
+        "top", lambda x: F.struct(x["sent_no"].alias("p"), x["sentence"].alias("s")))),
+        lambda x: x["s"]), " ")
+    return best.select(*keys, truncate_chars(text, max_chars).alias("summary"))
 
 
 # O18 -------------------------------------------------------------------------
@@ -250,36 +259,40 @@ FALLBACK_LANGUAGE = "en"
 def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
                       key: str = "doc_id", k: int = PROFILE_SIZE) -> DataFrame:
     """(lang, word, n_docs): each label's ``k`` words found in most documents
-    (ties by word).  ``row_number() <= k`` is planned with a partial
-    WindowGroupLimit, so each map task ships at most k rows per label."""
-    toks = words(labelled, [lang_col, key], text_col).distinct()
-    counts = toks.groupBy(lang_col, "word").agg(F.count(F.lit(1)).alias("n_docs"))
-    w = Window.partitionBy(lang_col).orderBy(F.col("n_docs").desc(), F.col("word"))
+    (ties by word).  Distinct words per document are taken in the row
+    (``array_distinct``), the count is partially aggregated, and
+    ``row_number() <= k`` is planned with a partial WindowGroupLimit, so
+    each map task ships at most k rows per label."""
+    ws = labelled.select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))).alias("word"))
+    counts = ws.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n_docs"))
+    w = Window.partitionBy("lang").orderBy(F.col("n_docs").desc(), F.col("word"))
     return (counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-                  .select(F.col(lang_col).alias("lang"), "word", "n_docs"))
+                  .select("lang", "word", "n_docs"))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str = "text",
                     n_labels: int | None = None, k: int = PROFILE_SIZE,
                     default: str = FALLBACK_LANGUAGE) -> DataFrame:
     """(keys…, language): the label whose profile words occur most often in
-    the text (ties by label); no hit -> ``default``.
-
-    The profile has at most ``k`` rows per label; with the label count
-    known (``n_labels``) and k × n_labels under ``BROADCAST_ROWS`` it is
-    broadcast, otherwise the join is left to the planner and AQE.
+    the text (ties by the smaller label); no hit -> ``default``.
+
+    One shuffle: tokens (``explode_outer`` keeps texts without words) are
+    left-joined to the profile and ``mode(lang, deterministic=true)`` per
+    text picks the most frequent label, lowest on ties, ignoring misses.
+    The profile has at most ``k`` rows per label; when k × n_labels is under
+    ``BROADCAST_ROWS`` it is broadcast, otherwise the join is left to the
+    planner and AQE.
     """
     keys = list(keys)
-    prof = profiles.select("lang", "word")
+    prof = profiles.select("word", "lang")
     if n_labels is not None and n_labels * k <= BROADCAST_ROWS:
         prof = F.broadcast(prof)
-    hits = (words(texts, keys, text_col).join(prof, "word")
-                .groupBy(*keys, "lang").agg(F.count(F.lit(1)).alias("score")))
-    best = (hits.groupBy(*keys)
-                .agg(F.min(F.struct((-F.col("score")).alias("ns"), F.col("lang"))).alias("b"))
-                .select(*keys, F.col("b.lang").alias("_lang")))
-    return (texts.select(*keys).join(best, keys, "left")
-                 .select(*keys, F.coalesce("_lang", F.lit(default)).alias("language")))
+    toks = texts.select(*keys, F.explode_outer(F.regexp_extract_all(
+        F.lower(F.col(text_col)), F.lit(WORD_RE), 0)).alias("word"))
+    best = (toks.join(prof, "word", "left")
+                .groupBy(*keys).agg(F.mode("lang", True).alias("_lang")))
+    return best.select(*keys, F.coalesce("_lang", F.lit(default)).alias("language"))
 
 
 def count_labels(labelled: DataFrame, lang_col: str = "lang") -> int:
@@ -303,7 +316,14 @@ def page_text(html_col: str = "html"):
 
 
 def page_extract(pages: DataFrame, key: str = "page_id", top_k: int = 3,
-                 max_chars: int = 200) -> DataFrame:
-    """Extractive summary of each landed page (no fetch): (key, summary)."""
+                 max_chars: int = 200, wanted: DataFrame | None = None) -> DataFrame:
+    """Extractive summary of each landed page (no fetch): (key, summary).
+
+    With ``wanted`` (a frame holding ``key``) only those pages are
+    summarised; word frequencies still come from every page.
+    """
     texts = pages.select(key, page_text("html").alias("text"))
-    return extract_summary(texts, [key], "text", top_k, max_chars)
+    if wanted is None:
+        return extract_summary(texts, [key], "text", top_k, max_chars)
+    targets = texts.join(wanted.select(key).distinct(), key, "left_semi")
+    return extract_summary(targets, [key], "text", top_k, max_chars, corpus=texts)

@@ -42,9 +42,9 @@ def strict_json(text) -> Column:
     in at least one of the two.
     """
     t = _c(text)
-    whole = (F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull()
-             & F.try_parse_json(F.concat(F.lit('{"k":'), t, F.lit("}"))).isNotNull())
-    return F.when(whole, F.try_parse_json(t))
+    in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"k":'), t, F.lit("}")))
+    return F.when(in_array, F.try_variant_get(in_object, "$.k", "variant"))
 
 
 def _opt_string(v) -> Column:

@@ -70,13 +70,14 @@ def push_summaries(routes: DataFrame, stories: DataFrame, run_date: str) -> Data
     return J4.outbox_push(msgs, keys=["request_id", "needs_translation"])
 
 
-def push_url(routes: DataFrame, page_summaries: DataFrame, run_date: str) -> DataFrame:
+def push_url(routes: DataFrame, pages: DataFrame, run_date: str) -> DataFrame:
     """push_url_summary calls: URL -> validity -> landed page extract ->
     bubble -> push; an invalid URL or a page without extract gets no
-    envelope and its error in ``error_text``."""
+    envelope and its error in ``error_text``.  Only the requested pages are
+    summarised (word frequencies still come from all landed pages)."""
     from tidings.functions.url import is_valid_url
     urls = J5.call_urls(routes).join(routes.select("webhook_id", "language"), "webhook_id", "left")
-    j = urls.join(page_summaries.select("url", "summary"), "url", "left")
+    j = urls.join(page_summaries(pages, urls.select("url")).select("url", "summary"), "url", "left")
     valid = is_valid_url("url")
     err = (F.when(~valid, TEXT_INVALID_URL)
             .when(F.col("summary").isNull(), "No summary data returned"))
@@ -111,7 +112,9 @@ def page_headlines(pages: DataFrame) -> DataFrame:
     return J2.latest_headline(latest)
 
 
-def page_summaries(pages: DataFrame) -> DataFrame:
-    """(url, summary) of every landed page: the stand-in URL summarizer."""
-    return J3.page_extract(pages.select("page_id", "html")).join(
-        pages.select("page_id", "url"), "page_id")
+def page_summaries(pages: DataFrame, wanted_urls: DataFrame | None = None) -> DataFrame:
+    """(url, summary) of the landed pages (all, or those whose URL is in
+    ``wanted_urls``): the stand-in URL summarizer."""
+    ids = pages.select("page_id", "url")
+    wanted = None if wanted_urls is None else ids.join(wanted_urls, "url", "left_semi")
+    return J3.page_extract(pages.select("page_id", "html"), wanted=wanted).join(ids, "page_id")

@@ -212,8 +212,7 @@ register("outbox_reply")(_outbox_reply)
 register("job_story_broadcast")(lambda s, d: JOBS.story_broadcast(_feeds(s, d)))
 register("job_daily_summary")(lambda s, d: JOBS.daily_summary(_feeds(s, d), RUN_DATE))
 register("job_push_summaries")(lambda s, d: JOBS.push_summaries(_webhook_routes(s, d), _stories(s, d), RUN_DATE))
-register("job_push_url")(lambda s, d: JOBS.push_url(_webhook_routes(s, d), JOBS.page_summaries(T.pages(s, d)),
-                                                    RUN_DATE))
+register("job_push_url")(lambda s, d: JOBS.push_url(_webhook_routes(s, d), T.pages(s, d), RUN_DATE))
 register("job_webhooks")(_job_webhooks)
 
 
