@@ -230,10 +230,13 @@ def call_indexes(routes: DataFrame) -> DataFrame:
 def call_urls(routes: DataFrame) -> DataFrame:
     """push_url_summary arguments -> url when it is a JSON string."""
     r = routes.where((F.col("route") == "push_url_summary") & (F.col("outcome") == "routed"))
-    u = vfield(strict_json(F.col("arguments")), "$.url")
-    return (r.select("webhook_id", "user_id", F.when(is_vstring(u), F.try_variant_get(u, "$", "string"))
-                     .alias("url"))
-             .where(F.col("url").isNotNull()))
+    u = F.col("_u")
+    url = F.when(is_vstring(u), F.try_variant_get(u, "$", "string"))
+    # explode of a 0/1-element array instead of a filter on the derived url:
+    # a filter would be pushed through the join and inline the reply parse
+    return (r.select("webhook_id", "user_id", vfield(strict_json(F.col("arguments")), "$.url").alias("_u"))
+             .select("webhook_id", "user_id",
+                     F.explode(F.filter(F.array(url), lambda x: x.isNotNull())).alias("url")))
 
 
 # O40 -------------------------------------------------------------------------

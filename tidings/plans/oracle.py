@@ -408,7 +408,7 @@ wh_parsed AS (
   FROM (SELECT *, CASE WHEN coalesce(json_valid(txt), false) THEN CAST(txt AS JSON) END AS j FROM wh_verified)),
 wh_outcome AS (
   SELECT webhook_id, signature_ok, parse_ok,
-         CASE WHEN parse_ok THEN json_array_length(j, '$.events') END AS n_events,
+         CAST(CASE WHEN parse_ok THEN json_array_length(j, '$.events') ELSE 0 END AS BIGINT) AS n_events,
          CASE WHEN NOT signature_ok THEN 'bad_signature'
               WHEN NOT parse_ok THEN 'parse_error'
               WHEN json_array_length(j, '$.events') = 0 THEN 'no_events'

@@ -122,7 +122,7 @@ register("verify_signatures")(lambda s, d: J5.verify_signatures(_webhooks(s, d),
                               .select("webhook_id", "signature_ok"))
 register("parse_webhooks")(lambda s, d: J5.parse_webhooks(J5.verify_signatures(_webhooks(s, d), SECRET))
                            .select("webhook_id", "signature_ok", "parse_ok",
-                                   F.size("events").cast("bigint").alias("n_events")))
+                                   F.coalesce(F.size("events"), F.lit(0)).cast("bigint").alias("n_events")))
 register("first_event_outcome")(_outcomes)
 register("decode_tool_calls")(_calls)
 register("tool_requests")(lambda s, d: J5.tool_requests(

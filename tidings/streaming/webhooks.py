@@ -2,11 +2,14 @@
 
 The reference acknowledges a webhook at once and processes it later, one
 request at a time, with no state.  Here landed webhook files are read as a
-stream; each micro-batch runs the same stateless transforms as the batch
-job (signature, parse, first event, tool call, route) and is written by
-``foreachBatch`` to ``sink/batch_id=N`` with overwrite, so a replayed batch
-replaces its own output instead of doubling it.  The model's decoded tool
-calls are a static table joined to the stream (stream-static left join).
+stream.  The stateless per-row part (signature, strict parse, first-event
+outcome) runs in the streaming plan; each micro-batch is then routed in
+``foreachBatch``: the model's decoded tool calls (a landed table) are first
+semi-joined to the ids of the batch, so only the needed rows are shuffled
+(AQE broadcasts the batch's ids when they are small), and the routed rows are
+written to ``sink/batch_id=N`` with overwrite, so a replayed batch replaces
+its own output instead of doubling it.  ``max_files_per_trigger`` bounds a
+batch.
 """
 
 from __future__ import annotations
@@ -19,26 +22,26 @@ from tidings.operators import webhooks as J5
 WEBHOOK_SCHEMA = "webhook_id bigint, signature string, body binary"
 
 
-def routed_stream(stream: DataFrame, calls: DataFrame, secret: str) -> DataFrame:
-    """Same plan as the batch route_calls, over a streaming DataFrame."""
-    return J5.route_calls(J5.first_event_outcome(stream, secret), calls)
+def route_batch(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """Route one batch of first-event outcomes with the calls it needs."""
+    needed = calls.join(events.select(F.col("webhook_id").alias("key")), "key", "left_semi")
+    return J5.route_calls(events, needed)
 
 
 def start_webhook_stream(spark: SparkSession, source_path: str, calls: DataFrame, secret: str,
                          sink_path: str, checkpoint_path: str, available_now: bool = True,
-                         max_files_per_trigger: int | None = None):
+                         max_files_per_trigger: int = 1000):
     """Start the stream; returns the StreamingQuery."""
-    reader = spark.readStream.schema(WEBHOOK_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    routed = routed_stream(reader.parquet(source_path), calls, secret)
+    stream = (spark.readStream.schema(WEBHOOK_SCHEMA)
+              .option("maxFilesPerTrigger", str(max_files_per_trigger))
+              .parquet(source_path))
+    events = J5.first_event_outcome(stream, secret)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
-              .write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
+        (route_batch(batch, calls).withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
 
-    w = (routed.writeStream.foreachBatch(write_batch)
-               .option("checkpointLocation", checkpoint_path))
+    w = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
