@@ -57,10 +57,12 @@ def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int =
     keys = list(keys)
     sents = sentences(docs, keys, text_col)
     toks = words(sents, keys + ["sent_no"], "sentence")
-    per_doc = (corpus if corpus is not None else docs).select(F.array_distinct(F.regexp_extract_all(
-        F.lower(F.col(text_col)), F.lit(WORD_RE), 0)).alias("ws"))
-    df = (per_doc.select(F.explode("ws").alias("word"))
-                 .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    # explode the expression itself: exploding a projected column makes the
+    # optimizer infer size(ws) > 0 and push that (re-evaluating the regex)
+    # below the scan's repartition
+    per_doc = (corpus if corpus is not None else docs).select(F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))).alias("word"))
+    df = per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     scores = (toks.join(df, "word")
                   .groupBy(*keys, "sent_no").agg(F.sum("df").alias("score")))
     scored = scores.join(sents, keys + ["sent_no"])

@@ -92,10 +92,13 @@ def push_url(routes: DataFrame, pages: DataFrame, run_date: str) -> DataFrame:
 def webhook_outbox(routes: DataFrame, headlines: DataFrame) -> DataFrame:
     """Routes answered directly: reply_latest_story -> reply with the
     headline of the conversation's feed; push_message -> push the text."""
+    # 0/1 explode rather than a filter on the derived text (a filter would be
+    # pushed to the scan and run the title regex twice)
+    ok_headlines = headlines.select(
+        "feed_id", F.explode(F.filter(F.array("text"), lambda x: x.isNotNull())).alias("headline"))
     reply = (_routed(routes, "reply_latest_story")
              .withColumn("feed_id", F.floor(F.col("webhook_id") / 1000).cast("bigint"))
-             .join(headlines.where(F.col("text").isNotNull())
-                            .select("feed_id", F.col("text").alias("headline")), "feed_id")
+             .join(ok_headlines, "feed_id")
              .select("webhook_id", "reply_token",
                      J4.text_message(F.col("headline")).alias("message")))
     push = (_routed(routes, "push_message")

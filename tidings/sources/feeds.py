@@ -27,9 +27,12 @@ def page_host(url_col="url"):
 
 def page_items(pages: DataFrame, edition_size: int = EDITION_SIZE) -> DataFrame:
     """pages -> (feed_id, page_id, title, link, description) item rows."""
+    # non-nullable feed id: joins on it then infer no isnotnull filter that
+    # would re-run the host regex at the scan
     return pages.select(
-        F.concat(page_host("url"), F.lit("#"),
-                 F.floor(F.col("page_id") / edition_size).cast("string")).alias("feed_id"),
+        F.coalesce(F.concat(page_host("url"), F.lit("#"),
+                            F.floor(F.col("page_id") / edition_size).cast("string")),
+                   F.lit("#")).alias("feed_id"),
         "page_id",
         F.regexp_extract("html", TITLE_RE, 1).alias("title"),
         F.col("url").alias("link"),
