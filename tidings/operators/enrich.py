@@ -23,11 +23,15 @@ WORD_RE = r"\p{L}+"
 HAS_LETTER_RE = r"\p{L}"
 
 
+def sentence_array(text) -> "Column":
+    """Trimmed sentences of a text that hold a letter, in text order (narrow)."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0), unicode_trim)
+    return F.filter(parts, lambda s: s.rlike(HAS_LETTER_RE))
+
+
 def sentences(docs: DataFrame, keys, text_col: str = "text") -> DataFrame:
     """(keys…, sent_no, sentence): trimmed sentences that hold a letter."""
-    parts = F.transform(F.regexp_extract_all(text_col, F.lit(SENTENCE_RE), 0), unicode_trim)
-    kept = F.filter(parts, lambda s: s.rlike(HAS_LETTER_RE))
-    return docs.select(*keys, F.posexplode(kept).alias("sent_no", "sentence"))
+    return docs.select(*keys, F.posexplode(sentence_array(F.col(text_col))).alias("sent_no", "sentence"))
 
 
 def words(df: DataFrame, keys, text_col: str) -> DataFrame:
@@ -47,9 +51,10 @@ def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int =
     is narrow, so one partially aggregated shuffle on word); the token ×
     frequency join on word (AQE broadcasts the frequency side at run time
     when the vocabulary is small and splits hot words otherwise); the
-    per-sentence sum; then one join of the scores to the sentences and one
-    group per text that keeps the top ``k`` — a text is always handled whole,
-    and its group holds only its own sentences.
+    per-sentence sum; one group per text keeps the numbers of its top ``k``
+    sentences (small structs, partially aggregated); one join brings back
+    the text, whose sentences are re-split in the row.  A text is always
+    handled whole and no group holds text.
 
     ``corpus`` (same text column) supplies the frequencies when only some
     texts need a summary; by default the texts themselves are the corpus.
@@ -65,14 +70,13 @@ def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int =
     df = per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     scores = (toks.join(df, "word")
                   .groupBy(*keys, "sent_no").agg(F.sum("df").alias("score")))
-    scored = scores.join(sents, keys + ["sent_no"])
-    best = (scored.groupBy(*keys)
-                  .agg(F.slice(F.sort_array(F.collect_list(F.struct(
-                      (-F.col("score")).alias("ns"), "sent_no", "sentence"))), 1, top_k).alias("top")))
-    text = F.array_join(F.transform(F.array_sort(F.transform(
-        "top", lambda x: F.struct(x["sent_no"].alias("p"), x["sentence"].alias("s")))),
-        lambda x: x["s"]), " ")
-    return best.select(*keys, truncate_chars(text, max_chars).alias("summary"))
+    top = (scores.groupBy(*keys)
+                 .agg(F.slice(F.sort_array(F.collect_list(F.struct(
+                     (-F.col("score")).alias("ns"), "sent_no"))), 1, top_k).alias("top"))
+                 .select(*keys, F.array_sort(F.transform("top", lambda x: x["sent_no"])).alias("picks")))
+    j = top.join(docs.select(*keys, sentence_array(F.col(text_col)).alias("sents")), keys)
+    text = F.array_join(F.transform("picks", lambda i: F.try_element_at("sents", i + 1)), " ")
+    return j.select(*keys, truncate_chars(text, max_chars).alias("summary"))
 
 
 # O18 -------------------------------------------------------------------------
