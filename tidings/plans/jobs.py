@@ -15,6 +15,7 @@ from tidings.operators import enrich as J3
 from tidings.operators import feeds as J1
 from tidings.operators import outbox as J4
 from tidings.operators import webhooks as J5
+from tidings.session import materialize
 
 # The reference's validation text for a bad URL.
 TEXT_INVALID_URL = "Invalid URL provided"
@@ -44,7 +45,9 @@ def _routed(routes: DataFrame, route: str) -> DataFrame:
 def webhook_routes(webhooks: DataFrame, replies: DataFrame, secret: str,
                    profiles: DataFrame, n_labels: int | None) -> DataFrame:
     """Signature -> parse -> first event -> language -> tool call -> route."""
-    events = J5.first_event_outcome(webhooks, secret)
+    # the parsed first events feed the language guess and the routing: parse
+    # once, checkpoint (shared dir), read twice
+    events = materialize(J5.first_event_outcome(webhooks, secret))
     # No filter on the derived text: a null text yields no tokens, and a
     # filter here would be pushed down and inline the whole parse.
     lang = J3.detect_language(events, profiles, ["webhook_id"], "text", n_labels=n_labels)

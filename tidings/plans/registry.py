@@ -183,9 +183,11 @@ def _profiles(spark, d):
 
 
 def _webhook_routes(spark, d):
+    from tidings.session import materialize
     prof, n = _profiles(spark, d)
     replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
-    return JOBS.webhook_routes(_webhooks(spark, d), replies, SECRET, prof, n)
+    # routes are read by several outbox branches: checkpoint them once
+    return materialize(JOBS.webhook_routes(_webhooks(spark, d), replies, SECRET, prof, n))
 
 
 def _outbox_push(spark, d):

@@ -58,3 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def sub_dir(spark: SparkSession, name: str) -> str:
     """A named folder below the checkpoint dir (stream checkpoints, tables)."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Reliable checkpoint of an intermediate read by several branches.
+
+    Written under ``spark.checkpoint.dir`` (shared storage on a cluster), so
+    the lineage is cut, later branches read it instead of recomputing it, and
+    a lost executor costs a re-read, not a recompute.  Never a local
+    checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
