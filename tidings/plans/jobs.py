@@ -124,3 +124,15 @@ def page_summaries(pages: DataFrame, wanted_urls: DataFrame | None = None) -> Da
     ids = pages.select("page_id", "url")
     wanted = None if wanted_urls is None else ids.join(wanted_urls, "url", "left_semi")
     return J3.page_extract(pages.select("page_id", "html"), wanted=wanted).join(ids, "page_id")
+
+
+def process_webhooks(webhooks: DataFrame, replies: DataFrame, secret: str, profiles: DataFrame,
+                     n_labels: int | None, pages: DataFrame) -> DataFrame:
+    """POST webhook as a batch job: routes plus the outbox rows answered
+    directly (reply with the latest headline, push the model's message).
+    push_summary and push_url_summary routes continue in ``push_summaries``
+    and ``push_url``."""
+    routes = materialize(webhook_routes(webhooks, replies, secret, profiles, n_labels))
+    out = webhook_outbox(routes, page_headlines(pages))
+    return (routes.select("webhook_id", "route", "outcome", "language")
+                  .join(out, "webhook_id", "left"))

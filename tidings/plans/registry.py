@@ -203,10 +203,9 @@ def _outbox_reply(spark, d):
 
 
 def _job_webhooks(spark, d):
-    routes = _webhook_routes(spark, d)
-    out = JOBS.webhook_outbox(routes, JOBS.page_headlines(T.pages(spark, d)))
-    return (routes.select("webhook_id", "route", "outcome", "language")
-                  .join(out, "webhook_id", "left"))
+    prof, n = _profiles(spark, d)
+    replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
+    return JOBS.process_webhooks(_webhooks(spark, d), replies, SECRET, prof, n, T.pages(spark, d))
 
 
 register("outbox_push")(_outbox_push)
