@@ -89,3 +89,14 @@ def test_link_count_equals_anchor_count(spark, sf_dir):
         F.regexp_extract("html", r"(?is)<nav\b[^>]*>(.*?)</nav>", 1),
         F.lit(r"<a href="), 0)).alias("n")).agg(F.sum("n")).collect()[0][0]
     assert J1.extract_links(pages).count() == anchors
+
+
+def test_landed_rss_files(spark, tmp_path):
+    from tidings.sources.feeds import read_feed_files
+    (tmp_path / "a.xml").write_text(rss(item("first", "l1", NAV), item("second", "l2", NAV)), encoding="utf-8")
+    (tmp_path / "b.xml").write_text("<rss><channel>", encoding="utf-8")
+    feeds_df = read_feed_files(spark, str(tmp_path))
+    st = {r.feed_id.rsplit("/", 1)[-1]: r.status for r in J1.feed_status(feeds_df).collect()}
+    assert st == {"a.xml": "ok", "b.xml": "parse_error"}
+    items = J1.feed_items(feeds_df).orderBy("item_no").collect()
+    assert [r.title for r in items] == ["first", "second"]

@@ -6,9 +6,21 @@ the rules in ``tidings.sources``), so every query's work grows with the data.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidings.operators import digests as J2
+from tidings.operators import enrich as J3
 from tidings.operators import feeds as J1
+from tidings.operators import outbox as J4
+from tidings.operators import webhooks as J5
+from tidings.plans import jobs as JOBS
+from tidings.session import materialize, sub_dir
 from tidings.sources import feeds as feed_src
+from tidings.sources import fixtures as FX
 from tidings.sources import tables as T
+from tidings.streaming import webhooks as STREAM
 
 QUERIES: dict = {}
 FLAGSHIP = "job_story_broadcast"
@@ -35,8 +47,6 @@ register("latest_title")(lambda s, d: J1.latest_title(_feeds(s, d)))
 
 
 # J2 ---------------------------------------------------------------------------
-from tidings.operators import digests as J2  # noqa: E402
-from tidings.sources import fixtures as FX  # noqa: E402
 
 
 def _stories(spark, d):
@@ -58,10 +68,7 @@ register("translate_queue")(lambda s, d: J2.translate_queue(_selections(s, d))
 
 
 # J3 (part) / J4 -------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from tidings.operators import enrich as J3  # noqa: E402
-from tidings.operators import outbox as J4  # noqa: E402
 
 RUN_DATE = "2024-01-31"  # card date: a job parameter, fixed for repeatable output
 
@@ -96,7 +103,6 @@ register("outbox_broadcast")(lambda s, d: J4.outbox_broadcast(
 
 
 # J5 ---------------------------------------------------------------------------
-from tidings.operators import webhooks as J5  # noqa: E402
 
 SECRET = FX.FIXTURE_SECRET
 CHAT_MODEL = "gpt-4o"  # fixed value: the reference's chat model name
@@ -174,7 +180,6 @@ register("page_extract")(lambda s, d: J3.page_extract(T.pages(s, d, "page_id", "
 
 
 # Outbox and end-to-end jobs ---------------------------------------------------------
-from tidings.plans import jobs as JOBS  # noqa: E402
 
 
 def _profiles(spark, d):
@@ -183,7 +188,6 @@ def _profiles(spark, d):
 
 
 def _webhook_routes(spark, d):
-    from tidings.session import materialize
     prof, n = _profiles(spark, d)
     replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
     # routes are read by several outbox branches: checkpoint them once
@@ -218,10 +222,6 @@ register("job_webhooks")(_job_webhooks)
 
 
 # Sinks and streaming (rows-only checks) -------------------------------------------
-import uuid  # noqa: E402
-
-from tidings.session import sub_dir  # noqa: E402
-from tidings.streaming import webhooks as STREAM  # noqa: E402
 
 
 def _outbox_sink(spark, d):
