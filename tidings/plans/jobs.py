@@ -24,7 +24,9 @@ TEXT_INVALID_URL = "Invalid URL provided"
 def story_broadcast(feeds: DataFrame) -> DataFrame:
     """GET sendTodayStories: newest stories -> summaries (default on
     failure) -> one carousel per feed -> broadcast envelope."""
-    stories = J1.latest_stories(feeds)
+    # stories feed the summarizer's three branches and the pairing: extract
+    # them from the feed bodies once
+    stories = materialize(J1.latest_stories(feeds))
     summ = J3.extract_summary(stories, ["feed_id", "rank"], "story")
     cards = J4.story_carousel(J3.enrich_with_default(stories, summ))
     return J4.outbox_broadcast(cards, keys=["feed_id"])
@@ -33,7 +35,7 @@ def story_broadcast(feeds: DataFrame) -> DataFrame:
 def daily_summary(feeds: DataFrame, run_date: str) -> DataFrame:
     """GET broadcastDailySummary: newest stories -> digest highlights ->
     summary bubble -> broadcast envelope."""
-    hl = J3.digest_highlights(J1.latest_stories(feeds))
+    hl = J3.digest_highlights(materialize(J1.latest_stories(feeds)))
     return J4.outbox_broadcast(J4.summary_bubbles(hl, "highlight", ["feed_id"], run_date),
                                keys=["feed_id"])
 

@@ -74,13 +74,13 @@ RUN_DATE = "2024-01-31"  # card date: a job parameter, fixed for repeatable outp
 
 
 def _title_enriched(spark, d):
-    st = _stories(spark, d)
+    st = materialize(_stories(spark, d))  # read by four branches
     summ = J3.extract_summary(st, ["feed_id", "rank"], "story")
     return J3.enrich_with_default(st, summ)
 
 
 def _highlights(spark, d):
-    return J3.digest_highlights(_stories(spark, d))
+    return J3.digest_highlights(materialize(_stories(spark, d)))  # read by five branches
 
 
 register("story_extract")(lambda s, d: J3.extract_summary(T.documents(s, d, "doc_id", "text"),
