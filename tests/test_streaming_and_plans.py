@@ -42,3 +42,19 @@ def test_no_heavy_expression_in_filters(spark, sf_dir, key):
     for line in plan.split("\n"):
         if "Filter" in line:
             assert not any(h in line for h in HEAVY), f"{key}: {line.strip()[:200]}"
+
+
+def test_stream_outbox_equals_batch_outbox(spark, sf_dir, tmp_path):
+    from tidings.plans import jobs as JOBS
+    from tidings.sources import tables as T
+    from tidings.streaming import webhooks as STREAM
+    run = str(tmp_path)
+    R._webhooks(spark, sf_dir).write.mode("overwrite").parquet(f"{run}/in")
+    heads = JOBS.page_headlines(T.pages(spark, sf_dir))
+    q = STREAM.start_webhook_stream(spark, f"{run}/in", R._calls(spark, sf_dir), R.SECRET,
+                                    f"{run}/sink", f"{run}/ckpt", headlines=heads,
+                                    outbox_path=f"{run}/outbox", max_files_per_trigger=1)
+    q.awaitTermination()
+    stream = spark.read.parquet(f"{run}/outbox").drop("batch_id")
+    batch = JOBS.webhook_outbox(R._routes(spark, sf_dir), heads)
+    assert sorted(map(tuple, stream.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))

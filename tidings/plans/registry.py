@@ -240,7 +240,9 @@ def _webhook_stream(spark, d):
     run = sub_dir(spark, f"webhook_stream/{uuid.uuid4().hex}")
     _webhooks(spark, d).write.mode("overwrite").parquet(f"{run}/in")
     q = STREAM.start_webhook_stream(spark, f"{run}/in", _calls(spark, d), SECRET,
-                                    f"{run}/sink", f"{run}/checkpoint")
+                                    f"{run}/sink", f"{run}/checkpoint",
+                                    headlines=JOBS.page_headlines(T.pages(spark, d)),
+                                    outbox_path=f"{run}/outbox")
     q.awaitTermination()
     return STREAM.read_sink(spark, f"{run}/sink").drop("batch_id").select(
         "webhook_id", "route", "outcome", "reply_token", "user_id")

@@ -3,8 +3,8 @@
 The reference acknowledges a webhook at once and processes it later, one
 request at a time, with no state.  Here landed webhook files are read as a
 stream.  The stateless per-row part (signature, strict parse, first-event
-outcome) runs in the streaming plan; each micro-batch is then routed in
-``foreachBatch``: the model's decoded tool calls (a landed table) are first
+outcome) runs in the streaming plan; each micro-batch is then routed (and
+its directly answered routes turned into outbox rows) in ``foreachBatch``: the model's decoded tool calls (a landed table) are first
 semi-joined to the ids of the batch, so only the needed rows are shuffled
 (AQE broadcasts the batch's ids when they are small), and the routed rows are
 written to ``sink/batch_id=N`` with overwrite, so a replayed batch replaces
@@ -30,16 +30,35 @@ def route_batch(events: DataFrame, calls: DataFrame) -> DataFrame:
 
 def start_webhook_stream(spark: SparkSession, source_path: str, calls: DataFrame, secret: str,
                          sink_path: str, checkpoint_path: str, available_now: bool = True,
-                         max_files_per_trigger: int = 1000):
-    """Start the stream; returns the StreamingQuery."""
+                         max_files_per_trigger: int = 1000, headlines: DataFrame | None = None,
+                         outbox_path: str | None = None):
+    """Start the stream; returns the StreamingQuery.
+
+    Routes go to ``sink_path/batch_id=N``.  With ``headlines`` and
+    ``outbox_path`` the directly answered routes (reply with the headline,
+    push the model's message) also go to ``outbox_path/batch_id=N``.
+    """
+    from tidings.plans.jobs import webhook_outbox
+
     stream = (spark.readStream.schema(WEBHOOK_SCHEMA)
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .parquet(source_path))
     events = J5.first_event_outcome(stream, secret)
 
+    with_outbox = outbox_path is not None and headlines is not None
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (route_batch(batch, calls).withColumn("batch_id", F.lit(batch_id))
+        routes = route_batch(batch, calls)
+        if with_outbox:
+            # a micro-batch is bounded by max_files_per_trigger; keep it for
+            # its two writes (lost blocks are recomputed from the batch)
+            routes = routes.persist()
+        (routes.withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
+        if with_outbox:
+            (webhook_outbox(routes, headlines).withColumn("batch_id", F.lit(batch_id))
+                .write.mode("overwrite").parquet(f"{outbox_path}/batch_id={batch_id}"))
+            routes.unpersist()
 
     w = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
