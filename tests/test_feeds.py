@@ -100,3 +100,11 @@ def test_landed_rss_files(spark, tmp_path):
     assert st == {"a.xml": "ok", "b.xml": "parse_error"}
     items = J1.feed_items(feeds_df).orderBy("item_no").collect()
     assert [r.title for r in items] == ["first", "second"]
+
+
+def test_failed_fetch_yields_no_items(spark):
+    df = feeds(spark, [("f", 503, rss(item("T", "l", NAV)))])
+    assert J1.feed_items(df).count() == 0
+    assert J1.latest_item(df).count() == 0
+    assert J1.latest_stories(df).count() == 0
+    assert J1.latest_title(df).collect()[0].http_code == 500

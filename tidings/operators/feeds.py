@@ -59,6 +59,12 @@ def parse_channel(body: Column) -> Column:
     return F.from_xml(body, CHANNEL_SCHEMA, XML_OPTIONS)["channel"]
 
 
+def fetched_channel() -> Column:
+    """Channel of a landed feed whose fetch succeeded (HTTP 2xx), else null:
+    the reference fails before parsing when the status is not a success."""
+    return F.when(F.col("http_status").between(200, 299), parse_channel(F.col("body")))
+
+
 def link_array(html: Column, scope: Scope = NAV) -> Column:
     """array<struct<storylink, story>> of the anchors under ``scope``."""
     containers = F.regexp_extract_all(html, F.lit(scope.pattern()), 1)
@@ -88,7 +94,7 @@ def _explode_links(df: DataFrame, keys: list[str], links: Column) -> DataFrame:
 # O01 -------------------------------------------------------------------------
 def feed_items(feeds: DataFrame) -> DataFrame:
     """Feed bodies -> one row per item, in document order (item_no from 1)."""
-    parsed = feeds.select("feed_id", parse_channel(F.col("body")).alias("ch"))
+    parsed = feeds.select("feed_id", fetched_channel().alias("ch"))
     return (parsed.select("feed_id", F.posexplode("ch.item").alias("pos", "it"))
                   .select("feed_id", (F.col("pos") + 1).cast("bigint").alias("item_no"),
                           F.col("it.title").alias("title"),
@@ -101,7 +107,7 @@ def latest_item(feeds: DataFrame) -> DataFrame:
     """First item of each feed by document order (not by date); narrow."""
     # inline of a one-element slice: no row for an empty feed, and no filter
     # that the optimizer would push down and evaluate (parse) a second time
-    first = F.slice(parse_channel(F.col("body"))["item"], 1, 1)
+    first = F.slice(fetched_channel()["item"], 1, 1)
     return feeds.select("feed_id", F.inline(first))
 
 
@@ -132,7 +138,7 @@ def page_stories(pages: DataFrame, scope: Scope = NAV) -> DataFrame:
 # O04 -------------------------------------------------------------------------
 def latest_stories(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
     """Story links of each feed's newest item: (feed_id, rank, storylink, story)."""
-    first = F.try_element_at(parse_channel(F.col("body"))["item"], F.lit(1))
+    first = F.try_element_at(fetched_channel()["item"], F.lit(1))
     return _explode_links(feeds, ["feed_id"], link_array(first["description"], scope))
 
 
