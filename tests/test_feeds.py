@@ -108,3 +108,16 @@ def test_failed_fetch_yields_no_items(spark):
     assert J1.latest_item(df).count() == 0
     assert J1.latest_stories(df).count() == 0
     assert J1.latest_title(df).collect()[0].http_code == 500
+
+
+def test_feed_headlines_errors(spark):
+    from tidings.operators import digests as J2
+    df = feeds(spark, [("ok", 200, rss(item("T", "L", NAV))), ("empty", 200, rss()),
+                       ("bad", 200, "<rss>"), ("down", 502, rss(item("T", "L", NAV))),
+                       ("nolink", 200, rss(item("T", None, NAV)))])
+    got = {r.feed_id: (r.text, r.error_text) for r in J2.feed_headlines(df).collect()}
+    assert got["ok"] == ("Latest story: T\nL", None)
+    assert got["empty"] == (None, "No stories found")
+    assert got["bad"] == (None, "Failed to parse RSS")
+    assert got["down"] == (None, "Failed to fetch RSS feed")
+    assert got["nolink"] == (None, "No link found")

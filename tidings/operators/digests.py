@@ -15,6 +15,8 @@ TEXT_NO_VALID_SELECTION = "No valid stories selected"
 TEXT_NO_TITLE = "No title found"
 TEXT_NO_LINK = "No link found"
 TEXT_NO_STORIES = "No stories found"
+TEXT_FETCH_FAILED = "Failed to fetch RSS feed"
+TEXT_PARSE_FAILED = "Failed to parse RSS"
 NO_TRANSLATION = ("en", "zh-tw")
 
 
@@ -107,3 +109,22 @@ def needs_translation(lang_col="language_code"):
 
 def translate_queue(rows: DataFrame, lang_col: str = "language_code") -> DataFrame:
     return rows.where(needs_translation(lang_col))
+
+
+def feed_headlines(feeds: DataFrame) -> DataFrame:
+    """O11 over feed bodies: one row per feed, the newest item's headline or
+    the reference's error (fetch or parse failure, no item, no title, no
+    link).  Narrow: the first item is read from the parsed body."""
+    from tidings.operators.feeds import parse_channel
+    ch = parse_channel(F.col("body"))
+    first = F.try_element_at(ch["item"], F.lit(1))
+    http_ok = F.col("http_status").between(200, 299)
+    err = (F.when(~http_ok, TEXT_FETCH_FAILED)
+            .when(ch.isNull(), TEXT_PARSE_FAILED)
+            .when(first.isNull(), TEXT_NO_STORIES)
+            .when(first["title"].isNull(), TEXT_NO_TITLE)
+            .when(first["link"].isNull(), TEXT_NO_LINK))
+    s = feeds.select("feed_id", err.alias("error_text"),
+                     first["title"].alias("title"), first["link"].alias("link"))
+    text = F.concat(F.lit("Latest story: "), F.col("title"), F.lit("\n"), F.col("link"))
+    return s.select("feed_id", F.when(F.col("error_text").isNull(), text).alias("text"), "error_text")

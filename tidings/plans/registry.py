@@ -61,7 +61,7 @@ register("story_rank")(lambda s, d: J2.story_rank(_stories(s, d)))
 register("story_digest")(lambda s, d: J2.story_digest(_stories(s, d)))
 register("select_stories")(lambda s, d: J2.select_stories(_selections(s, d), _stories(s, d)))
 register("selection_status")(lambda s, d: J2.selection_status(_selections(s, d), _stories(s, d)))
-register("latest_headline")(lambda s, d: J2.latest_headline(J1.latest_item(_feeds(s, d))))
+register("latest_headline")(lambda s, d: J2.feed_headlines(_feeds(s, d)))
 register("valid_urls")(lambda s, d: J2.valid_urls(FX.urls(T.pages(s, d, "page_id", "url"))))
 register("translate_queue")(lambda s, d: J2.translate_queue(_selections(s, d))
                             .select("request_id", "user_id", "language_code"))
