@@ -121,3 +121,10 @@ def test_feed_headlines_errors(spark):
     assert got["bad"] == (None, "Failed to parse RSS")
     assert got["down"] == (None, "Failed to fetch RSS feed")
     assert got["nolink"] == (None, "No link found")
+
+
+def test_latest_item_rows_picks_first_position(spark):
+    rows = [("a", 2, "second", "l2", "d2"), ("a", 1, "first", "l1", "d1"), ("b", 5, "only", "l", "d")]
+    df = spark.createDataFrame(rows, "feed_id string, item_no long, title string, link string, description string")
+    got = {r.feed_id: r.title for r in J1.latest_item_rows(df).collect()}
+    assert got == {"a": "first", "b": "only"}

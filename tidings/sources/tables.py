@@ -29,10 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     more splits than cores and this is a no-op; when it fires, the shuffle
     comes after column pruning and is deterministic on retry.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(2 * cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, leave as is
+        return df
+    return df.repartition(2 * cores) if splits < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
