@@ -128,3 +128,8 @@ def test_latest_item_rows_picks_first_position(spark):
     df = spark.createDataFrame(rows, "feed_id string, item_no long, title string, link string, description string")
     got = {r.feed_id: r.title for r in J1.latest_item_rows(df).collect()}
     assert got == {"a": "first", "b": "only"}
+
+
+def test_nbsp_decodes_to_no_break_space(spark):
+    df = spark.createDataFrame([(1, '<nav><a href="/a">x&nbsp;y</a></nav>')], "page_id long, html string")
+    assert J1.extract_links(df).collect()[0].story == "x\u00a0y"

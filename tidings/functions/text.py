@@ -42,7 +42,7 @@ def html_unescape(c) -> Column:
     """
     c = _col(c)
     for pat, rep in ((r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'),
-                     (r"&#0*39;|&apos;", "'"), (r"&nbsp;", " ")):
+                     (r"&#0*39;|&apos;", "'"), (r"&nbsp;", "\u00a0")):
         c = F.regexp_replace(c, pat, rep)
     return F.regexp_replace(c, "&amp;", "&")
 

@@ -25,8 +25,9 @@ def url_clean(x: str) -> str:
 
 def html_unescape(x: str) -> str:
     for pat, rep in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                     ("&#0*39;|&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"regexp_replace({x}, {q(pat)}, {q(rep)}, 'g')"
+                     ("&#0*39;|&apos;", "'"), ("&nbsp;", None), ("&amp;", "&")):
+        r = "chr(160)" if rep is None else q(rep)  # &nbsp; is U+00A0
+        x = f"regexp_replace({x}, {q(pat)}, {r}, 'g')"
     return x
 
 
