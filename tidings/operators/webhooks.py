@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.crypto import hmac_sha256_base64
 from tidings.functions.jsonfn import (is_varray, is_vint, is_vnull_or_absent, is_vobject,
-                                      is_vstring, vfield, vtype)
+                                      is_vstring, vfield)
 
 EVENTS_TYPE = ("array<struct<type:string,replyToken:string,"
                "source:struct<type:string,userId:string>,"
