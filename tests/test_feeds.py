@@ -133,3 +133,10 @@ def test_latest_item_rows_picks_first_position(spark):
 def test_nbsp_decodes_to_no_break_space(spark):
     df = spark.createDataFrame([(1, '<nav><a href="/a">x&nbsp;y</a></nav>')], "page_id long, html string")
     assert J1.extract_links(df).collect()[0].story == "x\u00a0y"
+
+
+def test_numeric_character_references(spark):
+    html = '<nav><a href="/a&#38;b">A&#66;&#x43;&#x1F600;&amp;#68;&#0;</a></nav>'
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    r = J1.extract_links(df).collect()[0]
+    assert r.storylink == "/a&b" and r.story == "ABC\U0001F600&#68;\ufffd"

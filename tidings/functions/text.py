@@ -35,12 +35,39 @@ def split_sections(c) -> Column:
     return F.split(_col(c), SECTION_BREAK, -1)
 
 
-def html_unescape(c) -> Column:
-    """Decode the named and numeric character references common in markup.
+NUM_REF_RE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+NUM_REF_GROUP_RE = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def decode_numeric_refs(c) -> Column:
+    """Decode ``&#NNN;`` and ``&#xHHHH;`` (invalid code points become U+FFFD).
 
-    ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;``.
+    The text is split on the references and rejoined with each reference's
+    character (UTF-32 bytes decoded), all in built-in expressions.
     """
     c = _col(c)
+    pieces = F.split(c, NUM_REF_RE, -1)
+    refs = F.regexp_extract_all(c, F.lit(NUM_REF_GROUP_RE), 1)
+
+    def to_char(r):
+        cp = (F.when(r.startswith("x") | r.startswith("X"), F.conv(F.substring(r, 2, 10), 16, 10))
+               .otherwise(r).cast("bigint"))
+        ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    chars = F.concat(F.transform(refs, to_char), F.array(F.lit("")))
+    decoded = F.array_join(F.zip_with(pieces, chars, lambda p, ch: F.concat(p, ch)), "")
+    # most texts hold no numeric reference: skip the split and rejoin
+    return F.when(c.contains("&#"), decoded).otherwise(c)
+
+
+def html_unescape(c) -> Column:
+    """Decode the common named references and all numeric references.
+
+    ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;`` and ``&amp;#65;``
+    stays ``&#65;``.
+    """
+    c = decode_numeric_refs(_col(c))
     for pat, rep in ((r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'),
                      (r"&#0*39;|&apos;", "'"), (r"&nbsp;", "\u00a0")):
         c = F.regexp_replace(c, pat, rep)

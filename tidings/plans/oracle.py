@@ -23,7 +23,21 @@ def url_clean(x: str) -> str:
             f"'[\\t\\r\\n]', '', 'g')")
 
 
+def decode_numeric_refs(x: str) -> str:
+    from tidings.functions.text import NUM_REF_GROUP_RE, NUM_REF_RE
+    r = "r"
+    cp = (f"CASE WHEN {r}[1] IN ('x', 'X') THEN TRY_CAST('0x' || {r}[2:] AS BIGINT) "
+          f"ELSE TRY_CAST({r} AS BIGINT) END")
+    ch = (f"CASE WHEN ({cp}) > 0 AND ({cp}) <= 1114111 AND NOT (({cp}) BETWEEN 55296 AND 57343) "
+          f"THEN chr(CAST({cp} AS INTEGER)) ELSE chr(65533) END")
+    chars = f"list_concat(list_transform(regexp_extract_all({x}, {q(NUM_REF_GROUP_RE)}, 1), lambda r: {ch}), [''])"
+    decoded = (f"array_to_string(list_transform(list_zip(string_split_regex({x}, {q(NUM_REF_RE)}), {chars}), "
+               f"lambda z: z[1] || z[2]), '')")
+    return f"CASE WHEN contains({x}, '&#') THEN {decoded} ELSE {x} END"
+
+
 def html_unescape(x: str) -> str:
+    x = decode_numeric_refs(x)
     for pat, rep in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                      ("&#0*39;|&apos;", "'"), ("&nbsp;", None), ("&amp;", "&")):
         r = "chr(160)" if rep is None else q(rep)  # &nbsp; is U+00A0
