@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_rules, packing, resample, secrets, sharding
+from . import decontaminate, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
 from .common import id_fold, read_table
 
 SHARDS = 40
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,19 +35,31 @@ def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, labels.filter(is_good).select("doc_id"), k)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled URLs are those that a rule decides; the trees judge the others."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    _, decided = urls.longest_rule(urls.host(F.col("url")), urls.path(F.col("url")), RULES)
+    labelled = pages.select("url", decided.alias("d")).filter("d is not null").select("url", (F.col("d") == "block").alias("label"))
+    return urls.judge_urls(pages, labelled, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets.spans")
     base = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
     return found.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex",
-                        F.sha2(secrets.span_list(base).cast("binary"), 256).alias("base_sha256"),
-                        secrets.span_list(spans).alias("spans"))
+                        F.sha2(secret_scan.span_list(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.span_list(spans).alias("spans"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 7) != 2)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = id_fold(F.col("doc_id"), 4) == 2
@@ -54,10 +74,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
     "op3_resample": op3_resample,
+    "op4_urls": op4_urls,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_ppm": op7_ppm,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
 }
