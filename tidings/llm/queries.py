@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
+from . import decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
 from .common import id_fold, read_table
 
 SHARDS = 40
@@ -60,6 +60,10 @@ def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read_table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 7) != 2)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = id_fold(F.col("doc_id"), 4) == 2
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_ppm": op7_ppm,
+    "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
 }
