@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import string
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +20,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint under ``spark.checkpoint.dir``.
+#: ids that a join may broadcast (about 30 MB); beyond, it shuffles
+BROADCAST_IDS = 1_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, shared storage on a cluster.
 
-    The folder is shared storage on a cluster; only where the setting is
-    absent (tests) does the session get one of its own.
+    Only where the setting is absent (tests) does the session get its own.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-stage-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="llm-stage-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stage_folder(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that writes a table to the shared folder and rereads it; removed at the end."""
+    folder = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    try:
+        yield keep
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is not among ``ids``; null ids stay."""
+    ids = stage(ids.select("doc_id").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, "doc_id", "left_anti").select(*df.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

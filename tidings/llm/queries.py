@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
 from .common import id_fold, read_table
 
@@ -88,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
