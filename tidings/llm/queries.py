@@ -29,12 +29,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: labelled good and not toxic; sample size: the share of rows labelled good."""
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
-    is_good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    share = labels.agg(F.avg(is_good.cast("int"))).first()[0]
+    share = labels.agg(F.avg("quality")).first()[0]
     k = round(docs.count() * (1.0 if share is None else share))
-    return resample.resample(docs, labels.filter(is_good).select("doc_id"), k)
+    return resample.resample(docs, labels.filter("quality = 1 and toxic = 0").select("doc_id"), k)
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ of the id, so a re-run selects the same rows.  The k-th key is found exactly
 by radix selection: a few counting passes over key prefixes, no global sort.
 
 The target sample is bounded by ``target_docs`` labelled rows (chosen by a
-hash of the id); every count of the raw model covers all rows.
+hash of the id); every count of the raw model covers all rows.  ``PRIOR``
+counts of the raw model smooth the target model, and a target text is weighed
+without its own counts, so labelled texts have no advantage.
 
 Edge cases: null or empty text has no n-grams and log weight 0; rows with
 equal ids and texts have equal keys and are kept or left together (so ties at
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stage
 
 BUCKETS = 1 << 17
+PRIOR = 1.0
 #: words, or runs of ASCII punctuation
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 
@@ -44,15 +47,19 @@ def ngram_buckets(h: np.ndarray) -> np.ndarray:
     return (np.concatenate([h, pairs]) >> np.uint64(64 - 17)).astype(np.int64)
 
 
-def fit(df: DataFrame, good_ids: DataFrame, id_col: str, text: str, target_docs: int) -> np.ndarray:
-    """log(p_target / p_raw) per bucket, add-one smoothed."""
+def marked_hashes(df: DataFrame, good_ids: DataFrame, id_col: str, text: str, target_docs: int) -> DataFrame:
+    """Id, token hashes, and whether the row is one of about ``target_docs`` target texts."""
     n_good = good_ids.count()
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("target")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     target = (good_ids.filter(chance < F.lit(target_docs / max(n_good, 1)))
                       .select(F.col(id_col).alias("_target")).distinct())
-    marked = (df.select(F.col(id_col).alias("_id"), token_hashes(F.col(text)).alias("h"))
-                .join(F.broadcast(target), F.col("_id") == F.col("_target"), "left")  # about target_docs ids
-                .select("h", F.col("_target").isNotNull().alias("good")))
+    return (df.select(F.col(id_col), token_hashes(F.col(text)).alias("h"))
+              .join(F.broadcast(target), F.col(id_col) == F.col("_target"), "left")  # about target_docs ids
+              .select(id_col, "h", F.col("_target").isNotNull().alias("good")))
+
+
+def fit(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket: n-grams of the target texts, and how many the raw model expects of them."""
 
     def count(batches):
         raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
@@ -64,15 +71,14 @@ def fit(df: DataFrame, good_ids: DataFrame, id_col: str, text: str, target_docs:
         at = np.nonzero(raw)[0]
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
 
-    counts = (marked.mapInPandas(count, "bucket long, raw long, good long")
+    counts = (marked.select("h", "good").mapInPandas(count, "bucket long, raw long, good long")
                     .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
                     .toPandas())  # BUCKETS rows at most
-    raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]] += counts["raw"]
     good[counts["bucket"]] += counts["good"]
-    if counts["good"].sum() == 0:
-        return np.zeros(BUCKETS)
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    expected = raw / max(raw.sum(), 1) * good.sum()  # of the target, were it like the raw text
+    return good, expected
 
 
 def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096, few: int = 10_000) -> float | None:
@@ -103,16 +109,25 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096, few: int =
 
 
 def resample(df: DataFrame, good_ids: DataFrame, k: int, id_col: str = "doc_id", text: str = "text",
-             target_docs: int = 20_000, seed: int = 17) -> DataFrame:
+             target_docs: int = 50_000, seed: int = 17) -> DataFrame:
     """One row per input row: id, log_weight, sample_key, selected."""
-    ratio = fit(df, good_ids, id_col, text, target_docs)
+    marked = marked_hashes(df, good_ids, id_col, text, target_docs)
+    good, expected = fit(marked)
+    ratio = np.log((good + PRIOR) / (expected + PRIOR))
 
     @F.pandas_udf("double")
-    def weight(hashes: pd.Series) -> pd.Series:
-        return pd.Series([float(ratio[ngram_buckets(h)].sum()) for h in hashes], dtype=float)
+    def weight(hashes: pd.Series, is_target: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes))
+        for i, (h, own) in enumerate(zip(hashes, is_target)):
+            if not own:
+                out[i] = ratio[ngram_buckets(h)].sum()
+            else:  # a target text is judged by the other target texts
+                g, n = np.unique(ngram_buckets(h), return_counts=True)
+                out[i] = (n * np.log((good[g] - n + PRIOR) / (expected[g] + PRIOR))).sum()
+        return pd.Series(out)
 
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    scored = stage(df.select(F.col(id_col), weight(token_hashes(F.col(text))).alias("log_weight"))
+    scored = stage(marked.select(F.col(id_col), weight("h", "good").alias("log_weight"))
                      .withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))))
     least = kth_largest(scored, "sample_key", k)
     chosen = F.lit(False) if least is None else F.col("sample_key") >= F.lit(least)
