@@ -38,7 +38,7 @@ from .common import stage
 ORDER = 4
 BITS = 9
 START, END, SYMBOLS = 0, 257, 257
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 4_000_000
 HOT_WORDS = 100_000
 MAX_NODES = 4_000_000
 
@@ -113,7 +113,8 @@ class Trie:
             context, start, distinct = np.unique(code >> BITS, return_index=True, return_counts=True)
             below = np.zeros(len(code))
             if k:
-                _, below = trie.find(k - 1, code & ((1 << (BITS * k)) - 1))
+                shorter, at = _find(trie.codes[k - 1], code & ((1 << (BITS * k)) - 1))
+                below = _take(trie.counts[k - 1], shorter, at)
             trie.codes.append(code)
             trie.counts.append(n)
             trie.contexts.append(context)
@@ -122,10 +123,6 @@ class Trie:
                 target.append(np.add.reduceat(value, start) if len(start) else np.zeros(0))
         return trie
 
-    def find(self, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(known, count) of codes of order k."""
-        return _lookup(self.codes[k], code, self.counts[k])
-
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the symbol of each full-order code in its context."""
         out = np.zeros(len(code))
@@ -133,28 +130,31 @@ class Trie:
         gone_n, gone_q = np.zeros(len(code)), np.zeros(len(code))
         for k in range(self.order, -1, -1):
             own = code & ((1 << (BITS * (k + 1))) - 1)
-            known, total = _lookup(self.contexts[k], own >> BITS, self.totals[k])
-            _, distinct = _lookup(self.contexts[k], own >> BITS, self.distinct[k])
-            _, excluded = _lookup(self.contexts[k], own >> BITS, self.excluded[k])
-            seen, n = self.find(k, own)
+            known, at = _find(self.contexts[k], own >> BITS)
+            total, distinct = _take(self.totals[k], known, at), _take(self.distinct[k], known, at)
+            seen, place = _find(self.codes[k], own)
             fresh = distinct - gone_q
             room = total - gone_n + np.where(distinct < SYMBOLS, fresh, 0)
             hit = open_ & seen
-            out[hit] += np.log10(n[hit] / room[hit])
+            out[hit] += np.log10(self.counts[k][place[hit]] / room[hit])
             pass_on = open_ & known & ~seen & (fresh > 0)
             out[pass_on] += np.log10(fresh[pass_on] / room[pass_on])
             open_ &= ~seen
-            gone_n, gone_q = np.where(known, excluded, 0), np.where(known, distinct, 0)
+            gone_n, gone_q = _take(self.excluded[k], known, at), distinct
         out[open_] -= np.log10(SYMBOLS - gone_q[open_])
         return out
 
 
-def _lookup(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, place) of wanted values in sorted keys."""
     if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    known = keys[at] == wanted
-    return known, np.where(known, values[at], 0).astype(np.float64)
+    return keys[at] == wanted, at
+
+
+def _take(values: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(known, values[at], 0).astype(np.float64) if len(values) else np.zeros(len(known))
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
