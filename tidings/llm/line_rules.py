@@ -93,12 +93,10 @@ def judge(text: str | None) -> tuple:
             share, not failed and share <= MAX_LOSS, "\n".join(kept_lines))
 
 
-@F.pandas_udf(RESULT)
-def judged(text: pd.Series) -> pd.DataFrame:
-    names = re.findall(r"(\w+):", RESULT)
-    return pd.DataFrame([judge(t) for t in text], columns=names)
+def judge_all(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([judge(t) for t in text], columns=re.findall(r"(\w+):", RESULT))
 
 
 def line_first(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus one struct column ``rules`` with the counts, verdicts and clean text."""
-    return df.withColumn("rules", judged(F.col(text)))
+    return df.withColumn("rules", F.pandas_udf(judge_all, RESULT)(F.col(text)))

@@ -169,14 +169,13 @@ def scan(text: str | None) -> tuple[int, int, int, list[dict]]:
     return (*counts, [{"kind": k, "start": a, "end": b} for a, b, k in found])
 
 
-@F.pandas_udf(RESULT)
-def scanned(text: pd.Series) -> pd.DataFrame:
+def scan_all(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([scan(t) for t in text], columns=["n_assign", "n_access", "n_hex", "spans"])
 
 
 def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus one struct column ``secrets``: base counts and all spans."""
-    return df.withColumn("secrets", scanned(F.col(text)))
+    return df.withColumn("secrets", F.pandas_udf(scan_all, RESULT)(F.col(text)))
 
 
 def span_list(spans: Column) -> Column:
@@ -200,7 +199,10 @@ def redact(text: str | None, spans) -> str | None:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf("string")
-def redacted(text: pd.Series) -> pd.Series:
-    """Texts with their secrets masked; null stays null."""
+def redact_all(text: pd.Series) -> pd.Series:
     return pd.Series([redact(t, scan(t)[3]) for t in text], dtype=object)
+
+
+def redacted(text: Column) -> Column:
+    """Texts with their secrets masked; null stays null."""
+    return F.pandas_udf(redact_all, "string")(text)
