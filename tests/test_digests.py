@@ -4,8 +4,8 @@ from tidings.operators import digests as J2
 
 
 def stories(spark, n=5, feed=1):
-    rows = [(feed, r, f"/s{r}", f"Story {r}") for r in range(1, n + 1)]
-    return spark.createDataFrame(rows, "feed_id long, rank long, storylink string, story string")
+    rows = [(feed, [(f"/s{r}", f"Story {r}") for r in range(1, n + 1)])]
+    return spark.createDataFrame(rows, "feed_id long, stories array<struct<storylink:string,story:string>>")
 
 
 def sel(spark, rows):
@@ -21,10 +21,12 @@ def test_select_keeps_request_order_and_duplicates_and_renumbers(spark):
 
 
 def test_rejected_selections(spark):
-    s = sel(spark, [(1, 1, "U1", "en", [0, 99]), (2, 1, "U1", "en", []), (3, 1, "U1", "en", [2])])
+    s = sel(spark, [(1, 1, "U1", "en", [0, 99]), (2, 1, "U1", "en", []), (3, 1, "U1", "en", [2]),
+                    (4, 77, "U1", "en", [1]), (5, 1, "U1", "en", None)])
     st = {r.request_id: r for r in J2.selection_status(s, stories(spark)).collect()}
     assert st[1].status == "rejected" and st[1].error_text == "No valid stories selected"
     assert st[2].status == "rejected" and st[3].status == "accepted"
+    assert st[4].status == st[5].status == "rejected" and st[4].n_selected == 0
     assert J2.select_stories(s, stories(spark)).count() == 1
 
 
@@ -46,12 +48,19 @@ def test_valid_urls(spark):
     cases = {"https://a.example/x": True, "HTTP://A.example": True, "ftp://a.example": False,
              "a.example": False, "http://": False, "  http://a.example/": True,
              "http://a.example:99999/": False, "http://a.example:8080/p?q#f": True,
-             "https://user:pw@h.example/": True, "http:a.example": True}
+             "https://user:pw@h.example/": True, "http:a.example": True,
+             "http://256.1.1.1/": False, "http://1.2.3.4.5/": False, "http://1.2.3.4/": True, "http://0x7f.1/": True,
+             "http://4294967296/": False, "http://4294967295/": True, "http://1.2.3.09/": False, "http://a.1.b/": True,
+             "http://[:::]/": False, "http://[::1]/": True, "http://[1:2:3:4:5:6:7:8]/": True, "http://[1:2:3]/": False,
+             "http://[::1.2.3.4]/": True, "http://[1::2::3]/": False, "http://[12345::]/": False,
+             "http://a.example:000080/": True, "http://a.example:/": True, "http://%41.example/": True,
+             "http://%2f.example/": False, "http://a%zz.example/": False, "http://a b.example/": False, "http://a+b.example/": True}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "request_id long, url string")
     got = {r.url: r.is_valid for r in J2.valid_urls(df).collect()}
     assert got == cases
     hosts = {r.url: r.host for r in J2.valid_urls(df).collect()}
-    assert hosts["HTTP://A.example"] == "a.example"
+    assert hosts["HTTP://A.example"] == hosts["http://%41.example/"] == "a.example"
+    assert hosts["http://a+b.example/"] == "a+b.example" and hosts["http://256.1.1.1/"] is None
 
 
 def test_translate_queue_is_case_sensitive_and_untrimmed(spark):

@@ -52,23 +52,33 @@ def test_enrich_with_default_keeps_every_story(spark):
 def test_detect_language_default_and_profiles(spark):
     train = spark.createDataFrame(
         [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"),
-         (3, "the bird and the fish", "en"), (4, "le poisson et le lapin", "fr")],
+         (3, "the bird and the fish", "en"), (4, "le poisson et le lapin", "fr"), (5, "cat chat", "de")],
         "doc_id long, text string, lang string")
-    prof = J3.language_profiles(train, k=3)
-    texts = spark.createDataFrame([(10, "le chien et le chat"), (11, "xyz qqq"), (12, "")],
+    prof = J3.language_profiles(train)
+    assert {r.word: r.lang for r in prof.collect()}["cat"] == "de"  # a tie goes to the smaller label
+    texts = spark.createDataFrame([(10, "le chien et le chat"), (11, "xyz qqq"), (12, ""), (13, None)],
                                   "doc_id long, text string")
-    got = {r.doc_id: r.language for r in J3.detect_language(texts, prof, ["doc_id"], n_labels=2, k=3).collect()}
-    assert got == {10: "fr", 11: "en", 12: "en"}
+    got = {r.doc_id: r.language for r in J3.detect_language(texts, prof, ["doc_id"]).collect()}
+    assert got == {10: "fr", 11: "en", 12: "en", 13: "en"}
 
 
-def test_extract_summary_keeps_text_order(spark):
-    docs = spark.createDataFrame(
-        [(1, "Cats purr. Dogs bark loudly. Cats and dogs play. Rain."), (2, "..."),
-         (3, "Cats and dogs. Cats.")], "doc_id long, text string")
+def test_extract_summary_is_of_the_text_alone(spark):
+    rows = [(1, "Cats purr. Dogs bark loudly. Cats and dogs play. Rain."), (2, "..."),
+            (3, "Cats and dogs. Cats."), (4, None), (5, "今天下雨。明天晴天！後天呢？"), (6, "a. " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.summary for r in J3.extract_summary(docs, ["doc_id"], top_k=2, max_chars=100).collect()}
-    assert 2 not in got
-    assert got[1] == "Dogs bark loudly. Cats and dogs play."
-    assert got[3] == "Cats and dogs. Cats."
+    assert got == {1: "Dogs bark loudly. Cats and dogs play.", 3: "Cats and dogs. Cats.", 5: "今天下雨。 明天晴天！", 6: "a. a."}
+    alone = J3.extract_summary(docs.where("doc_id = 1"), ["doc_id"], top_k=2, max_chars=100).collect()[0].summary
+    assert alone == got[1]
+
+
+def test_highlights_without_letters_and_without_stories(spark):
+    rows = [(1, [("/a", "red fish"), ("/b", "blue fish fish")]), (2, [("/c", "123")]), (3, [])]
+    df = spark.createDataFrame(rows, "feed_id long, stories array<struct<storylink:string,story:string>>")
+    got = {r.feed_id: r for r in J3.digest_highlights(df).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].top_rank, got[1].keywords) == (2, "fish, blue, red")
+    assert got[2].highlight == "Top story: 1. 123 /c\n\n1. 123 /c"
 
 
 def test_request_body_shape(spark):

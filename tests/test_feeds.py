@@ -1,7 +1,7 @@
 """J1 edge rows (FIXTURES.md §3) on inline feeds."""
 
 from tidings.operators import feeds as J1
-from tidings.operators.feeds import Scope
+from tidings.functions.html import Scope
 
 
 def rss(*items, title="t"):
@@ -65,11 +65,35 @@ def test_extract_links_rules(spark):
         (1, "/x", "a bold one "), (2, "/x", "again"), (3, "/y", "Up & down")]
 
 
-def test_class_scope(spark):
-    html = '<span class="storylink"><a href="/s">S</a></span><span><a href="/n">N</a></span>'
+def links(spark, html, scope):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
-    rows = J1.extract_links(df, scope=Scope("span", "storylink")).collect()
-    assert [(r.storylink, r.story) for r in rows] == [("/s", "S")]
+    return [(r.storylink, r.story) for r in J1.extract_links(df, scope=scope).orderBy("rank").collect()]
+
+
+def test_class_scope_of_any_tag(spark):
+    html = ('<span class="storylink"><a href="/s">S</a></span><span><a href="/n">N</a></span>'
+            '<li class="a storylink b"><span>1</span> <div><a href="/d">D</a></div></li>'
+            '<span class="storylinks"><a href="/o">O</a></span><a class="storylink" href="/p">P</a>')
+    assert links(spark, html, Scope(cls="storylink")) == [("/s", "S"), ("/d", "D")]
+    assert links(spark, html, Scope("li", "storylink")) == [("/d", "D")]
+
+
+def test_scopes_nest(spark):
+    html = "<nav><nav><a href=3>3</a></nav><a href=4>4</a></nav><a href=5>5</a>"
+    assert links(spark, html, Scope("nav")) == [("3", "3"), ("4", "4")]
+
+
+def test_quotes_comments_scripts(spark):
+    html = ("<nav><a title=\"x href='b'\" href=\"/c\">1</a><a data-x=\"a>b\" href=\"/d\">2</a>"
+            "<!-- <a href=\"/no\">n</a> --><script>var t = '<a href=z>';</script><a href=1>one<a href=2>two</a></nav>")
+    assert links(spark, html, Scope("nav")) == [("/c", "1"), ("/d", "2"), ("1", "one"), ("2", "two")]
+
+
+def test_references_decode_once(spark):
+    html = ("<nav><a href='/q?a=1&copy=2&amp;b'>&rsquo;&#146;&#38;lt;b&#38;gt;&notit;&hellip; &unknown; &#99999999999;"
+            "&#x1F600;&eacute</a></nav>")
+    assert links(spark, html, Scope("nav")) == [
+        ("/q?a=1&copy=2&b", "\u2019\u2019&lt;b&gt;\u00acit;\u2026 &unknown; \ufffd\U0001F600\u00e9")]
 
 
 def test_no_links_is_an_error_not_an_empty_list(spark):
@@ -113,21 +137,37 @@ def test_failed_fetch_yields_no_items(spark):
 def test_feed_headlines_errors(spark):
     from tidings.operators import digests as J2
     df = feeds(spark, [("ok", 200, rss(item("T", "L", NAV))), ("empty", 200, rss()),
-                       ("bad", 200, "<rss>"), ("down", 502, rss(item("T", "L", NAV))),
+                       ("bad", 200, "<rss>"), ("down", 502, rss(item("T", "L", NAV))), ("lost", None, None),
                        ("nolink", 200, rss(item("T", None, NAV)))])
     got = {r.feed_id: (r.text, r.error_text) for r in J2.feed_headlines(df).collect()}
     assert got["ok"] == ("Latest story: T\nL", None)
     assert got["empty"] == (None, "No stories found")
     assert got["bad"] == (None, "Failed to parse RSS")
     assert got["down"] == (None, "Failed to fetch RSS feed")
+    assert got["lost"] == (None, "Network error while fetching RSS feed")
     assert got["nolink"] == (None, "No link found")
 
 
-def test_latest_item_rows_picks_first_position(spark):
-    rows = [("a", 2, "second", "l2", "d2"), ("a", 1, "first", "l1", "d1"), ("b", 5, "only", "l", "d")]
-    df = spark.createDataFrame(rows, "feed_id string, item_no long, title string, link string, description string")
-    got = {r.feed_id: r.title for r in J1.latest_item_rows(df).collect()}
-    assert got == {"a": "first", "b": "only"}
+def test_network_failure_is_a_class_of_its_own(spark):
+    df = feeds(spark, [("f", None, None)])
+    st = J1.feed_status(df).collect()[0]
+    assert (st.status, st.error_class, st.error_text) == ("network_error", "network", "Network error while fetching RSS feed")
+    title = J1.latest_title(df).collect()[0]
+    assert (title.http_code, title.error_text) == (500, "Network error while fetching RSS feed")
+
+
+def test_empty_title_is_a_title(spark):
+    df = feeds(spark, [("f", 200, rss(item("", "l", NAV)))])
+    assert (J1.latest_title(df).collect()[0].http_code, J1.latest_title(df).collect()[0].title) == (200, "")
+
+
+def test_landed_feeds_show_every_branch(spark, sf_dir):
+    from tidings.sources import fixtures as FX
+    from tidings.sources import tables as T
+    feeds_df = FX.landed_feeds(T.pages(spark, sf_dir))
+    assert {r.status for r in J1.feed_status(feeds_df).collect()} == {
+        "ok", "network_error", "http_error", "parse_error", "no_description", "no_links"}
+    assert {r.http_code for r in J1.latest_title(feeds_df).collect()} == {200, 404, 500}
 
 
 def test_nbsp_decodes_to_no_break_space(spark):

@@ -55,8 +55,9 @@ def test_summary_bubble_separators(spark):
 
 
 def test_carousel_keys_sorted_and_one_bubble_per_story(spark):
-    rows = [("f", r, f"/s{r}", f"Story {r}", "sum") for r in (2, 1, 3)]
-    df = spark.createDataFrame(rows, "feed_id string, rank long, storylink string, story string, summary string")
+    rows = [("f", [(r, f"/s{r}", f"Story {r}", "sum") for r in (1, 2, 3)]), ("g", [])]
+    df = spark.createDataFrame(rows, "feed_id string, stories array<struct<rank:bigint,storylink:string,story:string,summary:string>>")
+    assert J4.story_carousel(df).count() == 1
     c = J4.story_carousel(df).select("n_bubbles", F.to_json("message").alias("j")).collect()[0]
     msg = json.loads(c.j)
     assert c.n_bubbles == 3 and list(msg) == ["type", "altText", "contents"]
@@ -86,8 +87,16 @@ def test_envelopes(spark):
 def test_sink_rerun_does_not_double(spark, tmp_path):
     df = spark.createDataFrame([("push", "U1", "{}")], "channel string, recipient string, payload string")
     path = str(tmp_path / "outbox")
-    J4.outbox_sink(df, path, "2024-01-31")
-    J4.outbox_sink(df, path, "2024-01-31")
-    J4.outbox_sink(df, path, "2024-02-01")
+    J4.outbox_sink(df, path, "a", "2024-01-31")
+    J4.outbox_sink(df, path, "a", "2024-01-31")
+    J4.outbox_sink(df, path, "a", "2024-02-01")
     out = spark.read.parquet(path)
-    assert out.count() == 2 and out.where("run_date = '2024-01-31'").count() == 1
+    assert out.count() == 2 and out.where("run_date = '2024-01-31' and status = 'ready'").count() == 1
+
+
+def test_jobs_of_one_channel_and_date_keep_their_rows(spark, tmp_path):
+    path = str(tmp_path / "outbox")
+    for job, text in (("a", "x"), ("b", "y"), ("a", "z")):
+        rows = spark.createDataFrame([("broadcast", None, text, "ready")], "channel string, recipient string, payload string, status string")
+        J4.outbox_sink(rows, path, job, "2024-01-31")
+    assert sorted((r.job, r.payload) for r in spark.read.parquet(path).collect()) == [("a", "z"), ("b", "y")]

@@ -5,10 +5,55 @@ import pytest
 from tidings.plans import registry as R
 
 
-def test_stream_equals_batch(spark, sf_dir):
-    stream = R.QUERIES["webhook_stream"](spark, sf_dir)
-    batch = R.QUERIES["route_calls"](spark, sf_dir)
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.select(*stream.columns).collect()))
+def plan_of(spark, sf_dir, key):
+    return R.QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df, columns):
+    return sorted(map(str, df.select(*columns).collect()))
+
+
+def test_stream_equals_batch_over_several_batches(spark, sf_dir):
+    run = R.stream_run(spark, sf_dir, max_files_per_trigger=2, files=6)
+    sink, outbox = spark.read.parquet(f"{run}/sink"), spark.read.parquet(f"{run}/outbox")
+    assert sink.select("batch_id").distinct().count() >= 3
+    batch = R.QUERIES["job_webhooks"](spark, sf_dir)
+    keys = ["webhook_id", "route", "outcome", "language"]
+    assert rows_of(sink, keys) == rows_of(batch, keys)
+    keys = ["webhook_id", "channel", "recipient", "payload", "status", "error_text", "request_text"]
+    assert rows_of(outbox, keys) == rows_of(batch.where("channel is not null"), keys)
+
+
+@pytest.mark.parametrize("key", ["story_extract", "page_extract", "story_digest", "story_carousel", "digest_highlights",
+                                 "extract_links", "feed_status", "latest_stories", "outbox_broadcast"])
+def test_row_work_needs_no_shuffle(spark, sf_dir, key):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan_of(spark, sf_dir, key)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from tidings import session
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Spark:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda *a: None)}), Cluster()
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Spark())
+
+
+def test_a_failing_stage_fails(spark):
+    from pyspark.sql import functions as F
+    from tidings.session import materialize
+    with pytest.raises(Exception, match="boom"):
+        materialize(spark.range(3).select(F.raise_error(F.lit("boom")).alias("x")))
 
 
 @pytest.mark.parametrize("key", sorted(k for k in R.QUERIES if k not in ("outbox_sink", "webhook_stream")))
@@ -26,9 +71,9 @@ def test_scan_is_pruned(spark, sf_dir):
 def test_entry_smoke(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
-    assert df.columns == ["feed_id", "channel", "recipient", "payload"]
+    assert df.columns == ["feed_id", "channel", "recipient", "payload", "status", "error_text"]
     assert df.count() > 0
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(R.QUERIES) <= set(entry.queries()) and set(R.QUERIES) <= set(entry.oracle_sql())
 
 
 HEAVY = ("from_xml", "parse_json", "variant_get", "array_distinct", "regexp_extract_all", "sha2", "to_json")
@@ -42,19 +87,3 @@ def test_no_heavy_expression_in_filters(spark, sf_dir, key):
     for line in plan.split("\n"):
         if "Filter" in line:
             assert not any(h in line for h in HEAVY), f"{key}: {line.strip()[:200]}"
-
-
-def test_stream_outbox_equals_batch_outbox(spark, sf_dir, tmp_path):
-    from tidings.plans import jobs as JOBS
-    from tidings.sources import tables as T
-    from tidings.streaming import webhooks as STREAM
-    run = str(tmp_path)
-    R._webhooks(spark, sf_dir).write.mode("overwrite").parquet(f"{run}/in")
-    heads = JOBS.page_headlines(T.pages(spark, sf_dir))
-    q = STREAM.start_webhook_stream(spark, f"{run}/in", R._calls(spark, sf_dir), R.SECRET,
-                                    f"{run}/sink", f"{run}/ckpt", headlines=heads,
-                                    outbox_path=f"{run}/outbox", max_files_per_trigger=1)
-    q.awaitTermination()
-    stream = spark.read.parquet(f"{run}/outbox").drop("batch_id")
-    batch = JOBS.webhook_outbox(R._routes(spark, sf_dir), heads)
-    assert sorted(map(tuple, stream.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))

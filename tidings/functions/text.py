@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode White_Space, the set Rust's str::trim strips.
 WHITE_SPACE = r"\p{IsWhite_Space}"
+WORD_RE = r"\p{L}+"
 
 # The cut marker and the paragraph separator of the reference.
 ELLIPSIS = "..."
@@ -17,6 +23,31 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def letter_words(c) -> Column:
+    """Lower-cased letter runs of a text, in order."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_RE), 0)
+
+
+def most_frequent(ws: Column, k: int) -> Column:
+    """The ``k`` most frequent words of an array (ties by word), by sorting the
+    array once and measuring its runs: n log n in the row, no shuffle."""
+    def ranked(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), n - 1),
+                         lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        def by_count(starts: Column) -> Column:
+            run = lambda p, j: F.struct(
+                (p - F.coalesce(F.get(starts, j + 1), n)).alias("less"), F.get(s, p).alias("word"))
+            return F.transform(F.slice(F.sort_array(F.transform(starts, run)), 1, k), lambda x: x["word"])
+        return F.when(n > 0, let(first, by_count)).otherwise(F.array().cast("array<string>"))
+    return let(F.sort_array(ws), ranked)
+
+
 def unicode_trim(c) -> Column:
     """Strip Unicode white space at both ends (Spark ``trim`` strips only ' ')."""
     return F.regexp_replace(_col(c), rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
@@ -35,43 +66,58 @@ def split_sections(c) -> Column:
     return F.split(_col(c), SECTION_BREAK, -1)
 
 
-NUM_REF_RE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-NUM_REF_GROUP_RE = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-
-
-def decode_numeric_refs(c) -> Column:
-    """Decode ``&#NNN;`` and ``&#xHHHH;`` (invalid code points become U+FFFD).
-
-    The text is split on the references and rejoined with each reference's
-    character (UTF-32 bytes decoded), all in built-in expressions.
+@cache
+def _named() -> tuple[str, str]:
+    """The standard library's table of HTML named references as a JSON object,
+    and a pattern of the names that need no semicolon, longest first."""
+    short = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return json.dumps(html5), "|".join(short)
+
+
+def _decode_number(ref: Column) -> Column:
+    """Character of ``&#NNN;`` or ``&#xHHH;`` as HTML reads it: numbers 128 to
+    159 are windows-1252 bytes; zero, surrogates and numbers beyond Unicode
+    are U+FFFD."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    is_hex = ref.rlike("^&#[xX]")
+    code = (F.when(F.length(digits) > 7, F.lit(-1).cast("bigint"))
+             .when(is_hex, F.conv(digits, 16, 10).cast("bigint"))
+             .otherwise(digits.try_cast("bigint")))
+    # bytes that windows-1252 leaves open stay control characters
+    bytes_ = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+    def char(n: Column) -> Column:
+        valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return (F.when(n.between(128, 159), F.substr(F.lit(bytes_), (n - 127).cast("int"), F.lit(1)))
+                 .when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+                 .otherwise(F.lit("�")))
+    return let(code, char)
+
+
+def html_unescape(c, attribute: bool = False) -> Column:
+    """Decode all named and numeric character references in one pass.
+
+    The text is split on its references and rejoined with what each stands
+    for, so decoded text is never decoded again.  In an attribute a name
+    without semicolon counts only where no letter, digit or '=' follows.
     """
     c = _col(c)
-    pieces = F.split(c, NUM_REF_RE, -1)
-    refs = F.regexp_extract_all(c, F.lit(NUM_REF_GROUP_RE), 1)
-
-    def to_char(r):
-        cp = (F.when(r.startswith("x") | r.startswith("X"), F.conv(F.substring(r, 2, 10), 16, 10))
-               .otherwise(r).cast("bigint"))
-        ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-    chars = F.concat(F.transform(refs, to_char), F.array(F.lit("")))
-    decoded = F.array_join(F.zip_with(pieces, chars, lambda p, ch: F.concat(p, ch)), "")
-    # most texts hold no numeric reference: skip the split and rejoin
-    return F.when(c.contains("&#"), decoded).otherwise(c)
-
-
-def html_unescape(c) -> Column:
-    """Decode the common named references and all numeric references.
-
-    ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;`` and ``&amp;#65;``
-    stays ``&#65;``.
-    """
-    c = decode_numeric_refs(_col(c))
-    for pat, rep in ((r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'),
-                     (r"&#0*39;|&apos;", "'"), (r"&nbsp;", "\u00a0")):
-        c = F.regexp_replace(c, pat, rep)
-    return F.regexp_replace(c, "&amp;", "&")
+    table, short = _named()
+    after = "(?![A-Za-z0-9=])" if attribute else ""
+    pattern = rf"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{short}){after})"
+    names = F.from_json(F.lit(table), "map<string,string>")
+
+    def one(ref: Column) -> Column:
+        name = F.substring(ref, 2, 64)
+        prefix = F.regexp_extract(name, rf"^(?:{short})", 0)
+        cut = F.concat(F.try_element_at(names, prefix), F.substr(name, F.length(prefix) + 1))
+        loose = F.lit(None).cast("string") if attribute else F.when(prefix != "", cut)
+        return (F.when(ref.startswith("&#"), _decode_number(ref))
+                 .otherwise(F.coalesce(F.try_element_at(names, name), loose, ref)))
+
+    chars = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), one), F.array(F.lit("")))
+    decoded = F.array_join(F.zip_with(F.split(c, pattern, -1), chars, lambda p, ch: F.concat(p, ch)), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)  # most texts hold no reference
 
 
 def strip_tags(c) -> Column:

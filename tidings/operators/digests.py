@@ -1,11 +1,14 @@
-"""J2 — digests, selection by index, URL and language predicates (O07–O13)."""
+"""J2 — digests, selection by index, URL and language predicates (O07–O13).
+
+A feed's stories travel as one array (they come from one row), so digests are
+rendered in the row; a selection is one join of the request to its feed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.collect import ordered_collect
 from tidings.functions.text import SECTION_BREAK
 from tidings.functions.url import is_valid_url, url_host
 
@@ -17,6 +20,7 @@ TEXT_NO_LINK = "No link found"
 TEXT_NO_STORIES = "No stories found"
 TEXT_FETCH_FAILED = "Failed to fetch RSS feed"
 TEXT_PARSE_FAILED = "Failed to parse RSS"
+TEXT_NETWORK = "Network error while fetching RSS feed"
 NO_TRANSLATION = ("en", "zh-tw")
 
 
@@ -24,6 +28,18 @@ def digest_line(rank, story, link):
     return F.concat(rank.cast("string"), F.lit(". "), story, F.lit(" "), link)
 
 
+def digest_text(stories: Column) -> Column:
+    """"{rank}. {title} {link}" lines of a story array joined by a blank line."""
+    lines = F.transform(stories, lambda s, i: digest_line(i + 1, s["story"], s["storylink"]))
+    return F.array_join(lines, SECTION_BREAK)
+
+
+def rows_where(df: DataFrame, keep: Column, *columns) -> DataFrame:
+    """The columns of the rows where ``keep`` holds, by exploding a 0/1 array:
+    a filter would be pushed down and evaluate its expression once more."""
+    return df.select(F.inline(F.slice(F.array(F.struct(*columns)), 1, F.when(keep, 1).otherwise(0))))
+
+
 # O07 -------------------------------------------------------------------------
 def story_rank(stories: DataFrame) -> DataFrame:
     """Rank (1-based, document order, from the extraction) and its card label."""
@@ -33,66 +49,75 @@ def story_rank(stories: DataFrame) -> DataFrame:
 
 
 # O08 -------------------------------------------------------------------------
-def story_digest(stories: DataFrame, keys=("feed_id",)) -> DataFrame:
-    """Per feed: "{rank}. {title} {link}" lines joined by a blank line."""
-    lines = ordered_collect(
-        stories, list(keys), "rank",
-        digest_line(F.col("rank"), F.col("story"), F.col("storylink")), "lines")
-    return lines.select(*keys, F.size("lines").cast("bigint").alias("n_stories"),
-                        F.array_join("lines", SECTION_BREAK).alias("digest"))
+def story_digest(feeds: DataFrame, keys=("feed_id",)) -> DataFrame:
+    """(keys…, stories) -> (keys…, n_stories, digest), feeds with stories only."""
+    n = F.size("stories")
+    return rows_where(feeds, n > 0, *keys, n.cast("bigint").alias("n_stories"),
+                      digest_text(F.col("stories")).alias("digest"))
 
 
 # O09 / O10 ---------------------------------------------------------------------
-def _selection_groups(selections: DataFrame, stories: DataFrame) -> DataFrame:
-    """Every request with its valid picks in request order (possibly none).
+def picked_stories(selections: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Every request with the array of its valid picks, in request order.
 
-    Picks are exploded per request (duplicates kept), left-joined to the
-    stories on (feed_id, rank) — out-of-range indexes find no story — and
-    regrouped per request; the request position orders the kept picks, and
-    their index in that list is the new number.
+    Indexes are 1-based into the feed's story array; those outside it are
+    dropped, duplicates stay.  One join on the feed.
     """
-    keys = ["request_id", "feed_id", "user_id", "language_code"]
-    picks = selections.select(*keys, F.posexplode_outer("indexes").alias("pos", "idx"))
-    st = stories.select(F.col("feed_id").alias("s_feed"), F.col("rank").alias("s_rank"),
-                        "story", "storylink")
-    joined = picks.join(st, (picks.feed_id == st.s_feed) & (picks.idx == st.s_rank), "left")
-    pick = F.when(F.col("s_rank").isNotNull(),
-                  F.struct(F.col("pos").alias("p"), "story", "storylink"))
-    return (joined.groupBy(*keys)
-                  .agg(F.array_sort(F.collect_list(pick)).alias("picked")))
-
-
-def select_stories(selections: DataFrame, stories: DataFrame) -> DataFrame:
+    known = feeds.select("feed_id", F.col("stories").alias("_all"))
+    pick = lambda i: F.when(i > 0, F.get(F.col("_all"), (i - 1).cast("int")))
+    picks = F.filter(F.transform("indexes", pick), lambda s: s.isNotNull())
+    return (selections.join(known, "feed_id", "left")
+            .select(*selections.columns, picks.alias("stories")))
+
+
+def select_stories(selections: DataFrame, feeds: DataFrame) -> DataFrame:
     """Accepted requests with the renumbered digest of their picks."""
-    g = _selection_groups(selections, stories).where(F.size("picked") > 0)
-    lines = F.transform("picked", lambda x, i: digest_line(i + 1, x["story"], x["storylink"]))
-    return g.select("request_id", "feed_id", "user_id", "language_code",
-                    F.size("picked").cast("bigint").alias("n_selected"),
-                    F.array_join(lines, SECTION_BREAK).alias("digest"))
+    n = F.size("stories")
+    return rows_where(picked_stories(selections, feeds), n > 0, "request_id", "feed_id", "user_id", "language_code",
+                      n.cast("bigint").alias("n_selected"), digest_text(F.col("stories")).alias("digest"))
 
 
-def selection_status(selections: DataFrame, stories: DataFrame) -> DataFrame:
+def selection_status(selections: DataFrame, feeds: DataFrame) -> DataFrame:
     """Every request: accepted, or a validation error when no index is valid."""
-    g = _selection_groups(selections, stories)
-    ok = F.size("picked") > 0
-    return g.select("request_id",
-                    F.when(ok, "accepted").otherwise("rejected").alias("status"),
-                    F.size("picked").cast("bigint").alias("n_selected"),
-                    F.when(ok, F.lit(None).cast("string")).otherwise("validation").alias("error_class"),
-                    F.when(ok, F.lit(None).cast("string"))
-                     .otherwise(TEXT_NO_VALID_SELECTION).alias("error_text"))
+    n = F.greatest(F.size("stories"), F.lit(0))  # no such feed: no stories
+    ok = n > 0
+    return picked_stories(selections, feeds).select(
+        "request_id",
+        F.when(ok, "accepted").otherwise("rejected").alias("status"),
+        n.cast("bigint").alias("n_selected"),
+        F.when(~ok, "validation").alias("error_class"),
+        F.when(~ok, TEXT_NO_VALID_SELECTION).alias("error_text"))
 
 
 # O11 -------------------------------------------------------------------------
+def headline(title: Column, link: Column) -> Column:
+    return F.concat(F.lit("Latest story: "), title, F.lit("\n"), link)
+
+
 def latest_headline(latest: DataFrame) -> DataFrame:
     """First item -> "Latest story: {title}\\n{link}"; null title/link -> error."""
-    text = F.concat(F.lit("Latest story: "), F.col("title"), F.lit("\n"), F.col("link"))
     err = (F.when(F.col("title").isNull(), TEXT_NO_TITLE)
             .when(F.col("link").isNull(), TEXT_NO_LINK))
-    return latest.select("feed_id", F.when(err.isNull(), text).alias("text"),
+    return latest.select("feed_id", F.when(err.isNull(), headline(F.col("title"), F.col("link"))).alias("text"),
                          err.alias("error_text"))
 
 
+def feed_headlines(feeds: DataFrame) -> DataFrame:
+    """O11 over feed bodies: one row per feed, the newest item's headline or
+    the reference's error (network, fetch or parse failure, no item, no
+    title, no link).  Narrow: the first item is read from the parsed body."""
+    from tidings.operators.feeds import first_items
+    f, first = F.col("failure"), F.col("first")
+    err = (F.when(f == "network_error", TEXT_NETWORK).when(f == "http_error", TEXT_FETCH_FAILED)
+            .when(f == "parse_error", TEXT_PARSE_FAILED)
+            .when(first.isNull(), TEXT_NO_STORIES)
+            .when(first["title"].isNull(), TEXT_NO_TITLE)
+            .when(first["link"].isNull(), TEXT_NO_LINK))
+    s = first_items(feeds).select("feed_id", err.alias("error_text"), "first.title", "first.link")
+    return s.select("feed_id", F.when(F.col("error_text").isNull(), headline(F.col("title"), F.col("link"))).alias("text"),
+                    "error_text")
+
+
 # O12 -------------------------------------------------------------------------
 def valid_urls(urls: DataFrame) -> DataFrame:
     """Flag each URL: http/https with a host; keep the host when valid."""
@@ -109,22 +134,3 @@ def needs_translation(lang_col="language_code"):
 
 def translate_queue(rows: DataFrame, lang_col: str = "language_code") -> DataFrame:
     return rows.where(needs_translation(lang_col))
-
-
-def feed_headlines(feeds: DataFrame) -> DataFrame:
-    """O11 over feed bodies: one row per feed, the newest item's headline or
-    the reference's error (fetch or parse failure, no item, no title, no
-    link).  Narrow: the first item is read from the parsed body."""
-    from tidings.operators.feeds import parse_channel
-    ch = parse_channel(F.col("body"))
-    first = F.try_element_at(ch["item"], F.lit(1))
-    http_ok = F.col("http_status").between(200, 299)
-    err = (F.when(~http_ok, TEXT_FETCH_FAILED)
-            .when(ch.isNull(), TEXT_PARSE_FAILED)
-            .when(first.isNull(), TEXT_NO_STORIES)
-            .when(first["title"].isNull(), TEXT_NO_TITLE)
-            .when(first["link"].isNull(), TEXT_NO_LINK))
-    s = feeds.select("feed_id", err.alias("error_text"),
-                     first["title"].alias("title"), first["link"].alias("link"))
-    text = F.concat(F.lit("Latest story: "), F.col("title"), F.lit("\n"), F.col("link"))
-    return s.select("feed_id", F.when(F.col("error_text").isNull(), text).alias("text"), "error_text")

@@ -9,74 +9,50 @@ extractive summaries (O20–O22) and a word-profile language guesser (O19).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.collect import ordered_collect
-from tidings.functions.text import truncate_chars, unicode_trim
+from tidings.functions.text import SECTION_BREAK, let, letter_words, most_frequent, truncate_chars, unicode_trim
 
 # The reference's fallback summary text.
 DEFAULT_SUMMARY = "摘要生成失敗"
 
-SENTENCE_RE = r"[^.!?\n]+[.!?]*"
-WORD_RE = r"\p{L}+"
+SENTENCE_RE = r"[^.!?。！？\n]+[.!?。！？]*"
 HAS_LETTER_RE = r"\p{L}"
+#: a sentence scores by how many of its text's most frequent words it holds
+KEYWORDS = 20
 
 
-def sentence_array(text) -> "Column":
+def sentence_array(text) -> Column:
     """Trimmed sentences of a text that hold a letter, in text order (narrow)."""
     parts = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0), unicode_trim)
     return F.filter(parts, lambda s: s.rlike(HAS_LETTER_RE))
 
 
-def sentences(docs: DataFrame, keys, text_col: str = "text") -> DataFrame:
-    """(keys…, sent_no, sentence): trimmed sentences that hold a letter."""
-    return docs.select(*keys, F.posexplode(sentence_array(F.col(text_col))).alias("sent_no", "sentence"))
-
+# O20 -------------------------------------------------------------------------
+def summary_of(text: Column, top_k: int = 3, max_chars: int = 100) -> Column:
+    """Extractive summary of one text from that text alone; null without a sentence.
 
-def words(df: DataFrame, keys, text_col: str) -> DataFrame:
-    """(keys…, word) lower-cased letter runs, one row per occurrence."""
-    return df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(WORD_RE), 0))
-                     .alias("word"))
+    The ``top_k`` sentences that hold most of the text's ``KEYWORDS`` most
+    frequent words (ties by position), rejoined in text order and cut to
+    ``max_chars``.  Everything happens in the row: no shuffle, and a summary
+    does not change when other rows do.
+    """
+    def best(s: Column, keywords: Column) -> Column:
+        score = lambda x, i: F.struct(
+            (-F.size(F.array_intersect(letter_words(x), keywords))).alias("less"), i.alias("no"))
+        top = F.slice(F.sort_array(F.transform(s, score)), 1, top_k)
+        picks = F.sort_array(F.transform(top, lambda x: x["no"]))
+        return F.when(F.size(s) > 0, truncate_chars(F.array_join(F.transform(picks, lambda i: F.get(s, i)), " "), max_chars))
+    return let(F.struct(sentence_array(text).alias("s"), most_frequent(letter_words(text), KEYWORDS).alias("k")),
+               lambda x: best(x["s"], x["k"]))
 
 
-# O20 -------------------------------------------------------------------------
 def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int = 3,
-                    max_chars: int = 100, corpus: DataFrame | None = None) -> DataFrame:
-    """Extractive summary: the ``top_k`` sentences with the highest sum of
-    corpus document frequencies of their words, rejoined in text order and
-    cut to ``max_chars``.  Texts without a sentence get no row.
-
-    Plan: document frequency from per-text distinct words (``array_distinct``
-    is narrow, so one partially aggregated shuffle on word); the token ×
-    frequency join on word (AQE broadcasts the frequency side at run time
-    when the vocabulary is small and splits hot words otherwise); the
-    per-sentence sum; one group per text keeps the numbers of its top ``k``
-    sentences (small structs, partially aggregated); one join brings back
-    the text, whose sentences are re-split in the row.  A text is always
-    handled whole and no group holds text.
-
-    ``corpus`` (same text column) supplies the frequencies when only some
-    texts need a summary; by default the texts themselves are the corpus.
-    """
-    keys = list(keys)
-    sents = sentences(docs, keys, text_col)
-    toks = words(sents, keys + ["sent_no"], "sentence")
-    # explode the expression itself: exploding a projected column makes the
-    # optimizer infer size(ws) > 0 and push that (re-evaluating the regex)
-    # below the scan's repartition
-    per_doc = (corpus if corpus is not None else docs).select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))).alias("word"))
-    df = per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scores = (toks.join(df, "word")
-                  .groupBy(*keys, "sent_no").agg(F.sum("df").alias("score")))
-    top = (scores.groupBy(*keys)
-                 .agg(F.slice(F.sort_array(F.collect_list(F.struct(
-                     (-F.col("score")).alias("ns"), "sent_no"))), 1, top_k).alias("top"))
-                 .select(*keys, F.array_sort(F.transform("top", lambda x: x["sent_no"])).alias("picks")))
-    j = top.join(docs.select(*keys, sentence_array(F.col(text_col)).alias("sents")), keys)
-    text = F.array_join(F.transform("picks", lambda i: F.try_element_at("sents", i + 1)), " ")
-    return j.select(*keys, truncate_chars(text, max_chars).alias("summary"))
+                    max_chars: int = 100) -> DataFrame:
+    """(keys…, summary) of the texts that hold a sentence; no shuffle."""
+    summary = F.filter(F.array(summary_of(F.col(text_col), top_k, max_chars)), lambda s: s.isNotNull())
+    return docs.select(*keys, F.explode(summary).alias("summary"))
 
 
 # O18 -------------------------------------------------------------------------
@@ -92,40 +68,60 @@ def enrich_with_default(stories: DataFrame, results: DataFrame, keys=("feed_id",
                     F.col("_summary").isNull().alias("failed"))
 
 
+def story_summaries(stories: Column, default: str = DEFAULT_SUMMARY) -> Column:
+    """Story array -> the same array with rank and stand-in summary (the title's
+    own extract, or the default text when it has no sentence)."""
+    return F.transform(stories, lambda s, i: F.struct(
+        (i + 1).cast("bigint").alias("rank"), s["storylink"].alias("storylink"), s["story"].alias("story"),
+        F.coalesce(summary_of(s["story"]), F.lit(default)).alias("summary")))
+
+
+def enrich_arrays(feeds: DataFrame, results: DataFrame, default: str = DEFAULT_SUMMARY) -> DataFrame:
+    """(feed_id, stories, …) with each story's landed summary, or the default.
+
+    ``results`` (feed_id, rank, summary) is gathered per feed, as many values
+    as the feed has stories, and joined once.
+    """
+    landed = (results.groupBy("feed_id")
+                     .agg(F.map_from_entries(F.collect_list(F.struct("rank", "summary"))).alias("_landed")))
+    paired = F.transform("stories", lambda s, i: F.struct(
+        (i + 1).cast("bigint").alias("rank"), s["storylink"].alias("storylink"), s["story"].alias("story"),
+        F.coalesce(F.try_element_at("_landed", (i + 1).cast("bigint")), F.lit(default)).alias("summary")))
+    others = [c for c in feeds.columns if c != "stories"]
+    return feeds.join(landed, "feed_id", "left").select(*others, paired.alias("stories"))
+
+
 # O21 -------------------------------------------------------------------------
-def digest_highlights(stories: DataFrame, keys=("feed_id",), n_keywords: int = 3) -> DataFrame:
-    """Extractive digest summary per feed.
+def highlight_of(stories: Column, n_keywords: int = 3) -> Column:
+    """Struct (top_rank, keywords, highlight) of one story array, in the row.
 
-    Keywords = the feed's ``n_keywords`` most frequent title words (ties by
-    word); the top story = most keyword hits (ties by rank).  The text has
-    sections separated by a blank line: the top story, the keywords, then
-    one "{rank}. {title} {link}" line per story.
+    Keywords are the ``n_keywords`` most frequent title words (ties by word);
+    the top story has most keyword hits (ties by rank).  The text's sections:
+    the top story, the keywords if there are any, then the digest.
     """
-    from tidings.operators.digests import digest_line, story_digest
-    from tidings.functions.text import SECTION_BREAK
+    from tidings.operators.digests import digest_line, digest_text
 
-    keys = list(keys)
-    toks = words(stories, keys + ["rank"], "story")
-    counts = toks.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    wk = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("word"))
-    kw = counts.withColumn("kr", F.row_number().over(wk)).where(F.col("kr") <= n_keywords)
-    kw_list = ordered_collect(kw, keys, "kr", F.col("word"), "keywords")
-    hits = (toks.join(kw.select(*keys, "word"), keys + ["word"])
-                .groupBy(*keys, "rank").agg(F.count(F.lit(1)).alias("hits")))
-    best = (hits.groupBy(*keys)
-                .agg(F.min(F.struct((-F.col("hits")).alias("nh"), F.col("rank"))).alias("b"))
-                .select(*keys, F.col("b.rank").alias("top_rank")))
-    top = (best.join(stories.select(*keys, F.col("rank").alias("top_rank"), "story", "storylink"),
-                     keys + ["top_rank"]))
-    dig = story_digest(stories, keys)
-    j = dig.join(kw_list, keys).join(top, keys)
-    text = F.concat_ws(SECTION_BREAK,
-                       F.concat(F.lit("Top story: "), digest_line(F.col("top_rank"), F.col("story"),
-                                                                   F.col("storylink"))),
-                       F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")),
-                       F.col("digest"))
-    return j.select(*keys, "top_rank", F.array_join("keywords", ", ").alias("keywords"),
-                    text.alias("highlight"))
+    def render(titles: Column, keywords: Column) -> Column:
+        hits = lambda ws, i: F.struct(
+            (-F.size(F.filter(ws, lambda w: F.array_contains(keywords, w)))).alias("less"), (i + 1).alias("rank"))
+        rank = F.get(F.sort_array(F.transform(titles, hits)), F.lit(0))["rank"]
+        top = lambda r: F.get(stories, r - 1)
+        listed = F.array_join(keywords, ", ")
+        return let(rank, lambda r: F.struct(
+            r.cast("bigint").alias("top_rank"), listed.alias("keywords"),
+            F.concat_ws(SECTION_BREAK,
+                        F.concat(F.lit("Top story: "), digest_line(r, top(r)["story"], top(r)["storylink"])),
+                        F.when(listed != "", F.concat(F.lit("Keywords: "), listed)),
+                        digest_text(stories)).alias("highlight")))
+
+    titles = F.transform(stories, lambda s: letter_words(s["story"]))
+    return let(titles, lambda t: let(most_frequent(F.flatten(t), n_keywords), lambda k: render(t, k)))
+
+
+def digest_highlights(feeds: DataFrame, keys=("feed_id",), n_keywords: int = 3) -> DataFrame:
+    """(keys…, stories) -> (keys…, top_rank, keywords, highlight) of feeds with stories."""
+    h = F.slice(F.array(highlight_of(F.col("stories"), n_keywords)), 1, F.when(F.size("stories") > 0, 1).otherwise(0))
+    return feeds.select(*keys, F.inline(h))
 
 
 # O14 -------------------------------------------------------------------------
@@ -159,8 +155,8 @@ def tasks_table(spark) -> DataFrame:
 def inference_requests(requests: DataFrame, tasks: DataFrame) -> DataFrame:
     """(key, task, content) -> (key, task, model, body): one chat request
     body per row, prompt + one space + content, fields in the reference's
-    declaration order.  The task table has four rows, so it is broadcast."""
-    j = requests.join(F.broadcast(tasks), "task")
+    declaration order.  The planner broadcasts the task table by its size."""
+    j = requests.join(tasks, "task")
     msg = F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
                          F.concat(F.col("prompt"), F.lit(" "), F.col("content")))
     body = F.to_json(F.named_struct(
@@ -193,8 +189,8 @@ def _i32(v):
     return is_vint(v) & x.between(-2147483648, 2147483647)
 
 
-def inference_results(replies: DataFrame) -> DataFrame:
-    """(key, http_status, body) -> (key, status, content): the first
+def inference_results(replies: DataFrame, keys=("key",)) -> DataFrame:
+    """(keys…, http_status, body) -> (keys…, status, content): the first
     choice's content; no choice -> ai_error; bad JSON, trailing text or a
     missing/mistyped required field -> serialization_error; HTTP not 2xx ->
     external_error."""
@@ -221,13 +217,13 @@ def inference_results(replies: DataFrame) -> DataFrame:
                .when(~shape, "serialization_error")
                .when(F.size(carr) == 0, "ai_error").otherwise("ok"))
     content = F.try_variant_get(v, "$.choices[0].message.content", "string")
-    return replies.select("key", status.alias("status"),
+    return replies.select(*keys, status.alias("status"),
                           F.when(status == "ok", content).alias("content"))
 
 
 # O17 -------------------------------------------------------------------------
-def url_summary_results(replies: DataFrame) -> DataFrame:
-    """Summarizer replies -> (key, status, summary); checks in the
+def url_summary_results(replies: DataFrame, keys=("key",)) -> DataFrame:
+    """Summarizer replies -> (keys…, status, summary); checks in the
     reference's order: HTTP status, JSON shape, ``error`` set, no ``data``."""
     from tidings.functions.jsonfn import (is_vnull_or_absent, is_vnumber, is_vobject,
                                           is_vstring, vfield)
@@ -252,60 +248,39 @@ def url_summary_results(replies: DataFrame) -> DataFrame:
                .when(is_vnull_or_absent(data), "external_error")
                .otherwise("ok"))
     summary = F.try_variant_get(v, "$.data.summary", "string")
-    return replies.select("key", status.alias("status"),
+    return replies.select(*keys, status.alias("status"),
                           F.when(status == "ok", summary).alias("summary"))
 
 
 # O19 -------------------------------------------------------------------------
-PROFILE_SIZE = 200
-BROADCAST_ROWS = 1_000_000
 FALLBACK_LANGUAGE = "en"
 
 
-def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                      key: str = "doc_id", k: int = PROFILE_SIZE) -> DataFrame:
-    """(lang, word, n_docs): each label's ``k`` words found in most documents
-    (ties by word).  Distinct words per document are taken in the row
-    (``array_distinct``), the count is partially aggregated, and
-    ``row_number() <= k`` is planned with a partial WindowGroupLimit, so
-    each map task ships at most k rows per label."""
-    ws = labelled.select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))).alias("word"))
-    counts = ws.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n_docs"))
-    w = Window.partitionBy("lang").orderBy(F.col("n_docs").desc(), F.col("word"))
-    return (counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-                  .select("lang", "word", "n_docs"))
+def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", by=()) -> DataFrame:
+    """(by…, word, lang): every word with the label most of its texts have
+    (ties by the smaller label).  One shuffle of distinct words per text."""
+    return (labelled.select(*by, F.col(lang_col).alias("lang"), F.explode(F.array_distinct(letter_words(text_col))).alias("word"))
+                    .groupBy(*by, "word").agg(F.mode("lang", True).alias("lang"))
+                    .where(F.col("lang").isNotNull()))
 
 
-def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str = "text",
-                    n_labels: int | None = None, k: int = PROFILE_SIZE,
+def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str = "text", by=(),
                     default: str = FALLBACK_LANGUAGE) -> DataFrame:
-    """(keys…, language): the label whose profile words occur most often in
-    the text (ties by the smaller label); no hit -> ``default``.
-
-    One shuffle: tokens (``explode_outer`` keeps texts without words) are
-    left-joined to the profile and ``mode(lang, deterministic=true)`` per
-    text picks the most frequent label, lowest on ties, ignoring misses.
-    The profile has at most ``k`` rows per label; when k × n_labels is under
-    ``BROADCAST_ROWS`` it is broadcast, otherwise the join is left to the
-    planner and AQE.
+    """(keys…, language): the label that most distinct words of the text vote
+    for (ties by the smaller label); no vote -> ``default``.
+
+    A word occurs once per text in the join, so even the hottest word has one
+    row per text, and AQE splits it when ``profiles`` is a landed table.
+    ``keys`` may name every column to carry along, which saves a join back.
     """
     keys = list(keys)
-    prof = profiles.select("word", "lang")
-    if n_labels is not None and n_labels * k <= BROADCAST_ROWS:
-        prof = F.broadcast(prof)
-    toks = texts.select(*keys, F.explode_outer(F.regexp_extract_all(
-        F.lower(F.col(text_col)), F.lit(WORD_RE), 0)).alias("word"))
-    best = (toks.join(prof, "word", "left")
-                .groupBy(*keys).agg(F.mode("lang", True).alias("_lang")))
+    votes = texts.select(*keys, *[b for b in by if b not in keys],
+                         F.explode_outer(F.array_distinct(letter_words(text_col))).alias("word"))
+    best = (votes.join(profiles.select(*by, "word", F.col("lang").alias("_vote")), [*by, "word"], "left")
+                 .groupBy(*keys).agg(F.mode("_vote", True).alias("_lang")))
     return best.select(*keys, F.coalesce("_lang", F.lit(default)).alias("language"))
 
 
-def count_labels(labelled: DataFrame, lang_col: str = "lang") -> int:
-    """Number of distinct labels (a small aggregate job) for the size check."""
-    return labelled.select(lang_col).distinct().count()
-
-
 # O22 -------------------------------------------------------------------------
 DROP_BLOCKS_RE = (r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>"
                   r"|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>")
@@ -321,15 +296,6 @@ def page_text(html_col: str = "html"):
     return html_unescape(strip_tags(t))
 
 
-def page_extract(pages: DataFrame, key: str = "page_id", top_k: int = 3,
-                 max_chars: int = 200, wanted: DataFrame | None = None) -> DataFrame:
-    """Extractive summary of each landed page (no fetch): (key, summary).
-
-    With ``wanted`` (a frame holding ``key``) only those pages are
-    summarised; word frequencies still come from every page.
-    """
-    texts = pages.select(key, page_text("html").alias("text"))
-    if wanted is None:
-        return extract_summary(texts, [key], "text", top_k, max_chars)
-    targets = texts.join(wanted.select(key).distinct(), key, "left_semi")
-    return extract_summary(targets, [key], "text", top_k, max_chars, corpus=texts)
+def page_extract(pages: DataFrame, keys=("page_id",), top_k: int = 3, max_chars: int = 200) -> DataFrame:
+    """Extractive summary of each landed page (no fetch): (keys…, summary)."""
+    return extract_summary(pages.select(*keys, page_text("html").alias("text")), keys, "text", top_k, max_chars)

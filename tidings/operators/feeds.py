@@ -1,20 +1,21 @@
 """J1 — feed and link mart (O01–O06).
 
 Feed bodies are parsed once with ``from_xml``; the newest item is the first
-item *in document order* (``element_at(items, 1)``), so O02/O04/O06 need no
-shuffle at all.  Story links are pulled from the item description with
-regular expressions over a scope element, keeping anchor order, dropping
-anchors without ``href`` and joining all nested text of an anchor.
+item *in document order*, so O02/O04/O06 need no shuffle.  Story links come
+from one pass over the tags of the item's description, keeping anchor order,
+dropping anchors without ``href`` and joining all nested text of an anchor.
+
+A feed whose ``http_status`` is null never answered (network failure); a
+status outside 2xx fails before parsing.  An empty ``<title></title>`` is a
+title (``''``); only an absent one is "not found".
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import html_unescape, strip_tags
+from tidings.functions.html import Scope, link_array
 
 CHANNEL_SCHEMA = ("channel struct<title:string,"
                   "item:array<struct<title:string,link:string,description:string>>>")
@@ -25,31 +26,6 @@ TEXT_STORIES_ERROR = "RSS feed service error or parsing failed"
 TEXT_STORIES_NETWORK = "Network error while fetching RSS feed"
 TEXT_TITLE_ERROR = "RSS feed service unavailable or invalid format"
 TEXT_TITLE_NOT_FOUND = "No title found"
-TEXT_NO_STORIES = "No stories found in RSS feed"
-
-ANCHOR_RE = r"(?is)<a(\s[^>]*)?>(.*?)</a\s*>"
-HREF_PRESENT_RE = r"(?i)(^|\s)href(\s*=|\s|$)"
-HREF_RE = r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-
-@dataclass(frozen=True)
-class Scope:
-    """Element whose descendants' anchors are story links.
-
-    ``Scope("nav")`` = every ``<nav>``; ``Scope("span", "storylink")`` =
-    ``span.storylink``.  Matching is non-greedy to the first closing tag,
-    so a scope element nested in another of the same name is not handled.
-    """
-    tag: str = "nav"
-    cls: str | None = None
-
-    def pattern(self) -> str:
-        cls = ""
-        if self.cls:
-            cls = (r"""[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?""" + self.cls
-                   + r"""(?:\s[^"']*)?["']""")
-        return rf"(?is)<{self.tag}\b{cls}[^>]*>(.*?)</{self.tag}\s*>"
-
 
 NAV = Scope("nav")
 
@@ -59,29 +35,23 @@ def parse_channel(body: Column) -> Column:
     return F.from_xml(body, CHANNEL_SCHEMA, XML_OPTIONS)["channel"]
 
 
-def fetched_channel() -> Column:
-    """Channel of a landed feed whose fetch succeeded (HTTP 2xx), else null:
-    the reference fails before parsing when the status is not a success."""
-    return F.when(F.col("http_status").between(200, 299), parse_channel(F.col("body")))
+def fetched() -> Column:
+    """Whether the feed answered with a success; null status is a network failure."""
+    return F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
 
 
-def link_array(html: Column, scope: Scope = NAV) -> Column:
-    """array<struct<storylink, story>> of the anchors under ``scope``."""
-    containers = F.regexp_extract_all(html, F.lit(scope.pattern()), 1)
-    anchors = F.flatten(F.transform(
-        containers, lambda c: F.regexp_extract_all(c, F.lit(ANCHOR_RE), 0)))
+def fetched_channel() -> Column:
+    return F.when(fetched(), parse_channel(F.col("body")))
 
-    def one(a):
-        attrs = F.regexp_extract(a, ANCHOR_RE, 1)
-        inner = F.regexp_extract(a, ANCHOR_RE, 2)
-        href = F.concat(F.regexp_extract(attrs, HREF_RE, 1),
-                        F.regexp_extract(attrs, HREF_RE, 2),
-                        F.regexp_extract(attrs, HREF_RE, 3))
-        return F.struct(
-            F.when(attrs.rlike(HREF_PRESENT_RE), html_unescape(href)).alias("storylink"),
-            html_unescape(strip_tags(inner)).alias("story"))
 
-    return F.filter(F.transform(anchors, one), lambda s: s["storylink"].isNotNull())
+def first_items(feeds: DataFrame) -> DataFrame:
+    """(feed_id, failure, first): the newest item, or why there is no channel
+    (``network_error``, ``http_error``, ``parse_error``)."""
+    parsed = feeds.select("feed_id", "http_status", fetched_channel().alias("ch"))
+    failure = (F.when(F.col("http_status").isNull(), "network_error").when(~fetched(), "http_error")
+                .when(F.col("ch").isNull(), "parse_error"))
+    return parsed.select("feed_id", failure.alias("failure"),
+                         F.try_element_at(F.col("ch")["item"], F.lit(1)).alias("first"))
 
 
 def _explode_links(df: DataFrame, keys: list[str], links: Column) -> DataFrame:
@@ -94,8 +64,9 @@ def _explode_links(df: DataFrame, keys: list[str], links: Column) -> DataFrame:
 # O01 -------------------------------------------------------------------------
 def feed_items(feeds: DataFrame) -> DataFrame:
     """Feed bodies -> one row per item, in document order (item_no from 1)."""
-    parsed = feeds.select("feed_id", fetched_channel().alias("ch"))
-    return (parsed.select("feed_id", F.posexplode("ch.item").alias("pos", "it"))
+    # exploding the expression itself: from a projected column the optimizer
+    # infers a filter on its size, which would parse every body twice
+    return (feeds.select("feed_id", F.posexplode(fetched_channel()["item"]).alias("pos", "it"))
                   .select("feed_id", (F.col("pos") + 1).cast("bigint").alias("item_no"),
                           F.col("it.title").alias("title"),
                           F.col("it.link").alias("link"),
@@ -111,17 +82,6 @@ def latest_item(feeds: DataFrame) -> DataFrame:
     return feeds.select("feed_id", F.inline(first))
 
 
-def latest_item_rows(items: DataFrame) -> DataFrame:
-    """Same as ``latest_item`` for item rows landed one per row.
-
-    ``min(struct(item_no, …))`` aggregates partially on the map side, so a
-    feed holding a third of all items still ships one row per partition.
-    """
-    best = F.min(F.struct("item_no", "title", "link", "description")).alias("b")
-    return (items.groupBy("feed_id").agg(best)
-                 .select("feed_id", "b.title", "b.link", "b.description"))
-
-
 # O03 -------------------------------------------------------------------------
 def extract_links(df: DataFrame, html_col: str = "html", keys=("page_id",),
                   scope: Scope = NAV) -> DataFrame:
@@ -135,48 +95,51 @@ def page_stories(pages: DataFrame, scope: Scope = NAV) -> DataFrame:
                          "html", ("feed_id",), scope)
 
 
+def page_story_arrays(pages: DataFrame, scope: Scope = NAV) -> DataFrame:
+    """(feed_id, stories): every page's stories as one array, in order."""
+    return pages.select(F.col("page_id").alias("feed_id"), link_array(F.col("html"), scope).alias("stories"))
+
+
 # O04 -------------------------------------------------------------------------
+def feed_stories(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
+    """(feed_id, status, stories): the newest item's stories as one array, or
+    the reason why there are none.  One parse of the body and of the HTML."""
+    s = first_items(feeds).select("feed_id", "failure", "first.description")
+    s = s.select("feed_id", "failure", F.col("description").isNull().alias("bare"),
+                 link_array(F.col("description"), scope).alias("stories"))
+    status = (F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("bare"), "no_description")
+               .when(F.size("stories") == 0, "no_links").otherwise("ok"))
+    return s.select("feed_id", status.alias("status"), "stories")
+
+
 def latest_stories(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
     """Story links of each feed's newest item: (feed_id, rank, storylink, story)."""
-    first = F.try_element_at(fetched_channel()["item"], F.lit(1))
-    return _explode_links(feeds, ["feed_id"], link_array(first["description"], scope))
+    # an identity transform keeps the optimizer from inferring (and pushing
+    # down) a filter on the array's size, which would parse every body twice
+    return _explode_links(feed_stories(feeds, scope), ["feed_id"], F.transform("stories", lambda s: s))
 
 
 # O05 -------------------------------------------------------------------------
+def feed_error(status: Column, network: str, external: str) -> Column:
+    """A route's error text for a feed status, null for 'ok'."""
+    return F.when(status == "network_error", network).when(status != "ok", external)
+
+
 def feed_status(feeds: DataFrame, scope: Scope = NAV) -> DataFrame:
-    """One row per feed: status, error class and text, story count.
-
-    Computed per row from the parsed body (no join back to O04).
-    """
-    ch = parse_channel(F.col("body"))
-    first = F.try_element_at(ch["item"], F.lit(1))
-    n = F.size(link_array(first["description"], scope))
-    http_ok = F.col("http_status").between(200, 299)
-    status = (F.when(~http_ok, "http_error")
-               .when(ch.isNull(), "parse_error")
-               .when(first.isNull() | first["description"].isNull(), "no_description")
-               .when(n == 0, "no_links")
-               .otherwise("ok"))
-    return (feeds.select("feed_id", status.alias("status"),
-                         F.when(http_ok & first["description"].isNotNull(), n)
-                          .otherwise(0).cast("bigint").alias("n_stories"))
-                 .select("feed_id", "status", "n_stories",
-                         F.when(F.col("status") == "ok", F.lit(None).cast("string"))
-                          .otherwise("external").alias("error_class"),
-                         F.when(F.col("status") == "ok", F.lit(None).cast("string"))
-                          .otherwise(F.lit(TEXT_STORIES_ERROR)).alias("error_text")))
+    """One row per feed: status, error class and text, story count."""
+    status = F.col("status")
+    return feed_stories(feeds, scope).select(
+        "feed_id", "status", F.size("stories").cast("bigint").alias("n_stories"),
+        F.when(status == "network_error", "network").when(status != "ok", "external").alias("error_class"),
+        feed_error(status, TEXT_STORIES_NETWORK, TEXT_STORIES_ERROR).alias("error_text"))
 
 
 # O06 -------------------------------------------------------------------------
 def latest_title(feeds: DataFrame) -> DataFrame:
     """Newest item's title; no item or no title -> not found (404)."""
-    ch = parse_channel(F.col("body"))
-    title = F.try_element_at(ch["item"], F.lit(1))["title"]
-    ok_fetch = F.col("http_status").between(200, 299) & ch.isNotNull()
-    return feeds.select(
-        "feed_id",
-        F.when(ok_fetch & title.isNotNull(), title).alias("title"),
-        (ok_fetch & title.isNotNull()).alias("success"),
-        F.when(~ok_fetch, 500).when(title.isNull(), 404).otherwise(200).alias("http_code"),
-        F.when(~ok_fetch, TEXT_TITLE_ERROR)
+    f, title = F.col("failure"), F.col("first.title")
+    return first_items(feeds).select(
+        "feed_id", title.alias("title"), (f.isNull() & title.isNotNull()).alias("success"),
+        F.when(f.isNotNull(), 500).when(title.isNull(), 404).otherwise(200).alias("http_code"),
+        F.when(f == "network_error", TEXT_STORIES_NETWORK).when(f.isNotNull(), TEXT_TITLE_ERROR)
          .when(title.isNull(), TEXT_TITLE_NOT_FOUND).alias("error_text"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.collect import ordered_collect
 from tidings.functions.jsonfn import obj, union_obj
 from tidings.functions.text import split_sections, truncate_chars, unicode_trim
 
@@ -97,14 +96,17 @@ def flex_message(alt_text: str, contents: Column) -> Column:
                           F.lit("contents"), contents)
 
 
-def story_carousel(enriched: DataFrame, keys=("feed_id",)) -> DataFrame:
-    """(keys, rank, story, storylink, summary) -> one carousel message per key."""
-    bubbles = ordered_collect(
-        enriched, list(keys), "rank",
-        story_bubble("rank", "story", "storylink", "summary"), "bubbles")
-    msg = flex_message(CAROUSEL_ALT_TEXT, obj(contents=F.col("bubbles"), type="carousel"))
-    return bubbles.select(*keys, F.size("bubbles").cast("bigint").alias("n_bubbles"),
-                          msg.alias("message"))
+def carousel(stories: Column) -> Column:
+    """Carousel message of an array of (rank, storylink, story, summary)."""
+    bubbles = F.transform(stories, lambda s: story_bubble(s["rank"], s["story"], s["storylink"], s["summary"]))
+    return flex_message(CAROUSEL_ALT_TEXT, obj(contents=bubbles, type="carousel"))
+
+
+def story_carousel(feeds: DataFrame, keys=("feed_id",)) -> DataFrame:
+    """(keys…, stories with rank and summary) -> one carousel message per feed with stories."""
+    from tidings.operators.digests import rows_where
+    n = F.size("stories")
+    return rows_where(feeds, n > 0, *keys, n.cast("bigint").alias("n_bubbles"), carousel(F.col("stories")).alias("message"))
 
 
 # O26 -------------------------------------------------------------------------
@@ -185,12 +187,20 @@ def outbox_broadcast(df: DataFrame, message_col: str = "message", keys=()) -> Da
 
 
 # O31 -------------------------------------------------------------------------
-def outbox_sink(outbox: DataFrame, path: str, run_date: str, mode: str = "overwrite") -> None:
-    """Durable outbox in place of the HTTP POST: parquet by channel and run date.
+#: outcome of an outbox row before it is sent
+READY, ERROR, REJECTED, NEEDS_TRANSLATION = "ready", "error", "rejected", "needs_translation"
+
+
+def outbox_sink(outbox: DataFrame, path: str, job: str, run_date: str) -> None:
+    """Durable outbox in place of the HTTP POST: parquet by run date and job.
 
-    ``partitionOverwriteMode=dynamic`` makes a rerun of the same run date
-    replace only its own partitions, so a retried job never doubles rows.
+    Every row keeps its outcome (``status``; rows without one are ready).
+    ``partitionOverwriteMode=dynamic`` makes a rerun replace only the
+    partition of its own job and date, so a retried job never doubles rows
+    and jobs that share a channel keep each other's.
     """
-    (outbox.withColumn("run_date", F.lit(run_date))
-           .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-           .partitionBy("channel", "run_date").parquet(path))
+    if "status" not in outbox.columns:
+        outbox = outbox.withColumn("status", F.lit(READY))
+    (outbox.withColumn("run_date", F.lit(run_date)).withColumn("job", F.lit(job))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("run_date", "job").parquet(path))

@@ -95,9 +95,11 @@ def parse_webhooks(webhooks: DataFrame) -> DataFrame:
 # O34 -------------------------------------------------------------------------
 def first_event_outcome(webhooks: DataFrame, secret: str) -> DataFrame:
     """One row per webhook: outcome in the reference's order of checks,
-    plus the first event's reply token, user id and text when accepted."""
+    plus the first event's reply token, user id and text when accepted.
+    A ``feed_id`` of the webhook is carried along."""
+    feed = [c for c in ("feed_id",) if c in webhooks.columns]
     p = parse_webhooks(verify_signatures(webhooks, secret))
-    p = p.select("webhook_id", "signature_ok", "parse_ok", "events",
+    p = p.select("webhook_id", *feed, "signature_ok", "parse_ok", "events",
                  F.try_element_at(F.col("events"), F.lit(1)).alias("_e"))
     e = F.col("_e")
     text = e["message"]["text"]
@@ -108,9 +110,9 @@ def first_event_outcome(webhooks: DataFrame, secret: str) -> DataFrame:
                 .when(e["message"].isNull(), "no_message")
                 .when(text.isNull() | (text == ""), "no_text")
                 .otherwise("accepted"))
-    o = p.select("webhook_id", "_e", outcome.alias("outcome"))
+    o = p.select("webhook_id", *feed, "_e", outcome.alias("outcome"))
     acc = F.col("outcome") == "accepted"
-    return o.select("webhook_id", "outcome",
+    return o.select("webhook_id", *feed, "outcome",
                     F.when(acc, e["replyToken"]).alias("reply_token"),
                     F.when(acc, e["source"]["userId"]).alias("user_id"),
                     F.when(acc, text).alias("text"))
@@ -184,7 +186,9 @@ def route_calls(events: DataFrame, calls: DataFrame) -> DataFrame:
     reply_latest_story needs a reply token, push_summary and
     push_url_summary need a user id, anything else pushes the message text
     and needs a user id and a message; a route missing its key is dropped.
+    ``feed_id`` and ``language`` of the events are carried along.
     """
+    also = [c for c in ("feed_id", "language") if c in events.columns]
     j = events.join(calls.withColumnRenamed("key", "webhook_id"), "webhook_id", "left")
     name = F.col("name")
     route = (F.when(F.col("outcome") != "accepted", F.lit(None))
@@ -204,7 +208,7 @@ def route_calls(events: DataFrame, calls: DataFrame) -> DataFrame:
                 .when((r == "push_message") & F.col("message").isNull(), "no_message")
                 .otherwise("routed"))
     return j.select("webhook_id", "route", outcome.alias("outcome"),
-                    "reply_token", "user_id", "text", "name", "arguments", "message")
+                    "reply_token", "user_id", "text", "name", "arguments", "message", *also)
 
 
 # O38 -------------------------------------------------------------------------
@@ -227,15 +231,15 @@ def call_indexes(routes: DataFrame) -> DataFrame:
 
 
 # O39 -------------------------------------------------------------------------
-def call_urls(routes: DataFrame) -> DataFrame:
+def call_urls(routes: DataFrame, also=()) -> DataFrame:
     """push_url_summary arguments -> url when it is a JSON string."""
     r = routes.where((F.col("route") == "push_url_summary") & (F.col("outcome") == "routed"))
     u = F.col("_u")
     url = F.when(is_vstring(u), F.try_variant_get(u, "$", "string"))
     # explode of a 0/1-element array instead of a filter on the derived url:
     # a filter would be pushed through the join and inline the reply parse
-    return (r.select("webhook_id", "user_id", vfield(strict_json(F.col("arguments")), "$.url").alias("_u"))
-             .select("webhook_id", "user_id",
+    return (r.select("webhook_id", "user_id", *also, vfield(strict_json(F.col("arguments")), "$.url").alias("_u"))
+             .select("webhook_id", "user_id", *also,
                      F.explode(F.filter(F.array(url), lambda x: x.isNotNull())).alias("url")))
 
 

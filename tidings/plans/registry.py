@@ -17,13 +17,15 @@ from tidings.operators import outbox as J4
 from tidings.operators import webhooks as J5
 from tidings.plans import jobs as JOBS
 from tidings.session import materialize, sub_dir
-from tidings.sources import feeds as feed_src
 from tidings.sources import fixtures as FX
 from tidings.sources import tables as T
 from tidings.streaming import webhooks as STREAM
 
 QUERIES: dict = {}
 FLAGSHIP = "job_story_broadcast"
+RUN_DATE = "2024-01-31"  # card date: a job parameter, fixed for repeatable output
+SECRET = FX.FIXTURE_SECRET
+CHAT_MODEL = "gpt-4o"  # fixed value: the reference's chat model name
 
 
 def register(key):
@@ -34,7 +36,21 @@ def register(key):
 
 
 def _feeds(spark, d):
-    return feed_src.feeds_from_pages(T.pages(spark, d))
+    return FX.landed_feeds(T.pages(spark, d))
+
+
+def _stories(spark, d):
+    """Story rows of every page."""
+    return J1.page_stories(T.pages(spark, d, "page_id", "html"))
+
+
+def _arrays(spark, d):
+    """The same stories, one array per page."""
+    return J1.page_story_arrays(T.pages(spark, d, "page_id", "html"))
+
+
+def _selections(spark, d):
+    return FX.selections(T.events(spark, d))
 
 
 # J1 ---------------------------------------------------------------------------
@@ -47,54 +63,52 @@ register("latest_title")(lambda s, d: J1.latest_title(_feeds(s, d)))
 
 
 # J2 ---------------------------------------------------------------------------
-
-
-def _stories(spark, d):
-    return J1.page_stories(T.pages(spark, d, "page_id", "html"))
-
-
-def _selections(spark, d):
-    return FX.selections(T.events(spark, d))
-
-
 register("story_rank")(lambda s, d: J2.story_rank(_stories(s, d)))
-register("story_digest")(lambda s, d: J2.story_digest(_stories(s, d)))
-register("select_stories")(lambda s, d: J2.select_stories(_selections(s, d), _stories(s, d)))
-register("selection_status")(lambda s, d: J2.selection_status(_selections(s, d), _stories(s, d)))
+register("story_digest")(lambda s, d: J2.story_digest(_arrays(s, d)))
+register("select_stories")(lambda s, d: J2.select_stories(_selections(s, d), _arrays(s, d)))
+register("selection_status")(lambda s, d: J2.selection_status(_selections(s, d), _arrays(s, d)))
 register("latest_headline")(lambda s, d: J2.feed_headlines(_feeds(s, d)))
 register("valid_urls")(lambda s, d: J2.valid_urls(FX.urls(T.pages(s, d, "page_id", "url"))))
 register("translate_queue")(lambda s, d: J2.translate_queue(_selections(s, d))
                             .select("request_id", "user_id", "language_code"))
 
 
-# J3 (part) / J4 -------------------------------------------------------------------
+# J3 / J4 ------------------------------------------------------------------------
+def _story_results(spark, d):
+    """Landed story summaries that parsed: (feed_id, rank, summary)."""
+    replies = J3.inference_results(FX.story_replies(_stories(spark, d)), ("feed_id", "rank"))
+    return replies.select("feed_id", "rank", F.col("content").alias("summary"))
 
 
-RUN_DATE = "2024-01-31"  # card date: a job parameter, fixed for repeatable output
+def _digest_results(spark, d):
+    return J3.inference_results(FX.digest_replies(T.pages(spark, d, "page_id")), ("feed_id",))
+
 
+def _selection_results(spark, d):
+    return J3.inference_results(FX.selection_replies(T.conversations(spark, d)), ("webhook_id",))
 
-def _title_enriched(spark, d):
-    st = materialize(_stories(spark, d))  # read by four branches
-    summ = J3.extract_summary(st, ["feed_id", "rank"], "story")
-    return J3.enrich_with_default(st, summ)
+
+def _url_results(spark, d):
+    """Landed URL summaries, one per URL (of the page with the smallest id)."""
+    parsed = J3.url_summary_results(FX.url_replies(T.pages(spark, d)), ("key", "url"))
+    return (parsed.groupBy("url").agg(F.min(F.struct("key", "status", "summary")).alias("r"))
+                  .select("url", "r.status", "r.summary"))
 
 
 def _highlights(spark, d):
-    return J3.digest_highlights(materialize(_stories(spark, d)))  # read by five branches
+    return J3.digest_highlights(_arrays(spark, d))
 
 
-register("story_extract")(lambda s, d: J3.extract_summary(T.documents(s, d, "doc_id", "text"),
-                                                           ["doc_id"], "text"))
-register("enrich_with_default")(_title_enriched)
+register("story_extract")(lambda s, d: J3.extract_summary(T.documents(s, d, "doc_id", "text"), ["doc_id"], "text"))
+register("enrich_with_default")(lambda s, d: J3.enrich_with_default(_stories(s, d), _story_results(s, d)))
 register("digest_highlights")(_highlights)
 register("truncate_text")(lambda s, d: J4.truncate_text(
     T.conversations(s, d, "conv_id", "turn", "text"), "text", ["conv_id", "turn"]))
-register("text_messages")(lambda s, d: J4.text_messages(
-    T.conversations(s, d).where(F.col("role") == "assistant"), "text", ["conv_id", "turn"]))
-register("story_carousel")(lambda s, d: J4.story_carousel(_title_enriched(s, d))
-                           .select("feed_id", "n_bubbles", F.to_json("message").alias("payload")))
-register("summary_sections")(lambda s, d: J4.summary_sections(
-    J2.story_digest(_stories(s, d)), "digest", ["feed_id"]))
+register("text_messages")(lambda s, d: J4.text_messages(T.conversations(s, d), "text", ["conv_id", "turn"]))
+register("story_carousel")(lambda s, d: J4.story_carousel(
+    _arrays(s, d).select("feed_id", J3.story_summaries(F.col("stories")).alias("stories")))
+    .select("feed_id", "n_bubbles", F.to_json("message").alias("payload")))
+register("summary_sections")(lambda s, d: J4.summary_sections(J2.story_digest(_arrays(s, d)), "digest", ["feed_id"]))
 register("summary_bubble")(lambda s, d: J4.summary_bubbles(
     _highlights(s, d), "highlight", ["feed_id"], RUN_DATE)
     .select("feed_id", F.to_json("message").alias("payload")))
@@ -103,11 +117,6 @@ register("outbox_broadcast")(lambda s, d: J4.outbox_broadcast(
 
 
 # J5 ---------------------------------------------------------------------------
-
-SECRET = FX.FIXTURE_SECRET
-CHAT_MODEL = "gpt-4o"  # fixed value: the reference's chat model name
-
-
 def _webhooks(spark, d):
     return FX.webhooks(T.conversations(spark, d))
 
@@ -116,8 +125,12 @@ def _outcomes(spark, d):
     return J5.first_event_outcome(_webhooks(spark, d), SECRET)
 
 
+def _replies(spark, d):
+    return FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
+
+
 def _calls(spark, d):
-    return J5.decode_tool_calls(FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url")))
+    return J5.decode_tool_calls(_replies(spark, d))
 
 
 def _routes(spark, d):
@@ -145,29 +158,33 @@ register("webhook_funnel")(lambda s, d: J5.webhook_funnel(_routes(s, d)))
 # J3 (rest) --------------------------------------------------------------------------
 def _request_rows(spark, d):
     """Every prompted request the flows make, as (key, task, content)."""
-    st = _stories(spark, d)
-    single = st.select(F.concat(F.lit("story:"), F.col("feed_id").cast("string"), F.lit(":"),
-                                F.col("rank").cast("string")).alias("key"),
-                       F.lit("summary_single").alias("task"), F.col("story").alias("content"))
-    digests = J2.story_digest(st).select(
-        F.concat(F.lit("digest:"), F.col("feed_id").cast("string")).alias("key"),
-        F.lit("summary_all").alias("task"), F.col("digest").alias("content"))
+    arrays = _arrays(spark, d)
+    digest = J2.digest_text(F.col("stories"))
+    # one pass over the pages gives a feed's story requests and its digest request
+    per_story = F.transform("stories", lambda s, i: F.struct(
+        F.concat(F.lit("story:"), F.col("feed_id").cast("string"), F.lit(":"), (i + 1).cast("string")).alias("key"),
+        F.lit("summary_single").alias("task"), s["story"].alias("content")))
+    per_feed = F.array(F.struct(F.concat(F.lit("digest:"), F.col("feed_id").cast("string")).alias("key"),
+                                F.lit("summary_all").alias("task"), digest.alias("content")))
+    both = arrays.select(F.inline(F.concat(per_story, F.slice(per_feed, 1, F.when(F.size("stories") > 0, 1).otherwise(0)))))
     conv = T.conversations(spark, d).where(F.col("role") == "user")
-    lang = conv.select(F.concat(F.lit("lang:"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
-                        .alias("key"), F.lit("get_language_code").alias("task"),
+    lang = conv.select(F.concat(F.lit("lang:"), FX.request_key()).alias("key"), F.lit("get_language_code").alias("task"),
                        F.col("text").alias("content"))
-    sel = J2.translate_queue(J2.select_stories(_selections(spark, d), st))
+    sel = J2.translate_queue(J2.select_stories(_selections(spark, d), arrays))
     tr = sel.select(F.concat(F.lit("translate:"), F.col("request_id").cast("string")).alias("key"),
                     F.lit("translate").alias("task"),
                     J3.translate_content("language_code", "digest").alias("content"))
-    return single.unionByName(digests).unionByName(lang).unionByName(tr)
+    return both.unionByName(lang).unionByName(tr)
 
 
 def _detect_docs(spark, d):
+    """Each half of the documents (even, odd ids) is labelled by words learned from the other."""
+    half = (F.col("doc_id") % 2).alias("half")
     docs = T.documents(spark, d, "doc_id", "text", "lang")
-    prof = J3.language_profiles(docs)
-    return (J3.detect_language(docs, prof, ["doc_id"], n_labels=J3.count_labels(docs))
-              .join(docs.select("doc_id", "lang"), "doc_id"))
+    learned = J3.language_profiles(docs.select(half, "text", "lang"), by=["half"])
+    profiles = materialize(learned.select((1 - F.col("half")).alias("half"), "word", "lang"))
+    return (J3.detect_language(docs.select("doc_id", half, "text", "lang"), profiles, ["doc_id", "lang"], by=["half"])
+              .select("doc_id", "language", "lang"))
 
 
 register("inference_requests")(lambda s, d: J3.inference_requests(_request_rows(s, d), J3.tasks_table(s)))
@@ -180,22 +197,23 @@ register("page_extract")(lambda s, d: J3.page_extract(T.pages(s, d, "page_id", "
 
 
 # Outbox and end-to-end jobs ---------------------------------------------------------
-
-
 def _profiles(spark, d):
-    docs = T.documents(spark, d, "doc_id", "text", "lang")
-    return J3.language_profiles(docs), J3.count_labels(docs)
+    """Word profile of all documents, landed once per job."""
+    return materialize(J3.language_profiles(T.documents(spark, d, "text", "lang")))
 
 
 def _webhook_routes(spark, d):
-    prof, n = _profiles(spark, d)
-    replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
-    # routes are read by several outbox branches: checkpoint them once
-    return materialize(JOBS.webhook_routes(_webhooks(spark, d), replies, SECRET, prof, n))
+    return JOBS.webhook_routes(_webhooks(spark, d), _replies(spark, d), SECRET, _profiles(spark, d))
+
+
+def _landed(spark, d):
+    """Replies and translations that have landed for the webhook flows."""
+    return {"results": _selection_results(spark, d), "url_results": _url_results(spark, d),
+            "translations": FX.translations(T.conversations(spark, d))}
 
 
 def _outbox_push(spark, d):
-    sel = J2.select_stories(_selections(spark, d), _stories(spark, d))
+    sel = J2.select_stories(_selections(spark, d), _arrays(spark, d))
     msgs = sel.select("request_id", "user_id",
                       J4.summary_bubble(F.col("digest"), RUN_DATE).alias("message"))
     return J4.outbox_push(msgs, keys=["request_id"])
@@ -203,49 +221,57 @@ def _outbox_push(spark, d):
 
 def _outbox_reply(spark, d):
     out = JOBS.webhook_outbox(_routes(spark, d), JOBS.page_headlines(T.pages(spark, d)))
-    return out.where(F.col("channel") == "reply")
+    return out.where(F.col("channel") == "reply").drop("request_text")
 
 
 def _job_webhooks(spark, d):
-    prof, n = _profiles(spark, d)
-    replies = FX.tool_replies(T.conversations(spark, d), T.pages(spark, d, "page_id", "url"))
-    return JOBS.process_webhooks(_webhooks(spark, d), replies, SECRET, prof, n, T.pages(spark, d))
+    return JOBS.process_webhooks(_webhooks(spark, d), _replies(spark, d), SECRET, _profiles(spark, d),
+                                 T.pages(spark, d), RUN_DATE, **_landed(spark, d))
 
 
 register("outbox_push")(_outbox_push)
 register("outbox_reply")(_outbox_reply)
-register("job_story_broadcast")(lambda s, d: JOBS.story_broadcast(_feeds(s, d)))
-register("job_daily_summary")(lambda s, d: JOBS.daily_summary(_feeds(s, d), RUN_DATE))
-register("job_push_summaries")(lambda s, d: JOBS.push_summaries(_webhook_routes(s, d), _stories(s, d), RUN_DATE))
-register("job_push_url")(lambda s, d: JOBS.push_url(_webhook_routes(s, d), T.pages(s, d), RUN_DATE))
+register("job_story_broadcast")(lambda s, d: JOBS.story_broadcast(_feeds(s, d), _story_results(s, d)))
+register("job_daily_summary")(lambda s, d: JOBS.daily_summary(_feeds(s, d), RUN_DATE, _digest_results(s, d)))
+register("job_push_summaries")(lambda s, d: JOBS.push_summaries(
+    _webhook_routes(s, d), _arrays(s, d), RUN_DATE, _selection_results(s, d), FX.translations(T.conversations(s, d))))
+register("job_push_url")(lambda s, d: JOBS.push_url(
+    _webhook_routes(s, d), T.pages(s, d), RUN_DATE, _url_results(s, d), FX.translations(T.conversations(s, d))))
 register("job_webhooks")(_job_webhooks)
 
 
-# Sinks and streaming (rows-only checks) -------------------------------------------
-
-
+# Sinks and streaming ----------------------------------------------------------------
 def _outbox_sink(spark, d):
-    """Broadcast + push + reply rows written to the durable outbox, read back."""
-    out = (J4.outbox_broadcast(J4.summary_bubbles(_highlights(spark, d), "highlight", ["feed_id"], RUN_DATE))
-             .unionByName(_outbox_push(spark, d).drop("request_id"))
-             .unionByName(_outbox_reply(spark, d).drop("webhook_id")))
-    path = sub_dir(spark, "outbox")
-    J4.outbox_sink(out, path, RUN_DATE)
-    return (spark.read.parquet(path).where(F.col("run_date") == RUN_DATE)
-                 .withColumn("run_date", F.col("run_date").cast("string")))
+    """Three jobs' rows written to the durable outbox of this run, read back."""
+    path = sub_dir(spark, f"outbox/{uuid.uuid4().hex}")
+    cards = J4.summary_bubbles(_highlights(spark, d), "highlight", ["feed_id"], RUN_DATE)
+    J4.outbox_sink(J4.outbox_broadcast(cards), path, "daily_summary", RUN_DATE)
+    J4.outbox_sink(_outbox_push(spark, d).drop("request_id"), path, "push_summaries", RUN_DATE)
+    J4.outbox_sink(_outbox_reply(spark, d).select("channel", "recipient", "payload", "status"), path, "webhooks", RUN_DATE)
+    return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
 
 
-def _webhook_stream(spark, d):
-    """Land the webhook fixture, run the stream to completion, read its sink."""
+def stream_run(spark, d, max_files_per_trigger: int = 1000, files: int | None = None) -> str:
+    """Land the webhook fixture, run the stream to completion; the folder of its outputs."""
     run = sub_dir(spark, f"webhook_stream/{uuid.uuid4().hex}")
-    _webhooks(spark, d).write.mode("overwrite").parquet(f"{run}/in")
-    q = STREAM.start_webhook_stream(spark, f"{run}/in", _calls(spark, d), SECRET,
-                                    f"{run}/sink", f"{run}/checkpoint",
-                                    headlines=JOBS.page_headlines(T.pages(spark, d)),
-                                    outbox_path=f"{run}/outbox")
+    hooks = _webhooks(spark, d)
+    (hooks.repartition(files) if files else hooks).write.mode("overwrite").parquet(f"{run}/in")
+    pages = T.pages(spark, d)
+    landed = STREAM.land(spark, f"{run}/landed", calls=_calls(spark, d),
+                         profiles=J3.language_profiles(T.documents(spark, d, "text", "lang")),
+                         headlines=JOBS.page_headlines(pages), feeds=J1.page_story_arrays(pages), pages=pages,
+                         **_landed(spark, d))
+    q = STREAM.start_webhook_stream(spark, f"{run}/in", landed, SECRET, RUN_DATE, f"{run}/sink", f"{run}/outbox",
+                                    f"{run}/checkpoint", max_files_per_trigger=max_files_per_trigger)
     q.awaitTermination()
-    return STREAM.read_sink(spark, f"{run}/sink").drop("batch_id").select(
-        "webhook_id", "route", "outcome", "reply_token", "user_id")
+    return run
+
+
+def _webhook_stream(spark, d):
+    """Routes and answers of the streamed webhooks, the columns of ``job_webhooks``."""
+    run = stream_run(spark, d)
+    routes = STREAM.read_sink(spark, f"{run}/sink").select("webhook_id", "route", "outcome", "language")
+    return routes.join(spark.read.parquet(f"{run}/outbox").drop("batch_id"), "webhook_id", "left")
 
 
 register("outbox_sink")(_outbox_sink)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "tidings",
@@ -27,55 +27,48 @@ def build_session(master: str | None = None, app_name: str = "tidings",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a checkpoint's files go when the last table that reads them is gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, size its heap
-        conf["spark.driver.memory"] = "16g"
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    try:
-        spark.sparkContext.setLogLevel("ERROR")
-    except Exception:
-        pass
+    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage.  Only when it is unset (local tests)
-    do we create one, under the session's scratch space.
+    A cluster must name it: executors cannot see a folder of the driver's
+    machine.  Only a local session, whose executors are the driver, gets one
+    of its own when the setting is absent.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tidings-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tidings-shared-")
         spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # Spark Connect: the server reads spark.checkpoint.dir
-        pass
     return d
 
 
 def sub_dir(spark: SparkSession, name: str) -> str:
-    """A named folder below the checkpoint dir (stream checkpoints, tables)."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A named folder below the shared one (stream checkpoints, tables)."""
+    return os.path.join(shared_dir(spark), name)
 
 
-def materialize(df):
-    """Reliable checkpoint of an intermediate read by several branches.
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate that several branches read.
 
-    Written under ``spark.checkpoint.dir`` (shared storage on a cluster), so
-    the lineage is cut, later branches read it instead of recomputing it, and
-    a lost executor costs a re-read, not a recompute.  Never a local
-    checkpoint.
+    Written to the shared folder, so the lineage is cut and a lost executor
+    costs a re-read.  A failing query fails here.
     """
-    checkpoint_dir(df.sparkSession)
-    try:
-        return df.checkpoint(eager=True)
-    except Exception:  # no reliable checkpoint available: recompute instead
-        return df
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,67 +1,54 @@
 """Feed sources: landed RSS files, or feed bodies derived from ``pages``.
 
 A landed feed is one RSS document; ``read_feed_files`` reads a folder of
-them with the XML data source (one row per file).  For the test tables we
-derive feeds from ``pages``: the pages of one host form that host's feed,
-in ``page_id`` order, cut into editions of at most ``EDITION_SIZE`` items
-(a real feed carries a bounded window of items; this also bounds the size
-of every ``collect_list`` group no matter how many pages one host has).
+them.  For the test tables every page is a feed: its newest item is the page
+itself (title, URL, HTML as description) and its older items are the page's
+links, all built in the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.functions.text import xml_escape
-from tidings.functions.url import URL_RE, url_clean
-
-EDITION_SIZE = 100
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title>"
-
-
-def page_host(url_col="url"):
-    """Lower-cased host part of a page URL ('' when it has none)."""
-    return F.lower(F.regexp_extract(url_clean(url_col), URL_RE, 1))
-
-
-def page_items(pages: DataFrame, edition_size: int = EDITION_SIZE) -> DataFrame:
-    """pages -> (feed_id, page_id, title, link, description) item rows."""
-    # non-nullable feed id: joins on it then infer no isnotnull filter that
-    # would re-run the host regex at the scan
-    return pages.select(
-        F.coalesce(F.concat(page_host("url"), F.lit("#"),
-                            F.floor(F.col("page_id") / edition_size).cast("string")),
-                   F.lit("#")).alias("feed_id"),
-        "page_id",
-        F.regexp_extract("html", TITLE_RE, 1).alias("title"),
-        F.col("url").alias("link"),
-        F.col("html").alias("description"),
-    )
-
-
-def feeds_from_pages(pages: DataFrame, edition_size: int = EDITION_SIZE) -> DataFrame:
-    """One RSS 2.0 body per feed: (feed_id, http_status, body).
-
-    The item XML is rendered per page (narrow), then one bounded group per
-    feed concatenates its items in page order.
-    """
-    items = page_items(pages, edition_size).select(
-        "feed_id", "page_id",
-        F.concat(F.lit("<item><title>"), xml_escape("title"),
-                 F.lit("</title><link>"), xml_escape("link"),
-                 F.lit("</link><description>"), xml_escape("description"),
-                 F.lit("</description></item>")).alias("item_xml"))
-    grouped = items.groupBy("feed_id").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("page_id", "item_xml"))),
-            lambda s: s["item_xml"]), "").alias("items"))
-    return grouped.select(
-        "feed_id", F.lit(200).alias("http_status"),
-        F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'),
-                 xml_escape(F.regexp_extract("feed_id", r"^(.*)#", 1)),
-                 F.lit("</title>"), F.col("items"),
-                 F.lit("</channel></rss>")).alias("body"))
+from tidings.functions.html import Scope, link_array
+from tidings.functions.text import html_unescape, xml_escape
+
+TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+
+
+def page_title(html: str = "html") -> Column:
+    """Decoded title of a page; null without a title element, '' for an empty one."""
+    c = F.col(html)
+    return F.when(c.rlike(TITLE_RE), html_unescape(F.regexp_extract(c, TITLE_RE, 1)))
+
+
+def element(name: str, text: Column) -> Column:
+    """An XML element, or '' for a null text."""
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), xml_escape(text), F.lit(f"</{name}>")), F.lit(""))
+
+
+def item(title: Column, link: Column, description: Column) -> Column:
+    return F.concat(F.lit("<item>"), element("title", title), element("link", link),
+                    element("description", description), F.lit("</item>"))
+
+
+def rss_body(title: Column, items: Column) -> Column:
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'),
+                    element("title", title), items, F.lit("</channel></rss>"))
+
+
+def page_body() -> Column:
+    """RSS body of a page: the page as newest item, its links as older ones."""
+    none = F.lit(None).cast("string")
+    older = F.array_join(F.transform(link_array(F.col("html"), Scope("nav")),
+                                     lambda a: item(a["story"], a["storylink"], none)), "")
+    return rss_body(page_title(), F.concat(item(page_title(), F.col("url"), F.col("html")), older))
+
+
+def feeds_from_pages(pages: DataFrame) -> DataFrame:
+    """One RSS 2.0 body per page: (feed_id, http_status, body)."""
+    return pages.select(F.col("page_id").alias("feed_id"), F.lit(200).alias("http_status"), page_body().alias("body"))
 
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Inputs derived from the landed test tables with fixed, documented rules.
 
-Every derivation is a narrow projection of a driver table (no sampling and
-no row filter), so the derived inputs grow with the tables.  The same rules
-are written in SQL in ``tidings.plans.oracle``.
+Every derivation is a narrow projection of a driver table, so the derived
+inputs grow with the tables; webhooks, model calls and direct requests come
+from the user turns of ``conversations``, as the service receives them.  Error
+forms are seeded by id so that every branch of an operator is met.
 """
 
 from __future__ import annotations
@@ -34,13 +35,42 @@ def selections(events: DataFrame) -> DataFrame:
         _e(SELECTION_INDEXES).alias("indexes"))
 
 
-# urls: page URLs, with bad forms by page_id ------------------------------------
-URL_FORM = ("CASE page_id % 8 WHEN 1 THEN regexp_replace(url, '^[a-z]+:', 'ftp:') "
+# feeds: a page each, with error forms by page_id --------------------------------
+#: page_id % 23 -> what is wrong with the landed feed
+FEED_FORMS = {3: "no answer", 5: "status 503", 7: "body cut short", 11: "no item", 13: "no title", 17: "no link",
+              19: "no story link", 2: "no description"}
+
+
+def landed_feeds(pages: DataFrame) -> DataFrame:
+    """pages -> (feed_id, http_status, body) with the error forms."""
+    from tidings.sources.feeds import item, page_body, page_title, rss_body
+    form = F.col("page_id") % 23
+    none = F.lit(None).cast("string")
+    title, link, html = page_title(), F.col("url"), F.col("html")
+    broken = (F.when(form == 11, F.lit("")).when(form == 13, item(none, link, html)).when(form == 17, item(title, none, html))
+               .when(form == 19, item(title, link, F.lit("<p>Nothing today</p>"))).when(form == 2, item(title, link, none)))
+    whole = page_body()
+    body = (F.when(form == 3, none).when(form == 7, F.substr(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int")))
+             .when(broken.isNotNull(), rss_body(title, broken)).otherwise(whole))
+    return pages.select(F.col("page_id").alias("feed_id"),
+                        F.when(form == 3, F.lit(None).cast("int")).when(form == 5, 503).otherwise(200).alias("http_status"),
+                        body.alias("body"))
+
+
+# urls: page URLs, with bad and odd forms by page_id ------------------------------
+URL_FORM = ("CASE page_id % 16 WHEN 1 THEN regexp_replace(url, '^[a-z]+:', 'ftp:') "
             "WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') "
             "WHEN 3 THEN concat('  ', url) "
             "WHEN 4 THEN regexp_extract(url, '^[a-z]+://', 0) "
             "WHEN 5 THEN upper(url) "
             "WHEN 6 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '$1:99999') "
+            "WHEN 8 THEN 'http://256.1.1.1/' || page_id "
+            "WHEN 9 THEN 'http://[:::]/' || page_id "
+            "WHEN 10 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '$1:000080') "
+            "WHEN 11 THEN 'http://%41.example/' || page_id "
+            "WHEN 12 THEN 'https://[::1]/' || page_id "
+            "WHEN 13 THEN 'http://1.2.3.4.5/' || page_id "
+            "WHEN 14 THEN 'http://0x7f.1/' || page_id "
             "ELSE url END")
 
 
@@ -53,11 +83,6 @@ def urls(pages: DataFrame) -> DataFrame:
         _e(URL_FORM).alias("url"))
 
 
-def recipients(events: DataFrame) -> DataFrame:
-    """Distinct user ids (a partial-aggregated distinct, one shuffle)."""
-    return events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id")).distinct()
-
-
 # webhooks: user turns of conversations as signed chat-platform bodies ------------
 # Fixed fixture key (a job parameter in real use; never a real secret).
 FIXTURE_SECRET = "fixture-channel-secret"
@@ -66,6 +91,11 @@ FIXTURE_SECRET = "fixture-channel-secret"
 WEBHOOK_VARIANT = "(conv_id * 7 + turn) % 20"
 
 
+def request_key():
+    """Key of a user turn: "{conv_id}:{turn}"."""
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 def _spark_jstr(x: str) -> str:
     return f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
 
@@ -102,23 +132,26 @@ def _webhook_body_sql(jtext: str, wid: str, cid: str, turn: str, v: str) -> str:
 
 
 def webhooks(conversations: DataFrame, secret: str = FIXTURE_SECRET) -> DataFrame:
-    """User turns -> (webhook_id, signature, body binary)."""
+    """User turns -> (webhook_id, feed_id, signature, body binary).
+
+    The feed a webhook asks about is the page whose id is the conversation's.
+    """
     from tidings.functions.crypto import hmac_sha256_base64
 
     users = conversations.where(F.col("role") == "user")
     base = users.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("webhook_id"),
+        request_key().alias("webhook_id"), F.col("conv_id").alias("feed_id"),
         F.expr(WEBHOOK_VARIANT).alias("v"),
-        F.expr(_webhook_body_sql(_spark_jstr("text"), "CAST(conv_id * 1000 + turn AS STRING)",
+        F.expr(_webhook_body_sql(_spark_jstr("text"), "concat_ws(':', conv_id, turn)",
                                  "CAST(conv_id AS STRING)", "CAST(turn AS STRING)",
                                  WEBHOOK_VARIANT)).alias("body_text"))
-    signed = base.select("webhook_id", "v", F.encode("body_text", "UTF-8").alias("body"))
+    signed = base.select("webhook_id", "feed_id", "v", F.encode("body_text", "UTF-8").alias("body"))
     good = hmac_sha256_base64(F.col("body"), secret)
     sig = (F.when(F.col("v") == 11, F.regexp_replace(good, "=+$", ""))
             .when(F.col("v") == 12, F.lit("not base64!"))
             .otherwise(good))
     body = F.when(F.col("v") == 10, F.concat(F.col("body"), F.lit(b" "))).otherwise(F.col("body"))
-    return signed.select("webhook_id", sig.alias("signature"), body.alias("body"))
+    return signed.select("webhook_id", "feed_id", sig.alias("signature"), body.alias("body"))
 
 
 # tool-call replies of the model, one per user turn ---------------------------------
@@ -166,7 +199,7 @@ def tool_replies(conversations: DataFrame, pages: DataFrame) -> DataFrame:
              .join(pages.select(F.col("page_id").alias("conv_id"), F.col("url").alias("page_url")),
                    "conv_id", "left"))
     return users.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("key"),
+        request_key().alias("key"),
         F.expr("CASE WHEN (conv_id + turn) % 11 = 10 THEN 500 ELSE 200 END").alias("http_status"),
         F.expr(_tool_reply_sql("conv_id", "turn", _spark_jstr, "page_url")).alias("body"))
 
@@ -176,11 +209,51 @@ def conversation_requests(conversations: DataFrame) -> DataFrame:
     users = conversations.where(F.col("role") == "user")
     raw = F.encode("text", "UTF-8")
     return users.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        request_key().alias("request_id"),
         F.when((F.col("conv_id") + F.col("turn")) % 13 == 7, F.concat(raw, F.lit(b"\xff")))
          .otherwise(raw).alias("body"))
 
 
+# landed model replies for stories, digests, selections ---------------------------
+def _chat_reply(content, form):
+    """(status, body) columns of a chat reply: 1 HTTP 500, 2 no choice, 3 not JSON, else the content."""
+    head = ('{"id":"r","object":"chat.completion","created":1,"model":"gpt-4o",'
+            '"usage":{"prompt_tokens":1,"completion_tokens":1,"total_tokens":2},"choices":[')
+    text = F.to_json(F.named_struct(F.lit("role"), F.lit("assistant"), F.lit("content"), content))
+    full = F.concat(F.lit(head + '{"message":'), text, F.lit(',"finish_reason":"stop","index":0}]}'))
+    body = F.when(form == 2, F.lit(head + "]}")).when(form == 3, F.lit("{broken")).otherwise(full)
+    return F.when(form == 1, 500).otherwise(200).alias("http_status"), body.alias("body")
+
+
+def story_replies(stories: DataFrame) -> DataFrame:
+    """Stories -> (feed_id, rank, http_status, body); form (31 * feed + rank) % 7, where 0 never landed."""
+    form = (F.col("feed_id") * 31 + F.col("rank")) % 7
+    return (stories.select("feed_id", "rank", *_chat_reply(F.concat(F.lit("In short: "), F.col("story")), form), form.alias("form"))
+                   .where("form <> 0").drop("form"))
+
+
+def digest_replies(pages: DataFrame) -> DataFrame:
+    """One reply per page feed, form page_id % 9, where 0 never landed."""
+    form = F.col("page_id") % 9
+    content = F.concat(F.lit("Today in feed "), F.col("page_id").cast("string"), F.lit("\n\nSecond part"))
+    return (pages.select(F.col("page_id").alias("feed_id"), *_chat_reply(content, form), form.alias("form"))
+                 .where("form <> 0").drop("form"))
+
+
+def selection_replies(conversations: DataFrame) -> DataFrame:
+    """One reply per user turn, form (conv_id + turn) % 5, where 0 never landed."""
+    form = (F.col("conv_id") + F.col("turn")) % 5
+    return (conversations.where(F.col("role") == "user")
+            .select(request_key().alias("webhook_id"), *_chat_reply(F.concat(F.lit("Picked for "), request_key()), form), form.alias("form"))
+            .where("form <> 0").drop("form"))
+
+
+def translations(conversations: DataFrame) -> DataFrame:
+    """(webhook_id, text): translations that have landed, for every third user turn."""
+    return (conversations.where((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 == 0))
+            .select(request_key().alias("webhook_id"), F.concat(F.lit("Traduction de "), request_key()).alias("text")))
+
+
 # landed model replies for documents ----------------------------------------------
 def _completion_sql(id_sql: str, content_sql: str, created_sql: str, usage: bool = True) -> str:
     u = ("'\"usage\":{\"prompt_tokens\":12,\"completion_tokens\":' || CAST(length(text) AS STRING) || "
@@ -232,5 +305,5 @@ def url_replies_sql(jstr) -> tuple[str, str]:
 def url_replies(pages: DataFrame) -> DataFrame:
     """pages -> (key = page_id, http_status, body) landed summarizer replies."""
     status, body = url_replies_sql(_spark_jstr)
-    return pages.select(F.col("page_id").alias("key"), F.expr(status).alias("http_status"),
+    return pages.select(F.col("page_id").alias("key"), "url", F.expr(status).alias("http_status"),
                         F.expr(body).alias("body"))

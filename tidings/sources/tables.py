@@ -21,26 +21,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has cores.
-
-    A file written as one row group is read by one task, so every regex
-    pass over it would run single-threaded.  On a cluster the input has far
-    more splits than cores and this is a no-op; when it fires, the shuffle
-    comes after column pruning and is deterministic on retry.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: no RDD view, leave as is
-        return df
-    return df.repartition(2 * cores) if splits < cores else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               *columns: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def pages(spark, sf_dir, *cols):

@@ -2,63 +2,79 @@
 
 The reference acknowledges a webhook at once and processes it later, one
 request at a time, with no state.  Here landed webhook files are read as a
-stream.  The stateless per-row part (signature, strict parse, first-event
-outcome) runs in the streaming plan; each micro-batch is then routed (and
-its directly answered routes turned into outbox rows) in ``foreachBatch``: the model's decoded tool calls (a landed table) are first
-semi-joined to the ids of the batch, so only the needed rows are shuffled
-(AQE broadcasts the batch's ids when they are small), and the routed rows are
-written to ``sink/batch_id=N`` with overwrite, so a replayed batch replaces
-its own output instead of doubling it.  ``max_files_per_trigger`` bounds a
-batch.
+stream: the stateless part (signature, strict parse, first-event outcome) runs
+in the streaming plan, and ``foreachBatch`` gives each micro-batch the same
+language guess, routing and four kinds of answers as the batch job.  The
+tables it joins (decoded calls, word profile, headlines, story arrays, page
+texts) are landed once before the stream starts and only read here; each is
+cut to the batch's keys by its join.  Output goes to ``…/batch_id=N`` with
+overwrite, so a replayed batch replaces its own rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.operators import enrich as J3
 from tidings.operators import webhooks as J5
 
-WEBHOOK_SCHEMA = "webhook_id bigint, signature string, body binary"
+WEBHOOK_SCHEMA = "webhook_id string, feed_id bigint, signature string, body binary"
+EVENT_COLUMNS = ["webhook_id", "feed_id", "outcome", "reply_token", "user_id", "text"]
+
+
+@dataclass
+class Landed:
+    """Tables the stream joins, landed once; the last three are optional."""
+    calls: DataFrame
+    profiles: DataFrame
+    headlines: DataFrame
+    feeds: DataFrame
+    pages: DataFrame
+    results: DataFrame | None = None
+    url_results: DataFrame | None = None
+    translations: DataFrame | None = None
 
 
-def route_batch(events: DataFrame, calls: DataFrame) -> DataFrame:
-    """Route one batch of first-event outcomes with the calls it needs."""
-    needed = calls.join(events.select(F.col("webhook_id").alias("key")), "key", "left_semi")
-    return J5.route_calls(events, needed)
+def land(spark: SparkSession, path: str, **tables: DataFrame | None) -> Landed:
+    """Write each table below ``path`` and reread it."""
+    for name, df in tables.items():
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return Landed(**{n: None if df is None else spark.read.parquet(f"{path}/{n}") for n, df in tables.items()})
 
 
-def start_webhook_stream(spark: SparkSession, source_path: str, calls: DataFrame, secret: str,
-                         sink_path: str, checkpoint_path: str, available_now: bool = True,
-                         max_files_per_trigger: int = 1000, headlines: DataFrame | None = None,
-                         outbox_path: str | None = None):
+def route_batch(events: DataFrame, landed: Landed) -> DataFrame:
+    """Language and route of one batch of first-event outcomes; one join with the calls."""
+    guessed = J3.detect_language(events, landed.profiles, EVENT_COLUMNS, "text")
+    guessed = guessed.withColumn("language", F.when(F.col("text").isNotNull(), F.col("language")))
+    return J5.route_calls(guessed, landed.calls)
+
+
+def start_webhook_stream(spark: SparkSession, source_path: str, landed: Landed, secret: str, run_date: str,
+                         sink_path: str, outbox_path: str, checkpoint_path: str, available_now: bool = True,
+                         max_files_per_trigger: int = 1000):
     """Start the stream; returns the StreamingQuery.
 
-    Routes go to ``sink_path/batch_id=N``.  With ``headlines`` and
-    ``outbox_path`` the directly answered routes (reply with the headline,
-    push the model's message) also go to ``outbox_path/batch_id=N``.
+    Routes go to ``sink_path/batch_id=N``, the answers of all four routes to
+    ``outbox_path/batch_id=N``.
     """
-    from tidings.plans.jobs import webhook_outbox
+    from tidings.plans.jobs import all_outbox
 
     stream = (spark.readStream.schema(WEBHOOK_SCHEMA)
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .parquet(source_path))
     events = J5.first_event_outcome(stream, secret)
 
-    with_outbox = outbox_path is not None and headlines is not None
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        routes = route_batch(batch, calls)
-        if with_outbox:
-            # a micro-batch is bounded by max_files_per_trigger; keep it for
-            # its two writes (lost blocks are recomputed from the batch)
-            routes = routes.persist()
-        (routes.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
-        if with_outbox:
-            (webhook_outbox(routes, headlines).withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite").parquet(f"{outbox_path}/batch_id={batch_id}"))
-            routes.unpersist()
+        path = f"{sink_path}/batch_id={batch_id}"
+        route_batch(batch, landed).write.mode("overwrite").parquet(path)
+        routes = spark.read.parquet(path)
+        out = all_outbox(routes, landed.headlines, landed.feeds, landed.pages, run_date,
+                         landed.results, landed.url_results, landed.translations)
+        out.write.mode("overwrite").parquet(f"{outbox_path}/batch_id={batch_id}")
 
     w = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
