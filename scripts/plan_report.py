@@ -28,7 +28,8 @@ NODES = [("shuffles", r"Exchange hashpartitioning|Exchange RoundRobin|Exchange r
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", shuffle_partitions=8)
+    # broadcasts off: the plan that large tables would get
+    spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1"})
     print("| key | " + " | ".join(n for n, _ in NODES) + " |")
     print("| --- |" + " --- |" * len(NODES))
     for k, fn in QUERIES.items():
