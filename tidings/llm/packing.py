@@ -19,12 +19,12 @@ empty table gives no rows; only id and text are read.
 
 from __future__ import annotations
 
-import os
+import re
+import struct
 import sys
 import types
 import zlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,55 +37,83 @@ CLOSING_ID = 0
 SLACK = 4
 MAX_ITEMS = 50_000
 FAN_IN = 4
-CACHE_WORDS = 300_000
+#: words whose ids a worker remembers, at each of two places
+CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
+#: white space other than blanks and line breaks
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 BIN = f"fill int, members array<{MEMBER}>"
 
 
-def _tokenizer(path: str | None):
-    """(encoder, word splitter, word cache), kept by the worker process between tasks."""
-    state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    if getattr(state, "path", "") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-        state.path = path
-        state.encoder = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        state.splitter = regex.compile(public_tokenizers.PATTERN)
-        state.cache = {}
-    return state.encoder, state.splitter, state.cache
+class WordEncoder:
+    """Token ids with the words met so far remembered.
 
+    The vocabulary's word pattern always cuts before a single blank between
+    two visible characters and around a single line break, so a text whose
+    white space is only of these two kinds is the sequence of its lines' words
+    and is looked up word by word.  Any other text is encoded as a whole.
+    """
 
-def encode_texts(texts: list[str], path: str | None = None) -> list[np.ndarray]:
-    """Token ids of each text, without the closing id.
+    def __init__(self, path: str | None):
+        import base64
 
-    The vocabulary splits a text into words before it merges bytes, so ids are
-    looked up per word; words not met yet go to the tokenizer in one batch.  A
-    text that spells a special token goes to the tokenizer whole.
-    """
-    encoder, splitter, cache = _tokenizer(path)
-    split = [None if SPECIAL in t else splitter.findall(t) for t in texts]
-    new = list({w for ws in split if ws for w in ws if w not in cache})
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-    out = [b"".join([cache[w] for w in ws]) if ws is not None else
-           np.array(encoder.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-           for t, ws in zip(texts, split)]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    return [np.frombuffer(b, dtype="<u4") for b in out]
-
-
-def pieces(ids: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of the pieces of one document's ids."""
-    first = len(ids) % CAPACITY or CAPACITY
-    cuts = [0, *range(min(first, len(ids)), len(ids) + 1, CAPACITY)]
-    return [(a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(cuts, cuts[1:]) if b > a]
+        import public_tokenizers
+        import tiktoken
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = self._pack([len(ranks)])
+        self.line_break = self.whole("\n")
+        self.first, self.later = {}, {}  # words at the start of a line, and after a blank
+        self.path = path
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(self, text: str) -> bytes:
+        return self._pack(self.encoder.encode_ordinary(text))
+
+    def _words(self, words: list[str], known: dict[str, bytes], before: str) -> list[bytes]:
+        new = {w: self.whole(before + w) for w in set(words).difference(known)}
+        if len(known) < CACHE_WORDS:
+            known.update(new)
+        if not new:
+            return [known[w] for w in words]
+        return [known[w] if w in known else new[w] for w in words]
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text; a spelled special token is that token."""
+        if SPECIAL in text:
+            return self.special.join(map(self.encode, text.split(SPECIAL)))
+        if OTHER_SPACE.search(text) or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return self.whole(text)
+        lines = [line.split(" ") for line in text.split("\n")]
+        heads = self._words([words[0] for words in lines], self.first, "")
+        tails = self._words([w for words in lines for w in words[1:]], self.later, " ")
+        out, at = [], 0
+        for words, head in zip(lines, heads):
+            out += [self.line_break, head]
+            out += tails[at:at + len(words) - 1]
+            at += len(words) - 1
+        return b"".join(out[1:])
+
+
+def word_encoder(path: str | None) -> WordEncoder:
+    """One encoder per worker process, kept between tasks."""
+    state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+    if getattr(state, "encoder", None) is None or state.encoder.path != path:
+        state.encoder = WordEncoder(path)
+    return state.encoder
+
+
+def pieces(ids: bytes) -> list[tuple[int, int, int]]:
+    """(start, length, crc32) of the pieces of one document's ids, four bytes each."""
+    n = len(ids) // 4
+    cuts = [0, *range(n % CAPACITY or CAPACITY, n + 1, CAPACITY)]
+    return [(a, b - a, zlib.crc32(ids[4 * a:4 * b])) for a, b in zip(cuts, cuts[1:])]
 
 
 def best_fit(sizes: list[int]) -> list[list[int]]:
@@ -131,17 +159,16 @@ def _frame(bins: list[tuple[int, list[dict]]]) -> pd.DataFrame:
 def pack_locally(batches, path: str | None = None):
     """Tokenize, cut and pack one partition, in blocks of at most MAX_ITEMS pieces."""
     items: list[tuple[int, list[dict]]] = []
+    encoder, closing = word_encoder(path), CLOSING_ID.to_bytes(4, "little")
     for batch in batches:
-        for at in range(0, len(batch), 128):
-            part = batch.iloc[at:at + 128]
-            for doc_id, ids in zip(part["doc_id"], encode_texts([t or "" for t in part["text"]], path)):
-                ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
-                key = None if pd.isna(doc_id) else int(doc_id)
-                items += [(n, [{"doc_id": key, "piece": k, "start": a, "length": n, "ids_crc32": c, "offset": 0}])
-                          for k, (a, n, c) in enumerate(pieces(ids))]
-        if len(items) >= MAX_ITEMS:
-            yield _frame(_merge(items))
-            items = []
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            ids = encoder.encode(text or "") + closing
+            key = None if pd.isna(doc_id) else int(doc_id)
+            items += [(n, [{"doc_id": key, "piece": k, "start": a, "length": n, "ids_crc32": c, "offset": 0}])
+                      for k, (a, n, c) in enumerate(pieces(ids))]
+            if len(items) >= MAX_ITEMS:
+                yield _frame(_merge(items))
+                items = []
     if items:
         yield _frame(_merge(items))
 
