@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,12 @@ def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, "doc_id", "left_anti").select(*df.columns)
 
 
+def to_arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a table of bounded size as numpy arrays, by Arrow."""
+    table = df.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

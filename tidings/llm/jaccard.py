@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACES, ascii_lower, stage, words
+from .common import SPACES, ascii_lower, stage, to_arrays, words
 from .components import components
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ PERCENT = 80
 #: slots of the frequency table (a fixed size; it orders shingles, nothing more)
 SLOTS = 1 << 18
 SKETCH_WORDS = 4
+SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -88,12 +89,10 @@ def _summaries(frequency: np.ndarray):
             rows = []
             for doc_id, h in zip(b["doc_id"], b["words"]):
                 s = shingle_set(h)
-                if not len(s):
-                    rows.append((doc_id, 0, 0, 0, [], []))
-                    continue
                 order = np.argsort(frequency[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
-                rows.append((doc_id, len(s), *fingerprint(s), sketch(s), s[order[:prefix_size(len(s))]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "c1", "c2", "sketch", "prefix"])
+                rows.append((doc_id, len(s), *fingerprint(s), *sketch(s),
+                             s[order[:prefix_size(len(s))]].view(np.int64) if len(s) else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "c1", "c2", *SKETCH, "prefix"])
     return run
 
 
@@ -117,10 +116,10 @@ def frequency_table(hashed: DataFrame) -> np.ndarray:
         at = np.nonzero(n)[0]
         yield pd.DataFrame({"slot": at.astype(np.int32), "n": n[at]})
 
-    rows = (hashed.select("words").mapInPandas(count, "slot int, n long")
-                  .groupBy("slot").agg(F.sum("n").alias("n")).toPandas())  # SLOTS rows at most
+    rows = to_arrays(hashed.select("words").mapInPandas(count, "slot int, n long")
+                           .groupBy("slot").agg(F.sum("n").alias("n")))  # SLOTS rows at most
     table = np.zeros(SLOTS, dtype=np.int64)
-    table[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"]
+    table[rows["slot"]] = rows["n"]
     return table
 
 
@@ -129,21 +128,17 @@ def _least_overlap(na: Column, nb: Column) -> Column:
     return F.ceil((PERCENT * (na + nb)) / F.lit(100.0 + PERCENT))
 
 
-def _may_link(a: str, b: str, sketched: bool) -> Column:
-    """Length, position and (with sketches) suffix filter of two list entries."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = c(a, "n"), c(b, "n")
-    need = _least_overlap(na, nb)
-    reach = F.least(na - c(a, "pos"), nb - c(b, "pos"))
-    keep = (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need)
-    if sketched:
-        keep = keep & (_sketch_distance(c(a, "sketch"), c(b, "sketch")) <= na + nb - 2 * need)
-    return keep
+def _entry_may_link(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """Length and position filter of two entries of one list."""
+    return ((100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb))
+            & (F.least(na - pa, nb - pb) >= _least_overlap(na, nb)))
 
 
-def _sketch_distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, SKETCH_WORDS)),
-               F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+def _sketch_may_link(a: str, b: str, na: Column, nb: Column) -> Column:
+    """Suffix filter: parity bits that differ are shingles that differ."""
+    differ = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in SKETCH[1:]),
+                 F.bit_count(F.col(f"{a}{SKETCH[0]}").bitwiseXOR(F.col(f"{b}{SKETCH[0]}"))))
+    return differ <= na + nb - 2 * _least_overlap(na, nb)
 
 
 #: pivots a class is compared with in the first round; the second round is complete whatever this is
@@ -152,12 +147,20 @@ PIVOTS = 3
 BROADCAST_ROWS = 1_000_000
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class names, each checked on the complete sets."""
-    side = lambda x: sets.select(F.struct("c1", "c2").alias(x), F.col("shingles").alias(f"s{x}"))
+def _verified(pairs: DataFrame, summary: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, each checked once on the complete sets, which
+    are built anew for the classes of the pairs only."""
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    wanted = stage(summary.select("row", "doc_id", "c1", "c2").join(wanted, "row", "left_semi"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = hashed.join(wanted.select("doc_id"), "doc_id", "left_semi").select("words")
+    sets = stage(texts.mapInPandas(_sets, "c1 long, c2 long, shingles array<long>")
+                      .join(wanted.select("row", "c1", "c2"), ["c1", "c2"]).select("row", "shingles"))
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (both.filter((100 + PERCENT) * shared >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    return (both.filter((100 + PERCENT) * shared >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,59 +168,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     hashed = df.select(F.col(id_col).alias("doc_id"),
                        F.transform(words(ascii_lower(F.col(text)), SPACES), lambda w: F.xxhash64(w)).alias("words"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
-    summary = stage(hashed.mapInPandas(
-        _summaries(frequency_table(hashed)),
-        f"doc_id {kind}, n int, c1 long, c2 long, sketch array<long>, prefix array<long>"))
-    name = F.struct("c1", "c2")
-    # classes: one member stands for all texts with the same set
-    classes = (summary.filter("n > 0 and doc_id is not null").groupBy(name.alias("c"))
-                      .agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r")))
-    entries = classes.select("c", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"),
-                             F.posexplode("r.prefix").alias("pos", "h"))
+    sketches = ", ".join(f"{k} long" for k in SKETCH)
+    summary = stage(hashed.mapInPandas(_summaries(frequency_table(hashed)),
+                                       f"doc_id {kind}, n int, c1 long, c2 long, {sketches}, prefix array<long>")
+                          .withColumn("row", F.monotonically_increasing_id()))
+    real = summary.filter("n > 0 and doc_id is not null")
+    # classes: the first row of all that have the same set stands for them
+    entries = (real.groupBy("c1", "c2").agg(F.min(F.struct("row", "n", "prefix")).alias("r"))
+                   .select(F.col("r.row").alias("row"), F.col("r.n").alias("n"), F.posexplode("r.prefix").alias("pos", "h"))
+                   .select("h", "row", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np")))
+    n_of, pos_of = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
     of_list = Window.partitionBy("h")
-    lists = stage(entries.withColumn("pivot", F.min(F.struct("pos", "c", "n")).over(of_list))
-                         .withColumn("size", F.count(F.lit(1)).over(of_list))
-                         .filter("size > 1").drop("size"))
-    # complete sets of the classes that share a list with another
-    reps = lists.select("rep").distinct()
-    if reps.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
-    sets = stage(hashed.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("words")
-                       .mapInPandas(_sets, "c1 long, c2 long, shingles array<long>").dropDuplicates(["c1", "c2"]))
-    sketches = summary.filter("n > 0").select(name.alias("c"), "sketch").join(
-        lists.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-    sketches = stage(sketches)
+    rarest = F.min(F.struct(pos_of("np").alias("pos"), "row", "np")).over(of_list)
+    lists = stage(entries.withColumn("p", rarest).withColumn("size", F.count(F.lit(1)).over(of_list)).filter("size > 1")
+                         .select("h", "row", "np", F.col("p.row").alias("prow"), F.col("p.np").alias("pnp")))
+    marks = summary.select("row", *SKETCH)
+    marked = lambda x: marks.select(F.col("row").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
 
     # first round: each class against the pivots it meets most often
-    own = F.struct("c", "n", "pos")
-    met = (lists.withColumn("x", own).filter(F.col("pivot.c") != F.col("c")).filter(_may_link("x", "pivot", False))
-                .groupBy("c", F.col("pivot.c").alias("p"), "n", F.col("pivot.n").alias("pn")).agg(F.count(F.lit(1)).alias("times")))
-    most = Window.partitionBy("c").orderBy(F.desc("times"), "p")
+    met = (lists.filter((F.col("prow") != F.col("row"))
+                        & _entry_may_link(n_of("np"), pos_of("np"), n_of("pnp"), pos_of("pnp")))
+                .groupBy("row", "prow", n_of("np").alias("n"), n_of("pnp").alias("pn")).agg(F.count(F.lit(1)).alias("times")))
+    most = Window.partitionBy("row").orderBy(F.desc("times"), "prow")
     first = (met.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= PIVOTS)
-                .join(sketches, "c").join(sketches.select(F.col("c").alias("p"), F.col("sketch").alias("psketch")), "p")
-                .filter(_sketch_distance(F.col("sketch"), F.col("psketch"))
-                        <= F.col("n") + F.col("pn") - 2 * _least_overlap(F.col("n"), F.col("pn")))
-                .select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct())
+                .join(marked("row"), "row").join(marked("prow"), "prow")
+                .filter(_sketch_may_link("row_", "prow_", F.col("n"), F.col("pn")))
+                .select(F.least("row", "prow").alias("a"), F.greatest("row", "prow").alias("b")).distinct())
     first = stage(first)
-    links = stage(_verified(first, sets))
+    links = stage(_verified(first, summary, hashed))
 
     # second round: classes of one list that are still apart
-    placed = lists.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn(
-        "component", F.coalesce("component", "c"))
-    apart = stage(placed.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list))
-                        .filter("low < high").select("h", "c", "n", "pos", "component").join(sketches, "c"))
-    rest = (apart.alias("x").join(apart.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component"))
-                                  & _may_link("x", "y", True))
-                 .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-                 .join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(rest, sets))
+    placed = (lists.select("h", "row", "np").join(components(links).withColumnRenamed("node", "row"), "row", "left")
+                   .withColumn("component", F.coalesce("component", "row")))
+    apart = (placed.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list))
+                   .filter("low < high").select("h", "row", n_of("np").alias("n"), pos_of("np").alias("pos"), "component")
+                   .join(marks, "row"))
+    apart = stage(apart)
+    x, y = apart.alias("x"), apart.alias("y")
+    rest = (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component"))
+                   & _entry_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+                   & _sketch_may_link("x.", "y.", F.col("x.n"), F.col("y.n")))
+             .select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+             .join(first, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(stage(rest), summary, hashed))
 
     # components of classes, named by their smallest id, back to the rows
-    linked = (summary.filter("n > 0 and doc_id is not null").groupBy(name.alias("c")).agg(F.min("doc_id").alias("least"))
-                     .join(components(links).withColumnRenamed("node", "c"), "c", "left")
-                     .withColumn("component", F.coalesce("component", "c")))
+    linked = (real.groupBy("c1", "c2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
+                  .join(components(links).withColumnRenamed("node", "row"), "row", "left")
+                  .withColumn("component", F.coalesce("component", "row")))
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = linked.join(smallest, "component").select("c", "component_id")
-    rows = summary.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), name).alias("c"))
-    return rows.join(of_class, "c", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-                                                   F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = linked.join(smallest, "component").select("c1", "c2", "component_id")
+    has_class = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = summary.select("doc_id", "n", *[F.when(has_class, F.col(c)).alias(c) for c in ("c1", "c2")])
+    return rows.join(of_class, ["c1", "c2"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
+                                                            F.coalesce("component_id", "doc_id").alias("component_id"))
