@@ -572,6 +572,19 @@ def test_digests(spark, sf_dir):
         assert r.items_sha256 == hashlib.sha256(",".join(want[r.doc_id]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
 # pipeline -----------------------------------------------------------------------------------------
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
 from .common import id_fold, read_table
+from .twins import SQL  # noqa: F401  the entry module reads it from here
 
 SHARDS = 40
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -92,5 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_rules": op10_line_rules,
     "pipeline": corpus_pipeline.run,
 }
-
-SQL: dict[str, str] = {}
