@@ -80,7 +80,8 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id
     share = (F.lit(docs_per_lang) / F.col("count")).alias("share")
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = (known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), chance.alias("chance"))
-                   .join(sizes.select("lang", share), "lang").filter("chance < share").select("lang", "text"))
+                   .join(F.broadcast(sizes.select("lang", share)), "lang")  # one row per language
+                   .filter("chance < share").select("lang", "text"))
 
     def document_frequency(batches):
         df_, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
