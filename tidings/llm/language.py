@@ -73,7 +73,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
-        clusters: int = 4, docs_per_lang: int = 1500, quantile: float = 0.01, slack: float = 0.5) -> Centroids:
+        clusters: int = 4, docs_per_lang: int = 1500, quantile: float = 0.01, slack: float = 0.2) -> Centroids:
     """Learn centroids from the rows where ``train`` holds."""
     known = df.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(F.col(lang).alias("lang")).count()
