@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, stage, to_arrays
 
 BUCKETS = 1 << 17
 PRIOR = 1.0
@@ -71,9 +71,8 @@ def fit(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.nonzero(raw)[0]
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
 
-    counts = (marked.select("h", "good").mapInPandas(count, "bucket long, raw long, good long")
-                    .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-                    .toPandas())  # BUCKETS rows at most
+    counts = to_arrays(marked.select("h", "good").mapInPandas(count, "bucket long, raw long, good long")
+                             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")))  # BUCKETS rows at most
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]] += counts["raw"]
     good[counts["bucket"]] += counts["good"]
