@@ -203,7 +203,8 @@ def _profiles(spark, d):
 
 
 def _webhook_routes(spark, d):
-    return JOBS.webhook_routes(_webhooks(spark, d), _replies(spark, d), SECRET, _profiles(spark, d))
+    # the push jobs read the routes twice: for the keys they need, and for the answers
+    return materialize(JOBS.webhook_routes(_webhooks(spark, d), _replies(spark, d), SECRET, _profiles(spark, d)))
 
 
 def _landed(spark, d):
