@@ -33,14 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, to_arrays
 
 ORDER = 4
 BITS = 9
 START, END, SYMBOLS = 0, 257, 257
 CHUNK_BYTES = 4_000_000
 HOT_WORDS = 100_000
-MAX_NODES = 4_000_000
+MAX_NODES = 2_000_000
 
 
 def symbol_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +168,8 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, max_nodes: in
     least = 1
     while nodes.filter(F.col("n") >= least).count() > max_nodes:
         least *= 2
-    rows = nodes.filter(F.col("n") >= least).toPandas()  # max_nodes rows at most
-    levels = [rows[rows["k"] == k] for k in range(order + 1)]
-    return Trie.build(order, [(x["code"].to_numpy(), x["n"].to_numpy()) for x in levels])
+    rows = to_arrays(nodes.filter(F.col("n") >= least))  # max_nodes rows at most
+    return Trie.build(order, [(rows["code"][rows["k"] == k], rows["n"][rows["k"] == k]) for k in range(order + 1)])
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -201,10 +200,10 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
     ends = training.count()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    hot = {bytes(r["word"]): r["c"] for r in
-           counts.orderBy(F.desc("c"), "word").limit(hot_words).collect()}  # hot_words rows at most
+    top = to_arrays(counts.orderBy(F.desc("c"), "word").limit(hot_words))  # hot_words rows at most
+    hot = dict(zip(top["word"], np.log10(top["c"] + 1).tolist()))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((trie, {w: np.log10(c + 1) for w, c in hot.items()}))  # limits as above
+    shared = spark.sparkContext.broadcast((trie, hot))  # limits as above
     end_log = float(np.log10(ends + 1))
 
     def judge(batches):
