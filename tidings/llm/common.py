@@ -91,3 +91,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def id_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; null ids fold as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096, few: int = 10_000) -> float | None:
+    """The k-th largest value of a double column, exactly.
+
+    Counts per value range; the range that holds the k-th value is counted
+    again in finer ranges until it holds ``few`` rows or a single value.
+    """
+    rows = keys.select(F.col(key).alias("x"))
+    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if k <= 0 or n == 0:
+        return None
+    if k >= n:
+        return low
+    while low < high and n > few:
+        spot = F.least(F.floor((F.col("x") - low) / F.lit(high - low) * bins), F.lit(bins - 1))
+        parts = (rows.groupBy(spot.alias("spot")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+                     .orderBy(F.desc("spot")).collect())  # ``bins`` rows at most
+        for p in parts:
+            if k <= p["n"]:
+                break
+            k -= p["n"]
+        low, high, n = p["low"], p["high"], p["n"]
+        rows = rows.filter(F.col("x").between(low, high))
+    if low == high:
+        return low
+    return sorted((r["x"] for r in rows.collect()), reverse=True)[k - 1]  # ``few`` rows at most

@@ -15,8 +15,9 @@ times are left out, t being the least power of two that brings the trie to
 ``max_nodes`` (t = 1, nothing left out, while it fits).
 
 The word baseline beside it needs the training count of every word.  Counts of
-the ``HOT_WORDS`` most frequent words travel to the tasks; all other words
-join the count table by word, so the vocabulary may grow without bound.
+the words above the ``HOT_WORDS``-th largest count travel to the tasks; all
+other words join the count table by word, so the vocabulary may grow without
+bound.
 
 Edge cases: null text is empty (its end is still scored); an untrained model is
 uniform; rows are scored one by one, so repeated ids and texts are fine; an
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, to_arrays
+from .common import kth_largest, stage, to_arrays
 
 ORDER = 4
 BITS = 9
@@ -200,7 +201,8 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
     ends = training.count()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    top = to_arrays(counts.orderBy(F.desc("c"), "word").limit(hot_words))  # hot_words rows at most
+    least = kth_largest(counts.select(F.col("c").cast("double").alias("c")), "c", hot_words)
+    top = to_arrays(counts.filter(F.col("c") > F.lit(least)))  # fewer than hot_words rows
     hot = dict(zip(top["word"], np.log10(top["c"] + 1).tolist()))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((trie, hot))  # limits as above
