@@ -74,8 +74,12 @@ def to_arrays(df: DataFrame) -> dict[str, np.ndarray]:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only; every other character stays."""
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-case A-Z only; every other character stays.
+
+    ``lower`` does the same, several times faster, for text that is all ASCII.
+    """
+    is_ascii = F.octet_length(c) == F.char_length(c)
+    return F.when(is_ascii, F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def words(text: Column, separators: str) -> Column:
