@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm import decontaminate, jaccard, language, packing, secret_scan
-from tidings.llm.common import id_fold, read_table, stage_folder, without_ids
+from tidings.llm.common import id_fold, read_table, small_batches, stage_folder, without_ids
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the text by a mark; no document is dropped."""
-    masked = docs.withColumn("text", secret_scan.redacted(F.col("text")))
+    masked = small_batches(docs).withColumn("text", secret_scan.redacted(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(*docs.columns)

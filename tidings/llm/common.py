@@ -25,6 +25,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+#: rows of an Arrow batch; ten thousand whole texts at once are too much for a worker
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python workers at most ARROW_ROWS rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, shared storage on a cluster.
 

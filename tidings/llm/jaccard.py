@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACES, ascii_lower, stage, to_arrays, words
+from .common import SPACES, ascii_lower, small_batches, stage, to_arrays, words
 from .components import components
 
 SHINGLE = 5
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, summary: DataFrame, hashed: DataFrame) -> DataFr
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
-    hashed = df.select(F.col(id_col).alias("doc_id"),
+    hashed = small_batches(df).select(F.col(id_col).alias("doc_id"),
                        F.transform(words(ascii_lower(F.col(text)), SPACES), lambda w: F.xxhash64(w)).alias("words"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
     sketches = ", ".join(f"{k} long" for k in SKETCH)

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIMENSIONS = 4096
 RESULT = "struct<lang_pred:string,score:double,rejected:boolean>"
 
@@ -75,7 +77,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
         clusters: int = 4, docs_per_lang: int = 1500, quantile: float = 0.01, slack: float = 0.2) -> Centroids:
     """Learn centroids from the rows where ``train`` holds."""
-    known = df.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = small_batches(df).filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(F.col(lang).alias("lang")).count()
     share = (F.lit(docs_per_lang) / F.col("count")).alias("share")
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: fixed values of the base contract
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -99,4 +101,4 @@ def judge_all(text: pd.Series) -> pd.DataFrame:
 
 def line_first(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus one struct column ``rules`` with the counts, verdicts and clean text."""
-    return df.withColumn("rules", F.pandas_udf(judge_all, RESULT)(F.col(text)))
+    return small_batches(df).withColumn("rules", F.pandas_udf(judge_all, RESULT)(F.col(text)))

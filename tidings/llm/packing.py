@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -180,7 +180,7 @@ def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per piece with its sequence and offset."""
-    source = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = small_batches(df).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     local = lambda batches: pack_locally(batches, vocabulary)
     bins = stage(source.mapInPandas(local, BIN))
     done, groups, before = [], None, None

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kth_largest, stage, to_arrays
+from .common import kth_largest, small_batches, stage, to_arrays
 
 ORDER = 4
 BITS = 9
@@ -193,7 +193,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER,
           max_nodes: int = MAX_NODES, hot_words: int = HOT_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"),
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"),
                          (~train_rows).alias("held_out"))
     training = source.filter(~F.col("held_out"))
     trie = train(training, order=order, max_nodes=max_nodes)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, kth_largest, stage, to_arrays
+from .common import ascii_lower, kth_largest, small_batches, stage, to_arrays
 
 BUCKETS = 1 << 17
 PRIOR = 1.0
@@ -83,7 +83,7 @@ def fit(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def resample(df: DataFrame, good_ids: DataFrame, k: int, id_col: str = "doc_id", text: str = "text",
              target_docs: int = 50_000, seed: int = 17) -> DataFrame:
     """One row per input row: id, log_weight, sample_key, selected."""
-    marked = marked_hashes(df, good_ids, id_col, text, target_docs)
+    marked = marked_hashes(small_batches(df), good_ids, id_col, text, target_docs)
     good, expected = fit(marked)
     ratio = np.log((good + PRIOR) / (expected + PRIOR))
 

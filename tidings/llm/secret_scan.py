@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: base patterns as given; ASCII letters in either case for the first
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                     re.I | re.A)
@@ -175,7 +177,7 @@ def scan_all(text: pd.Series) -> pd.DataFrame:
 
 def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus one struct column ``secrets``: base counts and all spans."""
-    return df.withColumn("secrets", F.pandas_udf(scan_all, RESULT)(F.col(text)))
+    return small_batches(df).withColumn("secrets", F.pandas_udf(scan_all, RESULT)(F.col(text)))
 
 
 def span_list(spans: Column) -> Column:
