@@ -69,6 +69,10 @@ class WordEncoder:
         self.first, self.later = {}, {}  # words at the start of a line, and after a blank
         self.path = path
 
+    def forget(self) -> None:
+        """Free the remembered words, so an idle worker holds none."""
+        self.first, self.later = {}, {}
+
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -102,7 +106,7 @@ class WordEncoder:
 
 
 def word_encoder(path: str | None) -> WordEncoder:
-    """One encoder per worker process, kept between tasks."""
+    """One encoder per worker process; its vocabulary is loaded once."""
     state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
     if getattr(state, "encoder", None) is None or state.encoder.path != path:
         state.encoder = WordEncoder(path)
@@ -169,6 +173,7 @@ def pack_locally(batches, path: str | None = None):
             if len(items) >= MAX_ITEMS:
                 yield _frame(_merge(items))
                 items = []
+    encoder.forget()
     if items:
         yield _frame(_merge(items))
 
