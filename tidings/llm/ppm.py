@@ -205,11 +205,12 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
     top = to_arrays(counts.filter(F.col("c") > F.lit(least)))  # fewer than hot_words rows
     hot = dict(zip(top["word"], np.log10(top["c"] + 1).tolist()))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((trie, hot))  # limits as above
+    shared = spark.sparkContext.broadcast((vars(trie), hot))  # plain arrays; limits as above
     end_log = float(np.log10(ends + 1))
 
     def judge(batches):
-        trie, hot = shared.value
+        parts, hot = shared.value
+        trie = Trie(**parts)
         for b in batches:
             texts = lowered(b["text"])
             scores = np.zeros(len(texts))
