@@ -411,6 +411,17 @@ def test_ppm_memory_limit_keeps_a_distribution(spark):
         assert (10 ** trie.log10((c >> 9 << 9) + np.arange(1, 258))).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("hot", [1, 40, 10 ** 6])
+def test_ppm_scores_use_every_context_however_few_travel(spark, hot):
+    rows = [(i, sentence(15) + f" {RNG.getrandbits(64):x}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ppm.score(df, F.col("doc_id") % 3 != 0, order=3, hot_codes=hot).collect()
+    training = [t.encode().lower() for d, t in rows if d % 3]
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.score == pytest.approx(plain_ppm(training, rows[r.doc_id][1].encode().lower(), 3))
+
+
 # near duplicates -----------------------------------------------------------------------
 def plain_links(rows):
     sets = []

@@ -9,10 +9,13 @@ one, and symbols of the longer context are excluded there.  As every symbol
 of a context is also one of its suffix, an exclusion is a sum known per
 context, so scoring a byte takes one lookup per order.
 
-All counts come from all training rows.  The trie goes to the tasks whole, so
-it has a memory limit, as is usual for this method: nodes seen fewer than t
-times are left out, t being the least power of two that brings the trie to
-``max_nodes`` (t = 1, nothing left out, while it fits).
+All counts come from all training rows and none is left out.  The count table
+stays in Spark: codes are dealt by their two nearest context bytes, so a task
+holds every node of orders 2 and up it needs, and orders 0 and 1 (at most
+66,000 nodes, whatever the input) go to all tasks.  Each distinct code of the
+documents gets its exact probability there.  Probabilities of the ``hot_codes``
+most frequent codes travel to the scoring tasks; all other codes join the
+probability table by code, so the trie may grow without bound.
 
 The word baseline beside it needs the training count of every word.  Counts of
 the words above the ``HOT_WORDS``-th largest count travel to the tasks; all
@@ -42,6 +45,12 @@ START, END, SYMBOLS = 0, 257, 257
 CHUNK_BYTES = 4_000_000
 HOT_WORDS = 100_000
 MAX_NODES = 2_000_000
+HOT_CODES = 2_000_000
+#: codes of one task when probabilities are worked out, and distinct codes a counting task holds
+TASK_CODES = 500_000
+HELD_CODES = 4_000_000
+#: orders whose nodes are few at any input size
+LOW_ORDERS = 2
 
 
 def symbol_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +89,28 @@ def chunks(texts: list[bytes]):
 
 
 def count_codes(batches, order: int):
-    """Distinct codes of a partition with their counts, merged as they grow."""
-    held: list[pd.Series] = []
+    """(code, n, m) of a partition: n counts training texts, m all; merged as they grow."""
+    held: list[pd.DataFrame] = []
     for b in batches:
-        texts = lowered(b["text"])
-        for a, z in chunks(texts):
-            code, _ = symbol_codes(texts[a:z], order)
-            held.append(pd.Series(code).value_counts(sort=False))
-            if len(held) == 16:
-                held = [pd.concat(held).groupby(level=0).sum()]
+        texts, training = lowered(b["text"]), ~b["held_out"].to_numpy(dtype=bool)
+        for is_training in (True, False):
+            own = [t for t, x in zip(texts, training) if x == is_training]
+            for a, z in chunks(own):
+                code, _ = symbol_codes(own[a:z], order)
+                m = pd.Series(code).value_counts(sort=False)
+                held.append(pd.DataFrame({"n": m if is_training else 0, "m": m}, index=m.index))
+                if len(held) == 16:
+                    held = [pd.concat(held).groupby(level=0).sum()]
+                    if len(held[0]) > HELD_CODES:
+                        yield held.pop().rename_axis("code").reset_index()
     if held:
-        total = pd.concat(held).groupby(level=0).sum()
-        yield pd.DataFrame({"code": total.index, "n": total.to_numpy()})
+        yield pd.concat(held).groupby(level=0).sum().rename_axis("code").reset_index()
+
+
+def _level(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of order k and their counts, from longer codes."""
+    node, which = np.unique(code & ((1 << (BITS * (k + 1))) - 1), return_inverse=True)
+    return node, np.bincount(which, weights=n, minlength=len(node))
 
 
 @dataclass
@@ -159,10 +178,13 @@ def _take(values: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of all texts of ``docs``."""
-    source = docs.select(F.col(text).alias("text"))
-    top = stage(source.mapInPandas(lambda b: count_codes(b, order), "code long, n long")
-                      .groupBy("code").agg(F.sum("n").alias("n")))
+    """One trie of all texts of ``docs`` in memory, for use outside ``score``.
+
+    Nodes seen fewer than t times are left out, t being the least power of two
+    that brings it to ``max_nodes``.  ``score`` leaves out nothing.
+    """
+    source = docs.select(F.col(text).alias("text"), F.lit(False).alias("held_out"))
+    top = stage(_counted(source, order))
     every = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND((1 << (BITS * (k + 1))) - 1).alias("code"))
              for k in range(order + 1)]
     nodes = stage(top.select(F.inline(F.array(*every)), "n").groupBy("k", "code").agg(F.sum("n").alias("n")))
@@ -173,6 +195,39 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, max_nodes: in
     return Trie.build(order, [(rows["code"][rows["k"] == k], rows["n"][rows["k"] == k]) for k in range(order + 1)])
 
 
+def _counted(source: DataFrame, order: int) -> DataFrame:
+    """(code, n, m) of all texts: how often a code occurs in training texts, and in all."""
+    return (source.select("text", "held_out").mapInPandas(lambda b: count_codes(b, order), "code long, n long, m long")
+                  .groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def code_logs(source: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """(code, m, log) of every distinct code of ``source`` (text, held_out), and how many there are.
+
+    ``log`` is the code's log10 probability under the trie of all training texts.
+    """
+    counted = stage(_counted(source, order))
+    distinct = counted.count()
+    k = min(LOW_ORDERS - 1, order)
+    node = F.col("code").bitwiseAND((1 << (BITS * (k + 1))) - 1)
+    low = to_arrays(counted.filter("n > 0").groupBy(node.alias("code")).agg(F.sum("n").alias("n")))  # LOW_ORDERS orders only
+    shared = source.sparkSession.sparkContext.broadcast((low["code"], low["n"]))
+
+    def judge(batches):
+        code, n, m = (np.concatenate(x) for x in zip(*[[b[c].to_numpy() for c in ("code", "n", "m")] for b in batches]
+                                                     or [[np.zeros(0, dtype=np.int64)] * 3]))
+        seen = n > 0
+        trie = Trie.build(order, [_level(*(shared.value if k < LOW_ORDERS else (code[seen], n[seen])), k)
+                                  for k in range(order + 1)])
+        for a in range(0, len(code), CHUNK_BYTES // 8):
+            part = slice(a, a + CHUNK_BYTES // 8)
+            yield pd.DataFrame({"code": code[part], "m": m[part], "log": trie.log10(code[part])})
+
+    tasks = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct // TASK_CODES))
+    nearest = F.shiftright("code", BITS).bitwiseAND((1 << (BITS * LOW_ORDERS)) - 1)
+    return stage(counted.repartition(tasks, nearest).mapInPandas(judge, "code long, m long, log double")), distinct
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all texts, words as lower-cased UTF-8 bytes."""
 
@@ -191,12 +246,19 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER,
-          max_nodes: int = MAX_NODES, hot_words: int = HOT_WORDS) -> DataFrame:
+          hot_codes: int = HOT_CODES, hot_words: int = HOT_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"),
                          (~train_rows).alias("held_out"))
     training = source.filter(~F.col("held_out"))
-    trie = train(training, order=order, max_nodes=max_nodes)
+    logs, distinct_codes = code_logs(source, order)
+    most = logs
+    if distinct_codes > hot_codes:
+        bound = kth_largest(logs.select(F.col("m").cast("double").alias("m")), "m", hot_codes)
+        most = logs.filter(F.col("m") > F.lit(bound))
+    top = to_arrays(most.select("code", "log"))  # hot_codes rows at most
+    by = np.argsort(top["code"])
+    codes = (top["code"][by], top["log"][by])
     counts = stage(word_counts(training))
     ends = training.count()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
@@ -205,19 +267,25 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
     top = to_arrays(counts.filter(F.col("c") > F.lit(least)))  # fewer than hot_words rows
     hot = dict(zip(top["word"], np.log10(top["c"] + 1).tolist()))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vars(trie), hot))  # plain arrays; limits as above
+    shared = spark.sparkContext.broadcast((*codes, hot))  # plain arrays; limits as above
     end_log = float(np.log10(ends + 1))
 
     def judge(batches):
-        parts, hot = shared.value
-        trie = Trie(**parts)
+        hot_code, hot_log, hot = shared.value
         for b in batches:
             texts = lowered(b["text"])
             scores = np.zeros(len(texts))
+            cold, cold_times = ([[]] * len(texts) for _ in range(2))
             for a, z in chunks(texts):
-                code, starts = symbol_codes(texts[a:z], trie.order)
-                which, distinct_codes = pd.factorize(code)
-                scores[a:z] = np.add.reduceat(trie.log10(distinct_codes)[which], starts)
+                code, starts = symbol_codes(texts[a:z], order)
+                which, own = pd.factorize(code)
+                known, at = _find(hot_code, own)
+                scores[a:z] = np.add.reduceat(_take(hot_log, known, at)[which], starts)
+                if known.all():
+                    continue
+                unknown = ~known[which]
+                for i, start, end in zip(range(a, z), starts, [*starts[1:], len(code)]):
+                    cold[i], cold_times[i] = np.unique(code[start:end][unknown[start:end]], return_counts=True)
             rows = []
             for t in texts:
                 seen = Counter(t.split())
@@ -232,12 +300,14 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
                 rows.append((sum(seen.values()) + 1, known, sum(logs), rare, times))
             out = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_log", "rare", "times"])
             out.insert(0, "doc_id", b["doc_id"].array)
-            out["held_out"], out["score"] = b["held_out"].array, scores
+            out["cold"], out["cold_times"] = cold, cold_times
+            out["held_out"], out["hot_score"] = b["held_out"].array, scores
             yield out
 
     kind = source.schema["doc_id"].dataType.simpleString()
     scored = stage(source.mapInPandas(judge, f"doc_id {kind}, n_tokens long, hot_known long, hot_log double, "
-                                             "rare array<binary>, times array<long>, held_out boolean, score double")
+                                             "rare array<binary>, times array<long>, cold array<long>, "
+                                             "cold_times array<long>, held_out boolean, hot_score double")
                          .withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))))
     found = (rare.join(counts, "word").groupBy(F.col("row").alias("_row"))
@@ -245,6 +315,14 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text: str
     known = F.col("hot_known") + F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))
     base = (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) + F.lit(end_log)
             - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1))))
+    if distinct_codes > hot_codes:
+        cold = scored.select("row", F.inline(F.arrays_zip(F.col("cold").alias("code"), F.col("cold_times").alias("n"))))
+        rest = (cold.join(logs, "code").groupBy(F.col("row").alias("_cold_row"))
+                    .agg(F.sum(F.col("n") * F.col("log")).alias("cold_score")))
+        scored = scored.join(rest, F.col("row") == F.col("_cold_row"), "left")
+    else:
+        scored = scored.withColumn("cold_score", F.lit(0.0))
+    total_score = F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0))
     return (scored.join(found, F.col("row") == F.col("_row"), "left")
                   .select("doc_id", "held_out", "n_tokens", known.cast("bigint").alias("n_known"),
-                          F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score"))
+                          F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), total_score.alias("score")))
