@@ -344,6 +344,44 @@ def test_best_fit_fills_exactly():
     assert len(bins) == -(-sum(sizes) // 2048)
 
 
+def spelled(data):
+    return base64.b64encode(data).decode()
+
+
+def key_forms():
+    der = lambda tag, *body: bytes([tag, len(b := b"".join(body))]) + b
+    secret = bytes(range(1, 33))
+    p256 = der(0x30, bytes.fromhex("06072a8648ce3d020106082a8648ce3d030107"))
+    pkcs8 = der(0x30, b"\x02\x01\x00", p256, der(4, der(0x30, b"\x02\x01\x01", der(4, secret))))
+    ed448 = der(0x30, b"\x02\x01\x00", der(0x30, bytes.fromhex("06032b6571")), der(4, der(4, bytes(range(57)))))
+    sec1 = der(0x30, b"\x02\x01\x01", der(4, secret), der(0xA0, bytes.fromhex("06082a8648ce3d030107")))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = (b"openssh-key-v1\x00" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+           + field(b"public" * 4) + field(b"private" * 6))
+    lines = [spelled(pkcs8)[i:i + 64] for i in range(0, len(spelled(pkcs8)), 64)]
+    pem = lambda end: end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    headed = "\r\n".join(["-----BEGIN EC PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "",
+                          *lines, "-----END EC PRIVATE KEY-----"])
+    payload = base64.urlsafe_b64encode(b'{"sub": "someone"}').decode().rstrip("=")
+    token = lambda head: f"{base64.urlsafe_b64encode(head).decode().rstrip('=')}.{payload}.c2lnbmF0dXJl"
+    return [("key", spelled(pkcs8)), ("key", spelled(ed448)), ("key", spelled(sec1)), ("key", pkcs8.hex()),
+            ("ssh", ssh.hex()), ("ssh", spelled(ssh)), ("key", spelled(pem("\n").encode())),
+            ("key", spelled(pem("\r\n").encode())), ("key", pem("\r\n")), ("key", pem("\\r\\n")), ("key", headed),
+            ("jwt", token(b'{ "alg": "HS256"}')), ("jwt", token(b'{\n "alg": "HS256"}')), ("jwt", token(b' {"alg":"HS256"}'))]
+
+
+@pytest.mark.parametrize("kind, form", key_forms())
+def test_every_form_of_a_key_is_decoded(kind, form):
+    spans = secret_scan.scan(f"before\n{form}\nafter")[3]
+    assert {"kind": kind, "start": 7, "end": 7 + len(form)} in spans
+
+
+def test_token_after_a_dotted_word():
+    token = dict(key_forms())["jwt"]
+    spans = secret_scan.scan(f"some-long-host.{token}")[3]
+    assert ("jwt", 15, 15 + len(token)) in [(s["kind"], s["start"], s["end"]) for s in spans]
+
+
 # language model scoring ----------------------------------------------------------------
 def plain_ppm(training, text, order):
     """Escape method C with exclusion, contexts in dictionaries."""

@@ -5,7 +5,9 @@ contract states them.  Structure adds spans: candidates in base64, base64url
 or hex are decoded and parsed, and only those whose nested lengths close
 exactly are reported.  Confirmed kinds: ``jwt`` (signed token whose header
 decodes to JSON with an algorithm), ``key`` (DER private key, PEM-wrapped or
-bare, in base64 or hex) and ``ssh`` (OpenSSH private key container).
+bare, in base64 or hex) and ``ssh`` (OpenSSH private key container).  Every
+candidate is decoded and the decoded bytes decide, so a key is found whatever
+its first characters are, also as a whole PEM block inside base64 or hex.
 
 Edge cases: null text is empty and has no spans; whole texts of any length are
 scanned; equal rows get equal spans; nothing but the text is looked at.
@@ -34,7 +36,7 @@ MIN_VALUE = 6
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: structural candidates
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{11,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1PRIVATE KEY-----")
 BARE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 BARE_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
@@ -116,10 +118,28 @@ def decode64(s: str) -> bytes | None:
         return None
 
 
+def pem_body_kind(body: str) -> str | None:
+    """What a PEM body holds; line breaks may be CR, LF or both, raw or escaped."""
+    plain = re.sub(r"\\r\\n|\\n|\\r|\r\n|\r", "\n", body)
+    parts = re.split(r"\n[ \t]*\n", plain)
+    data = decode64(re.sub(r"\s", "", parts[-1] if ":" in plain else plain))
+    encrypted = "ENCRYPTED" in plain and data  # its inside cannot be parsed
+    return key_kind(data) or ("key" if encrypted else None)
+
+
 def key_kind(data: bytes | None) -> str | None:
+    """Kind of a decoded candidate: DER, OpenSSH container, or a PEM block of either."""
     if not data or len(data) < MIN_KEY_BYTES:
         return None
-    return "ssh" if openssh_key(data) else "key" if private_der(data) else None
+    if data[:1] == b"\x30":
+        return "key" if private_der(data) else None
+    if openssh_key(data):
+        return "ssh"
+    if b"-----BEGIN " in data:
+        for m in PEM.finditer(data.decode("latin-1")):
+            if kind := pem_body_kind(m[2]):
+                return kind
+    return None
 
 
 def jwt_header(part: str) -> bool:
@@ -132,25 +152,23 @@ def jwt_header(part: str) -> bool:
 
 def structural(text: str) -> list[tuple[int, int, str]]:
     found = []
-    if "eyJ" in text:
-        for m in JWT.finditer(text):
-            if jwt_header(m[1]) and decode64(m[2]) is not None:
-                found.append((m.start(), m.end(), "jwt"))
+    m = JWT.search(text)
+    while m:
+        signed = jwt_header(m[1]) and decode64(m[2]) is not None
+        if signed:
+            found.append((m.start(), m.end(), "jwt"))
+        m = JWT.search(text, m.end() if signed else m.end(1))  # a token may follow a dotted word
     armored = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"\\n|\s", "", m[2].rsplit("\n\n", 1)[-1] if ":" in m[2] else m[2])
-            data = decode64(body)
-            encrypted = "ENCRYPTED" in m[2] and data  # its inside cannot be parsed
-            if kind := key_kind(data) or ("key" if encrypted else None):
+            if kind := pem_body_kind(m[2]):
                 found.append((m.start(), m.end(), kind))
                 armored.append((m.start(), m.end()))
     for m in BARE64.finditer(text):
-        if m[0][:2] in ("MI", "MF", "MH", "MG", "MC", "b3") and not any(a <= m.start() < b for a, b in armored):
-            if kind := key_kind(decode64(m[0])):
-                found.append((m.start(), m.end(), kind))
+        if not any(a <= m.start() < b for a, b in armored) and (kind := key_kind(decode64(m[0]))):
+            found.append((m.start(), m.end(), kind))
     for m in BARE_HEX.finditer(text):
-        if m[0][:2] == "30" and (kind := key_kind(bytes.fromhex(m[0]))):
+        if kind := key_kind(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), kind))
     return found
 
