@@ -490,6 +490,27 @@ def edited(text, n):
     return " ".join(w)
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+def test_near_links_are_complete(spark, block):
+    base, other = sentence(120), sentence(60)
+    texts = [edited(base, 1) for _ in range(25)] + [base, base, other, other.upper(), None, "", "one two"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members, pairs = (x.collect() for x in jaccard.near_links(df, block=block))
+    sets = {}
+    for d, t in rows:
+        w = words_of(t)
+        grams = zip(*[w[i:] for i in range(5)]) if len(w) >= 5 else [tuple(w)] if w else []
+        sets[d] = frozenset(grams) if d is not None else frozenset()
+    linked = {(d, e) for d in sets for e in sets
+              if d != e and sets[d] and sets[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])}
+    assert len(members) == len(rows)
+    assert {r.doc_id: r.n_links for r in members} == {d: sum(x == d for x, _ in linked) for d in sets}
+    class_of = {r.doc_id: r.class_id for r in members}
+    want = {tuple(sorted((class_of[d], class_of[e]))) for d, e in linked if sets[d] != sets[e]}
+    assert sorted(map(tuple, pairs)) == sorted(want) and len(want) > 3 * 25
+
+
 def test_near_duplicates(spark, docs):
     got = jaccard.near_duplicates(docs).na.fill({"doc_id": -1, "component_id": -1})
     assert sorted(map(tuple, got.collect())) == plain_links(awkward_rows())

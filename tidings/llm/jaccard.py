@@ -21,7 +21,10 @@ shingles, and each class is compared with the few pivots it meets most often:
 pairs grow as list entries do.  Then only classes of one list that are still in
 different components are compared, all of them.  A pair skipped in this way
 lies inside a component already, so components are exact while no group is
-expanded into all its pairs.
+expanded into all its pairs.  ``near_duplicates`` needs no more than that.
+``near_links`` is the complete join: it verifies every candidate pair of
+classes, long lists cut into blocks that meet block by block, and gives all
+links; its work grows with the number of links.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null, empty
 or blank texts have none, link with nothing and are their own component; a null
@@ -163,8 +166,12 @@ def _verified(pairs: DataFrame, summary: DataFrame, hashed: DataFrame) -> DataFr
     return (both.filter((100 + PERCENT) * shared >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+#: entries of one block of a posting list in the complete join
+BLOCK = 1000
+
+
+def _classes(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(hashed words, row summaries, rows that can link, prefix entries of one row per class)."""
     hashed = small_batches(df).select(F.col(id_col).alias("doc_id"),
                        F.transform(words(ascii_lower(F.col(text)), SPACES), lambda w: F.xxhash64(w)).alias("words"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
@@ -177,6 +184,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     entries = (real.groupBy("c1", "c2").agg(F.min(F.struct("row", "n", "prefix")).alias("r"))
                    .select(F.col("r.row").alias("row"), F.col("r.n").alias("n"), F.posexplode("r.prefix").alias("pos", "h"))
                    .select("h", "row", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np")))
+    return hashed, summary, real, entries
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links: (members, pairs).
+
+    Members has one row per input row: doc_id, n_shingles, class_id (null for
+    rows that cannot link) and n_links, the number of other rows the row is
+    linked with.  Pairs (a, b) has every two linked classes once, a < b; rows
+    of one class are linked with each other besides.
+    """
+    hashed, summary, real, entries = _classes(df, id_col, text)
+    sizes = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
+    own = F.pmod(F.xxhash64("row", F.lit("block")), F.col("blocks")).cast("int")
+    placed = (entries.join(sizes, "h").withColumn("blocks", blocks).withColumn("own", own)
+                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                     .select("h", "row", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("pos"),
+                             "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+                     .join(summary.select("row", *SKETCH), "row"))
+    placed = stage(placed)
+    x, y = placed.alias("x"), placed.alias("y")
+    meet = ((F.col("x.h") == F.col("y.h")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+            & (F.col("x.row") < F.col("y.row")) & (F.least("x.own", "y.own") == F.col("x.i"))
+            & (F.greatest("x.own", "y.own") == F.col("x.j")))
+    pairs = (x.join(y, meet & _entry_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+                    & _sketch_may_link("x.", "y.", F.col("x.n"), F.col("y.n")))
+              .select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct())
+    links = stage(_verified(stage(pairs), summary, hashed))
+
+    name = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))  # equal sets have equal names
+    groups = stage(real.groupBy("c1", "c2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+                       .withColumn("class_id", name))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = (both.join(groups.select(F.col("row").alias("b"), "rows"), "b")
+                  .groupBy(F.col("a").alias("row")).agg(F.sum("rows").alias("others")))
+    of_class = (groups.join(linked, "row", "left")
+                      .select("c1", "c2", "class_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    can_link = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = summary.select("doc_id", "n", *[F.when(can_link, F.col(c)).alias(c) for c in ("c1", "c2")])
+    members = rows.join(of_class, ["c1", "c2"], "left").select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    names = lambda c: groups.select(F.col("row").alias(c), F.col("class_id").alias(f"{c}_id"))
+    pairs = (links.join(names("a"), "a").join(names("b"), "b")
+                  .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+    return members, pairs
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id."""
+    hashed, summary, real, entries = _classes(df, id_col, text)
     n_of, pos_of = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
     of_list = Window.partitionBy("h")
     rarest = F.min(F.struct(pos_of("np").alias("pos"), "row", "np")).over(of_list)
