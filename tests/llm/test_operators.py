@@ -490,6 +490,14 @@ def edited(text, n):
     return " ".join(w)
 
 
+def test_capital_sigma_before_other_separators_is_a_hit(spark):
+    names = [f"ΟΔΟ{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚΛΜ"]
+    df = spark.createDataFrame([(1, ".".join(names)), (2, " ".join(names))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(names))], "item_id long, text string")
+    out = {r.doc_id: r.n_hit for r in decontaminate.contamination(df, bench).collect()}
+    assert out == {1: 12, 2: 12}
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
 def test_near_links_are_complete(spark, block):
     base, other = sentence(120), sentence(60)

@@ -110,12 +110,8 @@ def kept_hashes(ws: Column, span: int) -> Column:
 
 
 def _touched(docs: DataFrame, items: DataFrame, spans: list[int]) -> DataFrame:
-    """Ids of the documents that keep any hash of the benchmark.
-
-    Texts are lower-cased as a whole here: texts that agree with A-Z lowered
-    agree so too, and the hits are checked afterwards.
-    """
-    split = lambda df, also: df.select(*also, words(F.lower("text"), NON_WORD).alias("ws"))
+    """Ids of the documents that keep any hash of the benchmark."""
+    split = lambda df, also: df.select(*also, words(ascii_lower(F.col("text")), NON_WORD).alias("ws"))
     found = None
     for t in spans:
         own = split(items.filter(F.col("span") == t), [])
