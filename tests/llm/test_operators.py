@@ -498,6 +498,18 @@ def test_capital_sigma_before_other_separators_is_a_hit(spark):
     assert out == {1: 12, 2: 12}
 
 
+def test_url_sample_is_sized_by_distinct_urls(spark):
+    few = [(f"http://a{i}.net/x", float(i % 2)) for i in range(8)] * 50
+    labelled = spark.createDataFrame(few, "url string, label double")
+    pages = spark.createDataFrame([(f"http://a{i}.net/x",) for i in range(8)], "url string")
+    sizes = []
+    fit = urls.GBTClassifier.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(urls.GBTClassifier, "fit", lambda self, df: (sizes.append(df.count()), fit(self, df))[1])
+        out = urls.judge_urls(pages, labelled, [], train_rows=8, trees=2).collect()
+    assert sizes == [8] and len(out) == 8  # all eight URLs, each once
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
 def test_near_links_are_complete(spark, block):
     base, other = sentence(120), sentence(60)

@@ -3,8 +3,9 @@
 Features come from the URL string alone, in built-in column functions: lengths,
 path depth, digit ratio, character entropy, parameter count, host labels,
 hyphens, and how often labelled URLs of the same host suffix are blocked.  The
-trees are Spark ML's, trained on at most about ``train_rows`` labelled URLs
-(chosen by a hash of the URL, a documented bound); every URL is judged.
+trees are Spark ML's, trained on at most about ``train_rows`` distinct labelled
+URLs, each weighted by its rows (chosen by a hash of the URL, a documented
+bound); every URL is judged.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no
 rule and gets the method's verdict; with no labelled URL, or labels of one
@@ -21,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stage
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_host_digits", "f_entropy", "f_params",
@@ -95,20 +96,24 @@ def judge_urls(df: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]],
     every = lexical(df, url)
     rule, decided = longest_rule(F.col("host"), F.col("path"), rules)
     drop = ["_tld", "_domain", *FEATURES]
-    if blocked in (0, n):
-        only = F.lit("block" if n and blocked else "allow")
+    chance = F.pmod(F.xxhash64("url"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    distinct = known.select(F.xxhash64("url")).distinct().count()
+    chosen = stage(known.filter(chance < F.lit(train_rows / max(distinct, 1)))
+                        .groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    low, high = chosen.agg(F.min("label"), F.max("label")).first()
+    if blocked in (0, n) or low == high:  # also without any chosen
+        only = F.lit("block" if n and 2 * blocked > n else "allow")
         return (every.withColumn("rule", rule).withColumn("block_score", (only == "block").cast("double"))
                      .withColumn("verdict", F.coalesce(decided, only)).drop(*drop))
-    chance = F.pmod(F.xxhash64("url"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = lexical(known.filter(chance < F.lit(train_rows / n)))
+    sample = lexical(chosen)
     prior = float(blocked) / n
-    rate = (F.sum("label") + 10 * prior) / (F.count("label") + 10)
+    rate = (F.sum(F.col("label") * F.col("weight")) + 10 * prior) / (F.sum("weight") + 10)
     tld = sample.groupBy("_tld").agg(rate.alias("f_tld"))
     domain = sample.groupBy("_domain").agg(rate.alias("f_domain"))  # at most ``train_rows`` suffixes each
     suffixed = lambda d: (d.join(F.broadcast(tld), "_tld", "left").join(F.broadcast(domain), "_domain", "left")
                            .fillna(prior, ["f_tld", "f_domain"]))
     collect = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    trainer = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_class",
+    trainer = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_class",
                             maxIter=trees, maxDepth=depth, seed=7)
     trainer = trainer.setRawPredictionCol("_raw").setProbabilityCol("_probability")
     model = trainer.fit(collect.transform(suffixed(sample)))
