@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding, urls
+from . import (decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding,
+               substring, urls)
 from .common import id_fold, read_table
 from .twins import SQL  # noqa: F401  the entry module reads it from here
 
@@ -80,6 +81,11 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "rules.*").drop("clean_text")
 
 
+def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
@@ -91,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
+    "op13_substring": op13_substring,
     "pipeline": corpus_pipeline.run,
 }

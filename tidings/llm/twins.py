@@ -43,4 +43,18 @@ reach AS (
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1, "op8_jaccard": OP8}
+OP13 = r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+windows AS (
+  SELECT doc_id, a, array_to_string(ws[a:a + 19], ' ') AS w FROM doc_words, range(1, len(ws) - 18) r(a)),
+later AS (
+  SELECT doc_id, a FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY w ORDER BY doc_id, a) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, range(a, a + 20) r(p)),
+kept AS (
+  SELECT doc_id, string_agg(ws[p], ' ' ORDER BY p) AS words
+  FROM doc_words, range(1, len(ws) + 1) r(p) WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM gone) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM doc_words LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+SQL: dict[str, str] = {"op1_decontaminate": OP1, "op8_jaccard": OP8, "op13_substring": OP13}
