@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (decontaminate, jaccard, language, line_rules, packing, ppm, resample, secret_scan, sharding,
-               substring, urls)
-from .common import id_fold, read_table
+from . import (decontaminate, jaccard, language, line_rules, merkle, negatives, packing, ppm, resample, secret_scan,
+               sharding, substring, urls)
+from .common import ascii_lower, id_fold, read_table
 from .twins import SQL  # noqa: F401  the entry module reads it from here
 
 SHARDS = 40
@@ -81,6 +81,27 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "rules.*").drop("clean_text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the id's crc32 the text is tampered with; a null id has no crc32."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    claimed = F.when(tampered, merkle.leaf_digest(*[F.col(f) for f in fields[:-1]], ascii_lower(F.col("text"))))
+    proofs = merkle.manifest(docs, fields, "lang", "doc_id", [F.col("doc_id"), claimed.alias("claimed")])
+    folded = merkle.fold(F.coalesce("carried.claimed", "leaf"), F.col("path"))
+    found = proofs.select("carried.doc_id", *[merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+                          merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                          merkle.as_hex(folded).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 7 divides get a wrong label first; anchors are the ids that 100 divides."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -97,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
+    "op11_merkle": op11_merkle,
+    "op12_negatives": op12_negatives,
     "op13_substring": op13_substring,
     "pipeline": corpus_pipeline.run,
 }
