@@ -309,9 +309,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         heads = heads.unionByName(twins.select(columns))
         copies = copies.unionByName(twins.withColumn("copy", F.explode(F.sequence(F.lit(2), "twins"))).select(columns))
 
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = heads.select(F.sum(F.octet_length("text"))).first()[0] or 0  # a word and its space take two bytes at least
-    buckets = max(4 * partitions, size // (2 * BUCKET_WORDS) + 1)
+    buckets = size // (2 * BUCKET_WORDS) + 1
     shared = _meet(heads.drop("doc_id"), _anchors(window), _shared, buckets)
     removed = _meet(_with(heads.drop("doc_id"), shared, "near"), _windows(window), _later, buckets)
 
