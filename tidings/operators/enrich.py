@@ -196,7 +196,8 @@ def inference_results(replies: DataFrame, keys=("key",)) -> DataFrame:
     external_error."""
     from tidings.functions.jsonfn import is_varray, is_vint, is_vobject, is_vstring, vfield
     from tidings.operators.webhooks import strict_json
-    v = strict_json(F.col("body"))
+    replies = replies.select(*keys, "http_status", strict_json(F.col("body")).alias("_v"))
+    v = F.col("_v")
     usage = vfield(v, "$.usage")
     choices = vfield(v, "$.choices")
     carr = F.try_variant_get(choices, "$", "array<variant>")
@@ -232,7 +233,8 @@ def url_summary_results(replies: DataFrame, keys=("key",)) -> DataFrame:
     def opt(x, pred):
         return is_vnull_or_absent(x) | pred(x)
 
-    v = strict_json(F.col("body"))
+    replies = replies.select(*keys, "http_status", strict_json(F.col("body")).alias("_v"))
+    v = F.col("_v")
     meta, data = vfield(v, "$.meta"), vfield(v, "$.data")
     data_ok = opt(data, lambda d: is_vobject(d) & is_vstring(vfield(d, "$.summary"))
                   & opt(vfield(d, "$.tokens"), _i32))
@@ -269,9 +271,9 @@ def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str =
     """(keys…, language): the label that most distinct words of the text vote
     for (ties by the smaller label); no vote -> ``default``.
 
-    A word occurs once per text in the join, so even the hottest word has one
-    row per text, and AQE splits it when ``profiles`` is a landed table.
-    ``keys`` may name every column to carry along, which saves a join back.
+    Only ``keys`` and one word at a time travel to the join; a word occurs
+    once per text, so even the hottest word has one row per text, and AQE
+    splits it when ``profiles`` is a landed table.
     """
     keys = list(keys)
     votes = texts.select(*keys, *[b for b in by if b not in keys],
@@ -281,6 +283,18 @@ def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str =
     return best.select(*keys, F.coalesce("_lang", F.lit(default)).alias("language"))
 
 
+def with_language(events: DataFrame, profiles: DataFrame, id_col: str = "webhook_id", text_col: str = "text") -> DataFrame:
+    """``events`` with the language of their text, null where there is none.
+
+    The guess is made per id and text hash, so the text stays out of the word
+    join, and repeated rows of an id keep their number.
+    """
+    marked = events.withColumn("_text", F.xxhash64(text_col))
+    asked = marked.where(F.col(text_col).isNotNull()).select(id_col, "_text", text_col)
+    guessed = detect_language(asked, profiles, [id_col, "_text"], text_col)
+    return marked.join(guessed, [id_col, "_text"], "left").select(*events.columns, "language")
+
+
 # O22 -------------------------------------------------------------------------
 DROP_BLOCKS_RE = (r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>"
                   r"|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidings.functions.crypto import hmac_sha256_base64
 from tidings.functions.jsonfn import (is_varray, is_vint, is_vnull_or_absent, is_vobject,
                                       is_vstring, vfield)
+from tidings.functions.text import let
 
 EVENTS_TYPE = ("array<struct<type:string,replyToken:string,"
                "source:struct<type:string,userId:string>,"
@@ -35,16 +36,25 @@ def _c(c) -> Column:
 
 
 def strict_json(text) -> Column:
-    """VARIANT of a text that is exactly one JSON document, else null.
+    """VARIANT of a text that is exactly one JSON document, else null; one parse.
 
-    ``try_parse_json`` stops after the first value; wrapping the text as
-    ``[text]`` and ``{"k":text}`` makes any trailing content a syntax error
-    in at least one of the two.
+    ``try_parse_json`` stops after the first value and ignores what follows.
+    The text is parsed inside ``{"k":[text],"z":digest}``: text that ends the
+    list early either breaks the document, adds a value or a key, or cuts off
+    ``z``, whose value (the text's own digest) it cannot hold itself.
     """
+    def checked(values: Column, parts: Column, digest: Column) -> Column:
+        z = F.try_variant_get(F.try_element_at(parts, F.lit("z")), "$", "string")
+        return F.when((F.size(parts) == 2) & (F.size(values) == 1) & (z == digest), F.get(values, F.lit(0)))
+
+    def parsed(t: Column, digest: Column) -> Column:
+        whole = F.try_parse_json(F.concat(F.lit('{"k":['), t, F.lit('],"z":"'), digest, F.lit('"}')))
+        return let(F.try_variant_get(whole, "$", "map<string,variant>"), lambda parts: let(
+            F.try_variant_get(F.try_element_at(parts, F.lit("k")), "$", "array<variant>"),
+            lambda values: checked(values, parts, digest)))
+
     t = _c(text)
-    in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull()
-    in_object = F.try_parse_json(F.concat(F.lit('{"k":'), t, F.lit("}")))
-    return F.when(in_array, F.try_variant_get(in_object, "$.k", "variant"))
+    return let(F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("z")), lambda x: parsed(x["t"], x["z"]))
 
 
 def _opt_string(v) -> Column:
@@ -93,11 +103,11 @@ def parse_webhooks(webhooks: DataFrame) -> DataFrame:
 
 
 # O34 -------------------------------------------------------------------------
-def first_event_outcome(webhooks: DataFrame, secret: str) -> DataFrame:
+def first_event_outcome(webhooks: DataFrame, secret: str, also=()) -> DataFrame:
     """One row per webhook: outcome in the reference's order of checks,
     plus the first event's reply token, user id and text when accepted.
-    A ``feed_id`` of the webhook is carried along."""
-    feed = [c for c in ("feed_id",) if c in webhooks.columns]
+    A ``feed_id`` of the webhook and the columns in ``also`` are carried along."""
+    feed = [*(c for c in ("feed_id",) if c in webhooks.columns), *also]
     p = parse_webhooks(verify_signatures(webhooks, secret))
     p = p.select("webhook_id", *feed, "signature_ok", "parse_ok", "events",
                  F.try_element_at(F.col("events"), F.lit(1)).alias("_e"))
@@ -125,10 +135,11 @@ def _tool_call_ok(t) -> Column:
             & is_vstring(vfield(fn, "$.arguments")))
 
 
-def decode_tool_calls(replies: DataFrame) -> DataFrame:
+def decode_tool_calls(replies: DataFrame, also=()) -> DataFrame:
     """Model replies -> first tool call (name, arguments) or the message
     content; status ok / ai_error (no choices) / serialization_error /
-    external_error (HTTP not 2xx).  ``result`` is the reference's JSON."""
+    external_error (HTTP not 2xx).  ``result`` is the reference's JSON.
+    Columns named in ``also`` are carried along."""
     s = replies.withColumn("_v", strict_json(F.col("body")))
     s = s.withColumn("_ch", vfield("_v", "$.choices"))
     s = s.withColumn("_carr", F.try_variant_get(F.col("_ch"), "$", "array<variant>"))
@@ -147,21 +158,21 @@ def decode_tool_calls(replies: DataFrame) -> DataFrame:
                .when(~shape_ok, "serialization_error")
                .when(F.size("_carr") == 0, "ai_error")
                .otherwise("ok"))
-    s = s.select("key", status.alias("status"),
+    s = s.select("key", *also, status.alias("status"),
                  vfield(F.try_element_at(F.col("_carr"), F.lit(1)), "$.message").alias("_msg"))
-    s = s.select("key", "status", "_msg",
+    s = s.select("key", *also, "status", "_msg",
                  F.try_element_at(F.try_variant_get(F.col("_msg"), "$.tool_calls", "array<variant>"),
                                   F.lit(1)).alias("_call"))
     ok = F.col("status") == "ok"
     has_call = F.col("_call").isNotNull()
     out = s.select(
-        "key", "status",
+        "key", *also, "status",
         F.when(ok & has_call, F.try_variant_get(F.col("_call"), "$.function.name", "string")).alias("name"),
         F.when(ok & has_call, F.try_variant_get(F.col("_call"), "$.function.arguments", "string"))
          .alias("arguments"),
         F.when(ok & ~has_call, F.try_variant_get(F.col("_msg"), "$.content", "string")).alias("message"))
     return out.select(
-        "key", "status", "name", "arguments", "message",
+        "key", *also, "status", "name", "arguments", "message",
         F.when(F.col("status") == "ok",
                F.to_json(F.struct("name", "arguments", "message"))).alias("result"))
 
@@ -188,8 +199,12 @@ def route_calls(events: DataFrame, calls: DataFrame) -> DataFrame:
     and needs a user id and a message; a route missing its key is dropped.
     ``feed_id`` and ``language`` of the events are carried along.
     """
-    also = [c for c in ("feed_id", "language") if c in events.columns]
-    j = events.join(calls.withColumnRenamed("key", "webhook_id"), "webhook_id", "left")
+    return routes_of(events.join(calls.withColumnRenamed("key", "webhook_id"), "webhook_id", "left"))
+
+
+def routes_of(j: DataFrame) -> DataFrame:
+    """Routes of events that are joined to their call already; no status is no reply."""
+    also = [c for c in ("feed_id", "language") if c in j.columns]
     name = F.col("name")
     route = (F.when(F.col("outcome") != "accepted", F.lit(None))
               .when(F.col("status").isNull() | (F.col("status") != "ok"), "model_error")

@@ -90,13 +90,21 @@ def _routed(routes: DataFrame, route: str) -> DataFrame:
 def webhook_routes(webhooks: DataFrame, replies: DataFrame, secret: str, profiles: DataFrame) -> DataFrame:
     """Signature -> parse -> first event -> language -> tool call -> route.
 
-    The parsed events pass through the language guess with all their columns,
-    so they are parsed once and need no join back.
+    The parsed events are read twice, for their words and for their routes.
     """
-    events = J5.first_event_outcome(webhooks, secret)
-    guessed = J3.detect_language(events, profiles, events.columns, "text")
-    guessed = guessed.withColumn("language", F.when(F.col("text").isNotNull(), F.col("language")))
-    return J5.route_calls(guessed, J5.decode_tool_calls(replies))
+    events = materialize(J5.first_event_outcome(webhooks, secret))
+    return J5.route_calls(J3.with_language(events, profiles), J5.decode_tool_calls(replies))
+
+
+def of_wanted(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose key is wanted; applied to raw tables, so that
+    only wanted rows are parsed, cleaned or searched for links."""
+    return table.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def asked_pages(pages: DataFrame, routes: DataFrame, route: str) -> DataFrame:
+    """Pages whose feed a request of the route asks about."""
+    return of_wanted(pages, _routed(routes, route).select(F.col("feed_id").alias("page_id")), "page_id")
 
 
 def _pushes(df: DataFrame, key: str, run_date: str, rejected: Column, summary: Column, failed: Column,
@@ -145,10 +153,10 @@ def push_summaries(routes: DataFrame, feeds: DataFrame, run_date: str, results:
     return _pushes(picked, "webhook_id", run_date, rejected, summary, failed, translations)
 
 
-def page_summaries(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(url, stand_in) for the wanted URLs that have landed: the extract of
-    the page with the smallest id.  Only wanted pages are cleaned."""
-    chosen = (pages.join(wanted.select("url").distinct(), "url", "left_semi")
+def page_summaries(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(url, stand_in) for the wanted URLs that have landed, or all: the
+    extract of the page with the smallest id.  Only wanted pages are cleaned."""
+    chosen = ((pages if wanted is None else of_wanted(pages, wanted, "url"))
                    .groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("url", "p.html"))
     return chosen.select("url", let(J3.page_text("html"), lambda t: J3.summary_of(t, 3, 200)).alias("stand_in"))
 
@@ -159,9 +167,15 @@ def push_url(routes: DataFrame, pages: DataFrame, run_date: str, results: DataFr
     landed page's extract -> translation if needed -> bubble; one row per
     request.  ``results`` holds (url, status, summary), one row per URL.
     """
+    return _push_urls(routes, page_summaries(pages, J5.call_urls(routes)), run_date, results, translations)
+
+
+def _push_urls(routes: DataFrame, extracts: DataFrame, run_date: str, results: DataFrame | None,
+               translations: DataFrame | None) -> DataFrame:
+    """``push_url`` with the pages' extracts (url, stand_in)."""
     from tidings.functions.url import is_valid_url
     urls = J5.call_urls(routes, ("feed_id", "language"))
-    df = urls.join(page_summaries(pages, urls), "url", "left")
+    df = urls.join(extracts, "url", "left")
     summary, missing = F.col("stand_in"), F.col("stand_in").isNull()
     failed = F.when(missing, "No summary data returned")
     if results is not None:
@@ -173,6 +187,16 @@ def push_url(routes: DataFrame, pages: DataFrame, run_date: str, results: DataFr
     return _pushes(df, "webhook_id", run_date, rejected, summary, failed, translations)
 
 
+def landed_url_results(replies: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(url, status, summary) of landed summarizer replies (key, url,
+    http_status, body): one per URL, of the smallest key.  Only the replies to
+    wanted URLs are parsed."""
+    replies = replies if wanted is None else of_wanted(replies, wanted, "url")
+    parsed = J3.url_summary_results(replies, ("key", "url"))
+    return (parsed.groupBy("url").agg(F.min(F.struct("key", "status", "summary")).alias("r"))
+                  .select("url", "r.status", "r.summary"))
+
+
 def webhook_outbox(routes: DataFrame, headlines: DataFrame) -> DataFrame:
     """Routes answered directly: reply_latest_story -> reply with the
     headline of the request's feed, or the reason why there is none;
@@ -199,21 +223,26 @@ def page_headlines(pages: DataFrame) -> DataFrame:
                                            F.col("url").alias("link")))
 
 
-def all_outbox(routes: DataFrame, headlines: DataFrame, feeds: DataFrame, pages: DataFrame, run_date: str,
+def all_outbox(routes: DataFrame, headlines: DataFrame, feeds: DataFrame, extracts: DataFrame, run_date: str,
                results: DataFrame | None = None, url_results: DataFrame | None = None,
                translations: DataFrame | None = None) -> DataFrame:
-    """Outbox rows of all four routes."""
+    """Outbox rows of all four routes; ``extracts`` holds (url, stand_in)."""
     return (webhook_outbox(routes, headlines)
             .unionByName(push_summaries(routes, feeds, run_date, results, translations))
-            .unionByName(push_url(routes, pages, run_date, url_results, translations)))
+            .unionByName(_push_urls(routes, extracts, run_date, url_results, translations)))
 
 
 def process_webhooks(webhooks: DataFrame, replies: DataFrame, secret: str, profiles: DataFrame, pages: DataFrame,
-                     run_date: str, results: DataFrame | None = None, url_results: DataFrame | None = None,
+                     run_date: str, results: DataFrame | None = None, url_replies: DataFrame | None = None,
                      translations: DataFrame | None = None) -> DataFrame:
-    """POST webhook as a batch job: every route with its outbox row."""
+    """POST webhook as a batch job: every route with its outbox row.
+
+    Pages and URL replies are cut to the requests before any work on them.
+    """
     routes = materialize(webhook_routes(webhooks, replies, secret, profiles))  # read by four routes
-    out = all_outbox(routes, page_headlines(pages), J1.page_story_arrays(pages), pages, run_date,
-                     results, url_results, translations)
+    urls = J5.call_urls(routes)
+    out = all_outbox(routes, page_headlines(asked_pages(pages, routes, "reply_latest_story")),
+                     J1.page_story_arrays(asked_pages(pages, routes, "push_summary")), page_summaries(pages, urls), run_date,
+                     results, None if url_replies is None else landed_url_results(url_replies, urls), translations)
     return (routes.select("webhook_id", "route", "outcome", "language")
                   .join(out, "webhook_id", "left"))

@@ -7,6 +7,7 @@ the rules in ``tidings.sources``), so every query's work grows with the data.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -88,11 +89,8 @@ def _selection_results(spark, d):
     return J3.inference_results(FX.selection_replies(T.conversations(spark, d)), ("webhook_id",))
 
 
-def _url_results(spark, d):
-    """Landed URL summaries, one per URL (of the page with the smallest id)."""
-    parsed = J3.url_summary_results(FX.url_replies(T.pages(spark, d)), ("key", "url"))
-    return (parsed.groupBy("url").agg(F.min(F.struct("key", "status", "summary")).alias("r"))
-                  .select("url", "r.status", "r.summary"))
+def _url_replies(spark, d):
+    return FX.url_replies(T.pages(spark, d))
 
 
 def _highlights(spark, d):
@@ -209,7 +207,7 @@ def _webhook_routes(spark, d):
 
 def _landed(spark, d):
     """Replies and translations that have landed for the webhook flows."""
-    return {"results": _selection_results(spark, d), "url_results": _url_results(spark, d),
+    return {"results": _selection_results(spark, d), "url_replies": _url_replies(spark, d),
             "translations": FX.translations(T.conversations(spark, d))}
 
 
@@ -221,7 +219,9 @@ def _outbox_push(spark, d):
 
 
 def _outbox_reply(spark, d):
-    out = JOBS.webhook_outbox(_routes(spark, d), JOBS.page_headlines(T.pages(spark, d)))
+    routes = materialize(_routes(spark, d))  # read for the wanted pages and for the answers
+    pages = JOBS.asked_pages(T.pages(spark, d), routes, "reply_latest_story")
+    out = JOBS.webhook_outbox(routes, JOBS.page_headlines(pages))
     return out.where(F.col("channel") == "reply").drop("request_text")
 
 
@@ -230,14 +230,25 @@ def _job_webhooks(spark, d):
                                  T.pages(spark, d), RUN_DATE, **_landed(spark, d))
 
 
+def _job_push_summaries(spark, d):
+    routes = _webhook_routes(spark, d)
+    pages = JOBS.asked_pages(T.pages(spark, d, "page_id", "html"), routes, "push_summary")
+    return JOBS.push_summaries(routes, J1.page_story_arrays(pages), RUN_DATE, _selection_results(spark, d),
+                               FX.translations(T.conversations(spark, d)))
+
+
+def _job_push_url(spark, d):
+    routes = _webhook_routes(spark, d)
+    results = JOBS.landed_url_results(_url_replies(spark, d), J5.call_urls(routes))
+    return JOBS.push_url(routes, T.pages(spark, d), RUN_DATE, results, FX.translations(T.conversations(spark, d)))
+
+
 register("outbox_push")(_outbox_push)
 register("outbox_reply")(_outbox_reply)
 register("job_story_broadcast")(lambda s, d: JOBS.story_broadcast(_feeds(s, d), _story_results(s, d)))
 register("job_daily_summary")(lambda s, d: JOBS.daily_summary(_feeds(s, d), RUN_DATE, _digest_results(s, d)))
-register("job_push_summaries")(lambda s, d: JOBS.push_summaries(
-    _webhook_routes(s, d), _arrays(s, d), RUN_DATE, _selection_results(s, d), FX.translations(T.conversations(s, d))))
-register("job_push_url")(lambda s, d: JOBS.push_url(
-    _webhook_routes(s, d), T.pages(s, d), RUN_DATE, _url_results(s, d), FX.translations(T.conversations(s, d))))
+register("job_push_summaries")(_job_push_summaries)
+register("job_push_url")(_job_push_url)
 register("job_webhooks")(_job_webhooks)
 
 
@@ -252,19 +263,31 @@ def _outbox_sink(spark, d):
     return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
 
 
+def stream_tables(spark, d, path):
+    """The tables that the webhook stream joins, landed below ``path``."""
+    pages, replied = T.pages(spark, d), _landed(spark, d)
+    return STREAM.land(spark, path, profiles=J3.language_profiles(T.documents(spark, d, "text", "lang")),
+                       headlines=JOBS.page_headlines(pages), feeds=J1.page_story_arrays(pages),
+                       extracts=JOBS.page_summaries(pages), results=replied["results"], translations=replied["translations"],
+                       url_results=JOBS.landed_url_results(replied["url_replies"]))
+
+
 def stream_run(spark, d, max_files_per_trigger: int = 1000, files: int | None = None) -> str:
-    """Land the webhook fixture, run the stream to completion; the folder of its outputs."""
+    """Land webhooks and replies, run the stream to completion; the folder of its outputs.
+
+    Replies land up to 40 minutes after their webhooks; a heartbeat a day later ends all waiting.
+    """
     run = sub_dir(spark, f"webhook_stream/{uuid.uuid4().hex}")
-    hooks = _webhooks(spark, d)
-    (hooks.repartition(files) if files else hooks).write.mode("overwrite").parquet(f"{run}/in")
-    pages = T.pages(spark, d)
-    landed = STREAM.land(spark, f"{run}/landed", calls=_calls(spark, d),
-                         profiles=J3.language_profiles(T.documents(spark, d, "text", "lang")),
-                         headlines=JOBS.page_headlines(pages), feeds=J1.page_story_arrays(pages), pages=pages,
-                         **_landed(spark, d))
-    q = STREAM.start_webhook_stream(spark, f"{run}/in", landed, SECRET, RUN_DATE, f"{run}/sink", f"{run}/outbox",
-                                    f"{run}/checkpoint", max_files_per_trigger=max_files_per_trigger)
-    q.awaitTermination()
+    for name, rows in (("in", FX.landed_webhooks(_webhooks(spark, d))), ("replies", FX.landed_replies(_replies(spark, d)))):
+        (rows.repartition(files) if files else rows).write.mode("overwrite").parquet(f"{run}/{name}")
+    landed = stream_tables(spark, d, f"{run}/landed")
+
+    def go():
+        STREAM.start_webhook_stream(spark, f"{run}/in", f"{run}/replies", landed, SECRET, RUN_DATE, f"{run}/sink", f"{run}/outbox",
+                                    f"{run}/checkpoint", max_files_per_trigger=max_files_per_trigger).awaitTermination()
+    go()
+    STREAM.heartbeat(spark, FX.LANDING_START + timedelta(days=1), f"{run}/in", f"{run}/replies")
+    go()
     return run
 
 

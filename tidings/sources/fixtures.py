@@ -8,6 +8,8 @@ forms are seeded by id so that every branch of an operator is met.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,26 @@ def webhooks(conversations: DataFrame, secret: str = FIXTURE_SECRET) -> DataFram
     return signed.select("webhook_id", "feed_id", sig.alias("signature"), body.alias("body"))
 
 
+#: landing time of the first webhook
+LANDING_START = datetime(2024, 1, 31, 8, tzinfo=timezone.utc)
+
+
+def _landing(key: str, late_minutes):
+    """LANDING_START plus up to 50 minutes by a hash of the webhook's id, plus ``late_minutes``."""
+    minutes = F.pmod(F.xxhash64(key), F.lit(50)) + late_minutes
+    return (F.lit(int(LANDING_START.timestamp())) + minutes * 60).cast("timestamp").alias("landed_at")
+
+
+def landed_webhooks(webhooks: DataFrame) -> DataFrame:
+    """webhooks with ``landed_at``."""
+    return webhooks.select("*", _landing("webhook_id", F.lit(0)))
+
+
+def landed_replies(replies: DataFrame) -> DataFrame:
+    """tool replies with ``landed_at``: 0 to 40 minutes after their webhook."""
+    return replies.select("*", _landing("key", F.pmod(F.xxhash64("key", F.lit("reply")), F.lit(41))))
+
+
 # tool-call replies of the model, one per user turn ---------------------------------
 def _tool_reply_sql(cid: str, turn: str, jstr, page_url: str = "NULL") -> str:
     """Reply body by variant (cid + 3*turn) % 8; status 500 / bad JSON by (cid+turn) % 11.
