@@ -11,6 +11,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from tidings.operators import delivery as LOG
 from tidings.operators import digests as J2
 from tidings.operators import enrich as J3
 from tidings.operators import feeds as J1
@@ -19,6 +20,7 @@ from tidings.operators import webhooks as J5
 from tidings.plans import jobs as JOBS
 from tidings.session import materialize, sub_dir
 from tidings.sources import fixtures as FX
+from tidings.sources import request_files as FILES
 from tidings.sources import tables as T
 from tidings.streaming import webhooks as STREAM
 
@@ -298,5 +300,34 @@ def _webhook_stream(spark, d):
     return routes.join(spark.read.parquet(f"{run}/outbox").drop("batch_id"), "webhook_id", "left")
 
 
+MAX_ATTEMPTS = 3
+
+
+def _outbox_outcomes(spark, d):
+    """Last state of every pushed selection: the outbox rows are logged as ready, sent up to
+    MAX_ATTEMPTS times with the landed answers, and the log is compacted after each round."""
+    path = sub_dir(spark, f"outbox_log/{uuid.uuid4().hex}")
+    rows = _outbox_push(spark, d).withColumn("message_id", LOG.message_id("push_summaries", "request_id"))
+    LOG.append(LOG.first_states(rows), path, RUN_DATE, "ready")
+    for attempt in range(1, MAX_ATTEMPTS + 1):
+        due = LOG.due(LOG.last_states(LOG.read_log(spark, path)), MAX_ATTEMPTS)
+        LOG.append(LOG.attempts(due, FX.send_answers(due)), path, RUN_DATE, f"attempt-{attempt}")
+        LOG.compact(spark, path, RUN_DATE)
+    return LOG.last_states(LOG.read_log(spark, path))
+
+
+def _request_files(spark, d):
+    """Request files of a second run: stories whose summary has landed are not asked again."""
+    path = sub_dir(spark, f"requests/{uuid.uuid4().hex}")
+    requests = J3.inference_requests(_request_rows(spark, d), J3.tasks_table(spark))
+    FILES.write_requests(requests, path, "first")
+    landed = _story_results(spark, d).where(F.col("summary").isNotNull())
+    answered = landed.select(F.concat_ws(":", F.lit("story"), F.col("feed_id").cast("string"), F.col("rank").cast("string")).alias("key"))
+    FILES.write_requests(FILES.read_requests(spark, path, "first"), path, "second", answered)
+    return FILES.read_requests(spark, path, "second").select("task", "key", "body")
+
+
 register("outbox_sink")(_outbox_sink)
+register("outbox_outcomes")(_outbox_outcomes)
+register("request_files")(_request_files)
 register("webhook_stream")(_webhook_stream)

@@ -329,3 +329,16 @@ def url_replies(pages: DataFrame) -> DataFrame:
     status, body = url_replies_sql(_spark_jstr)
     return pages.select(F.col("page_id").alias("key"), "url", F.expr(status).alias("http_status"),
                         F.expr(body).alias("body"))
+
+
+# answers of the chat platform to sent messages ------------------------------------
+def send_answers(due: DataFrame) -> DataFrame:
+    """(message_id, http_status, body) for the next attempt of due messages, by the
+    last number of the id modulo 7: 0 fails once with 500, 1 always fails with 429
+    and no body, 2 has no answer, then 400, then succeeds; the others succeed."""
+    form = F.regexp_extract("message_id", r"(\d+)$", 1).cast("bigint") % 7
+    tries = F.col("attempt") + 1
+    status = (F.when((form == 0) & (tries == 1), 500).when(form == 1, 429)
+               .when((form == 2) & (tries == 1), F.lit(None)).when((form == 2) & (tries == 2), 400).otherwise(200))
+    body = F.when(form != 1, F.concat(F.lit("try "), tries.cast("string")))
+    return due.select("message_id", status.cast("int").alias("http_status"), body.alias("body"))
