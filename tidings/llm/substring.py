@@ -32,16 +32,16 @@ extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, stage
+from .tokens import ONE, mix, pieces, token_hashes
 
 WINDOW = 20
 #: perfect difference covers by period (fixed values): every distance occurs exactly once
@@ -54,11 +54,9 @@ PIECE = 8 << 20
 BUCKET_WORDS = 1 << 20
 LAST = (1 << 63) - 1
 
-ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: words longer than this many bytes are finished by xxhash
-LONG_WORD = 256
+SPACE = np.zeros(256, dtype=np.uint8)
+SPACE[[0x20, *range(0x09, 0x0E)]] = 1
+WORD = 1 - SPACE
 
 
 def cover(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -67,42 +65,10 @@ def cover(window: int) -> tuple[int, tuple[int, ...], int]:
     return v, COVERS[v], window - v + 1
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * TWO
-    h = (h ^ (h >> np.uint64(29))) * ONE
-    return h ^ (h >> np.uint64(32))
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and the number of words of each text."""
-    binary = pc.cast(pc.fill_null(texts, b""), pa.large_binary())
-    offsets = np.frombuffer(binary.buffers()[1], dtype=np.int64)[binary.offset:binary.offset + len(binary) + 1]
-    body = binary.buffers()[2]
-    data = np.zeros(offsets[-1] - offsets[0] + 8, dtype=np.uint8)  # eight bytes more, to read words by eights
-    if body is not None:
-        data[:-8] = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = ~SPACE[data[:-8]]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = offsets[(offsets > 0) & (offsets < len(inside))]
-    first[edges] |= inside[edges]
-    last[edges - 1] |= inside[edges - 1]
-    begin, size = np.flatnonzero(first), np.flatnonzero(last)
-    size = size + 1 - begin
-    h = size.astype(np.uint64) * TWO
-    eights = np.ndarray(max(len(data) - 7, 0), dtype="<u8", buffer=data.data, strides=(1,))
-    left, at = np.arange(len(begin)), 0
-    while len(left) and at < LONG_WORD:
-        rest = np.minimum(size[left] - at, 8).astype(np.uint64)
-        part = eights[begin[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
-        h[left] = _mix(h[left] * ONE + part)
-        at += 8
-        left = left[size[left] > at]
-    for i in left:
-        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[begin[i] + at:begin[i] + size[i]].tobytes()))
-    return h, np.diff(np.searchsorted(begin, offsets))
+    h, _, n = token_hashes(texts, WORD)
+    return h, n
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -110,23 +76,11 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     done = 1
     while done < k:
         step = min(done, k - done)
-        h = _mix(h[:max(len(h) - step, 0)] * ONE + h[step:])
+        h = mix(h[:max(len(h) - step, 0)] * ONE + h[step:])
         done += step
     return h
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about PIECE bytes of text; a longer text is one of its own."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < len(b):
-            done = ends[start - 1] if start else 0
-            stop = max(int(np.searchsorted(ends, done + PIECE, side="right")), start + 1)
-            yield b.slice(start, stop - start)
-            start = stop
-
-
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
@@ -191,7 +145,7 @@ def _meet(texts: DataFrame, pick: Callable, decide: Callable, buckets: int) -> D
     """
 
     def send(batches):
-        for b in _pieces(batches):
+        for b in pieces(batches, PIECE):
             at, h, h2, row, pos = pick(b)
             id, tie = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "tie"))
             found, speaks = decide(h, h2, id, tie, pos)
@@ -243,7 +197,7 @@ def _windows(window: int) -> Callable:
         keys = rolled(h, window)
         n = len(keys)
         at = np.flatnonzero((np.cumsum(edge)[:n] > 0) & (left[:n] >= window))
-        second = rolled(_mix(h ^ ONE), window)[at].astype(np.uint32).view(np.int32)
+        second = rolled(mix(h ^ ONE), window)[at].astype(np.uint32).view(np.int32)
         return at, keys[at], second, row[at], pos[at].astype(np.int32)
     return pick
 
