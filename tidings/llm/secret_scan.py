@@ -20,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,8 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: structural candidates
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{11,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1PRIVATE KEY-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,.-]*")
 BARE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 BARE_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 KINDS = ["assign", "access", "hex", "jwt", "key", "ssh"]
@@ -127,6 +129,16 @@ def pem_body_kind(body: str) -> str | None:
     return key_kind(data) or ("key" if encrypted else None)
 
 
+def pem_blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of armored blocks: a begin mark and the next mark, if that ends the same label."""
+    blocks, begin = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2] and PEM_BODY.fullmatch(text, begin.end(), m.start()):
+            blocks.append((begin.start(), m.end(), text[begin.end():m.start()]))
+        begin = m if m[1] == "BEGIN" else None
+    return blocks
+
+
 def key_kind(data: bytes | None) -> str | None:
     """Kind of a decoded candidate: DER, OpenSSH container, or a PEM block of either."""
     if not data or len(data) < MIN_KEY_BYTES:
@@ -136,8 +148,8 @@ def key_kind(data: bytes | None) -> str | None:
     if openssh_key(data):
         return "ssh"
     if b"-----BEGIN " in data:
-        for m in PEM.finditer(data.decode("latin-1")):
-            if kind := pem_body_kind(m[2]):
+        for _, _, body in pem_blocks(data.decode("latin-1")):
+            if kind := pem_body_kind(body):
                 return kind
     return None
 
@@ -160,12 +172,14 @@ def structural(text: str) -> list[tuple[int, int, str]]:
         m = JWT.search(text, m.end() if signed else m.end(1))  # a token may follow a dotted word
     armored = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if kind := pem_body_kind(m[2]):
-                found.append((m.start(), m.end(), kind))
-                armored.append((m.start(), m.end()))
+        for a, b, body in pem_blocks(text):
+            if kind := pem_body_kind(body):
+                found.append((a, b, kind))
+                armored.append((a, b))
+    starts = [a for a, _ in armored]
     for m in BARE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in armored) and (kind := key_kind(decode64(m[0]))):
+        block = bisect_right(starts, m.start()) - 1
+        if not (block >= 0 and m.start() < armored[block][1]) and (kind := key_kind(decode64(m[0]))):
             found.append((m.start(), m.end(), kind))
     for m in BARE_HEX.finditer(text):
         if kind := key_kind(bytes.fromhex(m[0])):
