@@ -127,7 +127,7 @@ def _spans(docs: DataFrame, items: DataFrame, span: int) -> DataFrame:
     """(doc_id, item_id, start, end) of shared runs of at least ``span`` words."""
     k = (span + 1) // 2
     bench = stage(items.select("item_id", F.explode(let(F.col("ws"), lambda ws: fingerprints(ws, span))).alias("b"))
-                       .select("item_id", "b.*").distinct())
+                       .select("item_id", "b.h", "b.gram", "b.left", "b.right").distinct())  # places do not matter: repeats meet once
     if bench.count() <= BROADCAST_ROWS:
         bench = F.broadcast(bench)
     ours = docs.select("doc_id", F.explode(let(F.col("ws"), lambda ws: fingerprints(ws, span))).alias("d"))
