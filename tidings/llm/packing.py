@@ -8,9 +8,11 @@ groups, packed best-fit again, and so on up the tree.  A bin whose room is
 smaller than the smallest underfull bin can never take another and is emitted
 too, which also stops a flood of half-full bins from reaching the root.
 
-No task ever holds more than ``MAX_ITEMS`` items: groups are sized from the
-count of underfull bins, and once a single round no longer shrinks them the
-rest is emitted as it stands.
+Groups are sized from the count of underfull bins, and bins are dealt by a hash
+of their row, so no task holds more than ``MAX_ITEMS`` items whatever their ids
+are.  At every size the rounds end by one rule: when two rounds in turn, each
+dealt anew over no more groups than that count needs, shrink the bins by less
+than 2 %, the rest is emitted as it stands.
 
 Edge cases: a null or empty text is the closing id alone; texts of any length
 are cut into whole pieces; repeated rows are packed as often as they occur; an
@@ -188,7 +190,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary:
     source = small_batches(df).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     local = lambda batches: pack_locally(batches, vocabulary)
     bins = stage(source.mapInPandas(local, BIN))
-    done, groups, before = [], None, None
+    done, groups, before, idle = [], None, None, 0
     while True:
         n, least = (bins.filter(F.col("fill") < CAPACITY - SLACK)
                         .agg(F.count("*"), F.min("fill")).first())
@@ -199,14 +201,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary:
         done.append(bins.filter(~is_open))
         rest = bins.filter(is_open)
         n = rest.count()
-        stuck = before is not None and n > 0.98 * before
-        if n <= 1 or stuck and (groups == 1 or n > MAX_ITEMS):
+        fair = -(-n // (MAX_ITEMS // 10))
+        at_root = groups is not None and groups <= fair
+        idle = idle + 1 if at_root and n > 0.98 * before else 0
+        if n <= 1 or idle >= 2 or idle and groups == 1:  # one group is never dealt differently
             done.append(rest)
             break
-        fair = -(-n // (MAX_ITEMS // 10))
-        groups = fair if groups is None else max(1, min(fair, groups // FAN_IN)) if n <= MAX_ITEMS else fair
+        groups = fair if groups is None else max(1, fair, min(groups, n // 2) // FAN_IN)
         before = n
-        deal = F.pmod(F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"], F.lit(groups)), F.lit(groups))
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(groups), F.lit(len(done))), F.lit(groups))
         bins = stage(rest.withColumn("g", deal).groupBy("g").applyInPandas(pack_group, BIN))
     packed = done[0]
     for d in done[1:]:
