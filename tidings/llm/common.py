@@ -40,10 +40,13 @@ def small_batches(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, shared storage on a cluster.
 
-    Only where the setting is absent (tests) does the session get its own.
+    A cluster must name it, as executors do not see the driver's folders; only
+    a local session gets one of its own where the setting is absent (tests).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="llm-stage-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -71,12 +74,38 @@ def stage_folder(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], Dat
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose doc_id is not among ``ids``; null ids stay."""
-    ids = stage(ids.select("doc_id").distinct())
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def with_row_key(df: DataFrame, name: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with a bigint column that tells apart rows of different id or text.
+
+    It is the id where that is not null and all its rows have one text; the
+    other rows get numbers beyond all ids, one per id and text.  Ids are
+    integers.  ``name`` comes from ``fresh``.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text"))
+    several = rows.groupBy("id").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("id is null or a <> b")
+    top = rows.agg(F.max("id")).first()[0] or 0
+    odd = rows.join(several.select(F.col("id").alias("odd")), F.col("id").eqNullSafe(F.col("odd")), "left_semi").distinct()
+    odd = stage(odd.select(*[F.col(c).alias(f"{name}{c}") for c in ("id", "text")],
+                           (F.monotonically_increasing_id() + F.lit(top + 1).cast("bigint")).alias(f"{name}key")))
+    if odd.count() <= BROADCAST_IDS:
+        odd = F.broadcast(odd)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(f"{name}id")) & (F.xxhash64(text) == F.col(f"{name}text"))
+    return df.join(odd, same, "left").select(*df.columns, F.coalesce(f"{name}key", F.col(id_col).cast("bigint")).alias(name))
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among the doc_ids of ``ids``; nulls stay."""
+    ids = stage(ids.select(F.col("doc_id").alias(key)).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, "doc_id", "left_anti").select(*df.columns)
+    return df.join(ids, key, "left_anti").select(*df.columns)
 
 
 def to_arrays(df: DataFrame) -> dict[str, np.ndarray]:

@@ -44,7 +44,6 @@ BITS = 9
 START, END, SYMBOLS = 0, 257, 257
 CHUNK_BYTES = 4_000_000
 HOT_WORDS = 100_000
-MAX_NODES = 2_000_000
 HOT_CODES = 2_000_000
 #: codes of one task when probabilities are worked out, and distinct codes a counting task holds
 TASK_CODES = 500_000
@@ -177,24 +176,6 @@ def _take(values: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(known, values[at], 0).astype(np.float64) if len(values) else np.zeros(len(known))
 
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """One trie of all texts of ``docs`` in memory, for use outside ``score``.
-
-    Nodes seen fewer than t times are left out, t being the least power of two
-    that brings it to ``max_nodes``.  ``score`` leaves out nothing.
-    """
-    source = docs.select(F.col(text).alias("text"), F.lit(False).alias("held_out"))
-    top = stage(_counted(source, order))
-    every = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND((1 << (BITS * (k + 1))) - 1).alias("code"))
-             for k in range(order + 1)]
-    nodes = stage(top.select(F.inline(F.array(*every)), "n").groupBy("k", "code").agg(F.sum("n").alias("n")))
-    least = 1
-    while nodes.filter(F.col("n") >= least).count() > max_nodes:
-        least *= 2
-    rows = to_arrays(nodes.filter(F.col("n") >= least))  # max_nodes rows at most
-    return Trie.build(order, [(rows["code"][rows["k"] == k], rows["n"][rows["k"] == k]) for k in range(order + 1)])
-
-
 def _counted(source: DataFrame, order: int) -> DataFrame:
     """(code, n, m) of all texts: how often a code occurs in training texts, and in all."""
     return (source.select("text", "held_out").mapInPandas(lambda b: count_codes(b, order), "code long, n long, m long")

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import (decontaminate, jaccard, language, line_rules, merkle, negatives, packing, ppm, resample, secret_scan,
                sharding, substring, urls)
 from .common import ascii_lower, id_fold, read_table
@@ -121,5 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_merkle": op11_merkle,
     "op12_negatives": op12_negatives,
     "op13_substring": op13_substring,
-    "pipeline": corpus_pipeline.run,
 }
