@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm import decontaminate, jaccard, language, packing, secret_scan
-from tidings.llm.common import id_fold, read_table, small_batches, stage_folder, without_ids
+from tidings.llm.common import fresh, id_fold, read_table, small_batches, stage, stage_folder, with_row_key, without_ids
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates.
+    """Keep one document of each group of near duplicates, that of the smallest id.
 
-    Equal rows are copies too: of rows with one id and text, one stays.
+    Rows are judged by id and text: an id on several texts loses only the
+    copies among them, null ids are judged like others (they come last), and
+    of rows equal in both one stays.
     """
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    kept = without_ids(docs, found.filter("component_id <> doc_id").select("doc_id"))
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    key = fresh(docs, "_row")
+    rows = with_row_key(docs, key)
+    found = jaccard.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = without_ids(rows, found.filter("component_id <> doc_id").select("doc_id"), key)
+    repeated = stage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without_ids(kept, repeated).unionByName(once.select(*docs.columns))
+        return kept.select(*docs.columns)
+    once = kept.join(repeated.withColumnRenamed("doc_id", key), key, "left_semi").dropDuplicates([key])
+    return without_ids(kept, repeated, key).unionByName(once).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a span of the benchmark."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter("n_hit > 0").select("doc_id"))
+    """Drop documents that hold a span of the benchmark, judged by id and text; null ids too."""
+    key = fresh(docs, "_row")
+    rows = with_row_key(docs, key)
+    found = decontaminate.contamination(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return without_ids(rows, found.filter("n_hit > 0").select("doc_id"), key).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
