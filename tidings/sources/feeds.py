@@ -1,14 +1,16 @@
 """Feed sources: landed RSS files, or feed bodies derived from ``pages``.
 
-A landed feed is one RSS document; ``read_feed_files`` reads a folder of
-them.  For the test tables every page is a feed: its newest item is the page
+A landed feed is one RSS document.  ``read_feed_files`` reads a folder of
+them as bodies, one row each; ``landed_items`` and ``landed_status`` read them
+item by item, so that a large file is read by several tasks and no row holds
+it whole.  For the test tables every page is a feed: its newest item is the page
 itself (title, URL, HTML as description) and its older items are the page's
 links, all built in the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.html import Scope, link_array
@@ -56,3 +58,77 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").load(path)
             .select(F.col("path").alias("feed_id"), F.lit(200).alias("http_status"),
                     F.col("content").cast("string").alias("body")))
+
+
+# item by item ---------------------------------------------------------------------
+ITEM_END = "</item>"
+ITEM_RE = r"(?s)^(.*?)(<item(?=[\s>]).*)$"
+ITEM_SCHEMA = "title string, link string, description string, _bad string"
+
+
+def _well_formed(text: Column) -> Column:
+    """Whether a piece of text between items can stand inside an element."""
+    parsed = F.from_xml(F.concat(F.lit("<x>"), text, F.lit("</x>")), "_bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return (F.trim(text) == "") | parsed["_bad"].isNull()
+
+
+def item_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of the files below ``path`` up to each item's end, in file order by
+    (block, row): the text before the item, and the parsed item or null.
+
+    The text source splits files at the separator wherever a block ends.  An
+    item whose text holds the separator itself (inside CDATA) is not well
+    formed in pieces, so its file counts as one that does not parse.
+    """
+    raw = spark.read.option("lineSep", ITEM_END).option("recursiveFileLookup", "true").text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("feed_id"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("row"), "value")
+    item = F.nullif(F.regexp_extract("value", ITEM_RE, 2), F.lit(""))
+    pieces = pieces.select("feed_id", "block", "row", item.alias("text"),
+                           F.when(item.isNull(), F.col("value")).otherwise(F.regexp_extract("value", ITEM_RE, 1)).alias("between"))
+    options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_xml(F.concat("text", F.lit(ITEM_END)), ITEM_SCHEMA, options)
+    return pieces.select("feed_id", "block", "row", "between", F.when(F.col("text").isNotNull(), parsed).alias("item"))
+
+
+def landed_status(spark: SparkSession, path: str, fetches: DataFrame | None = None) -> DataFrame:
+    """(feed_id = file path, http_status, parsed) of every landed file.
+
+    A file parses if its items do, its first and last piece are a document
+    without them, and what lies between is well formed by itself.  ``fetches``
+    (feed_id, http_status) adds feeds that left no file, or one without a byte
+    (which Spark does not list).
+    """
+    place = F.struct("block", "row")
+    chunks = item_chunks(spark, path).withColumn("alone", _well_formed(F.col("between")))
+    each = chunks.groupBy("feed_id").agg(
+        F.min_by(F.struct("between", "alone"), place).alias("head"), F.max_by(F.struct("between", "alone", "item"), place).alias("tail"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("item._bad").isNotNull()).alias("bad"), F.count_if(~F.col("alone")).alias("odd"))
+    # a last piece with an item ended at the end of the file, without a closing tag
+    ends = F.concat("head.between", F.when(F.col("n") > 1, F.col("tail.between")).otherwise(F.lit("")))
+    whole = F.from_xml(ends, "channel string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    inner = F.col("odd") - (~F.col("head.alone")).cast("int") - F.when(F.col("n") > 1, (~F.col("tail.alone")).cast("int")).otherwise(0)
+    parsed = (F.col("bad") == 0) & (inner == 0) & F.col("tail.item").isNull() & whole["channel"].isNotNull() & whole["_bad"].isNull()
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                  .select(F.col("path").alias("feed_id"), F.lit(200).alias("http_status")))
+    if fetches is not None:
+        told = fetches.select("feed_id", F.col("http_status").alias("told"), F.lit(True).alias("known"))
+        files = files.join(told, "feed_id", "full").select(
+            "feed_id", F.when(F.col("known"), F.col("told")).otherwise(F.col("http_status")).alias("http_status"))
+    return (files.join(each.select("feed_id", parsed.alias("parsed")), "feed_id", "left")
+                 .select("feed_id", "http_status", F.coalesce("parsed", F.lit(False)).alias("parsed")))
+
+
+def landed_items(spark: SparkSession, path: str, fetches: DataFrame | None = None) -> DataFrame:
+    """(feed_id = file path, item_no, title, link, description) of the files that
+    were fetched and parse; items are numbered inside their block and shifted
+    by the blocks before, so no task holds a file."""
+    status = landed_status(spark, path, fetches)
+    good = status.where(F.col("parsed") & F.col("http_status").between(200, 299)).select("feed_id")
+    items = item_chunks(spark, path).where(F.col("item").isNotNull()).join(good, "feed_id", "left_semi")
+    blocks = Window.partitionBy("feed_id").orderBy("block")
+    shift = (items.groupBy("feed_id", "block").agg(F.count(F.lit(1)).alias("n"))
+                  .select("feed_id", "block", (F.sum("n").over(blocks) - F.col("n")).alias("shift")))
+    inside = Window.partitionBy("feed_id", "block").orderBy("row")
+    return (items.withColumn("no", F.row_number().over(inside)).join(shift, ["feed_id", "block"])
+                 .select("feed_id", (F.col("no") + F.col("shift")).alias("item_no"), "item.title", "item.link", "item.description"))
