@@ -62,6 +62,21 @@ def test_detect_language_default_and_profiles(spark):
     assert got == {10: "fr", 11: "en", 12: "en", 13: "en"}
 
 
+def test_scripts_without_spaces(spark):
+    texts = {1: ("今天天氣很好", "zh-tw"), 2: ("東京の天気予報です", "ja"), 3: ("カレーライス", "ja"), 4: ("오늘 날씨", "ko"), 5: ("สวัสดีครับ", "th"),
+             6: ("新 iPhone 今天發表", "zh-tw"), 7: ("hello 世", "en"), 8: ("ｘ１２３ !!", "en"), 9: ("Привет", "en"), 10: ("ラーメン大好き", "ja")}
+    train = spark.createDataFrame([("hello iphone", "en"), ("the news", "en")], "text string, lang string")
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.language for r in J3.detect_language(df, J3.language_profiles(train), ["doc_id"]).collect()}
+    assert got == {i: x for i, (_, x) in texts.items()}
+
+
+def test_labelled_pairs_of_characters_are_learned(spark):
+    train = spark.createDataFrame([("我們去公園", "zh"), ("我们去公园", "zh-CN"), ("公園に行く", "ja"), ("公園", "ja")], "text string, lang string")
+    words = {r.word: r.lang for r in J3.language_profiles(train).collect()}
+    assert words["我們"] == words["公园"] == "zh-tw" and words["公園"] == "ja" and words["に行"] == "ja"
+
+
 def test_extract_summary_is_of_the_text_alone(spark):
     rows = [(1, "Cats purr. Dogs bark loudly. Cats and dogs play. Rain."), (2, "..."),
             (3, "Cats and dogs. Cats."), (4, None), (5, "今天下雨。明天晴天！後天呢？"), (6, "a. " * 5000)]

@@ -33,6 +33,42 @@ def letter_words(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_RE), 0)
 
 
+# Scripts written without spaces between words, and the languages
+# that scripts stand for where no word is known; the reference asks for zh-tw
+# for all Chinese.  U+30FC is the kana length mark.
+KANA = r"\p{IsHiragana}\p{IsKatakana}\x{30FC}"
+HAN = r"\p{IsHan}"
+UNSPACED = KANA + HAN + r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SCRIPT_LANGUAGES = {r"\p{IsHangul}": "ko", r"\p{IsThai}": "th", r"\p{IsLao}": "lo", r"\p{IsKhmer}": "km", r"\p{IsMyanmar}": "my",
+                    r"\p{IsGreek}": "el", r"\p{IsHebrew}": "he", r"\p{IsArmenian}": "hy", r"\p{IsGeorgian}": "ka"}
+CHINESE, JAPANESE = "zh-tw", "ja"
+
+
+def language_terms(c) -> Column:
+    """Distinct terms of a text that tell its language: lower-cased words, and
+    pairs of neighbouring characters in scripts without spaces (a lone
+    character is a term)."""
+    def pairs(run: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.char_length(run) - 1, F.lit(1)))
+        return F.transform(at, lambda i: F.substring(run, i, F.lit(2)))
+
+    def mixed(text: Column) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]+|[\p{{L}}&&[^{UNSPACED}]]+"), 0)
+        return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{UNSPACED}]"), pairs(r)).otherwise(F.array(r))))
+
+    c = _col(c)
+    return F.array_distinct(F.when(c.rlike(f"[{UNSPACED}]"), mixed(F.lower(c))).otherwise(letter_words(c)))
+
+
+def script_language(term: Column, kana: Column) -> Column:
+    """The language a term's script stands for, or null; Han characters are
+    Japanese in a text with kana, else Chinese."""
+    rest = F.coalesce(*[F.when(term.rlike(f"^[{script}]"), lang) for script, lang in SCRIPT_LANGUAGES.items()])
+    han = F.when(kana, JAPANESE).otherwise(CHINESE)
+    by_script = F.when(term.rlike(f"[{KANA}]"), JAPANESE).when(term.rlike(f"[{HAN}]"), han).otherwise(rest)
+    return F.when(term >= "\u0370", by_script)  # Latin words, the most, are told by their first byte
+
+
 def most_frequent(ws: Column, k: int) -> Column:
     """The ``k`` most frequent words of an array (ties by word), by sorting the
     array once and measuring its runs: n log n in the row, no shuffle."""

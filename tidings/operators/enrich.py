@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import SECTION_BREAK, let, letter_words, most_frequent, truncate_chars, unicode_trim
+from tidings.functions.text import (CHINESE, KANA, SECTION_BREAK, language_terms, let, letter_words, most_frequent,
+                                    script_language, truncate_chars, unicode_trim)
 
 # The reference's fallback summary text.
 DEFAULT_SUMMARY = "摘要生成失敗"
@@ -258,28 +259,36 @@ def url_summary_results(replies: DataFrame, keys=("key",)) -> DataFrame:
 FALLBACK_LANGUAGE = "en"
 
 
+def _known_as(lang: Column) -> Column:
+    """All Chinese labels are one language."""
+    return F.when(F.lower(lang).rlike(r"^zh\b"), CHINESE).otherwise(lang)
+
+
 def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", by=()) -> DataFrame:
-    """(by…, word, lang): every word with the label most of its texts have
-    (ties by the smaller label).  One shuffle of distinct words per text."""
-    return (labelled.select(*by, F.col(lang_col).alias("lang"), F.explode(F.array_distinct(letter_words(text_col))).alias("word"))
+    """(by…, word, lang): every term with the label most of its texts have
+    (ties by the smaller label).  One shuffle of distinct terms per text."""
+    return (labelled.select(*by, _known_as(F.col(lang_col)).alias("lang"), F.explode(language_terms(text_col)).alias("word"))
                     .groupBy(*by, "word").agg(F.mode("lang", True).alias("lang"))
                     .where(F.col("lang").isNotNull()))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, keys, text_col: str = "text", by=(),
                     default: str = FALLBACK_LANGUAGE) -> DataFrame:
-    """(keys…, language): the label that most distinct words of the text vote
+    """(keys…, language): the label that most distinct terms of the text vote
     for (ties by the smaller label); no vote -> ``default``.
 
-    Only ``keys`` and one word at a time travel to the join; a word occurs
-    once per text, so even the hottest word has one row per text, and AQE
-    splits it when ``profiles`` is a landed table.
+    A term that no labelled text holds votes by its script, where that stands
+    for one language.  Only ``keys`` and one term at a time travel to the
+    join; a term occurs once per text, so even the hottest one has one row per
+    text, and AQE splits it when ``profiles`` is a landed table.
     """
     keys = list(keys)
-    votes = texts.select(*keys, *[b for b in by if b not in keys],
-                         F.explode_outer(F.array_distinct(letter_words(text_col))).alias("word"))
-    best = (votes.join(profiles.select(*by, "word", F.col("lang").alias("_vote")), [*by, "word"], "left")
-                 .groupBy(*keys).agg(F.mode("_vote", True).alias("_lang")))
+    kana = F.coalesce(F.col(text_col).rlike(f"[{KANA}]"), F.lit(False))
+    votes = texts.select(*keys, *[b for b in by if b not in keys], kana.alias("_kana"),
+                         F.explode_outer(language_terms(text_col)).alias("word"))
+    known = votes.join(profiles.select(*by, "word", F.col("lang").alias("_vote")), [*by, "word"], "left")
+    vote = F.coalesce("_vote", script_language(F.col("word"), F.col("_kana")))
+    best = known.select(*keys, vote.alias("_vote")).groupBy(*keys).agg(F.mode("_vote", True).alias("_lang"))
     return best.select(*keys, F.coalesce("_lang", F.lit(default)).alias("language"))
 
 

@@ -195,7 +195,7 @@ def _request_rows(spark, d):
 def _detect_docs(spark, d):
     """Each half of the documents (even, odd ids) is labelled by words learned from the other."""
     half = (F.col("doc_id") % 2).alias("half")
-    docs = T.documents(spark, d, "doc_id", "text", "lang")
+    docs = FX.language_documents(T.documents(spark, d, "doc_id", "text", "lang"))
     learned = J3.language_profiles(docs.select(half, "text", "lang"), by=["half"])
     profiles = materialize(learned.select((1 - F.col("half")).alias("half"), "word", "lang"))
     return (J3.detect_language(docs.select("doc_id", half, "text", "lang"), profiles, ["doc_id", "lang"], by=["half"])

@@ -276,6 +276,23 @@ def translations(conversations: DataFrame) -> DataFrame:
             .select(request_key().alias("webhook_id"), F.concat(F.lit("Traduction de "), request_key()).alias("text")))
 
 
+# texts in scripts without spaces ------------------------------------------------------
+#: doc_id % 40 -> text before the id, and the label.  Odd ids are labelled by even ones, which hold
+#: one Chinese text: so a Chinese text is met known and unknown, the other scripts unknown.
+SCRIPT_TEXTS = {5: ("今天的新聞摘要，編號", "zh"), 10: ("天氣很好，我們去公園散步", "zh"), 15: ("きょうのニュースのまとめです。番号", "ja"),
+                25: ("서울의 오늘 뉴스 요약", "ko"), 27: ("天氣很好，今天 news", "zh"), 35: ("เขาไปตลาดทุกวัน", "th")}
+
+
+def language_documents(documents: DataFrame) -> DataFrame:
+    """documents with texts of SCRIPT_TEXTS, numbered by the id, in place of some."""
+    text, lang = F.col("text"), F.col("lang")
+    for form, (words, label) in SCRIPT_TEXTS.items():
+        here = F.col("doc_id") % 40 == form
+        text = F.when(here, F.concat(F.lit(words), F.col("doc_id").cast("string"))).otherwise(text)
+        lang = F.when(here, label).otherwise(lang)
+    return documents.withColumn("text", text).withColumn("lang", lang)
+
+
 # landed model replies for documents ----------------------------------------------
 def _completion_sql(id_sql: str, content_sql: str, created_sql: str, usage: bool = True) -> str:
     u = ("'\"usage\":{\"prompt_tokens\":12,\"completion_tokens\":' || CAST(length(text) AS STRING) || "

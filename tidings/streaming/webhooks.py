@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidings.functions.text import letter_words
+from tidings.functions.text import language_terms
 from tidings.operators import enrich as J3
 from tidings.operators import webhooks as J5
 
@@ -110,7 +110,7 @@ def answered_events(webhooks: DataFrame, replies: DataFrame, secret: str, patien
 
 def route_batch(events: DataFrame, landed: Landed) -> DataFrame:
     """Language and route of one batch of answered events."""
-    words = events.select(F.explode(F.array_distinct(letter_words("text"))).alias("word"))
+    words = events.select(F.explode(language_terms("text")).alias("word"))
     profiles = landed.cut("profiles", _buckets(words=words)["words"])
     return J5.routes_of(J3.with_language(events, profiles))
 
