@@ -150,3 +150,26 @@ def test_funnel_adds_up(spark, sf_dir):
     routes = R._routes(spark, sf_dir)
     total = R.QUERIES["webhook_funnel"](spark, sf_dir).agg(F.sum("n")).collect()[0][0]
     assert total == routes.count() == R._webhooks(spark, sf_dir).count()
+
+
+def test_repeated_keys_of_dynamic_arguments(spark):
+    """Of an object's repeated keys the last one counts; text that is no JSON stays nothing."""
+    cases = {
+        '{"indexes":[1],"indexes":[2,3]}': [2, 3], '{"indexes":[1],"x":{"indexes":[9]},"ind\\u0065xes":[4]}': [4],
+        '{"indexes":[5],"url":"a,}{\\"b","url":"c"}': [5], ' { "a" : 1 , "indexes" : [ 7 ] , "a" : [ { } ] } ': [7],
+        '{"indexes":[1],"indexes":null}': [], '{"indexes":[1],"indexes":[2]} x': [], '{"indexes":[1],"indexes":[2]}}': [],
+        '{"indexes":[1],"indexes":[2],}': [], '{"indexes":[1] "indexes":[2]}': [], '[{"indexes":[1],"indexes":[2]}]': [],
+        '{"indexes":[1],"indexes":[2': [], '{"indexes":[1],"x":{"a":1,"a":2}}': [], "": [], '{': [], '"': [], "{}": [], '{"indexes":[8]}': [8],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "arguments string")
+    got = {r[0]: r[1] for r in df.select("arguments", J5.index_array("arguments")).collect()}
+    assert got == cases
+    urls = spark.createDataFrame([("w", "push_url_summary", "routed", "U", '{"url":"http://a","url":"http://b"}')],
+                                 "webhook_id string, route string, outcome string, user_id string, arguments string")
+    assert [r.url for r in J5.call_urls(urls).collect()] == ["http://b"]
+
+
+def test_typed_bodies_refuse_repeated_keys(spark):
+    body = '{"choices":[{"message":{"content":"a","content":"b"}}]}'
+    df = spark.createDataFrame([("k", 200, body)], "key string, http_status int, body string")
+    assert J5.decode_tool_calls(df).first().status == "serialization_error"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.crypto import hmac_sha256_base64
 from tidings.functions.jsonfn import (is_varray, is_vint, is_vnull_or_absent, is_vobject,
-                                      is_vstring, vfield)
+                                      is_vstring, last_members, vfield)
 from tidings.functions.text import let
 
 EVENTS_TYPE = ("array<struct<type:string,replyToken:string,"
@@ -57,6 +57,12 @@ def strict_json(text) -> Column:
     return let(F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("z")), lambda x: parsed(x["t"], x["z"]))
 
 
+def dynamic_json(text) -> Column:
+    """``strict_json`` of a value without a fixed shape: of an object's repeated
+    keys the last one counts (a typed value with a repeated key is refused)."""
+    return let(strict_json(text), lambda v: F.coalesce(v, strict_json(last_members(_c(text)))))
+
+
 def _opt_string(v) -> Column:
     return is_vnull_or_absent(v) | is_vstring(v)
 
@@ -232,7 +238,7 @@ def index_array(arguments) -> Column:
     unsigned integers, in order, duplicates kept (as_u64 semantics: 2.0,
     "4", null, booleans and negatives are dropped one by one); bad JSON or
     no list -> empty."""
-    arr = F.try_variant_get(strict_json(_c(arguments)), "$.indexes", "array<variant>")
+    arr = F.try_variant_get(dynamic_json(_c(arguments)), "$.indexes", "array<variant>")
     kept = F.filter(arr, lambda x: is_vint(x) & (F.try_variant_get(x, "$", "bigint") >= 0))
     return F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "bigint")),
                       F.array().cast("array<bigint>"))
@@ -253,7 +259,7 @@ def call_urls(routes: DataFrame, also=()) -> DataFrame:
     url = F.when(is_vstring(u), F.try_variant_get(u, "$", "string"))
     # explode of a 0/1-element array instead of a filter on the derived url:
     # a filter would be pushed through the join and inline the reply parse
-    return (r.select("webhook_id", "user_id", *also, vfield(strict_json(F.col("arguments")), "$.url").alias("_u"))
+    return (r.select("webhook_id", "user_id", *also, vfield(dynamic_json(F.col("arguments")), "$.url").alias("_u"))
              .select("webhook_id", "user_id", *also,
                      F.explode(F.filter(F.array(url), lambda x: x.isNotNull())).alias("url")))
 
