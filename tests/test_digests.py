@@ -68,3 +68,27 @@ def test_translate_queue_is_case_sensitive_and_untrimmed(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(langs)], "request_id long, language_code string")
     got = sorted(r.language_code for r in J2.translate_queue(df).collect())
     assert got == sorted(["ZH-TW", "fr", "en "])
+
+
+def test_hot_feed_is_dealt_over_tasks(spark):
+    """With nine tenths of the requests on one feed no task holds far more than its part, without AQE."""
+    from pyspark.sql import functions as F
+    rows = [(i, 1 if i % 10 else i % 97, f"U{i}", "en", [1 + i % 3, 9]) for i in range(6000)] + [(9001, None, "U", "en", [1]), (9002, 555, "U", "en", [1])]
+    selections = spark.createDataFrame(rows, "request_id long, feed_id long, user_id string, language_code string, indexes array<long>")
+    stories = [(f, [(f"l{f}-{k}", f"s{k}") for k in range(3)]) for f in range(97)]
+    feeds = spark.createDataFrame(stories, "feed_id long, stories array<struct<storylink:string,story:string>>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("16", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        salts = {r["feed_id"]: r["salts"] for r in J2.request_salts(selections).collect()}
+        assert salts[1] >= 64 and len(salts) <= 128
+        picked = J2.picked_stories(selections, feeds)
+        sizes = sorted(r["count"] for r in picked.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == len(rows) and len(sizes) >= 14
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        got = {r["request_id"]: [s["story"] for s in r["stories"] or []] for r in picked.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {**{i: [f"s{i % 3}"] for i in range(6000)}, 9001: [], 9002: []}

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidings.functions.idna import ascii_host
 from tidings.functions.text import let
 
 URL_RE = (r"(?s)^(?i:https?):[/\\]*(?:[^/\\?#]*@)?"
@@ -68,7 +69,7 @@ def _decoded_host(clean: Column) -> Column:
     """Host of a cleaned URL, percent-decoded; null when it cannot be one."""
     raw = F.regexp_extract(clean, URL_RE, 1)
     plus = F.regexp_replace(raw, r"\+", "%2B")
-    host = F.lower(F.when(raw.contains("%"), F.try_url_decode(plus)).otherwise(raw))
+    host = let(F.when(raw.contains("%"), F.try_url_decode(plus)).otherwise(raw), ascii_host)
 
     def judge(h: Column) -> Column:
         last = F.regexp_extract(h, r"([^.]*)\.?$", 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.text import SECTION_BREAK
 from tidings.functions.url import is_valid_url, url_host
+from tidings.session import materialize
 
 # Digest line format "{rank}. {title} {link}", the headline
 # format, and the reference's error texts.
@@ -57,17 +58,43 @@ def story_digest(feeds: DataFrame, keys=("feed_id",)) -> DataFrame:
 
 
 # O09 / O10 ---------------------------------------------------------------------
+#: requests of a feed beyond this share of a task's fair part go to another salt; small
+#: parts, as salts fall on tasks by hash
+HOT_SHARE = 0.125
+
+
+def request_salts(selections: DataFrame) -> DataFrame:
+    """(feed_id, salts): hot feeds and over how many keys their requests are dealt.
+
+    A feed is hot when its requests pass HOT_SHARE of a fair task's part; so there
+    are at most tasks / HOT_SHARE such feeds, which bounds the table.
+    """
+    tasks = int(selections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialize(selections.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n")))  # counted in the map tasks first
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    fair = max(HOT_SHARE * total / tasks, 1.0)
+    salts = F.ceil(F.col("n") / F.lit(fair)).cast("int")
+    return counts.where((F.col("n") > fair) & F.col("feed_id").isNotNull()).select("feed_id", salts.alias("salts"))
+
+
 def picked_stories(selections: DataFrame, feeds: DataFrame) -> DataFrame:
     """Every request with the array of its valid picks, in request order.
 
     Indexes are 1-based into the feed's story array; those outside it are
-    dropped, duplicates stay.  One join on the feed.
+    dropped, duplicates stay.  One join on the feed, where the requests of hot
+    feeds are dealt over salts and the arrays of these feeds repeated for them.
     """
-    known = feeds.select("feed_id", F.col("stories").alias("_all"))
+    hot = F.broadcast(request_salts(selections))  # eight times the tasks at most
+    every = F.xxhash64(*selections.columns)
+    dealt = (selections.join(hot, "feed_id", "left")
+                       .select(*selections.columns, F.coalesce(F.pmod(every, F.col("salts")).cast("int"), F.lit(0)).alias("_salt")))
+    known = (feeds.join(hot, "feed_id", "left")
+                  .select("feed_id", F.col("stories").alias("_all"),
+                          F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_salt")))
     pick = lambda i: F.when(i > 0, F.get(F.col("_all"), (i - 1).cast("int")))
     picks = F.filter(F.transform("indexes", pick), lambda s: s.isNotNull())
-    return (selections.join(known, "feed_id", "left")
-            .select(*selections.columns, picks.alias("stories")))
+    return (dealt.join(known, ["feed_id", "_salt"], "left")
+                 .select(*selections.columns, picks.alias("stories")))
 
 
 def select_stories(selections: DataFrame, feeds: DataFrame) -> DataFrame:

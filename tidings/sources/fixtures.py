@@ -66,6 +66,8 @@ URL_FORM = ("CASE page_id % 16 WHEN 1 THEN regexp_replace(url, '^[a-z]+:', 'ftp:
             "WHEN 4 THEN regexp_extract(url, '^[a-z]+://', 0) "
             "WHEN 5 THEN upper(url) "
             "WHEN 6 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '$1:99999') "
+            "WHEN 7 THEN 'https://B\u00fccher.example/' || page_id "
+            "WHEN 15 THEN 'http://\u65e5\u672c\u8a9e\u3002jp/' || page_id "
             "WHEN 8 THEN 'http://256.1.1.1/' || page_id "
             "WHEN 9 THEN 'http://[:::]/' || page_id "
             "WHEN 10 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '$1:000080') "
