@@ -2,16 +2,17 @@
 
 Features come from the URL string alone, in built-in column functions: lengths,
 path depth, digit ratio, character entropy, parameter count, host labels,
-hyphens, and how often labelled URLs of the same host suffix are blocked.  The
-trees are Spark ML's, trained on at most about ``train_rows`` distinct labelled
+hyphens, and how often other labelled URLs of the same host suffix are blocked
+(a labelled URL's own label is left out of its suffix statistics).  The trees are Spark ML's, trained on at most about ``train_rows`` distinct labelled
 URLs, each weighted by its rows (chosen by a hash of the URL, a documented
 bound); every URL is judged.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no
 rule and gets the method's verdict; with no labelled URL, or labels of one
 class only, there is nothing to learn and the verdict is that class (allow
-without any); repeated URLs get equal verdicts; extra columns are carried
-through unless they have the name of a result column.
+without any); repeated URLs get equal verdicts; very long URLs are judged whole; extra
+columns of any name are carried through, but for the names of result columns,
+which the results replace; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -84,6 +85,24 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
               .withColumn("f_escapes", _count(u, "%")))
 
 
+RESULTS = ["host", "path", "rule", "verdict", "block_score"]
+#: labelled rows that the prior counts as in a suffix's rate
+PRIOR_ROWS = 10
+
+
+def suffix_rates(sample: DataFrame, prior: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``sample`` (lexical, label, weight) with f_tld and f_domain, each without the
+    row's own label; and the rates of all labels, to join to other URLs."""
+    tables = []
+    for suffix, feature in (("_tld", "f_tld"), ("_domain", "f_domain")):
+        sums = sample.groupBy(suffix).agg(F.sum(F.col("label") * F.col("weight")).alias("_bad"), F.sum("weight").alias("_all"))
+        rate = lambda bad, all_: (bad + PRIOR_ROWS * prior) / (all_ + PRIOR_ROWS)
+        tables.append(sums.select(suffix, rate(F.col("_bad"), F.col("_all")).alias(feature)))
+        others = rate(F.col("_bad") - F.col("label") * F.col("weight"), F.col("_all") - F.col("weight"))
+        sample = sample.join(F.broadcast(sums), suffix).withColumn(feature, others).drop("_bad", "_all")
+    return sample, tables
+
+
 def judge_urls(df: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], url: str = "url",
                train_rows: int = 50_000, trees: int = 20, depth: int = 4) -> DataFrame:
     """``df`` with host, path, rule, verdict and block_score.
@@ -93,9 +112,10 @@ def judge_urls(df: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]],
     known = labelled.select(F.col("url"), F.col("label").cast("double").alias("label")).filter(
         F.col("url").isNotNull() & F.col("label").isNotNull())
     n, blocked = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    every = lexical(df, url)
+    # the rows' own columns wait in a struct, so their names meet no helper's
+    every = lexical(df.select(F.struct(*df.columns).alias("_row"), F.col(url).alias("url")))
     rule, decided = longest_rule(F.col("host"), F.col("path"), rules)
-    drop = ["_tld", "_domain", *FEATURES]
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in RESULTS]
     chance = F.pmod(F.xxhash64("url"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     distinct = known.select(F.xxhash64("url")).distinct().count()
     chosen = stage(known.filter(chance < F.lit(train_rows / max(distinct, 1)))
@@ -104,21 +124,17 @@ def judge_urls(df: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]],
     if blocked in (0, n) or low == high:  # also without any chosen
         only = F.lit("block" if n and 2 * blocked > n else "allow")
         return (every.withColumn("rule", rule).withColumn("block_score", (only == "block").cast("double"))
-                     .withColumn("verdict", F.coalesce(decided, only)).drop(*drop))
-    sample = lexical(chosen)
+                     .withColumn("verdict", F.coalesce(decided, only)).select(*kept, *RESULTS))
     prior = float(blocked) / n
-    rate = (F.sum(F.col("label") * F.col("weight")) + 10 * prior) / (F.sum("weight") + 10)
-    tld = sample.groupBy("_tld").agg(rate.alias("f_tld"))
-    domain = sample.groupBy("_domain").agg(rate.alias("f_domain"))  # at most ``train_rows`` suffixes each
-    suffixed = lambda d: (d.join(F.broadcast(tld), "_tld", "left").join(F.broadcast(domain), "_domain", "left")
-                           .fillna(prior, ["f_tld", "f_domain"]))
+    sample, tables = suffix_rates(lexical(chosen), prior)
+    for table in tables:  # at most ``train_rows`` suffixes each
+        every = every.join(F.broadcast(table), table.columns[0], "left")
     collect = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     trainer = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_class",
                             maxIter=trees, maxDepth=depth, seed=7)
     trainer = trainer.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    model = trainer.fit(collect.transform(suffixed(sample)))
-    scored = model.transform(collect.transform(suffixed(every)))
+    model = trainer.fit(collect.transform(sample))
+    scored = model.transform(collect.transform(every.fillna(prior, ["f_tld", "f_domain"])))
     method = F.when(F.col("_class") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
     return (scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(decided, method))
-                  .withColumn("block_score", vector_to_array("_probability")[1])
-                  .drop(*drop, "_features", "_class", "_raw", "_probability"))
+                  .withColumn("block_score", vector_to_array("_probability")[1]).select(*kept, *RESULTS))
