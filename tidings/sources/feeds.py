@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.html import Scope, link_array
 from tidings.functions.text import html_unescape, xml_escape
+from tidings.session import materialize
 
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
@@ -123,9 +124,11 @@ def landed_items(spark: SparkSession, path: str, fetches: DataFrame | None = Non
     """(feed_id = file path, item_no, title, link, description) of the files that
     were fetched and parse; items are numbered inside their block and shifted
     by the blocks before, so no task holds a file."""
-    status = landed_status(spark, path, fetches)
+    status = materialize(landed_status(spark, path, fetches))  # a row per file; read by the items and their numbers
     good = status.where(F.col("parsed") & F.col("http_status").between(200, 299)).select("feed_id")
-    items = item_chunks(spark, path).where(F.col("item").isNotNull()).join(good, "feed_id", "left_semi")
+    # explode of a 0/1-element array: a filter on the derived item would parse it a second time
+    some = F.explode(F.filter(F.array("item"), lambda x: x.isNotNull())).alias("item")
+    items = item_chunks(spark, path).select("feed_id", "block", "row", some).join(good, "feed_id", "left_semi")
     blocks = Window.partitionBy("feed_id").orderBy("block")
     shift = (items.groupBy("feed_id", "block").agg(F.count(F.lit(1)).alias("n"))
                   .select("feed_id", "block", (F.sum("n").over(blocks) - F.col("n")).alias("shift")))
