@@ -1,6 +1,9 @@
 """J3 edge rows: reply parsing, defaults, language, summaries, request bodies."""
 
 import json
+import random
+import re
+from collections import Counter
 
 from tidings.operators import enrich as J3
 
@@ -82,11 +85,56 @@ def test_extract_summary_is_of_the_text_alone(spark):
             (3, "Cats and dogs. Cats."), (4, None), (5, "今天下雨。明天晴天！後天呢？"), (6, "a. " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.summary for r in J3.extract_summary(docs, ["doc_id"], top_k=2, max_chars=100).collect()}
-    assert got == {1: "Dogs bark loudly. Cats and dogs play.", 3: "Cats and dogs. Cats.", 5: "今天下雨。 明天晴天！", 6: "a. a."}
+    assert got == {1: "Dogs bark loudly. Cats and dogs play.", 3: "Cats and dogs.", 5: "今天下雨。 明天晴天！", 6: "a."}
+    # sentences that repeat, or add no frequent word, are not taken
     alone = J3.extract_summary(docs.where("doc_id = 1"), ["doc_id"], top_k=2, max_chars=100).collect()[0].summary
     assert alone == got[1]
 
 
+def _summary_by_matrix(text, top_k, keywords=20, steps=2):
+    """The rule on a written-out similarity matrix, sentence by sentence."""
+    sents = [x.strip() for x in re.findall(r"[^.!?\n]+[.!?]*", text)]
+    sents = [x for x in sents if re.search("[a-zA-Z]", x)]
+    ws = [re.findall("[a-z]+", x.lower()) for x in sents]
+    count = Counter(w for x in ws for w in x)
+    keys = sorted(count, key=lambda w: (-count[w], w))[:keywords]
+    weight = {w: 1 for w in keys}
+    for _ in range(steps):
+        worth = [sum(weight[w] for w in keys if w in x) for x in ws]
+        gathered = {w: sum(worth[i] for i, x in enumerate(ws) if w in x) for w in keys}
+        weight = {w: g * 1000 // max(gathered.values()) for w, g in gathered.items()}
+    picks = []
+    for _ in range(top_k):
+        gain = [sum(weight[w] for w in keys if w in x) for x in ws]
+        if not gain or max(gain) == 0:
+            break
+        picks.append(gain.index(max(gain)))
+        weight = {w: 0 if w in ws[picks[-1]] else v for w, v in weight.items()}
+    return " ".join(sents[i] for i in sorted(picks))
+
+
+def test_summary_equals_the_rule_on_random_texts(spark):
+    rnd, vocabulary = random.Random(7), "ant bee cat dog elk fox gnu hen ibis jay kite lark mole newt owl".split() + [
+        f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(8)]
+    sentence = lambda: " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 9))).capitalize()
+    texts = []
+    for n in range(60):
+        own = [sentence() for _ in range(rnd.randint(1, 12))]
+        texts.append(". ".join(rnd.choices(own, k=len(own) + n % 5)) + ".")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.summary for r in J3.extract_summary(docs, ["doc_id"], top_k=3, max_chars=10_000).collect()}
+    assert got == {i: _summary_by_matrix(t, 3) for i, t in enumerate(texts)}
+    for summary in got.values():
+        parts = summary.split(". ")
+        assert len({p.rstrip(".") for p in parts}) == len(parts)
+
+
+def test_summary_needs_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string")
+    plan = J3.extract_summary(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_highlights_without_letters_and_without_stories(spark):
     rows = [(1, [("/a", "red fish"), ("/b", "blue fish fish")]), (2, [("/c", "123")]), (3, [])]
     df = spark.createDataFrame(rows, "feed_id long, stories array<struct<storylink:string,story:string>>")

@@ -20,8 +20,11 @@ DEFAULT_SUMMARY = "摘要生成失敗"
 
 SENTENCE_RE = r"[^.!?。！？\n]+[.!?。！？]*"
 HAS_LETTER_RE = r"\p{L}"
-#: a sentence scores by how many of its text's most frequent words it holds
+#: sentences are linked by those of their text's most frequent words that they share
 KEYWORDS = 20
+#: steps of the power iteration over that graph; weights are whole numbers up to WEIGHT_TOP
+POWER_STEPS = 2
+WEIGHT_TOP = 1000
 
 
 def sentence_array(text) -> Column:
@@ -31,22 +34,72 @@ def sentence_array(text) -> Column:
 
 
 # O20 -------------------------------------------------------------------------
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def _worth(places: Column, weights: Column) -> Column:
+    """Sum of the weights of a sentence's keywords."""
+    return _total(F.transform(places, lambda j: F.get(weights, j)))
+
+
+def _power_step(sentences: Column, weights: Column) -> Column:
+    """Keyword weights after one step: every sentence gives its worth to its keywords.
+
+    This is a step of the power iteration with the matrix of shared keywords of
+    every two sentences, in its factored form: linear in the sentences.
+    """
+    scored = F.transform(sentences, lambda p: F.struct(p.alias("p"), _worth(p, weights).alias("worth")))
+
+    def gathered(x: Column) -> Column:
+        each = F.transform(weights, lambda _, j: F.aggregate(
+            x, F.lit(0).cast("bigint"), lambda a, v: a + F.when(F.array_contains(v["p"], j), v["worth"]).otherwise(0)))
+        return let(each, lambda w: F.transform(w, lambda v: F.floor(v * WEIGHT_TOP / F.array_max(w)).cast("bigint")))
+    return let(scored, gathered)
+
+
+def _picks(sentences: Column, weights: Column, top_k: int) -> Column:
+    """Indexes of the chosen sentences in text order: ``top_k`` times the one of
+    the most worth (ties by position), whose keywords then weigh nothing."""
+    def pick(state: Column, _: Column) -> Column:
+        gain = F.transform(sentences, lambda p, i: F.struct((-_worth(p, state["w"])).alias("less"), i.alias("no")))
+
+        def take(best: Column) -> Column:
+            left = F.transform(state["w"], lambda v, j: F.when(F.array_contains(F.get(sentences, best["no"]), j), 0).otherwise(v))
+            return F.when(best["less"] < 0, F.struct(left.alias("w"), F.concat(state["picks"], F.array(best["no"])).alias("picks"))
+                          ).otherwise(state)
+        return let(F.array_min(gain), take)
+
+    start = F.struct(weights.alias("w"), F.array().cast("array<int>").alias("picks"))
+    return F.sort_array(F.aggregate(F.sequence(F.lit(1), F.lit(top_k)), start, pick, lambda x: x["picks"]))
+
+
 def summary_of(text: Column, top_k: int = 3, max_chars: int = 100) -> Column:
     """Extractive summary of one text from that text alone; null without a sentence.
 
-    The ``top_k`` sentences that hold most of the text's ``KEYWORDS`` most
-    frequent words (ties by position), rejoined in text order and cut to
-    ``max_chars``.  Everything happens in the row: no shuffle, and a summary
-    does not change when other rows do.
+    A graph of the sentences: two are as similar as the number of the text's
+    ``KEYWORDS`` most frequent words that they share.  ``POWER_STEPS`` steps of
+    the power iteration weigh the keywords.  Then up to ``top_k`` sentences are
+    taken by the weight of their keywords that no sentence taken before holds,
+    so a repeated sentence is not taken twice and one that adds nothing is left
+    out.  They are rejoined in text order and cut to ``max_chars``.  Everything
+    happens in the row with whole numbers: no shuffle, and a summary does not
+    change when other rows do.
     """
-    def best(s: Column, keywords: Column) -> Column:
-        score = lambda x, i: F.struct(
-            (-F.size(F.array_intersect(letter_words(x), keywords))).alias("less"), i.alias("no"))
-        top = F.slice(F.sort_array(F.transform(s, score)), 1, top_k)
-        picks = F.sort_array(F.transform(top, lambda x: x["no"]))
+    def best(s: Column, ws: Column, keywords: Column) -> Column:
+        places = F.transform(ws, lambda w: F.transform(
+            F.array_intersect(w, keywords), lambda x: (F.array_position(keywords, x) - 1).cast("int")))
+
+        def chosen(p: Column, weights: Column, steps: int) -> Column:
+            if not steps:
+                return _picks(p, weights, top_k)
+            return let(_power_step(p, weights), lambda w: chosen(p, w, steps - 1))
+        equal = F.transform(keywords, lambda _: F.lit(1).cast("bigint"))
+        picks = let(places, lambda p: let(equal, lambda w: chosen(p, w, POWER_STEPS)))
         return F.when(F.size(s) > 0, truncate_chars(F.array_join(F.transform(picks, lambda i: F.get(s, i)), " "), max_chars))
-    return let(F.struct(sentence_array(text).alias("s"), most_frequent(letter_words(text), KEYWORDS).alias("k")),
-               lambda x: best(x["s"], x["k"]))
+
+    return let(sentence_array(text), lambda s: let(F.transform(s, letter_words), lambda ws: let(
+        most_frequent(F.flatten(ws), KEYWORDS), lambda k: best(s, ws, k))))
 
 
 def extract_summary(docs: DataFrame, keys, text_col: str = "text", top_k: int = 3,
