@@ -19,7 +19,6 @@ from tidings.functions.text import (CHINESE, KANA, SECTION_BREAK, language_terms
 DEFAULT_SUMMARY = "摘要生成失敗"
 
 SENTENCE_RE = r"[^.!?。！？\n]+[.!?。！？]*"
-HAS_LETTER_RE = r"\p{L}"
 #: sentences are linked by those of their text's most frequent words that they share
 KEYWORDS = 20
 #: steps of the power iteration over that graph; weights are whole numbers up to WEIGHT_TOP
@@ -27,12 +26,6 @@ POWER_STEPS = 2
 WEIGHT_TOP = 1000
 
 
-def sentence_array(text) -> Column:
-    """Trimmed sentences of a text that hold a letter, in text order (narrow)."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0), unicode_trim)
-    return F.filter(parts, lambda s: s.rlike(HAS_LETTER_RE))
-
-
 # O20 -------------------------------------------------------------------------
 def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v)
@@ -49,12 +42,14 @@ def _power_step(sentences: Column, weights: Column) -> Column:
     This is a step of the power iteration with the matrix of shared keywords of
     every two sentences, in its factored form: linear in the sentences.
     """
-    scored = F.transform(sentences, lambda p: F.struct(p.alias("p"), _worth(p, weights).alias("worth")))
+    holds = lambda p: F.aggregate(p, F.lit(0), lambda a, j: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), j)))
+    scored = F.transform(sentences, lambda p: F.struct(holds(p).alias("bits"), _worth(p, weights).alias("worth")))
 
     def gathered(x: Column) -> Column:
         each = F.transform(weights, lambda _, j: F.aggregate(
-            x, F.lit(0).cast("bigint"), lambda a, v: a + F.when(F.array_contains(v["p"], j), v["worth"]).otherwise(0)))
-        return let(each, lambda w: F.transform(w, lambda v: F.floor(v * WEIGHT_TOP / F.array_max(w)).cast("bigint")))
+            x, F.lit(0).cast("bigint"), lambda a, v: a + F.getbit(v["bits"], j) * v["worth"]))
+        return let(each, lambda w: let(F.array_max(w), lambda top: F.transform(
+            w, lambda v: F.call_function("div", v * WEIGHT_TOP, top))))
     return let(scored, gathered)
 
 
@@ -96,9 +91,11 @@ def summary_of(text: Column, top_k: int = 3, max_chars: int = 100) -> Column:
             return let(_power_step(p, weights), lambda w: chosen(p, w, steps - 1))
         equal = F.transform(keywords, lambda _: F.lit(1).cast("bigint"))
         picks = let(places, lambda p: let(equal, lambda w: chosen(p, w, POWER_STEPS)))
-        return F.when(F.size(s) > 0, truncate_chars(F.array_join(F.transform(picks, lambda i: F.get(s, i)), " "), max_chars))
+        cut = lambda x: F.array_join(F.transform(x, lambda i: unicode_trim(F.get(s, i))), " ")
+        return let(picks, lambda x: F.when(F.size(x) > 0, truncate_chars(cut(x), max_chars)))
 
-    return let(sentence_array(text), lambda s: let(F.transform(s, letter_words), lambda ws: let(
+    # sentences without a letter have no words, so they are never taken
+    return let(F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0), lambda s: let(F.transform(s, letter_words), lambda ws: let(
         most_frequent(F.flatten(ws), KEYWORDS), lambda k: best(s, ws, k))))
 
 
