@@ -582,6 +582,34 @@ def test_language(spark, docs):
     assert empty_like(docs).select(language.predict(F.col("text"), model)).count() == 0
 
 
+def test_language_left_out(spark):
+    """Texts of a language that was not learned are rejected, those of learned ones stay, at any length."""
+    say = lambda s, n: " ".join("".join(RNG.choice(s) for _ in range(RNG.randint(1, 4))) for _ in range(n))
+    kinds = {"aa": ["ka", "ri", "to", "mun"], "bb": ["schl", "ung", "ver", "ot"], "cc": ["tion", "eau", "oui", "re"]}
+    rows = [(i, say(kinds[k], RNG.choice([2, 20, 200, 2000])), k) for i, k in enumerate(list(kinds) * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for out in kinds:
+        train = (id_fold(F.col("doc_id"), 4) != 2) & (F.col("lang") != out)
+        model = language.fit(df, train)
+        seen = df.filter(id_fold(F.col("doc_id"), 4) == 2).select("lang", language.predict(F.col("text"), model).alias("p")).collect()
+        share = lambda rows: sum(r.p.rejected for r in rows) / len(rows)
+        assert share([r for r in seen if r.lang == out]) >= 0.8
+        assert share([r for r in seen if r.lang != out]) <= 0.02
+
+
+def test_language_floors_by_plain_counts():
+    """Floors against plain counts of cosines below them."""
+    rng = np.random.default_rng(3)
+    for low, high in ((300, 600), (300, 200), (500, 900)):
+        mine, others = rng.integers(low, 1000, 500), rng.integers(0, high, 500)
+        floor = language.floors_of([(9, False, int(c), 1) for c in mine] + [(9, True, int(c), 1) for c in others], 0.95, 0.02)
+        most = max(s for s in range(language.STEPS) if (mine < s).mean() <= 0.02)
+        least = min(s for s in range(language.STEPS) if (others < s).mean() >= 0.95)
+        assert set(floor) == {(min(least, most) + most) / (2 * language.STEPS)}
+    few = language.floors_of([(9, False, 500, 5), (9, True, 100, 5)], 0.95, 0.02)
+    assert not few.any()
+
+
 # line rules ----------------------------------------------------------------------------------
 def plain_base_counts(text):
     text = text or ""

@@ -3,13 +3,21 @@
 A text becomes a TF-IDF vector of hashed byte trigrams (letters lower-cased,
 ASCII non-letters as blanks), scaled to length 1.  Every language has several
 centroids, found by spherical k-means inside that language; a text gets the
-language of the nearest centroid by cosine.  A text whose cosine lies below
-the language's floor (a share of a low quantile of its own training texts) is
-too far from anything learned and is flagged as rejected.
+language of the nearest centroid by cosine.  A text whose cosine lies below a
+floor is too far from anything learned and is flagged as rejected.
+
+The floor comes from texts that the centroids were not made from, for each
+doubling of the length, as short texts lie farther from every centroid.  Of
+such a text two cosines are taken: with the centroids of all languages, and
+with those of the other languages only, as if its own had not been learned.
+The floor lies halfway between the cosine that rejects ``foreign`` of the latter
+and the one that rejects ``own`` of the former; it never lies above the second.
+Neighbouring lengths are taken together until they have ``FEW`` of
+these texts.  A model of fewer than two languages has no floor.
 
 Fitting reads at most about ``docs_per_lang`` labelled texts of each language,
-chosen by a hash of the id (a documented bound); prediction reads every text
-whole.
+chosen by a hash of the id (a documented bound), a quarter of them for the
+floors; prediction reads every text whole.
 
 Edge cases: null text, and text without a letter, give ``und`` with score 0,
 rejected; a model without any language gives the same for every text; null
@@ -29,6 +37,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 DIMENSIONS = 4096
+#: lengths are told apart by their doublings, up to 2**(LENGTHS - 1) bytes and beyond
+LENGTHS = 24
+#: held-out texts that a floor is learned from at least
+FEW = 20
+#: cosines are counted in steps of 1 / STEPS
+STEPS = 1000
 RESULT = "struct<lang_pred:string,score:double,rejected:boolean>"
 
 _FOLD = np.arange(256, dtype=np.int64)
@@ -39,7 +53,7 @@ _FOLD[:128] = [ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(12
 class Centroids:
     langs: list[str]         # one per centroid
     vectors: np.ndarray      # centroid rows, length 1
-    floors: np.ndarray       # least cosine accepted, per centroid
+    floors: np.ndarray       # least cosine accepted, per doubling of the length
     idf: np.ndarray
 
 
@@ -74,16 +88,41 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def length_class(text: str) -> int:
+    return min(len(text.encode()).bit_length(), LENGTHS - 1)
+
+
+def floors_of(counted: list[tuple[int, bool, int, int]], foreign: float, own: float) -> np.ndarray:
+    """Floors per length from (length, is_foreign, cosine step, texts)."""
+    n = np.zeros((LENGTHS, 2, STEPS + 1), dtype=np.int64)
+    for length, is_foreign, step, texts in counted:
+        n[length, int(is_foreign), step] += texts
+    floors, first, last = np.zeros(LENGTHS), 0, 0.0
+    for length in range(LENGTHS):
+        mine, others = n[first:length + 1].sum(axis=0).cumsum(axis=1)
+        if min(mine[-1], others[-1]) >= FEW:
+            # steps below these hold at least that share of the foreign texts, and at most that of the own
+            enough = int(np.searchsorted(others, foreign * others[-1])) + 1
+            bearable = int(np.searchsorted(mine, own * mine[-1], side="right"))
+            last = (min(enough, bearable) + bearable) / (2 * STEPS)
+            floors[first:length + 1] = last
+            first = length + 1
+    floors[first:] = last
+    return floors
+
+
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
-        clusters: int = 4, docs_per_lang: int = 1500, quantile: float = 0.01, slack: float = 0.2) -> Centroids:
+        clusters: int = 4, docs_per_lang: int = 1500, foreign: float = 0.95, own: float = 0.005) -> Centroids:
     """Learn centroids from the rows where ``train`` holds."""
     known = small_batches(df).filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(F.col(lang).alias("lang")).count()
     share = (F.lit(docs_per_lang) / F.col("count")).alias("share")
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = (known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), chance.alias("chance"))
-                   .join(F.broadcast(sizes.select("lang", share)), "lang")  # one row per language
-                   .filter("chance < share").select("lang", "text"))
+    aside = (F.pmod(F.xxhash64(F.col(id_col), F.lit("floor")), F.lit(4)) == 0).alias("aside")
+    drawn = (known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), chance.alias("chance"), aside)
+                  .join(F.broadcast(sizes.select("lang", share)), "lang")  # one row per language
+                  .filter("chance < share").select("lang", "text", "aside"))
+    sample = drawn.filter(~F.col("aside")).select("lang", "text")
 
     def document_frequency(batches):
         df_, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
@@ -104,18 +143,32 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", id
     def cluster(key, pdf):
         x = vectors(sorted(pdf["text"]), idf)
         c = spherical_kmeans(x, clusters)
-        best, own = (x @ c.T).max(axis=1), (x @ c.T).argmax(axis=1)
-        floor = slack * float(np.quantile(best, quantile))
-        return pd.DataFrame({"lang": [key[0]] * len(c), "floor": [floor] * len(c),
-                             "members": [int((own == j).sum()) for j in range(len(c))],
-                             "vector": [v.astype(float).tolist() for v in c]})
+        return pd.DataFrame({"lang": [key[0]] * len(c), "vector": [v.astype(float).tolist() for v in c]})
 
-    rows = (sample.groupBy("lang").applyInPandas(cluster, "lang string, floor double, members int, vector array<double>")
+    rows = (sample.groupBy("lang").applyInPandas(cluster, "lang string, vector array<double>")
                   .collect())  # a few centroids per language
     rows.sort(key=lambda r: (r["lang"], r["vector"]))
-    return Centroids([r["lang"] for r in rows],
-                     np.array([r["vector"] for r in rows], dtype=np.float32).reshape(len(rows), DIMENSIONS),
-                     np.array([r["floor"] for r in rows]), idf)
+    langs = [r["lang"] for r in rows]
+    centres = np.array([r["vector"] for r in rows], dtype=np.float32).reshape(len(rows), DIMENSIONS)
+    if len(set(langs)) < 2:  # no other language to tell texts from
+        return Centroids(langs, centres, np.zeros(LENGTHS), idf)
+
+    def distances(batches):
+        of = np.array(langs)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at:at + 256]
+                cos = vectors(list(part["text"]), idf) @ centres.T
+                others = np.where(of[None, :] == part["lang"].to_numpy()[:, None], -1, cos)
+                both = np.concatenate([cos.max(axis=1), others.max(axis=1)]).clip(0, 1)
+                yield pd.DataFrame({"length": [length_class(t) for t in part["text"]] * 2,
+                                    "is_foreign": np.repeat([False, True], len(part)),
+                                    "step": (both * STEPS).astype(np.int32)})
+
+    held_out = drawn.filter("aside").select("lang", "text").filter(F.col("lang").isin(sorted(set(langs))))
+    counted = (held_out.mapInPandas(distances, "length int, is_foreign boolean, step int")
+                       .groupBy("length", "is_foreign", "step").count().collect())  # 2 * LENGTHS * (STEPS + 1) rows at most
+    return Centroids(langs, centres, floors_of([tuple(r) for r in counted], foreign, own), idf)
 
 
 def predict(text: Column, model: Centroids) -> Column:
@@ -132,7 +185,7 @@ def predict(text: Column, model: Centroids) -> Column:
             top = cos[np.arange(len(part)), best]
             lang[part] = [model.langs[j] for j in best]
             score[part] = np.clip(top, 0, 1)
-            far[part] = top < model.floors[best]
+            far[part] = top < model.floors[[length_class(texts.iloc[i]) for i in part]]
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": far})
 
     return F.pandas_udf(judge, RESULT)(text)
