@@ -144,6 +144,18 @@ def test_slots_of_one_hot_shard(spark):
     assert sorted(slots) == list(range(5000))
 
 
+def test_shards_carry_columns_of_any_name(docs, monkeypatch):
+    names = ["_group", "_rank", "_shift", "_n", "_shift_", "slot"]
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    got = [sorted(map(str, sharding.assign_shards(d, 4).select("doc_id", "size", "text_crc32", "shard", "slot").collect()))
+           for d in (docs, more)]
+    assert got[0] == got[1]
+    out = sharding.assign_shards(more, 4)
+    assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in out.collect() for n in names[:-1])
+    monkeypatch.setattr(sharding, "BROADCAST_IDS", 0)  # the shift table beyond the bound is joined by shuffle
+    assert sorted(map(str, sharding.assign_shards(docs, 4).select("doc_id", "size", "text_crc32", "shard", "slot").collect())) == got[0]
+
+
 # importance resampling --------------------------------------------------------------
 def test_kth_largest(spark):
     xs = [RNG.choice([RNG.gauss(0, 1), 3.0, RNG.expovariate(1) * 1e6]) for _ in range(3000)]

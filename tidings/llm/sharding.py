@@ -9,7 +9,8 @@ Edge cases: a null key hashes as key 0; a null text has no bytes (size is the
 fixed row overhead, crc32 of no bytes is 0); an empty table gives no rows;
 rows with equal keys share a shard and get different slots; columns beyond
 the key and text are carried through by ``assign_shards`` unless they have
-the name of a result column, which then replaces them.
+the name of a result column, which then replaces them; texts of any length are
+only measured and hashed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import BROADCAST_IDS, fresh, let
 
 #: fixed values of the published generator: multiplier 2862933555777941757
 MULTIPLIER_HIGH, MULTIPLIER_LOW = 0x27BB2EE6, 0x87B0B0FD
@@ -67,23 +68,25 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     ``slot`` is gapless from 0 in each shard.  Rows of a shard are numbered
     inside ``SLOT_GROUPS`` hash groups and shifted by the counts of the groups
     before, so no task ever holds a shard; the shift table has at most
-    ``shards * SLOT_GROUPS`` rows, which bounds the broadcast.
+    ``shards * SLOT_GROUPS`` rows and is broadcast only where that many fit.
     """
+    group, rank, shift, n = (fresh(df, f"_{name}") for name in ("group", "rank", "shift", "n"))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     placed = (df.withColumn("size", (F.octet_length(body) + ROW_OVERHEAD).cast("bigint"))
                 .withColumn("text_crc32", F.crc32(body))
                 .withColumn("shard", jump_shard(F.col(key), shards))
                 .withColumn("grown_shard", jump_shard(F.col(key), shards + 1))
-                .withColumn("_group", F.pmod(F.xxhash64(key, "text_crc32", "size"),
-                                             F.lit(SLOT_GROUPS)).cast("int")))
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (placed.groupBy("shard", "_group").agg(F.count(F.lit(1)).alias("_n"))
-                    .select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
-    inside = Window.partitionBy("shard", "_group").orderBy(key, "text_crc32", "size")
-    return (placed.withColumn("_rank", F.row_number().over(inside) - 1)
-                  .join(F.broadcast(shifts), ["shard", "_group"])
-                  .withColumn("slot", F.col("_rank") + F.col("_shift"))
-                  .drop("_group", "_rank", "_shift"))
+                .withColumn(group, F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(SLOT_GROUPS)).cast("int")))
+    before = Window.partitionBy("shard").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (placed.groupBy("shard", group).agg(F.count(F.lit(1)).alias(n))
+                    .select("shard", group, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(shift)))
+    if shards * SLOT_GROUPS <= BROADCAST_IDS:
+        shifts = F.broadcast(shifts)
+    inside = Window.partitionBy("shard", group).orderBy(key, "text_crc32", "size")
+    return (placed.withColumn(rank, F.row_number().over(inside) - 1)
+                  .join(shifts, ["shard", group])
+                  .withColumn("slot", F.col(rank) + F.col(shift))
+                  .drop(group, rank, shift))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
