@@ -154,3 +154,18 @@ def test_request_body_shape(spark):
                                  "request_id long, user_id string, url string")
     bodies = [json.loads(x.body) for x in J3.url_summary_requests(urls).collect()]
     assert bodies == [{"engine": "agnes", "target_language": "EN", "url": "http://a.example/x"}]
+
+
+def test_a_text_is_searched_once_not_once_per_term(spark):
+    """Kana are looked for below the explode, and votes are counted in hash tables (mode() sorts beyond 128 keys)."""
+    train = spark.createDataFrame([("the cat", "en"), ("le chat", "fr")], "text string, lang string").localCheckpoint()
+    texts = spark.createDataFrame([(1, "the dog", "x"), (2, "ラーメン", None), (None, None, None), (None, "le chat", None)],
+                                  "doc_id long, text string, tag string").localCheckpoint()
+    got = J3.detect_language(texts, J3.language_profiles(train), ["doc_id", "tag"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    kana = [i for i, x in enumerate(lines) if "IsHiragana" in x and "AS _kana" in x]
+    generate = [i for i, x in enumerate(lines) if "Generate" in x and "true" in x]
+    assert kana and generate and kana[0] > generate[0]
+    assert "mode(" not in plan
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "x", "en"), (2, None, "ja"), (None, None, "fr")], key=str)
