@@ -169,3 +169,17 @@ def test_a_text_is_searched_once_not_once_per_term(spark):
     assert kana and generate and kana[0] > generate[0]
     assert "mode(" not in plan
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "x", "en"), (2, None, "ja"), (None, None, "fr")], key=str)
+
+
+def test_profiles_of_many_words_are_counted_in_hash_tables(spark):
+    """Labels of 600 words, with ties, null labels and repeated rows; no typed aggregate, which would sort its rows."""
+    rnd = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    rows = [(n % 2, " ".join(rnd.choices(words, k=40)), rnd.choice(["en", "fr", "de", None, "zh-CN"])) for n in range(200)] * 2
+    got = J3.language_profiles(spark.createDataFrame(rows, "half int, text string, lang string"), by=["half"])
+    counts = Counter((h, w, "zh-tw" if x == "zh-CN" else x) for h, t, x in rows if x for w in set(t.split()))
+    want = {}
+    for (h, w, x), n in counts.items():
+        want[h, w] = min(want.get((h, w), (0, "")), (-n, x))
+    assert {(r.half, r.word): r.lang for r in got.collect()} == {k: x for k, (_, x) in want.items()} and got.count() == len(want)
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
