@@ -125,3 +125,39 @@ def test_a_rerun_writes_only_unanswered_keys(spark, tmp_path):
     everything = spark.createDataFrame([(k,) for _, k, _ in bodies], "key string")
     FILES.write_requests(requests, str(tmp_path), "r3", everything, max_bytes=2000)
     assert FILES.read_requests(spark, str(tmp_path), "r3").isEmpty()
+
+
+def counting(spark):
+    """A function of a text that returns it and counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+    return calls, F.udf(same, "string").asNondeterministic()
+
+
+def test_requests_are_worked_out_once(spark, tmp_path):
+    calls, same = counting(spark)
+    rows = spark.range(40).select(F.lit("t").alias("task"), F.col("id").cast("string").alias("key"), same(F.lit("{}")).alias("body"))
+    FILES.write_requests(rows, str(tmp_path), "r", max_bytes=200)
+    assert calls.value == 40
+    assert FILES.read_requests(spark, str(tmp_path), "r").count() == 40
+
+
+def test_request_files_search_a_page_once(spark, sf_dir, monkeypatch):
+    from tidings.plans import registry as R
+    calls, same = counting(spark)
+    read = R.T.pages
+    monkeypatch.setattr(R.T, "pages", lambda *a: read(*a).withColumn("html", same("html")))
+    R.QUERIES["request_files"](spark, sf_dir).count()
+    assert calls.value == read(spark, sf_dir).count()
+
+
+def test_stories_of_arrays_are_the_stories_of_pages(spark):
+    from tidings.operators import feeds as J1
+    nav = "<nav><a href='/a'>A</a><a href='/b'>B</a></nav>"
+    pages = spark.createDataFrame([(1, nav), (1, nav), (None, nav), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    got = J1.stories_of(J1.page_story_arrays(pages))
+    assert got.columns == J1.page_stories(pages).columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, J1.page_stories(pages).collect()), key=str) != []
