@@ -180,3 +180,31 @@ def test_numeric_character_references(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     r = J1.extract_links(df).collect()[0]
     assert r.storylink == "/a&b" and r.story == "ABC\U0001F600&#68;\ufffd"
+
+
+def test_links_after_the_last_nav_start(spark):
+    """The fold rests once no nav is open or to come: not while one is open, or an anchor."""
+    from tidings.functions.html import Scope, link_array
+    pages = {"<nav><a href='/x'>x</a></nav><a href='/y'>y</a><p>z": [("/x", "x")],
+             "<nav><a href='/x'>x</nav>y<a href='/z'>z</a>": [("/x", "x")],
+             "<nav><table><tr><td></nav><a href='/z'>z</a>": [("/z", "z")],
+             "<a href='/v'>v</a><nav></nav><p><b>" + "<i>t</i>" * 600 + "<nav><a href='/w'>w<b>W": [("/w", "wW")],
+             "<nav><p><a href='/x'>x" + "<b>t</b>" * 300: [("/x", "x" + "t" * 300)]}
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = {r.id: [tuple(x) for x in r.links] for r in df.select("id", link_array(df.html, Scope("nav")).alias("links")).collect()}
+    assert got == dict(enumerate(pages.values()))
+
+
+def test_story_broadcast_searches_a_page_for_links_once(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidings.plans import registry as R
+    calls, read = spark.sparkContext.accumulator(0), R.T.pages
+
+    def same(x):
+        calls.add(1)
+        return x
+    counted = F.udf(same, "string").asNondeterministic()
+    monkeypatch.setattr(R.T, "pages", lambda *a: read(*a).withColumn("html", counted("html")))
+    R.QUERIES["job_story_broadcast"](spark, sf_dir).count()
+    assert calls.value == read(spark, sf_dir).count()
