@@ -173,3 +173,32 @@ def test_typed_bodies_refuse_repeated_keys(spark):
     body = '{"choices":[{"message":{"content":"a","content":"b"}}]}'
     df = spark.createDataFrame([("k", 200, body)], "key string, http_status int, body string")
     assert J5.decode_tool_calls(df).first().status == "serialization_error"
+
+
+def test_tool_replies_are_dealt_over_the_cores(spark):
+    """AQE leaves the few bytes of the join to one task; each reply of it is then written and parsed there."""
+    from tidings.sources import fixtures as FX
+    turns = spark.createDataFrame([(i, t, "user", "hi") for i in range(400) for t in (0, 1)] + [(None, 1, "user", "hi")],
+                                  "conv_id long, turn long, role string, text string")
+    pages = spark.createDataFrame([(i, f"https://example.com/{i}") for i in range(300)], "page_id long, url string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of large tables
+    try:
+        calls = J5.decode_tool_calls(FX.tool_replies(turns, pages)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(calls) == 801 and len({r.key for r in calls}) == 801
+    tasks = [r.task for r in calls]
+    assert len(set(tasks)) == spark.sparkContext.defaultParallelism and max(map(tasks.count, set(tasks))) < 801 / 2
+
+
+def test_only_replies_to_push_summary_requests_are_parsed(spark):
+    from tidings.plans import jobs
+    routes = spark.createDataFrame([("a", "push_summary", "routed"), ("b", "push_summary", "dropped_no_user"), (None, "push_summary", "routed"),
+                                    ("c", "push_message", "routed")], "webhook_id string, route string, outcome string")
+    replies = spark.createDataFrame([("a", 500, "{}"), ("a", 200, "{broken"), ("b", 200, "{}"), ("c", 200, "{}"), (None, 200, "{}")],
+                                    "webhook_id string, http_status int, body string")
+    out = jobs.landed_selection_results(replies, routes)
+    assert sorted(map(tuple, out.collect())) == [("a", "external_error", None), ("a", "serialization_error", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5(") < plan.index("Join LeftSemi")  # the join stands below the parse
