@@ -698,7 +698,7 @@ def test_digests(spark, sf_dir):
 def test_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
